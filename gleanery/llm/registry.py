@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import decontaminate
+from gleanery.llm import dac, decontaminate, packing
 from gleanery.llm.scratch import ship_package
 
 
@@ -19,7 +19,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {
+    "op8_best_fit": _shipped(packing.op8_best_fit),
     "op9_decontaminate": _shipped(decontaminate.op9_decontaminate),
+    "op10_token_files": _shipped(dac.op10_token_files),
 }
 ORACLE_SQL = {
     "op9_decontaminate": decontaminate.OP9_SQL,
