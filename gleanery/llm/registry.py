@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, packing, sharding
+from gleanery.llm import dac, decontaminate, language, overlap, packing, sharding
 from gleanery.llm.scratch import ship_package
 
 
@@ -20,11 +20,13 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     "op2_shards": _shipped(sharding.op2_shards),
+    "op6_jaccard_join": _shipped(overlap.op6_jaccard_join),
     "op7_language": _shipped(language.op7_language),
     "op8_best_fit": _shipped(packing.op8_best_fit),
     "op9_decontaminate": _shipped(decontaminate.op9_decontaminate),
     "op10_token_files": _shipped(dac.op10_token_files),
 }
 ORACLE_SQL = {
+    "op6_jaccard_join": overlap.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
