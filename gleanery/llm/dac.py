@@ -226,7 +226,7 @@ def write_token_files(
     that runs again replaces it by the same bytes.
     """
     ordered = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def write(batches):
