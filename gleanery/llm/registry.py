@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, overlap, packing, sharding
+from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, sharding
 from gleanery.llm.scratch import ship_package
 
 
@@ -20,6 +20,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     "op2_shards": _shipped(sharding.op2_shards),
+    "op4_lattice": _shipped(lattice.op4_lattice),
     "op6_jaccard_join": _shipped(overlap.op6_jaccard_join),
     "op7_language": _shipped(language.op7_language),
     "op8_best_fit": _shipped(packing.op8_best_fit),
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_token_files": _shipped(dac.op10_token_files),
 }
 ORACLE_SQL = {
+    "op4_lattice": lattice.OP4_SQL,
     "op6_jaccard_join": overlap.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
