@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, sharding
+from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding
 from gleanery.llm.scratch import ship_package
 
 
@@ -19,6 +19,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {
+    "op1_pitman_yor": _shipped(pitman_yor.op1_pitman_yor),
     "op2_shards": _shipped(sharding.op2_shards),
     "op4_lattice": _shipped(lattice.op4_lattice),
     "op6_jaccard_join": _shipped(overlap.op6_jaccard_join),
