@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+            .where("u <> v")
         )
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -17,6 +17,8 @@ from gleanery.llm.scratch import materialise
 
 #: Members of a search block: what one task holds of a cluster of candidates at once.
 BLOCK = 256
+#: Most postings merged with a heap.
+HEAP = 512
 
 
 def size_bands(largest: int, percent: int) -> np.ndarray:
@@ -191,17 +193,12 @@ class DivideSkip:
         n_long = min(int(least / (self.mu * math.log2(max(len(lists[-1]), 2)) + 1)), least - 1, len(lists))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         need = least - n_long
-        found: list[int] = []
-        counts: list[int] = []
-        current = -1
-        for place in heapq.merge(*(s.tolist() for s in short)):
-            if place != current:
-                current = place
-                found.append(place)
-                counts.append(1)
-            else:
-                counts[-1] += 1
-        at, n = np.array(found, np.int64), np.array(counts, np.int64)
+        if sum(map(len, short)) <= HEAP:
+            merged = np.fromiter(heapq.merge(*(s.tolist() for s in short)), np.int64)
+        else:  # numpy's stable sort merges runs that are sorted
+            merged = np.sort(np.concatenate(short), kind="stable")
+        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else merged
+        at, n = merged[first], np.diff(np.append(first, len(merged)))
         at, n = at[n >= need], n[n >= need]
         for k, postings in enumerate(long):
             if not len(at):
@@ -213,9 +210,12 @@ class DivideSkip:
         return list(zip(at.tolist(), n.tolist()))
 
 
-def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray, group: np.ndarray, percent: int):
-    """A spanning forest of the links between queries and the other rows, by T-occurrence search;
-    rows already in one group need no link. Returns pairs of rows."""
+def _links_in_block(sets: list[np.ndarray], queries: np.ndarray, group: np.ndarray, percent: int):
+    """A spanning forest of the links between the queries (rows, the centre first) and all rows, by
+    T-occurrence search. Rows of one group are known to be connected; rows that are not queries are
+    all of one group. Queries that the main component (that of those rows, or else of the first
+    query) holds by their turn are not asked: a link from it into another component has an end
+    there, and that row is asked. Returns pairs of rows."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -225,10 +225,15 @@ def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], is_query: np.ndarra
         return x
 
     index, out = DivideSkip(sets), []
+    silent = np.setdiff1d(np.arange(len(sets)), queries)
+    main = int(group[silent[0]]) if len(silent) else None
     left = len(np.unique(group))
-    for q in np.flatnonzero(is_query).tolist():
+    for q in queries.tolist():
         if left == 1:
             break
+        if main is not None and root(int(group[q])) == root(main):
+            continue
+        main = int(group[q]) if main is None else main
         size = len(sets[q])
         for other, shared in index.search(sets[q], max(1, -(-size * percent // 100))):
             if other != q and shared * 100 >= percent * (size + len(sets[other]) - shared):
@@ -240,12 +245,13 @@ def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], is_query: np.ndarra
     return out
 
 
-def search_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between set ids inside blocks. members: block, doc_id (one document of a set),
-    set_id, grp (rows of one grp are known to be connected), query."""
+def member_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The members (set_id, doc_id of one of its documents, more columns) with their sets of shingles,
+    sorted hashes in a binary column."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    joined = members.join(texts, "doc_id")
+    names = [c for c in members.columns if c != "doc_id"]
+    joined = members.hint("merge").join(texts, "doc_id")  # one plan at every size
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in members.select(names).schema)}, shingles binary"
 
     def with_sets(batches):
         for batch, data, offsets in text_chunks(batches):
@@ -255,40 +261,49 @@ def search_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int)
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)) * 8
             ids = set_fingerprint(h, owner, batch.num_rows).astype(np.int64)
             same = ids == batch.column("set_id").to_numpy()  # rows of a doc_id can have other texts
-            rows = pa.array(np.flatnonzero(same))
             raw = h.tobytes()
             sets = pa.array([raw[s:e] for s, e, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), same.tolist()) if k], pa.binary())
-            out = batch.select(["block", "set_id", "grp", "query"]).take(rows)
-            yield pa.RecordBatch.from_arrays([*out.columns, sets], names=["block", "set_id", "grp", "query", "shingles"])
+            out = batch.select(names).take(pa.array(np.flatnonzero(same)))
+            yield pa.RecordBatch.from_arrays([*out.columns, sets], names=[*names, "shingles"])
+
+    return joined.mapInArrow(with_sets, schema)
+
+
+def search_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between set ids inside blocks. members: block, set_id, grp (rows of one grp are
+    known to be connected), rank (of queries, least first; null: not a query), shingles."""
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def search(batches: Iterator[pa.RecordBatch]):
         block, rows = None, []
 
         def links():
-            ids = [r[0] for r in rows]
-            seen = {i: k for k, i in reversed(list(enumerate(ids)))}
-            pick = sorted(seen.values())
-            query = {r[0] for r in rows if r[2]}
+            best: dict[int, tuple] = {}
+            for set_id, grp, rank, sets in rows:
+                if set_id not in best or (rank is not None and (best[set_id][1] is None or rank < best[set_id][1])):
+                    best[set_id] = (grp, rank, sets)
+            ids = sorted(best)
+            ranks = [best[i][1] for i in ids]
+            queries = sorted((k for k, r in enumerate(ranks) if r is not None), key=lambda k: (ranks[k], ids[k]))
             got = _links_in_block(
-                np.array([ids[k] for k in pick]), [np.frombuffer(rows[k][3], np.uint64) for k in pick],
-                np.array([ids[k] in query for k in pick]), np.array([rows[k][1] for k in pick]), percent,
+                [np.frombuffer(best[i][2], np.uint64) for i in ids], np.array(queries, np.int64), np.array([best[i][0] for i in ids]), percent
             )
-            return [(ids[pick[a]], ids[pick[b]]) for a, b in got]
+            return [(ids[a], ids[b]) for a, b in got]
+
+        def record(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b"])
 
         for batch in batches:
-            found = []
             for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != block:
-                    found += links()
+                    if found := links():
+                        yield record(found)
                     block, rows = b, []
                 rows.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b"])
         if found := links():
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b"])
+            yield record(found)
 
-    sets = joined.mapInArrow(with_sets, "block long, set_id long, grp long, query boolean, shingles binary")
-    dealt = sets.repartition(n, "block").sortWithinPartitions("block", "set_id")
+    dealt = members.select("block", "set_id", "grp", "rank", "shingles").repartition(n, "block").sortWithinPartitions("block", "set_id")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -312,26 +327,28 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     per = known.groupBy("cluster").agg(
         F.count("*").alias("n"), F.max_by("set_id", F.struct("degree", "set_id")).alias("centre")
     ).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = materialise(known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks")))
+    members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks"))
+    members = members.select("set_id", "doc_id", "cluster", "blocks", "part", "degree", (F.col("set_id") == F.col("centre")).alias("is_centre"))
+    members = materialise(member_sets(members, docs, width))
     block = F.xxhash64("cluster", "part").alias("block")
-    own = members.select(block, "doc_id", "set_id", F.col("set_id").alias("grp"), F.lit(True).alias("query"))
-    centres = members.where("set_id = centre and blocks > 1").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
-    centres = centres.select(block, "doc_id", "set_id", F.col("set_id").alias("grp"), F.lit(True).alias("query"))
-    near = materialise(search_blocks(own.union(centres), docs, width, percent))
+    row = [block, "set_id", F.col("set_id").alias("grp"), (-F.col("degree")).alias("rank"), "shingles"]
+    centres = members.where("is_centre and blocks > 1").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
+    near = materialise(search_blocks(members.select(row).union(centres.select(row)), percent))
+    grown = materialise(connected_components(near).withColumnRenamed("node", "set_id"))
     large = members.where("blocks > 1")
-    if large.limit(1).count():
-        grown = connected_components(near).withColumnRenamed("node", "set_id")
-        large = large.join(grown, "set_id", "left").withColumn("grp", F.coalesce("component", "set_id"))
-        parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
-        main = parts.groupBy("cluster").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.count("*").alias("parts"))
-        apart = materialise(large.join(main, "cluster").where("parts > 1").withColumn("query", F.expr("grp <> main")))
-        if apart.limit(1).count():
-            everywhere = apart.where("query").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
-            rows = apart.select(block, "doc_id", "set_id", "grp", F.lit(False).alias("query")).union(
-                everywhere.select(block, "doc_id", "set_id", "grp", "query")
-            )
-            near = near.union(search_blocks(rows, docs, width, percent))
-    return connected_components(near).withColumnRenamed("node", "set_id")
+    if not large.limit(1).count():
+        return grown
+    large = large.join(grown, "set_id", "left").withColumn("grp", F.coalesce("component", "set_id"))
+    parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("n", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    apart = materialise(large.join(main, "cluster").withColumn("asked", F.expr("grp <> main.grp")))
+    if not apart.limit(1).count():
+        return grown
+    everywhere = apart.where("asked").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
+    some = apart.select(block, "set_id", "grp", F.lit(None).cast("long").alias("rank"), "shingles").union(
+        everywhere.select(block, "set_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
+    )
+    return connected_components(near.union(search_blocks(some, percent))).withColumnRenamed("node", "set_id")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
