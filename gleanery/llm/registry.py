@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding
+from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, toxicity
 from gleanery.llm.scratch import ship_package
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op1_pitman_yor": _shipped(pitman_yor.op1_pitman_yor),
     "op2_shards": _shipped(sharding.op2_shards),
     "op4_lattice": _shipped(lattice.op4_lattice),
+    "op5_toxicity": _shipped(toxicity.op5_toxicity),
     "op6_jaccard_join": _shipped(overlap.op6_jaccard_join),
     "op7_language": _shipped(language.op7_language),
     "op8_best_fit": _shipped(packing.op8_best_fit),
