@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, toxicity
+from gleanery.llm import dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, substrings, toxicity
 from gleanery.llm.scratch import ship_package
 
 
@@ -21,6 +21,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     "op1_pitman_yor": _shipped(pitman_yor.op1_pitman_yor),
     "op2_shards": _shipped(sharding.op2_shards),
+    "op3_repeated_passages": _shipped(substrings.op3_repeated_passages),
     "op4_lattice": _shipped(lattice.op4_lattice),
     "op5_toxicity": _shipped(toxicity.op5_toxicity),
     "op6_jaccard_join": _shipped(overlap.op6_jaccard_join),
