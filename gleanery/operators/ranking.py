@@ -10,13 +10,13 @@ from gleanery.operators.landing import at
 
 
 def hours_since(column: str, now: str):
-    return (F.unix_micros(at(now)) - F.unix_micros(column)) / F.lit(3_600_000_000.0)
+    return (F.unix_micros(at(now)) - F.unix_micros(F.col(column).cast("timestamp"))) / F.lit(3_600_000_000.0)
 
 
 def recency(column: str = "published_at", now: str = K.NOW):
     """Halves every HALF_LIFE_HOURS; 0 without a date, 1 for the future."""
     age = F.greatest(hours_since(column, now), F.lit(0.0))
-    return F.coalesce(F.pow(F.lit(0.5), age / K.HALF_LIFE_HOURS), F.lit(0.0))
+    return F.when(F.col(column).isNull(), 0.0).otherwise(F.pow(F.lit(0.5), age / K.HALF_LIFE_HOURS))
 
 
 def score_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds: DataFrame, now: str = K.NOW) -> DataFrame:

@@ -1 +1,224 @@
-"""Queries."""
+"""Queries of work queues, ledgers and guards."""
+
+from pyspark.sql import functions as F
+
+from gleanery.constants import NOW
+from gleanery.operators import queues as op
+from gleanery.operators.landing import at
+from gleanery.plans.registry import query
+from gleanery.sources.views import Views
+
+T = f"TIMESTAMP '{NOW}'"
+#: The ledger of rounds is of the nineties.
+LEDGER_NOW = "1998-07-01 12:00:00"
+
+
+def text(df, *columns):
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+ELIGIBLE = f"""el AS (SELECT a.article_id, a.feed_id, a.published_at, f.credibility FROM articles a JOIN feeds f ON f.feed_id = a.feed_id AND f.active
+  JOIN leases l ON l.article_id = a.article_id AND attempts < 3 AND (reserved_until IS NULL OR reserved_until < {T}) WHERE summary IS NULL AND content IS NOT NULL),
+pool AS (SELECT CAST(sum(least(n, 4)) AS BIGINT) AS pool, bool_or(n > 4) AS pool_capped FROM (SELECT feed_id, count(*) AS n FROM el GROUP BY 1))"""
+
+
+@query("f1_claim_work", f"""WITH {ELIGIBLE} SELECT article_id, feed_id, rank, '2024-02-01 06:00:00' AS reserved_until, pool, pool_capped FROM (
+  SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC NULLS LAST, article_id) AS rank FROM el QUALIFY rank <= 4) r CROSS JOIN pool
+ORDER BY rank, credibility DESC, published_at DESC NULLS LAST, article_id LIMIT 30""")
+def f1(v: Views):
+    out = op.claim_work(v.articles, v.feeds, v.leases, per_feed=4, max_rows=30)
+    return text(out, "reserved_until").select("article_id", "feed_id", F.col("rank").cast("long"), "reserved_until", "pool", "pool_capped")
+
+
+OUTCOMES = """SELECT doc_id AS article_id, CASE WHEN doc_id % 12 = 0 THEN TIMESTAMP '2024-01-31 07:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS lease, doc_id % 18 = 0 AS charged
+FROM {documents} WHERE doc_id % 3 = 0"""
+
+
+@query("f2_settle_work", f"""WITH o AS ({OUTCOMES.replace('{documents}', 'documents')}), j AS (SELECT l.*, o.charged, coalesce(l.reserved_until = o.lease, false) AS hit FROM leases l LEFT JOIN o ON o.article_id = l.article_id)
+SELECT article_id, CAST(attempts + CASE WHEN hit AND charged THEN 1 ELSE 0 END AS INT) AS attempts, CAST(CASE WHEN NOT hit THEN reserved_until END AS VARCHAR) AS reserved_until,
+  CAST(CASE WHEN hit AND charged THEN {T} ELSE failed_at END AS VARCHAR) AS failed_at, CASE WHEN hit AND charged THEN 'charged' WHEN hit THEN 'released' END AS settled FROM j""")
+def f2(v: Views):
+    return text(op.settle_work(v.leases, v.sql(OUTCOMES)), "reserved_until", "failed_at")
+
+
+FAILURES = """SELECT round_id, item_id, CASE item_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'invalid_request' WHEN 2 THEN '429' ELSE 'refusal' END AS error_type
+FROM {round_results} WHERE outcome = 'errored'"""
+
+
+@query("f3_attribute_failures", f"""WITH f AS ({FAILURES.replace('{round_results}', 'round_results')}), w AS (SELECT DISTINCT round_id FROM round_results WHERE outcome = 'succeeded')
+SELECT f.*, round_id IN (SELECT round_id FROM w) AND error_type NOT IN ('timeout', '429') AS charged FROM f""")
+def f3(v: Views):
+    return op.attribute_failures(v.sql(FAILURES), v.round_results)
+
+
+#: Items 1 to 5 of each round are expected; some results come twice.
+EXPECTED = "SELECT r.round_id, i.item_id FROM {rounds} r CROSS JOIN (SELECT DISTINCT item_id FROM {round_results} WHERE item_id <= 3) i WHERE r.round_id % 7 = 0"
+RESULTS = """SELECT round_id, item_id, outcome, tokens, 1 AS pos FROM {round_results} WHERE round_id % 7 = 0
+UNION ALL SELECT round_id, item_id, 'errored', tokens, 2 FROM {round_results} WHERE round_id % 21 = 0 AND item_id = 1"""
+FIRST = f"""ex AS ({EXPECTED.replace('{', '').replace('}', '')}), res AS ({RESULTS.replace('{', '').replace('}', '')}),
+fi AS (SELECT *, row_number() OVER (PARTITION BY round_id, item_id ORDER BY pos, tokens, outcome) AS n FROM res),
+bo AS (SELECT coalesce(e.round_id, f.round_id) AS round_id, e.round_id IS NOT NULL AS asked, outcome, tokens, n FROM ex e FULL JOIN fi f ON e.round_id = f.round_id AND e.item_id = f.item_id),
+rec AS (SELECT round_id, count(*) FILTER (asked AND n = 1 AND outcome = 'succeeded') AS succeeded, count(*) FILTER (asked AND n = 1 AND outcome = 'errored') AS errored,
+  count(*) FILTER (asked AND n = 1 AND outcome = 'expired') AS expired, count(*) FILTER (asked AND outcome IS NULL) AS missing, count(*) FILTER (NOT asked OR n > 1) AS unknown,
+  CAST(coalesce(sum(tokens) FILTER (asked AND n = 1 AND outcome = 'succeeded'), 0) AS BIGINT) AS tokens, count(*) FILTER (asked AND n = 1 AND outcome = 'expired') AS release FROM bo GROUP BY 1)"""
+
+
+def reconciled(v: Views):
+    return op.reconcile_results(v.sql(EXPECTED), v.sql(RESULTS))
+
+
+@query("f4_reconcile_results", f"WITH {FIRST} SELECT * FROM rec")
+def f4(v: Views):
+    return reconciled(v)
+
+
+ANNOTATIONS = """SELECT doc_id AS article_id, concat('s', CAST(doc_id AS STRING)) AS summary_text, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' END AS lease
+FROM {documents} WHERE doc_id % 10 IN (0, 1, 5)"""
+
+
+@query("f5_apply_annotations", f"""WITH an AS ({ANNOTATIONS.replace('{documents}', 'documents')}), j AS (SELECT an.article_id, a.summary, summary_text,
+  a.summary IS NULL AND NOT coalesce(reserved_until >= {T} AND (lease IS NULL OR lease <> reserved_until), false) AS ok
+  FROM an JOIN articles a ON a.article_id = an.article_id LEFT JOIN leases l ON l.article_id = an.article_id)
+SELECT article_id, CASE WHEN ok THEN summary_text ELSE summary END AS new_summary, CASE WHEN ok THEN 'applied' ELSE 'superseded' END AS outcome FROM j""")
+def f5(v: Views):
+    return op.apply_annotations(v.articles, v.leases, v.sql(ANNOTATIONS))
+
+
+USAGE = f"""us AS (SELECT CAST(coalesce(sum(request_count) FILTER (submitted_at >= date_trunc('day', TIMESTAMP '{LEDGER_NOW}')), 0) AS BIGINT) AS used,
+  CAST(coalesce(sum(request_count) FILTER (submitted_at >= date_trunc('day', TIMESTAMP '{LEDGER_NOW}') AND mode = 'batch'), 0) AS BIGINT) AS batch_used, count(*) FILTER (status = 'submitted') AS in_flight FROM rounds)"""
+
+
+@query("f6_usage_and_plan", f"""WITH {USAGE} SELECT *, CASE WHEN in_flight >= 12 THEN 'inflight' WHEN 120 - used <= 0 THEN 'daily' WHEN 120 - batch_used <= 0 THEN 'batch' END AS reason,
+  CAST(CASE WHEN in_flight >= 12 OR used >= 120 OR batch_used >= 120 THEN 0 ELSE least(20, 120 - used, 120 - batch_used) END AS BIGINT) AS submit, CAST(least(20, greatest(120 - used, 0)) AS BIGINT) AS sync FROM us""")
+def f6(v: Views):
+    return op.plan_submit(op.usage_today(v.rounds, LEDGER_NOW))
+
+
+@query("f7_open_rounds", """SELECT round_id, mode, batch_id IS NULL AS malformed FROM rounds WHERE status IN ('submitted', 'unresolved') ORDER BY submitted_at, round_id LIMIT 24""")
+def f7(v: Views):
+    return op.open_rounds(v.rounds).select("round_id", "mode", "malformed")
+
+
+@query("f7_backlog", "SELECT count(*) AS open, CAST(min(submitted_at) AS VARCHAR) AS oldest FROM rounds WHERE status IN ('submitted', 'unresolved')")
+def f7b(v: Views):
+    return text(op.round_backlog(v.rounds), "oldest")
+
+
+@query("f8_resolve_stale_rounds", f"""WITH s AS (SELECT round_id, mode FROM rounds WHERE status = 'claimed' AND submitted_at < TIMESTAMP '{LEDGER_NOW}' - INTERVAL 36 HOUR ORDER BY submitted_at, round_id LIMIT 50)
+SELECT s.round_id, mode, 'expired_unknown' AS status, coalesce(CASE WHEN mode = 'batch' THEN item_id END, 0) AS item_id FROM s LEFT JOIN round_results r ON r.round_id = s.round_id""")
+def f8(v: Views):
+    return op.resolve_stale_rounds(v.rounds, v.round_results, LEDGER_NOW).na.fill(0, ["item_id"])
+
+
+@query("f9_close_round", f"""WITH {FIRST} SELECT r.round_id, CASE WHEN succeeded IS NOT NULL AND status <> 'collected' THEN 'collected' ELSE status END AS status, coalesce(succeeded, 0) AS succeeded,
+  coalesce(tokens, 0) AS tokens, coalesce(succeeded IS NOT NULL AND status <> 'collected' AND succeeded + errored + expired + missing <> request_count, false) AS mismatch
+FROM rounds r LEFT JOIN rec ON rec.round_id = r.round_id""")
+def f9(v: Views):
+    return op.close_rounds(v.rounds, reconciled(v)).withColumn("mismatch", F.coalesce("mismatch", F.lit(False)))
+
+
+@query("f10_quarantine_report", f"""WITH q AS (SELECT * FROM leases WHERE attempts >= 3 AND failed_at >= {T} - INTERVAL 24 HOUR)
+SELECT article_id, CAST(failed_at AS VARCHAR) AS failed_at, (SELECT count(*) FROM q) AS total FROM q ORDER BY q.failed_at DESC, article_id LIMIT 10""")
+def f10(v: Views):
+    return text(op.quarantine_report(v.leases).select("article_id", "failed_at", "total"), "failed_at")
+
+
+@query("f10_unquarantine", """SELECT article_id, CASE WHEN attempts >= 3 AND failed_at IS NOT NULL THEN 0 ELSE attempts END AS attempts, attempts >= 3 AND failed_at IS NOT NULL AS released FROM leases""")
+def f10b(v: Views):
+    return op.unquarantine(v.leases).select("article_id", "attempts", "released")
+
+
+@query("f11_embed_candidates", f"""WITH done AS (SELECT feed_id, count(*) AS done FROM articles WHERE embedded_at >= {T} - INTERVAL 24 HOUR GROUP BY 1),
+r AS (SELECT a.article_id, a.feed_id, a.published_at, a.content, 5 - coalesce(done, 0) AS room FROM articles a JOIN feeds f ON f.feed_id = a.feed_id AND f.active LEFT JOIN done d ON d.feed_id = a.feed_id
+  WHERE embedding IS NULL AND coalesce(body_len, 0) >= 250 AND published_at >= {T} - INTERVAL 30 DAY)
+SELECT article_id, feed_id, md5(substr(content, 1, 8000)) AS body, (SELECT count(*) FROM r) AS eligible FROM (
+  SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, article_id) AS n FROM r QUALIFY n <= room) ORDER BY published_at DESC, article_id LIMIT 40""")
+def f11(v: Views):
+    return op.embed_candidates(v.articles, v.feeds, per_day=5, max_rows=40).select("article_id", "feed_id", F.md5("body").alias("body"), "eligible")
+
+
+@query("f12_embed_inputs", """SELECT article_id, md5(trim(substr(content, 1, 30)) || CASE WHEN trim(substr(content, 31, 250)) <> '' THEN chr(10) || trim(substr(content, 31, 250)) ELSE '' END) AS input FROM articles WHERE trim(substr(content, 1, 30)) <> ''""")
+def f12(v: Views):
+    made = op.embed_input(F.substring("content", 1, 30), F.expr("substring(content, 31)"))
+    return v.articles.where(F.trim(F.substring("content", 1, 30)) != "").select("article_id", F.md5(made).alias("input"))
+
+
+@query("f13_backfill_candidates", "SELECT article_id FROM articles WHERE embedding IS NULL ORDER BY published_at DESC NULLS LAST, article_id LIMIT 50")
+def f13(v: Views):
+    return op.backfill_candidates(v.articles, 50).select("article_id")
+
+
+def sized(v: Views):
+    return v.documents.select(F.col("source").alias("queue"), F.col("doc_id").alias("id"), op.text_tokens(F.col("text")).alias("tokens"))
+
+
+@query("f14_token_batches", r"""WITH RECURSIVE t AS (SELECT source AS queue, doc_id AS id, CAST(ceil(CAST(0.4 AS DOUBLE) * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + CAST(1.5 AS DOUBLE) * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')))) AS BIGINT) AS tokens,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT queue, id, tokens, k, CAST(0 AS BIGINT) AS batch, tokens AS used, 1 AS n FROM t WHERE k = 1
+  UNION ALL SELECT t.queue, t.id, t.tokens, t.k, f.batch + CASE WHEN f.used + t.tokens > 3000 OR f.n + 1 > 128 THEN 1 ELSE 0 END,
+    CASE WHEN f.used + t.tokens > 3000 OR f.n + 1 > 128 THEN t.tokens ELSE f.used + t.tokens END, CASE WHEN f.used + t.tokens > 3000 OR f.n + 1 > 128 THEN 1 ELSE f.n + 1 END
+  FROM f JOIN t ON t.queue = f.queue AND t.k = f.k + 1)
+SELECT queue, id, tokens, batch FROM f""")
+def f14(v: Views):
+    return op.token_batches(sized(v))
+
+
+@query("f15_untagged", "SELECT article_id FROM articles a WHERE summary IS NOT NULL AND NOT EXISTS (SELECT 1 FROM article_tags t WHERE t.article_id = a.article_id AND t.tag LIKE 'tech/%')")
+def f15(v: Views):
+    return op.untagged(v.articles, v.article_tags.where("tag like 'tech/%'")).select("article_id")
+
+
+MARKED = """SELECT doc_id AS article_id, CASE WHEN doc_id % 15 = 0 THEN concat('{{"summary": ', substr(text, 1, 20)) WHEN doc_id % 31 = 0 THEN concat('```', substr(text, 1, 20)) ELSE substr(text, 1, 40) END AS summary FROM {documents}"""
+
+
+@query("f15_broken_annotations", f"""WITH m AS ({MARKED.replace('{documents}', 'documents').replace('{{', '{')}) SELECT article_id FROM m WHERE regexp_matches(summary, '"(summary|tags)"\\s*:|```')""")
+def f15b(v: Views):
+    return op.broken_annotations(v.sql(MARKED)).select("article_id")
+
+
+@query("f17_reset_annotations", """SELECT count(*) AS articles, count(summary) AS summaries, (SELECT count(*) FROM article_tags) AS tags FROM articles WHERE content IS NOT NULL""")
+def f17(v: Views):
+    return op.reset_annotations(v.articles, v.article_tags)
+
+
+@query("f18_apply_reannotations", """SELECT article_id, CASE WHEN (article_id % 4 = 0 OR summary IS NULL) AND article_id % 7 <> 0 THEN concat('n', CAST(article_id AS VARCHAR)) ELSE summary END AS summary,
+  CASE WHEN article_id % 7 = 0 THEN 'failed' WHEN article_id % 3 = 0 THEN 'tagged' ELSE 'empty' END AS outcome FROM articles WHERE article_id % 2 = 0""")
+def f18(v: Views):
+    made = v.documents.where("doc_id % 2 = 0").selectExpr(
+        "doc_id as article_id", "if(doc_id % 7 = 0, null, concat('n', cast(doc_id as string))) as summary_text", "doc_id % 4 = 0 as replaced", "if(doc_id % 3 = 0, array('t'), array()) as tags"
+    )
+    return op.apply_reannotations(v.articles, made)
+
+
+SOURCES = """SELECT page_id AS source_id, CASE page_id % 3 WHEN 0 THEN 'pending' ELSE 'approved' END AS status, concat('tech/', CAST(page_id % 8 AS STRING)) AS category, html AS body,
+  CASE WHEN page_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((page_id * 7) % 500 AS INT) END AS last_generated_at FROM {pages}"""
+
+
+@query("f19_rotate_sources", f"""WITH s AS ({SOURCES.replace('{pages}', 'pages')}) SELECT source_id, category FROM s WHERE status = 'approved' AND body IS NOT NULL ORDER BY last_generated_at NULLS FIRST, source_id LIMIT 15""")
+def f19(v: Views):
+    return op.rotate_sources(v.sql(SOURCES), 15).select("source_id", "category")
+
+
+ACTIVITY = f"""(SELECT count(*) FILTER (embedded_at >= {T} - INTERVAL 26 HOUR) AS embedded_recent, count(*) FILTER (embedding IS NULL AND body_len >= 250) AS embed_waiting FROM articles)"""
+
+
+@query("j2_activity_counts", f"SELECT * FROM {ACTIVITY}")
+def j2(v: Views):
+    return op.activity_counts(v.articles)
+
+
+@query("j1_run_guards", f"""WITH act AS {ACTIVITY}, m AS (SELECT *, (SELECT count(*) FROM articles WHERE summary IS NOT NULL AND published_at >= {T} - INTERVAL 72 HOUR) AS deck,
+  (SELECT count(*) FROM leases WHERE attempts >= 3 AND failed_at >= {T} - INTERVAL 24 HOUR) AS q FROM act)
+SELECT unnest(['embed_dead', 'embed_stalled', 'deck_starved', 'quarantine_surge', 'batch_stuck', 'all_failed', 'prune_stalled']) AS guard,
+  unnest([false, embedded_recent = 0 AND embed_waiting > 0, deck < 40, q > 5, false, false, false]) AS fails FROM m""")
+def j1(v: Views):
+    deck = v.articles.where(F.col("summary").isNotNull() & (F.col("published_at") >= at(NOW) - F.expr("interval 72 hours"))).agg(F.count("*").alias("deck_available"))
+    full = op.quarantine_report(v.leases, samples=1).select(F.col("total").alias("quarantined"))
+    metrics = op.activity_counts(v.articles).crossJoin(deck).join(full, F.lit(True), "left")
+    unknown = {c: F.lit(None).cast("long") for c in ("embed_attempted", "embed_succeeded", "oldest_round_hours", "annotated_attempted", "annotated", "prune_remaining")}
+    return op.run_guards(metrics.withColumns(unknown))
+
+
+@query("j3_refresh_cooldown", """SELECT user_id AS tenant, max(ts) > TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE AS skip FROM events GROUP BY 1""")
+def j3(v: Views):
+    return op.refresh_cooldown(v.events.select(F.col("user_id").alias("tenant"), "ts"), "2024-01-30 22:00:00").select("tenant", "skip")

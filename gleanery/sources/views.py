@@ -54,9 +54,9 @@ FROM {orders}""",
     "fetches": """SELECT feed_id, CASE WHEN idx % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * (idx * 6) END AS last_fetched_at, created_at,
   CASE WHEN idx % 3 = 0 THEN NULL ELSE 'timeout' END AS error, CAST(idx % 4 AS BIGINT) AS inserted, concat('Title ', feed_id) AS title FROM {feeds}""",
     "prefs": """SELECT tenant, kind, pref_key, weight FROM (
-  SELECT user_id AS tenant, 'tag' AS kind, concat('tech/', CAST(event_id % 8 AS STRING)) AS pref_key, sum(CASE event_type WHEN 'purchase' THEN 0.65 WHEN 'view' THEN 1.0 ELSE -1.1 END) AS weight
+  SELECT user_id AS tenant, 'tag' AS kind, concat('tech/', CAST(event_id % 8 AS STRING)) AS pref_key, sum(CAST(CASE event_type WHEN 'purchase' THEN 0.65 WHEN 'view' THEN 1.0 ELSE -1.1 END AS DOUBLE)) AS weight
   FROM {events} GROUP BY user_id, concat('tech/', CAST(event_id % 8 AS STRING))
-  UNION ALL SELECT user_id, 'source', concat('src', CAST(event_id % 20 AS STRING)), sum(CASE WHEN value >= 50 THEN 1.0 ELSE -1.1 END) FROM {events} GROUP BY user_id, concat('src', CAST(event_id % 20 AS STRING))) p""",
+  UNION ALL SELECT user_id, 'source', concat('src', CAST(event_id % 20 AS STRING)), sum(CAST(CASE WHEN value >= 50 THEN 1.0 ELSE -1.1 END AS DOUBLE)) FROM {events} GROUP BY user_id, concat('src', CAST(event_id % 20 AS STRING))) p""",
     "quotes": """SELECT b.item_id, b.text AS quote, coalesce(min(d.doc_id), b.item_id) AS source_doc, min(d.doc_id) IS NOT NULL AS verbatim
 FROM {benchmark} b LEFT JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id, b.text""",
     "vectors": """SELECT vec_id, embedding, CAST(label AS INT) AS grp, vec_id AS ord FROM {embeddings}""",
