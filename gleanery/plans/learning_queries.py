@@ -1 +1,187 @@
-"""Queries."""
+"""Queries of grounding, mastery and quiz sessions."""
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import learning as op
+from gleanery.plans.queue_queries import SOURCES
+from gleanery.plans.registry import query
+from gleanery.sources.views import Views
+
+NOW = "2024-01-31 00:00:00"
+T = f"TIMESTAMP '{NOW}'"
+NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+TOKENS = r"list_distinct(regexp_extract_all({}, '([a-z0-9]{{4,}}|[\x{{4E00}}-\x{{9FFF}}\x{{30A0}}-\x{{30FF}}]{{3,}})'))"
+GROUND = f"""g0 AS (SELECT item_id, {NORM.format('quote')} AS q, {NORM.format('d.text')} AS b, {NORM.format("substr(quote, 20, 60)")} AS t FROM quotes q LEFT JOIN documents d ON d.doc_id = q.source_doc),
+g1 AS (SELECT *, {TOKENS.format('q')} AS qt, {TOKENS.format('t')} AS tt FROM g0),
+g2 AS (SELECT item_id, CASE WHEN len(qt) = 0 OR len(tt) = 0 THEN 0.0 ELSE len(list_intersect(qt, tt)) / len(list_distinct(list_concat(qt, tt))) END AS overlap, q, b, qt FROM g1),
+gr AS (SELECT item_id, overlap, CASE WHEN length(q) < 24 THEN 'too_short' WHEN NOT contains(coalesce(b, ''), q) THEN 'not_verbatim' WHEN len(qt) = 0 THEN 'not_specific' WHEN overlap < 0.12 THEN 'low_overlap' ELSE 'pass' END AS reason FROM g2)"""
+
+
+def grounded(v: Views):
+    quotes = v.quotes.select("item_id", "quote", F.col("source_doc").alias("source"), F.substring("quote", 20, 60).alias("target"))
+    return op.ground_quotes(quotes, v.documents.select(F.col("doc_id").alias("source"), F.col("text").alias("body")))
+
+
+@query("g1_ground_quotes", f"WITH {GROUND} SELECT item_id, round(overlap, 6) AS overlap, reason FROM gr")
+def g1(v: Views):
+    return grounded(v).select("item_id", F.round("overlap", 6).alias("overlap"), "reason")
+
+
+@query("g2_grounding_report", f"WITH {GROUND} SELECT reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM gr), 6) AS share FROM gr GROUP BY 1")
+def g2(v: Views):
+    return op.grounding_report(grounded(v)).withColumn("share", F.round("share", 6))
+
+
+#: Model texts: turns as JSON, some in fences, some with prose around, some broken.
+MODEL_TEXT = """concat(CASE WHEN turn % 4 = 1 THEN '```json ' ELSE '' END, CASE WHEN turn % 4 = 2 THEN 'Here it is: ' ELSE '' END, {body}, CASE WHEN turn % 4 = 1 THEN ' ```' WHEN turn % 4 = 2 THEN ' Done.' ELSE '' END)"""
+CLEAN = "regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', ''{g})"
+
+
+def model_texts(v: Views, annotation: bool):
+    clean = CLEAN.format(g="")
+    if annotation:
+        body = f"""concat('{{"summary": "', {clean}, '", "tags": ["tech/', cast(conv_id % 12 as string), '", "tech/1", 5, "tech/1"]', if(turn % 4 = 3, '', '}}'))"""
+    else:
+        body = f"""concat('[{{"stem": "', {clean}, '", "choices": ["a", "b", "', if(conv_id % 5 = 0, '', 'c'), '", "d"], "answer": ', cast(conv_id % 6 as string), ', "quote": "q", "explanation": "e", "concept": "k", "difficulty": "', if(conv_id % 2 = 0, 'hard', 'odd'), '"}}]')"""
+    return v.conversations.selectExpr("conv_id * 1000 + turn as id", "conv_id", "turn", f"{MODEL_TEXT.format(body=body)} as text")
+
+
+@query("f16_land_annotations", f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, trim({CLEAN.format(g=", 'g'")}) AS s, conv_id % 12 AS k, turn FROM conversations)
+SELECT id, CASE WHEN turn % 4 = 3 OR s = '' THEN NULL ELSE s END AS summary, CASE WHEN turn % 4 = 3 THEN '' WHEN k < 8 AND k <> 1 THEN concat('tech/', k, ',tech/1') ELSE 'tech/1' END AS tags,
+  CASE WHEN turn % 4 = 3 OR s = '' THEN 'failed' ELSE 'landed' END AS outcome FROM a""")
+def f16(v: Views):
+    vocabulary = v.article_tags.select("tag").where("tag like 'tech/%'").distinct()
+    return op.land_annotations(model_texts(v, True), vocabulary).withColumn("tags", F.concat_ws(",", "tags"))
+
+
+@query("g3_land_candidates", f"""SELECT conv_id * 1000 + turn AS id, {CLEAN.format(g=", 'g'")} AS stem, CAST(conv_id % 6 AS INT) AS answer, CASE WHEN conv_id % 2 = 0 THEN 'hard' ELSE 'medium' END AS difficulty
+FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 6 <= 3 AND trim({CLEAN.format(g=", 'g'")}) <> ''""")
+def g3(v: Views):
+    return op.land_candidates(model_texts(v, False)).select("id", "stem", "answer", "difficulty")
+
+
+@query("g4_gate_candidates", f"""WITH {GROUND} SELECT item_id % 5 AS source, item_id, concat('topic-', item_id) AS slug FROM gr WHERE reason = 'pass' QUALIFY row_number() OVER (PARTITION BY item_id % 5 ORDER BY item_id) <= 2""")
+def g4(v: Views):
+    rows = grounded(v).withColumns({"source": F.col("item_id") % 5, "pos": F.col("item_id"), "concept": F.concat(F.lit(" Topic: "), F.col("item_id").cast("string"))})
+    return op.gate_candidates(rows, 2).select("source", "item_id", "slug")
+
+
+@query("g5_card_targets", """WITH last AS (SELECT tenant, article_id, arg_max(action, event_id) AS action FROM feedback GROUP BY 1, 2)
+SELECT l.tenant, l.article_id, row_number() OVER (PARTITION BY l.tenant ORDER BY published_at DESC NULLS LAST, l.article_id) AS place FROM last l JOIN articles a ON a.article_id = l.article_id
+WHERE action = 'useful' AND summary IS NOT NULL AND l.article_id % 17 <> 0 QUALIFY place <= 10""")
+def g5(v: Views):
+    cards = v.documents.where("doc_id % 17 = 0").select(F.col("doc_id").alias("article_id"))
+    return op.card_targets(v.feedback, v.articles, cards).withColumn("place", F.col("place").cast("long"))
+
+
+@query("g6_source_prompts", """SELECT source_ref, question_id, concat('stem ', CAST(question_id AS VARCHAR)) AS stem FROM questions WHERE status = 'active' AND source_ref IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY source_ref ORDER BY question_id DESC) <= 30""")
+def g6(v: Views):
+    return op.source_prompts(v.questions.withColumn("stem", F.concat(F.lit("stem "), F.col("question_id").cast("string"))))
+
+
+@query("g7_body_windows")
+def g7(v: Views):
+    return op.body_windows(v.documents.select(F.col("doc_id").alias("source_id"), "text"), 500, 7)
+
+
+ALPHA = """CAST(CASE difficulty WHEN 'easy' THEN CASE WHEN is_correct THEN 0.15 ELSE 0.35 END WHEN 'medium' THEN 0.25 ELSE CASE WHEN is_correct THEN 0.35 ELSE 0.15 END END AS DOUBLE)"""
+FOLD = f"""att AS (SELECT *, {ALPHA} AS al, row_number() OVER (PARTITION BY tenant, concept_key ORDER BY created_at, attempt_id) AS k FROM attempts),
+fold(tenant, concept_key, k, m) AS (SELECT tenant, concept_key, k, CAST(0.3 AS DOUBLE) + al * (is_correct::INT - CAST(0.3 AS DOUBLE)) FROM att WHERE k = 1
+  UNION ALL SELECT a.tenant, a.concept_key, a.k, f.m + a.al * (a.is_correct::INT - f.m) FROM fold f JOIN att a ON a.tenant = f.tenant AND a.concept_key = f.concept_key AND a.k = f.k + 1),
+mas AS (SELECT tenant, concept_key, arg_max(m, k) AS mastery, max(k) AS attempts FROM fold GROUP BY 1, 2)"""
+
+
+@query("g8_mastery_fold", f"WITH RECURSIVE {FOLD} SELECT tenant, concept_key, round(mastery, 6) AS mastery, attempts FROM mas")
+def g8(v: Views):
+    return op.mastery_fold(v.attempts).select("tenant", "concept_key", F.round("mastery", 6).alias("mastery"), "attempts")
+
+
+@query("g9_mastery_replay", f"""WITH RECURSIVE sc AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale), att AS (SELECT *, {ALPHA} * scale AS al, row_number() OVER (PARTITION BY scale, tenant, concept_key ORDER BY created_at, attempt_id) AS k FROM attempts CROSS JOIN sc),
+fold(scale, tenant, concept_key, k, m) AS (SELECT scale, tenant, concept_key, k, CAST(0.3 AS DOUBLE) + al * (is_correct::INT - CAST(0.3 AS DOUBLE)) FROM att WHERE k = 1
+  UNION ALL SELECT a.scale, a.tenant, a.concept_key, a.k, f.m + a.al * (a.is_correct::INT - f.m) FROM fold f JOIN att a ON a.scale = f.scale AND a.tenant = f.tenant AND a.concept_key = f.concept_key AND a.k = f.k + 1),
+mas AS (SELECT scale, tenant, concept_key, arg_max(m, k) AS m FROM fold GROUP BY 1, 2, 3)
+SELECT scale, round(avg(m), 6) AS mean, round(list_sort(list(m))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS median, count(*) FILTER (m < 0.3) AS low, count(*) FILTER (m >= 0.7) AS high FROM mas GROUP BY 1""")
+def g9(v: Views):
+    return op.mastery_replay(v.attempts).withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("g10_mastery_drift", f"""WITH RECURSIVE {FOLD} SELECT coalesce(tenant, -1) AS tenant, concept_key, CASE WHEN tenant % 7 = 0 THEN 'missing' WHEN attempts % 3 = 0 THEN 'differs' ELSE 'matched' END AS state FROM mas
+UNION ALL SELECT -1, concept_key, 'orphan' FROM (SELECT DISTINCT concept_key FROM questions)""")
+def g10(v: Views):
+    replayed = op.mastery_fold(v.attempts)
+    stored = replayed.where("tenant % 7 <> 0").select("tenant", "concept_key", (F.col("mastery") + F.when(F.col("attempts") % 3 == 0, 0.1).otherwise(0.001)).alias("mastery"), "attempts")
+    orphans = v.questions.select(F.lit(-1).cast("long").alias("tenant"), "concept_key", F.lit(0.5).alias("mastery"), F.lit(1).cast("long").alias("attempts")).distinct()
+    return op.mastery_drift(replayed, stored.union(orphans)).select("tenant", "concept_key", "state")
+
+
+@query("g11_category_mastery", f"""WITH RECURSIVE {FOLD}, con AS (SELECT DISTINCT concept_key, category FROM questions WHERE category LIKE 'tech/%'),
+ro AS (SELECT tenant, category, m.concept_key, mastery, row_number() OVER (PARTITION BY tenant, category ORDER BY round(mastery, 9), m.concept_key) AS n FROM mas m JOIN con ON con.concept_key = m.concept_key)
+SELECT tenant, category, round(avg(mastery), 6) AS mean, count(*) AS concepts, string_agg(concept_key, ',' ORDER BY n) FILTER (n <= 3) AS weakest FROM ro GROUP BY 1, 2""")
+def g11(v: Views):
+    m = op.mastery_fold(v.attempts).withColumn("mastery", F.round("mastery", 9))
+    return op.category_mastery(m, v.questions).withColumn("mean", F.round("mean", 6))
+
+
+POOL = f"""SELECT t.tenant, q.question_id, q.concept_key, q.difficulty FROM (SELECT DISTINCT tenant FROM {{attempts}}) t CROSS JOIN {{questions}} q WHERE q.status = 'active' AND NOT q.dup_flag"""
+SERVED = f"""SELECT user_id AS tenant, concat('c', CAST(event_id % 60 % 25 AS STRING)) AS concept_key, CAST(0.5 + (user_id % 5) * 0.1 - 0.3 AS DOUBLE) AS mastery, count(*) AS attempts, max(ts) AS last_served_at FROM {{events}} WHERE event_id % 60 % 25 < 12
+GROUP BY user_id, concat('c', CAST(event_id % 60 % 25 AS STRING))"""
+PRIORITY = f"""pl AS ({POOL.replace('{', '').replace('}', '')}), sv AS ({SERVED.replace('{', '').replace('}', '')}),
+pr AS (SELECT pl.*, coalesce(mastery, 0.3) AS m, CASE WHEN last_served_at IS NULL THEN 1.0 ELSE 0.05 + 0.95 * least(1.0, (epoch_us({T}) - epoch_us(last_served_at)) / 86400000000.0 / 14) END AS rest
+  FROM pl LEFT JOIN sv ON sv.tenant = pl.tenant AND sv.concept_key = pl.concept_key),
+ps AS (SELECT *, CAST(greatest(1 - m, 0.1) * rest * CASE abs(CASE WHEN m < 0.4 THEN 0 WHEN m < 0.7 THEN 1 ELSE 2 END - CASE difficulty WHEN 'easy' THEN 0 WHEN 'hard' THEN 2 ELSE 1 END) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.15 END AS DOUBLE) AS priority FROM pr)"""
+
+
+@query("g12_score_questions", f"WITH {PRIORITY} SELECT tenant, question_id, round(priority, 6) AS priority FROM ps")
+def g12(v: Views):
+    return op.score_questions(v.sql(POOL), v.sql(SERVED), NOW).select("tenant", "question_id", F.round("priority", 6).alias("priority"))
+
+
+@query("g13_select_session", f"""WITH {PRIORITY}, la AS (SELECT tenant, question_id, arg_max(is_correct, attempt_id) AS ok, max(created_at) AS at FROM attempts GROUP BY 1, 2),
+fr AS (SELECT ps.tenant, ps.question_id, ps.concept_key, round(priority, 9) AS p FROM ps LEFT JOIN la ON la.tenant = ps.tenant AND la.question_id = ps.question_id
+  WHERE la.at IS NULL OR (epoch_us({T}) - epoch_us(la.at)) / 86400000000.0 >= CASE WHEN ok THEN 14 ELSE 4 END),
+be AS (SELECT *, row_number() OVER (PARTITION BY tenant, concept_key ORDER BY p DESC, question_id) AS b FROM fr)
+SELECT tenant, question_id, row_number() OVER (PARTITION BY tenant ORDER BY b > 1, p DESC, question_id) AS place FROM be QUALIFY place <= 5""")
+def g13(v: Views):
+    return op.select_session(v.sql(POOL), v.attempts, v.sql(SERVED), NOW).withColumn("place", F.col("place").cast("long"))
+
+
+@query("g14_mark_served", f"""WITH sv AS ({SERVED.replace('{', '').replace('}', '')}), hit AS (SELECT DISTINCT tenant, concept_key FROM attempts WHERE tenant % 2 = 0)
+SELECT coalesce(s.tenant, h.tenant) AS tenant, coalesce(s.concept_key, h.concept_key) AS concept_key, round(coalesce(mastery, 0.3), 6) AS mastery, coalesce(attempts, 0) AS attempts,
+  CAST(CASE WHEN h.tenant IS NOT NULL THEN {T} ELSE last_served_at END AS VARCHAR) AS last_served_at FROM sv s FULL JOIN hit h ON h.tenant = s.tenant AND h.concept_key = s.concept_key""")
+def g14(v: Views):
+    out = op.mark_served(v.sql(SERVED), v.attempts.where("tenant % 2 = 0"), NOW)
+    return out.withColumns({"mastery": F.round("mastery", 6), "last_served_at": F.col("last_served_at").cast("string")})
+
+
+@query("g15_pool_deficit", f"""WITH so AS ({SOURCES.replace('{pages}', 'pages')}), li AS (SELECT * FROM questions WHERE status = 'active' AND NOT dup_flag),
+gd AS (SELECT * FROM (SELECT DISTINCT tenant FROM attempts) CROSS JOIN (SELECT DISTINCT category FROM so WHERE status = 'approved')),
+un AS (SELECT g.tenant, g.category, coalesce(size, 0) - coalesce(seen, 0) AS unseen FROM gd g LEFT JOIN (SELECT category, count(*) AS size FROM li GROUP BY 1) s ON s.category = g.category
+  LEFT JOIN (SELECT tenant, category, count(DISTINCT a.question_id) AS seen FROM attempts a JOIN li ON li.question_id = a.question_id GROUP BY 1, 2) n ON n.tenant = g.tenant AND n.category = g.category),
+de AS (SELECT *, greatest(0, 6 - unseen) AS deficit FROM un),
+al AS (SELECT *, coalesce(sum(deficit) OVER (PARTITION BY tenant ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM de)
+SELECT tenant, category, unseen, deficit, CAST(greatest(0, least(deficit, 24 - before)) AS BIGINT) AS allocated FROM al""")
+def g15(v: Views):
+    return op.pool_deficit(v.attempts.select("tenant").distinct(), v.questions, v.attempts, v.sql(SOURCES))
+
+
+@query("g16_retire_orphans", "SELECT question_id FROM questions WHERE status = 'active' AND (source_ref IS NULL OR source_ref NOT IN (SELECT page_id FROM pages WHERE page_id % 3 <> 0))")
+def g16(v: Views):
+    return op.retire_orphans(v.questions, v.pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("source_id"))).select("question_id")
+
+
+@query("g17_answer_positions", "SELECT answer_index, count(*) AS n, round(pow(count(*) - (SELECT count(*) FROM questions) / 4, 2) / ((SELECT count(*) FROM questions) / 4), 6) AS chi2 FROM questions GROUP BY 1")
+def g17(v: Views):
+    return op.answer_positions(v.questions).withColumn("chi2", F.round("chi2", 6))
+
+
+@query("g17_shuffled_positions")
+def g17b(v: Views):
+    rows = v.questions.withColumn("choices", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")))
+    return op.answer_positions(op.shuffle_choices(rows, 3))
+
+
+@query("g18_grade_answers", """SELECT user_id AS tenant, event_id, q.question_id, q.concept_key, CAST(event_id % 5 AS INT) = answer_index AS is_correct FROM events JOIN questions q ON q.question_id = event_id % 70 WHERE event_id % 5 <= 3""")
+def g18(v: Views):
+    sent = v.events.selectExpr("event_id", "user_id as tenant", "event_id % 70 as question_id", "cast(event_id % 5 as int) as chosen")
+    return op.grade_answers(sent, v.questions).select("tenant", "event_id", "question_id", "concept_key", "is_correct")

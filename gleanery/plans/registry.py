@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.sources.package import ship_package
 from gleanery.sources.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,11 @@ def query(name: str, sql: str | None = None):
     """Register a function of Views as the query `name`, with its SQL for DuckDB."""
 
     def register(make: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: make(Views(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return make(Views(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = with_views(sql)
         return make
