@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.sources.package import ship_package  # noqa: F401
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under `spark.checkpoint.dir`. Where that is unset (local runs, tests), a
@@ -26,17 +27,3 @@ def materialise(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gleanery_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / "gleanery_package.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._gleanery_shipped = True
