@@ -1 +1,107 @@
-"""Queries."""
+"""Queries of urls, links and discovery."""
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import discovery as op
+from gleanery.plans.registry import query
+from gleanery.sources.views import Views
+
+TRACK = ", ".join(f"'{t}'" for t in op.TRACKING)
+HOST = r"lower(regexp_extract({}, '^(?:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1, 'i'))"
+CANON = rf"""cu AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+cp AS (SELECT page_id, lower(regexp_extract(bare, '^(https?)://', 1, 'i')) AS scheme, regexp_replace({HOST.format('bare')}, '^www\.', '') AS host,
+  regexp_replace(regexp_extract(bare, '^https?://[^/?#]+([^?]*)', 1, 'i'), '/+$', '') AS path,
+  array_to_string(list_transform(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({TRACK}))), lambda p: p), '&') AS params FROM cu),
+ca AS (SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params = '' THEN '' ELSE '?' || params END AS canonical FROM cp WHERE scheme <> '' AND host <> '')"""
+
+
+@query("h1_canonical_url_groups", f"WITH {CANON} SELECT canonical, min(page_id) AS page_id, count(*) AS n FROM ca GROUP BY 1")
+def h1(v: Views):
+    return op.canonical_url_groups(v.pages)
+
+
+#: Pages, some of which stand at local or private hosts.
+PLACED = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'http://localhost/x' WHEN 1 THEN concat('http://10.0.0.', CAST(page_id % 200 AS STRING), '/a') WHEN 2 THEN 'ftp://a.example.com/' WHEN 3 THEN 'http://100.64.1.1/' WHEN 4 THEN 'http://8.8.8.8/' ELSE url END AS url FROM {pages}"""
+
+
+@query("h2_split_admissible", """SELECT CASE page_id % 9 WHEN 0 THEN 'local' WHEN 2 THEN 'not http' ELSE 'private address' END AS reason, count(*) AS n FROM pages WHERE page_id % 9 IN (0, 1, 2, 3) GROUP BY 1
+UNION ALL SELECT 'admitted', count(*) FROM pages WHERE page_id % 9 NOT IN (0, 1, 2, 3)""")
+def h2(v: Views):
+    admitted, rejected = op.split_admissible(v.sql(PLACED))
+    return rejected.union(admitted.agg(F.lit("admitted").alias("reason"), F.count("*").alias("n")))
+
+
+DOMAIN = r"regexp_extract({}, '([^.]+\.[^.]+)$', 1)"
+
+
+@query("h3_domain_rollup", f"WITH h AS (SELECT {HOST.format('url')} AS host FROM pages) SELECT {DOMAIN.format('host')} AS domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM h GROUP BY 1")
+def h3(v: Views):
+    return op.domain_rollup(v.pages)
+
+
+@query("h4_outbound_links", r"""WITH a AS (SELECT page_id, url AS source_url, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1, 'is')) AS href FROM pages)
+SELECT page_id, source_url, regexp_extract(source_url, '^(https?://[^/?#]+)', 1, 'i') || href AS target_url, count(*) AS n FROM a WHERE href LIKE '/%' AND href NOT LIKE '//%' GROUP BY ALL""")
+def h4(v: Views):
+    return op.outbound_links(v.pages).groupBy("page_id", "source_url", "target_url").agg(F.count("*").alias("n"))
+
+
+EVIDENCE = f"""hl AS (SELECT {HOST.format('source_url')} AS from_host, {HOST.format('target_url')} AS host, target_url, page_id FROM links),
+dl AS (SELECT *, {DOMAIN.format('from_host')} AS source, {DOMAIN.format('host')} AS domain FROM hl),
+kn AS (SELECT DISTINCT {DOMAIN.format(HOST.format('url'))} AS domain FROM pages WHERE page_id = 0),
+kl AS (SELECT * FROM dl WHERE source <> domain AND domain NOT IN (SELECT domain FROM kn)),
+mh AS (SELECT domain, host FROM (SELECT domain, host, count(*) AS n FROM kl GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY host NOT LIKE 'blog.%', n DESC, length(host), host) = 1),
+ev AS (SELECT kl.domain, count(DISTINCT source) AS sources, count(*) AS links, bool_or(kl.host LIKE 'blog.%') AS blog_host, bool_or(regexp_matches(lower(target_url), '/(blog|posts?|articles?)(/|$)')) AS blog_path,
+  min(page_id) AS origin, any_value(mh.host) AS main_host FROM kl JOIN mh ON mh.domain = kl.domain GROUP BY 1),
+ga AS (SELECT *, CAST(blog_host::INT + blog_path::INT AS INT) AS blog_score, sources >= 2 OR blog_host::INT + blog_path::INT >= 2 AS passes FROM ev)"""
+
+
+def evidence(v: Views):
+    known = v.pages.where("page_id = 0").select(op.registrable(op.host_of(F.col("url"))).alias("domain"))
+    return op.domain_evidence(v.links, known)
+
+
+@query("h5_domain_evidence", f"WITH {EVIDENCE} SELECT * FROM ev")
+def h5(v: Views):
+    return evidence(v)
+
+
+@query("h6_gate_domains", f"WITH {EVIDENCE} SELECT count(*) AS examined, count(*) FILTER (passes) AS passed, count(*) FILTER (sources = 0) AS no_source, count(*) FILTER (NOT passes AND sources > 0) AS low_signal, count(*) FILTER (passes AND sources < 2) AS blog_escapes FROM ga")
+def h6(v: Views):
+    return op.gate_stats(op.gate_domains(evidence(v)))
+
+
+@query("h7_rank_sites", f"""WITH {EVIDENCE} SELECT domain, concat('https://', main_host) AS site, 3 * sources + blog_score AS rank_score, concat('article-links:', sources, 'src') AS discovered_from FROM ga WHERE passes
+ORDER BY rank_score DESC, sources DESC, domain LIMIT 40""")
+def h7(v: Views):
+    return op.rank_sites(op.gate_domains(evidence(v)))
+
+
+FOUND = """SELECT concat('d', CAST(page_id % 60 AS STRING)) AS domain, concat('https://f', CAST(page_id % 90 AS STRING), '.example.org/feed') AS url, page_id AS pos FROM {pages}"""
+
+
+@query("h8_land_discovered", f"""WITH f AS ({FOUND.replace('{pages}', 'pages')}), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY pos, url) = 1),
+m AS (SELECT *, TRY_CAST(regexp_extract(url, 'f(\\d+)\\.', 1) AS INT) AS k FROM o)
+SELECT domain, url, CASE WHEN k % 5 = 0 THEN 'existing' WHEN k % 7 = 0 THEN 'candidate' ELSE 'inserted' END AS outcome, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN -0.3::DOUBLE END AS credibility FROM m""")
+def h8(v: Views):
+    found = v.sql(FOUND)
+    k = F.regexp_extract("url", r"f(\d+)\.", 1).cast("int")
+    urls = found.select("url").distinct()
+    return op.land_discovered(found, urls.where(k % 5 == 0), urls.where(k % 7 == 0))
+
+
+@query("h9_feed_links", f"""SELECT page_id, i - 1 AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i') || '/' || ([{', '.join(f"'{p}'" for p in op.SUB_PATHS)}])[i] AS feed_url FROM pages CROSS JOIN (SELECT unnest(range(1, {len(op.SUB_PATHS) + 1})) AS i)""")
+def h9(v: Views):
+    return op.feed_links(v.pages).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("h10_merge_search_hits", """SELECT concat('t', CAST(min(page_id % 4) AS VARCHAR)) AS theme, 'https://s.example/' || page_id % 50 AS url FROM pages WHERE page_id % 3 <> 0 AND page_id % 6 <> 1 GROUP BY page_id % 50""")
+def h10(v: Views):
+    rows = v.pages.selectExpr("concat('t', cast(page_id % 4 as string)) as theme", "page_id % 4 as theme_pos", "concat('https://s.example/', cast(page_id % 50 as string)) as url", "page_id")
+    kept = rows.where("page_id % 3 <> 0 and page_id % 6 <> 1")
+    return op.merge_search_hits(kept.select("theme", "url"), kept.select("theme", "theme_pos", "url"))
+
+
+@query("g19_validate_learn_sources")
+def g19(v: Views):
+    proposals = v.pages.selectExpr("page_id % 40 as batch", "page_id as pos", "url", "html")
+    return op.validate_learn_sources(proposals, v.pages.where("page_id % 8 = 0").select(op.canonical_url(F.col("url")).alias("key")), chars=1500)

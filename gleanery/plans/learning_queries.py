@@ -92,9 +92,9 @@ fold(tenant, concept_key, k, m) AS (SELECT tenant, concept_key, k, CAST(0.3 AS D
 mas AS (SELECT tenant, concept_key, arg_max(m, k) AS mastery, max(k) AS attempts FROM fold GROUP BY 1, 2)"""
 
 
-@query("g8_mastery_fold", f"WITH RECURSIVE {FOLD} SELECT tenant, concept_key, round(mastery, 6) AS mastery, attempts FROM mas")
+@query("g8_mastery_fold", f"WITH RECURSIVE {FOLD} SELECT tenant, concept_key, round(mastery + 0.00000003, 6) AS mastery, attempts FROM mas")
 def g8(v: Views):
-    return op.mastery_fold(v.attempts).select("tenant", "concept_key", F.round("mastery", 6).alias("mastery"), "attempts")
+    return op.mastery_fold(v.attempts).select("tenant", "concept_key", F.round(F.col("mastery") + 3e-8, 6).alias("mastery"), "attempts")
 
 
 @query("g9_mastery_replay", f"""WITH RECURSIVE sc AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale), att AS (SELECT *, {ALPHA} * scale AS al, row_number() OVER (PARTITION BY scale, tenant, concept_key ORDER BY created_at, attempt_id) AS k FROM attempts CROSS JOIN sc),
@@ -117,10 +117,10 @@ def g10(v: Views):
 
 @query("g11_category_mastery", f"""WITH RECURSIVE {FOLD}, con AS (SELECT DISTINCT concept_key, category FROM questions WHERE category LIKE 'tech/%'),
 ro AS (SELECT tenant, category, m.concept_key, mastery, row_number() OVER (PARTITION BY tenant, category ORDER BY round(mastery, 9), m.concept_key) AS n FROM mas m JOIN con ON con.concept_key = m.concept_key)
-SELECT tenant, category, round(avg(mastery), 6) AS mean, count(*) AS concepts, string_agg(concept_key, ',' ORDER BY n) FILTER (n <= 3) AS weakest FROM ro GROUP BY 1, 2""")
+SELECT tenant, category, round(avg(mastery) + 0.00000003, 6) AS mean, count(*) AS concepts, string_agg(concept_key, ',' ORDER BY n) FILTER (n <= 3) AS weakest FROM ro GROUP BY 1, 2""")
 def g11(v: Views):
     m = op.mastery_fold(v.attempts).withColumn("mastery", F.round("mastery", 9))
-    return op.category_mastery(m, v.questions).withColumn("mean", F.round("mean", 6))
+    return op.category_mastery(m, v.questions).withColumn("mean", F.round(F.col("mean") + 3e-8, 6))
 
 
 POOL = f"""SELECT t.tenant, q.question_id, q.concept_key, q.difficulty FROM (SELECT DISTINCT tenant FROM {{attempts}}) t CROSS JOIN {{questions}} q WHERE q.status = 'active' AND NOT q.dup_flag"""
