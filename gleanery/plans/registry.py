@@ -30,5 +30,5 @@ def query(name: str, sql: str | None = None):
 
 
 from gleanery.plans import (  # noqa: E402, F401
-    discovery_queries, health_queries, landing_queries, learning_queries, queue_queries, ranking_queries, vector_queries,
+    discovery_queries, health_queries, landing_queries, learning_queries, queue_queries, ranking_queries, streaming_queries, vector_queries,
 )
