@@ -327,7 +327,7 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     per = known.groupBy("cluster").agg(
         F.count("*").alias("n"), F.max_by("set_id", F.struct("degree", "set_id")).alias("centre")
     ).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks"))
+    members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
     members = members.select("set_id", "doc_id", "cluster", "blocks", "part", "degree", (F.col("set_id") == F.col("centre")).alias("is_centre"))
     members = materialise(member_sets(members, docs, width))
     block = F.xxhash64("cluster", "part").alias("block")
