@@ -29,7 +29,7 @@ from gleanery.llm.tokens import piece_tokenizer
 
 MAGIC, SEGMENT, RANK_BITS = b"GLDAC1", 1 << 18, 512
 #: Bytes of text tokenised at once.
-TOKEN_CHUNK = 2 << 20
+TOKEN_CHUNK = 1 << 20
 
 
 def level_widths(ids: np.ndarray) -> list[int]:

@@ -200,6 +200,14 @@ class DivideSkip:
         first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else merged
         at, n = merged[first], np.diff(np.append(first, len(merged)))
         at, n = at[n >= need], n[n >= need]
+        if 4 * len(at) < len(long):  # fewer candidates than long lists: probe the candidates' sets
+            out = []
+            for c in at.tolist():
+                have = self.sets[c]
+                shared = int(np.count_nonzero(have[np.minimum(np.searchsorted(have, query), len(have) - 1)] == query))
+                if shared >= least:
+                    out.append((c, shared))
+            return out
         for k, postings in enumerate(long):
             if not len(at):
                 break

@@ -8,7 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.sources.package import ship_package  # noqa: F401
+from gleanery.sources import package
+
+#: Rows of an Arrow batch of texts: 10,000 whole documents would be much for a worker.
+BATCH_ROWS = 1000
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, and set batches to BATCH_ROWS where they are at the default."""
+    package.ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ from gleanery.llm.arrays import lower, slice_hashes
 
 #: Pieces whose ids a worker remembers (about 40 bytes each) before it starts anew, and the
 #: longest such piece in bytes.
-REMEMBERED, SHORT = 2_000_000, 64
+REMEMBERED, SHORT = 1_000_000, 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
