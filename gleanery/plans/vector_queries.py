@@ -44,7 +44,7 @@ def d2(v: Views):
 
 @query("d3_qa_context", rf"""WITH {MATCHES}, ci AS (SELECT query_id, vec_id FROM ma WHERE query_id % 100 = 0 AND place <= 2)
 SELECT m.query_id, m.vec_id, m.place, trim(regexp_replace(regexp_replace(summary, '[<>\[\]`*#]', ' ', 'g'), '\s+', ' ', 'g')) AS passage,
-  c.vec_id IS NOT NULL OR m.query_id % 100 <> 0 AS source FROM ma m JOIN articles a ON a.article_id = m.vec_id LEFT JOIN ci c ON c.query_id = m.query_id AND c.vec_id = m.vec_id""")
+  c.vec_id IS NOT NULL OR NOT bool_or(c.vec_id IS NOT NULL) OVER (PARTITION BY m.query_id) AS source FROM ma m JOIN articles a ON a.article_id = m.vec_id LEFT JOIN ci c ON c.query_id = m.query_id AND c.vec_id = m.vec_id""")
 def d3(v: Views):
     found = op.knn_search(v.embeddings, asked(v), threshold=0.3)
     cited = found.where("query_id % 100 = 0 and place <= 2").select("query_id", "vec_id")
