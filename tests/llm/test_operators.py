@@ -1,0 +1,342 @@
+"""The training-data operators against brute force, and on nulls, ties and odd tables."""
+
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from gleanery.llm import arrays, dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, substrings, toxicity
+from gleanery.llm.components import connected_components
+from gleanery.llm.scratch import ship_package
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+
+
+def text(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 6))) for _ in range(n))
+
+
+def documents():
+    base = text(1, 150)
+    near = base.split()
+    near[75] = "other"
+    passage = text(2, 60)
+    texts = [base, base, " ".join(near), None, "", " \n\t", "One", "one two", "ONE two", "the " * 300, text(3, 40) + " " + passage + " " + text(4, 30), text(5, 20) + " " + passage, text(6, 5000), "Éa　b  c", "!!! ..."]
+    rows = [(i, t, ["en", "de", None][i % 3], "s", len(t or "")) for i, t in enumerate(texts)]
+    return [*rows, rows[0], (None, "lost row of words", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship_package(spark)
+    return spark.createDataFrame(documents(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_words_and_windows_equal_regular_expressions():
+    texts = [t for _, t, *_ in documents()]
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": pa.array(texts)})
+    for size in (10, 1 << 20):
+        got = []
+        for _, data, offsets in arrays.text_chunks([batch], max_bytes=size):
+            low = arrays.lower(data)
+            starts, ends, first = arrays.find_words(low, offsets, arrays.BLANK_WORDS)
+            found = [low[s:e].tobytes().decode() for s, e in zip(starts, ends)]
+            got += [found[a:b] for a, b in zip(first[:-1], first[1:])]
+        assert got == [words_of(t) for t in texts]
+
+
+def test_components(spark):
+    pairs = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 1), (7, 6), (6, 9), (2, 1)]
+    out = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r.node: r.component for r in out} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def jaccard(width, percent):
+    rows = [(d, t) for d, t, *_ in documents()]
+    sets = []
+    for _, t in rows:
+        w = words_of(t)
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    least = {p: min((rows[k][0] for k in range(len(rows)) if part[k] == p and rows[k][0] is not None), default=None) for p in part}
+    return sorted((str(rows[k][0]), len(sets[k]), least[part[k]]) for k in range(len(rows)))
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_jaccard_components(docs, empty, width, percent):
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in overlap.jaccard_components(docs, width, percent).collect())
+    assert got == jaccard(width, percent)
+    assert overlap.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Clusters of several blocks give the components of all pairs."""
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    base = text(9, 120).split()
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in rng.choice(120, rng.integers(1, 6), replace=False):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in overlap.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for _, t in rows]
+    part = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = sorted((part[i], part[j]))
+                part = [a if p == b else p for p in part]
+    least = {p: part.index(p) for p in part}
+    assert got == {i: least[part[i]] for i in range(40)}
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
+    index = overlap.DivideSkip(sets)
+    for q in sets[:20]:
+        for least in (1, 5, 20):
+            want = [(i, len(np.intersect1d(q, s))) for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= least]
+            assert index.search(q, least) == want
+
+
+def test_compact_windows_equal_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(25):
+        n, m, length = int(rng.integers(0, 50)), int(rng.integers(0, 30)), int(rng.integers(1, 9))
+        h, want = rng.integers(0, 25, n + m).astype(np.uint64), set()
+        for a, b in ((0, n), (n, n + m)):
+            for i in range(a, b):
+                for j in range(i + length - 1, b):
+                    c = lo = hi = i + int(np.argmin(h[i : j + 1]))
+                    while lo > a and h[lo - 1] > h[c]:
+                        lo -= 1
+                    while hi < b - 1 and h[hi + 1] >= h[c]:
+                        hi += 1
+                    want.add((lo, c, hi))
+        assert sorted(zip(*(x.tolist() for x in substrings.compact_windows(h, np.array([0, n, n + m]), length)))) == sorted(want)
+
+
+def test_repeated_passages(docs, empty):
+    found = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(docs).collect()}
+    assert {(1, 0), (2, 0), (11, 10)} <= found and {a for a, _ in found} <= {1, 2, 11}
+    assert substrings.repeated_passages(empty).count() == 0
+    left = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert 1 not in left and left[10].text == documents()[10][1] and words_of(left[11].text) == text(5, 20).split()
+    assert left[11].n_chars == len(left[11].text) and substrings.remove_repeats(docs).columns == docs.columns
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame([(1, " ".join(text(2, 60).upper().split()[10:40])), (2, "one TWO"), (3, None), (4, ""), (None, "x"), (5, "zz zz")], "item_id long, text string")
+    rows = {(r.doc_id, r.text): r for r in decontaminate.mark_contamination(docs, bench).collect()}
+    by = {d: r for (d, _), r in rows.items()}
+    assert (by[10].n_hit, by[10].hit_items, by[10].contaminated) == (30, ["1"], True)
+    assert by[7].hit_items == by[8].hit_items == ["2"] and not by[3].contaminated and by[3].n_words == 0 and by[12].n_hit == 0
+    assert decontaminate.mark_contamination(empty, bench).count() == 0
+    assert decontaminate.mark_contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+    kept = decontaminate.remove_contamination(docs, bench)
+    assert kept.columns == docs.columns and not {7, 8, 10, 11} & {r.doc_id for r in kept.collect()}
+    cut = {r.doc_id: r.text for r in decontaminate.remove_contamination(docs, bench, action="span").collect()}
+    assert len(words_of(cut[10])) == 100 and cut[3] is None
+
+
+def test_shards_are_exact(spark, docs, empty):
+    for df in (docs, empty, docs.withColumnRenamed("source", "shard"), spark.range(1000)):
+        out = sharding.shuffle_into_shards(df, 7, 3, part_rows=20).toPandas()
+        assert len(out) == df.count()
+        sizes = out.groupby("shard").size() if len(out) else []
+        assert not len(out) or max(sizes) - (min(sizes) if len(sizes) == 7 else 0) <= 1
+        for _, g in out.groupby("shard") if len(out) else []:
+            assert sorted(g["slot"]) == list(range(len(g)))
+    m = sharding.communication_matrix(np.array([5, 0, 9]), np.array([7, 7]), 1)
+    assert m.sum(axis=1).tolist() == [5, 0, 9] and m.sum(axis=0).tolist() == [7, 7]
+
+
+def test_lattice_links(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(60, 32))
+    near = a + 0.1 * rng.normal(size=a.shape)
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(np.concatenate([a, near]))]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 1), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 32, 0), (205, [float("nan")] * 32, 0), (206, [1.0], 0), (207, [], 0), rows[5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links) for r in lattice.near_duplicates(df).collect())
+    fine = [(k, np.array(v), y) for k, (_, v, y) in enumerate(rows) if v and y is not None and np.isfinite(v).all() and any(v)]
+    n = dict.fromkeys(range(len(rows)), 0)
+    for k, v, y in fine:
+        for o, w, z in fine:
+            n[k] += k != o and y == z and len(v) == len(w) and float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)) >= 0.98
+    want = sorted((r[0], n[k]) for k, r in enumerate(rows))
+    assert sum(x[1] for x in got) >= 0.9 * sum(x[1] for x in want) and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert lattice.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_token_files_round_trip(spark, docs, empty, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    out = dac.read_token_files(dac.write_token_files(docs, tmp_path.as_uri() + "/a", path, 2, False)).collect()
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ids = [t.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows]
+    starts = np.cumsum([0] + [len(i) for i in ids])
+    want = [(r[0], s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for r, s, i in zip(rows, starts, ids)]
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted((s, d, n, c) for d, s, n, c in want)
+    assert dac.read_token_files(dac.write_token_files(empty, tmp_path.as_uri() + "/b", path, 2, False)).count() == 0
+
+
+def test_directly_addressable_codes(monkeypatch):
+    monkeypatch.setattr(dac, "SEGMENT", 100)
+    rng = np.random.default_rng(0)
+    ids, sink = rng.integers(0, 70_000, 1234).astype(np.uint32), io.BytesIO()
+    writer = dac.DacWriter(sink)
+    writer.add([1, None], ids, np.array([1000, 234]))
+    writer.close()
+    reader = dac.DacReader(sink)
+    assert [reader.get(i) for i in range(0, 1234, 13)] == ids[::13].tolist() and reader.doc_ids == [1, None]
+    assert np.array_equal(np.concatenate(list(reader.documents())), ids)
+
+
+def test_packing(docs, empty):
+    pytest.importorskip("public_tokenizers")
+    out = packing.pack_documents(docs).toPandas()
+    assert len(out) >= len(documents()) and packing.pack_documents(empty).count() == 0
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.length.sum() <= 2048 and (g.length.cumsum() - g.length == g.offset).all()
+    total = out.length.sum()
+    assert out.sequence_id.nunique() <= -(-total // 2048) + 1
+    for rule in ("norm", "dot"):
+        cap = packing.Capacity(tokens=20, documents=3, attention=150, rule=rule)
+        used: dict[int, list[int]] = {}
+        for length, _, n, first, _ in packing.best_fit({1: 30, 7: 11, 12: 5}, cap):
+            for b in range(first, first + n):
+                used.setdefault(b, []).append(length)
+        assert sum(map(len, used.values())) == 46
+        assert all(sum(v) <= 20 and len(v) <= 3 and sum(x * x for x in v) <= 150 for v in used.values())
+
+
+def test_language(spark, docs, empty):
+    dictionaries = language.train_dictionaries(docs)
+    assert set(dictionaries) == {"en", "de"}
+    rows = {r.doc_id: r for r in language.identify_languages(docs, dictionaries).collect()}
+    assert [rows[i].lang_pred for i in (3, 4, 5, 14)] == ["und"] * 4 and rows[0].lang_pred in ("en", "de") and rows[0].text == documents()[0][1]
+    assert language.identify_languages(docs, {}).where("lang_pred <> 'und'").count() == 0
+    assert language.train_dictionaries(empty) == {} and language.identify_languages(empty, dictionaries).count() == 0
+    made = [(i, " ".join(["the of and", "der die und"][i % 2] + str(k) for k in range(30)), ["en", "de"][i % 2]) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert language.identify_languages(df, language.train_dictionaries(df.where("doc_id < 40"))).where("doc_id >= 40 and lang <> lang_pred").count() == 0
+
+
+def test_pitman_yor(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    held = F.col("doc_id") % 4 == 1
+    out = pitman_yor.score_documents(docs, held).collect()
+    rows = documents()
+    train = [t for d, t, *_ in rows if d is None or d % 4 != 1]
+    counts: dict = {}
+    for t in train:
+        for w in [*words_of(t), None]:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    base = lambda t: sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in [*words_of(t), None])
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6)) for r in out) == sorted((str(d), len(words_of(t)) + 1, round(base(t), 6)) for d, t, *_ in rows)
+    assert {r.train_tokens for r in out} == {n} and all(r.score < 0 for r in out)
+    assert pitman_yor.score_documents(empty, held).count() == 0
+
+
+def test_seating_probabilities_sum_to_one():
+    """Over all training dishes and the unknown one, in every context."""
+    rng = np.random.default_rng(2)
+    pairs = sorted({(int(w), int(c)) for w, c in zip(rng.integers(0, 9, 60), rng.choice([3, 700, 65535], 60))})
+    customers = rng.integers(1, 90, len(pairs))
+    every = sorted({(w, c) for w in range(10) for c in (3, 700, 65535)})
+    n = np.array([dict(zip(pairs, customers)).get(p, 0) for p in every])
+    s = pitman_yor.Seating(0, 1, np.array([p[0] for p in every]), np.array([p[1] for p in every]), n, 10)
+    totals = pitman_yor.Totals(s.totals())
+    for k in range(3):
+        s.sweep(k, totals)
+        totals = pitman_yor.Totals(s.totals(), totals.discounts)
+        assert all(((1 <= t) & (t <= c)).sum() == (c > 0).sum() for t, c in zip(s.t, s.c))
+    p = s.probabilities(totals, 2)
+    known = {w for w, c in pairs}
+    for context in (3, 700, 65535):
+        total = sum(x for x, (w, c) in zip(p, every) if c == context and w in known)
+        unknown = next(x for x, (w, c) in zip(p, every) if c == context and w == 9)
+        assert abs(total + unknown - 1) < 1e-9
+
+
+def test_toxicity(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    made = [(i, text(100 + i, 40) + (" vilestuff " if i % 2 else " ") + text(300 + i, int(rng.integers(1, 40)))) for i in range(560)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    net = toxicity.train(toxicity.training_windows(df, labels))
+    out = {r.doc_id: r.toxicity for r in toxicity.score_texts(df.where("doc_id >= 500"), net).collect()}
+    order = sorted(out, key=out.get)
+    assert sum(i % 2 for i in order[30:]) >= 24
+    odd = {r.doc_id: r.toxicity for r in toxicity.score_texts(docs, net).collect()}
+    assert odd[3] == odd[4] == odd[5] == 0.0 and all(0 <= x <= 1 for x in odd.values())
+    assert toxicity.score_texts(empty, net).count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    net = toxicity.ToxicityNetwork(np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    inputs = (np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([0, 1, 1]), np.array([1.0, 0.5, 1.0]))
+    index, mask, label = rng.integers(0, 3, (4, 6)), np.arange(6) < np.array([[6], [3], [1], [5]]), np.array([1.0, 0, 1, 0])
+
+    def loss():
+        logit, made = net.forward(net.embed(*inputs).astype(np.float64), index, mask, keep=True)
+        return np.log1p(np.exp(logit)).sum() - (label * logit).sum(), logit, made
+
+    _, logit, made = loss()
+    g = net.gradients(net.embed(*inputs), index, mask, made, toxicity._sigmoid(logit) - label, inputs)
+    for name in ("out", "query", "attend", "hf", "hb", "xf", "cb"):
+        at = tuple(rng.integers(0, s) for s in net.p[name].shape)
+        net.p[name][at] += 1e-3
+        up = loss()[0]
+        net.p[name][at] -= 2e-3
+        down = loss()[0]
+        net.p[name][at] += 1e-3
+        assert abs((up - down) / 2e-3 - g[name][at]) < 1e-2 * max(1, abs(g[name][at])), name
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    ship_package(spark)
+    n = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialise(stage(spark, docs, DATA))
+        assert out.columns == docs.columns and 0.7 * n <= out.count() <= n
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
