@@ -17,6 +17,8 @@ from gleanery.llm.scratch import materialise
 
 #: Members of a search block: what one task holds of a cluster of candidates at once.
 BLOCK = 256
+#: Signatures a task gathers before it sends them.
+FLUSH = 400_000
 #: Most postings merged with a heap.
 HEAP = 512
 
@@ -105,7 +107,7 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 keep = (filled > 0) | (m[row] <= 8)
                 waiting.append((sig[keep].astype(np.int64), ids[row[keep]].astype(np.int64)))
                 n += int(keep.sum())
-            if n > 2_000_000:
+            if n > FLUSH:
                 yield from emit(waiting)
                 waiting, n = [], 0
         if n:
