@@ -148,6 +148,20 @@ def test_repeated_passages(docs, empty):
     assert left[11].n_chars == len(left[11].text) and substrings.remove_repeats(docs).columns == docs.columns
 
 
+def test_passage_whose_line_the_source_repeats_earlier():
+    def fresh(n):
+        return rng.integers(0, 2**60, n).astype(np.uint64)
+
+    rng = np.random.default_rng(0)
+    p, q = fresh(60), fresh(56)
+    a, b = np.concatenate([fresh(15), p, fresh(10)]), np.concatenate([fresh(20), p[28:32], fresh(200), p, fresh(30)])
+    assert substrings.shared_passages(a, b) == [(15, 60, 224, 60, 1.0)]
+    a, b = np.concatenate([fresh(15), q, fresh(10)]), np.concatenate([fresh(20), q[40:41], fresh(19), q, fresh(30)])
+    assert substrings.shared_passages(a, b) == [(15, 56, 40, 56, 1.0)]
+    same = np.full(300, 7, np.uint64)
+    assert substrings.shared_passages(same, same) == [(0, 300, 0, 300, 1.0)]
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(text(2, 60).upper().split()[10:40])), (2, "one TWO"), (3, None), (4, ""), (None, "x"), (5, "zz zz")], "item_id long, text string")
     rows = {(r.doc_id, r.text): r for r in decontaminate.mark_contamination(docs, bench).collect()}
