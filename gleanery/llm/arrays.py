@@ -123,6 +123,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(h + np.uint64(width))
 
 
+def range_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of each run [low, high) of neighbours."""
+    n = len(hashes)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers(_MULT, n), out=prefix[1:])
+    return mix((prefix[high] - prefix[low]) * powers(_MULT_INV, n + 1)[low] + (high - low).astype(np.uint64))
+
+
 def windows_in_texts(first: np.ndarray, width: int):
     """For words numbered through, with `first` of each text: the starts of the windows that
     lie in one text, and the text of each."""

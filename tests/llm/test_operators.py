@@ -162,6 +162,15 @@ def test_passage_whose_line_the_source_repeats_earlier():
     assert substrings.shared_passages(same, same) == [(0, 300, 0, 300, 1.0)]
 
 
+def test_passages_around_a_line_that_all_documents_have(spark):
+    line, rows = text(1000, 42), []
+    for i in range(100):
+        own = text(2000 + i, 10)
+        rows += [(i, f"{text(3000 + i, 40)} {line} {own} {text(4000 + i, 40)}"), (100 + i, f"{text(5000 + i, 40)} {line} {own} {text(6000 + i, 40)}")]
+    found = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(100 + i, i) for i in range(100)} and len(found) >= 85
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(text(2, 60).upper().split()[10:40])), (2, "one TWO"), (3, None), (4, ""), (None, "x"), (5, "zz zz")], "item_id long, text string")
     rows = {(r.doc_id, r.text): r for r in decontaminate.mark_contamination(docs, bench).collect()}
