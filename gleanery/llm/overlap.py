@@ -68,8 +68,10 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     its parts. Within a task equal signatures keep their least set and link the others to it
     (link_to), so a hot signature leaves a task as one row.
 
-    A part without elements has no signature where there are over eight parts: with so many, two
-    similar sets have other equal parts unless all their differences are spread one to a part.
+    A part without elements has no signature, as it is the same for every set. Where all equal parts
+    of a linked pair are empty (k of them), all but k - 1 of the others differ by one element. So a set
+    with k empty parts also has the signatures of its first k parts of two or more elements less
+    each one of them, which are those of the other set's parts.
     """
 
     def cut(batches):
@@ -104,9 +106,17 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 levels = np.zeros(len(sizes), np.int64)
                 levels[rows] = level
                 sig = mix(sums + mix((levels[row] << 32 | at).astype(np.uint64)) + filled.astype(np.uint64))
-                keep = (filled > 0) | (m[row] <= 8)
+                keep = filled > 0
                 waiting.append((sig[keep].astype(np.int64), ids[row[keep]].astype(np.int64)))
-                n += int(keep.sum())
+                empty = np.bincount(row[~keep], minlength=len(m))
+                many = np.append(0, np.cumsum(filled > 1))
+                less = (filled > 1) & (many[:-1] - many[base[row]] < empty[row])
+                some_less = less[base[o] + part]
+                of_part = (base[o] + part)[some_less]
+                rest = sums[of_part] - spread[of][some_less]
+                rest = mix(rest + mix((levels[row[of_part]] << 32 | at[of_part]).astype(np.uint64)) + (filled[of_part] - 1).astype(np.uint64))
+                waiting.append((rest.astype(np.int64), ids[row[of_part]].astype(np.int64)))
+                n += int(keep.sum()) + len(rest)
             if n > FLUSH:
                 yield from emit(waiting)
                 waiting, n = [], 0

@@ -112,6 +112,15 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert got == {i: least[part[i]] for i in range(40)}
 
 
+def test_short_sets_share_no_signature_of_an_empty_part(spark):
+    rows = [(i, text(i, 12 + i % 20)) for i in range(400)]
+    rows += [(1000 + i, t + " more") for i, t in rows]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    links = overlap.candidate_links(overlap.part_signatures(got, 5, 80))
+    assert overlap.connected_components(links).groupBy("component").count().agg({"count": "max"}).first()[0] == 2
+    assert all(r.component_id == r.doc_id % 1000 for r in overlap.jaccard_components(got, 5, 80).collect())
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
