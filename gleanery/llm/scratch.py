@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.sources import package
 
-#: Rows of an Arrow batch of texts: 10,000 whole documents would be much for a worker.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: 10,000 whole documents would be much for a worker.
+BATCH_BYTES = 4 << 20
+#: Whether Spark deletes a query's shuffle files when it has ended.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, and set batches to BATCH_ROWS where they are at the default."""
+    """Give the executors this package, and bound the bytes of Arrow batches where nothing does."""
     package.ship_package(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get(_BATCH, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,5 +40,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there, and a lost
     executor costs nothing that was finished."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what the job shuffled is not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, and so on: what is added beside them can't clash with their names."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def release_memory() -> None:
+    """Give what a task freed back to the system: its worker waits for tasks of other stages, which
+    would have the room it held beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
