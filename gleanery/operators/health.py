@@ -83,6 +83,32 @@ def health_observation(feeds: DataFrame, evaluated: DataFrame, counts: DataFrame
     return out.withColumns({"own": F.least("embedded", F.lit(K.OWN_CAP)).cast("long"), "coverage": share})
 
 
+def window_observation(observation: DataFrame, articles: DataFrame, epoch: str, now: str = K.NOW, gate: int = K.EMBED_GATE, cap: int | None = None) -> DataFrame:
+    """One row for the whole window: articles, how many and what share of them are embedded, by recipe
+    too, the majority recipe, how many pass the gate, feeds with a rate, and a line that says so.
+    Shares of an empty window are 0."""
+    embedded = F.col("embedding").isNotNull()
+    rows = in_window(articles, now).withColumn("recipe", F.when(embedded, recipe(epoch)))
+    w = rows.agg(
+        F.count("*").alias("articles"), F.count_if(embedded).alias("embedded"), F.count_if(F.col("recipe") == "legacy").alias("legacy"), F.count_if(F.col("recipe") == "lead").alias("lead"),
+        F.count_if(F.coalesce("body_len", F.lit(0)) >= gate).alias("eligible"),
+    )
+    share = lambda c: F.when(F.col("articles") > 0, F.col(c) / F.col("articles")).otherwise(0.0)
+    w = w.withColumns({"coverage": share("embedded"), "coverage_legacy": share("legacy"), "coverage_lead": share("lead")})
+    w = w.withColumn("majority", F.when(F.col("lead") > F.col("legacy"), "lead").otherwise("legacy"))
+    w = w.withColumn("majority_share", F.when(F.col("embedded") > 0, F.greatest("lead", "legacy") / F.col("embedded")))
+    percent = lambda c: F.format_string("%.1f", F.col(c) * 100)
+    text = F.concat(
+        F.format_string(f"窓 {K.WINDOW_DAYS}d: 記事 %d 件 / embedding 付き %d 件（網羅率 ", "articles", "embedded"), percent("coverage"), F.lit("%）"),
+        F.when(F.col("majority_share") < 1, F.concat(
+            F.format_string("｜legacy %d（", "legacy"), percent("coverage_legacy"), F.format_string("%%） / lead %d（", "lead"), percent("coverage_lead"),
+            F.format_string("%%）・多数派 %s %.2f", "majority", "majority_share"),
+        )).otherwise(""),
+    )
+    w = w.withColumns({"description": text, "truncated": F.lit(False) if cap is None else F.col("embedded") > cap})
+    return w.crossJoin(observation.agg(F.count("near_dup_rate").alias("feeds_with_rate")))
+
+
 def rate_floor_guard(observation: DataFrame, fresh: bool = True, floor: int = K.RATE_FLOOR) -> DataFrame:
     n = observation.agg(F.count("near_dup_rate").alias("feeds_with_rate"))
     return n.withColumn("fails", F.lit(fresh) & (F.col("feeds_with_rate") < floor))

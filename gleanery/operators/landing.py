@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.constants import EMBED_GATE, NOW, RETENTION_DAYS, THIN_BODY
+from gleanery.functions.text import text_tokens
 
 
 def at(now: str) -> Column:
@@ -32,7 +33,7 @@ def feed_fetch_summary(feeds: DataFrame, fetches: DataFrame, now: str = NOW) ->
 def plain_text(html: Column) -> Column:
     """Text of HTML: script and style blocks go, then tags, then six entities in a fixed order (so
     `&amp;lt;` gives `<`), blanks are collapsed and cut at the ends."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    text = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
     text = F.regexp_replace(text, r"(?i)&nbsp;", " ")
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
@@ -41,8 +42,8 @@ def plain_text(html: Column) -> Column:
 
 
 def text_profile(docs: DataFrame, html: str = "html") -> DataFrame:
-    """The rows with text, body_len (null for a null body), thin and gate_ok."""
-    out = docs.withColumn("text", plain_text(F.col(html))).withColumn("body_len", F.length("text").cast("long"))
+    """The rows with text, body_len and tokens (null for a null body), thin and gate_ok."""
+    out = docs.withColumn("text", plain_text(F.col(html))).withColumn("body_len", F.length("text").cast("long")).withColumn("tokens", text_tokens(F.col("text")))
     return out.withColumn("thin", F.coalesce("body_len", F.lit(0)) < THIN_BODY).withColumn("gate_ok", F.coalesce("body_len", F.lit(0)) >= EMBED_GATE)
 
 

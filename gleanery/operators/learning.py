@@ -83,12 +83,13 @@ def source_prompts(questions: DataFrame, k: int = 30) -> DataFrame:
 
 def body_windows(sources: DataFrame, most: int, seed: int) -> DataFrame:
     """The text if short, else a window of `most` characters from a start fixed by id and seed, moved
-    to after the next space within 200 characters."""
+    (unless it is 0) to after the next space within 200 characters, without blanks at its ends."""
     room = F.length("text") - most
     start = F.pmod(F.xxhash64("source_id", F.lit(seed)), F.greatest(room + 1, F.lit(1))).cast("int")
     space = F.locate(" ", F.substr("text", start + 1, F.lit(200)))
-    begin = F.when(room <= 0, 0).when(space > 0, start + space).otherwise(start)
-    return sources.select("source_id", begin.cast("long").alias("start"), F.substr("text", begin + 1, F.lit(most)).alias("body"))
+    begin = F.when(room <= 0, 0).when((start > 0) & (space > 0), start + space).otherwise(start)
+    window = F.regexp_replace(F.substr("text", begin + 1, F.lit(most)), r"(?U)^\s+|\s+$", "")
+    return sources.select("source_id", begin.cast("long").alias("start"), F.when(room <= 0, F.col("text")).otherwise(window).alias("body"))
 
 
 def alpha(difficulty: Column, right: Column, alphas: dict = K.ALPHAS) -> Column:
@@ -124,7 +125,7 @@ def mastery_replay(attempts: DataFrame, scales: tuple = REPLAY_SCALES) -> DataFr
         alphas = {k: (a * scale, b * scale) for k, (a, b) in K.ALPHAS.items()}
         one = mastery_fold(attempts, alphas).withColumn("scale", F.lit(scale))
         out = one if out is None else out.union(one)
-    middle = F.element_at(F.array_sort(F.collect_list("mastery")), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    middle = F.expr("percentile_disc(0.5) within group (order by mastery desc)")
     return out.groupBy("scale").agg(
         F.avg("mastery").alias("mean"), middle.alias("median"), F.count_if(F.col("mastery") < 0.3).alias("low"), F.count_if(F.col("mastery") >= 0.7).alias("high")
     )
@@ -163,9 +164,15 @@ def score_questions(pool: DataFrame, mastery: DataFrame, now: str, jitter_seed:
     return rows.withColumn("priority", F.greatest(1 - m, F.lit(0.1)) * rest * fit * jitter)
 
 
-def select_session(pool: DataFrame, attempts: DataFrame, mastery: DataFrame, now: str, size: int = 5) -> DataFrame:
-    """Each tenant's session: questions not answered lately (right: 14 days, wrong: 4), the best of
-    each concept first, then the rest by priority; ties by question_id."""
+def select_session(
+    pool: DataFrame, attempts: DataFrame, mastery: DataFrame, now: str, size: int = 5, newest: int = K.SESSION_POOL, category: str | None = None,
+) -> DataFrame:
+    """Each tenant's session: of the `newest` questions (of one category, where that is given) those
+    not answered lately (right: 14 days, wrong: 4), the best of each concept first, then the rest by
+    priority; ties by question_id. Questions are numbered as they are made."""
+    pool = pool if category is None else pool.where(F.col("category") == category)
+    age = F.row_number().over(Window.partitionBy("tenant").orderBy(F.desc("question_id")))
+    pool = pool.withColumn("age", age).where(F.col("age") <= newest).drop("age")
     last = attempts.groupBy("tenant", "question_id").agg(F.max_by(F.struct("is_correct", "created_at"), F.struct("created_at", "attempt_id")).alias("last"))
     wait = F.when(F.col("last.is_correct"), K.RETRY_RIGHT_DAYS).otherwise(K.RETRY_WRONG_DAYS)
     rows = pool.join(last, ["tenant", "question_id"], "left").withColumn("at", F.col("last.created_at"))

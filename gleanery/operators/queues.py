@@ -136,19 +136,38 @@ def unquarantine(leases: DataFrame) -> DataFrame:
     return leases.withColumn("released", free).withColumn("attempts", F.when(free, 0).otherwise(F.col("attempts")))
 
 
-def embed_candidates(articles: DataFrame, feeds: DataFrame, per_day: int, max_rows: int, gate: int = K.EMBED_GATE, now: str = K.NOW) -> DataFrame:
-    """Articles to embed: no vector, active feed, in the window, body of `gate` or more. Each feed
-    has room for per_day less what it embedded in 24 hours, newest first; of all the newest max_rows
-    go. Ranks are made on narrow rows; the start of the body is joined after the cut."""
+def _embed_ranked(articles: DataFrame, feeds: DataFrame, gate: int, now: str) -> tuple[DataFrame, DataFrame]:
+    """Articles without a vector of active feeds in the window, and those of them with a body of `gate`
+    or more, with their rank in the feed and what it embedded in 24 hours."""
     narrow = articles.select("article_id", "feed_id", "published_at", "embedded_at", "body_len", F.col("embedding").isNull().alias("missing"))
     done = narrow.where(F.col("embedded_at") >= at(now) - F.expr("interval 24 hours")).groupBy("feed_id").agg(F.count("*").alias("done"))
-    rows = narrow.where(F.col("missing") & (F.coalesce("body_len", F.lit(0)) >= gate) & (F.col("published_at") >= at(now) - F.expr(f"interval {K.WINDOW_DAYS} days")))
-    rows = rows.join(feeds.where("active").select("feed_id"), "feed_id", "left_semi").join(done, "feed_id", "left")
-    order = [F.desc("published_at"), "article_id"]
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("feed_id").orderBy(*order))).where(F.col("rank") <= per_day - F.coalesce("done", F.lit(0)))
-    best = ranked.orderBy(*order).limit(max_rows).select("article_id", "feed_id", "published_at")
+    missing = narrow.where(F.col("missing") & (F.col("published_at") >= at(now) - F.expr(f"interval {K.WINDOW_DAYS} days")))
+    missing = missing.join(feeds.where("active").select("feed_id"), "feed_id", "left_semi")
+    rows = missing.where(F.coalesce("body_len", F.lit(0)) >= gate).join(done, "feed_id", "left")
+    rank = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc("published_at"), "article_id"))
+    return missing, rows.withColumn("rank", rank)
+
+
+def embed_candidates(articles: DataFrame, feeds: DataFrame, per_day: int, max_rows: int, gate: int = K.EMBED_GATE, now: str = K.NOW) -> DataFrame:
+    """Articles to embed: no vector, active feed, in the window, body of `gate` or more. Each feed
+    has room for per_day less what it embedded in 24 hours, newest first (eligible: how many that
+    lets through); of all the newest max_rows go. Ranks are made on narrow rows; the start of the
+    body is joined after the cut."""
+    _, ranked = _embed_ranked(articles, feeds, gate, now)
+    eligible = ranked.where(F.col("rank") <= per_day - F.coalesce("done", F.lit(0)))
+    best = eligible.orderBy(F.desc("published_at"), "article_id").limit(max_rows).select("article_id", "feed_id", "published_at")
     bodies = articles.select("article_id", F.substring("content", 1, 8000).alias("body"))
-    return best.crossJoin(F.broadcast(rows.agg(F.count("*").alias("eligible")))).join(bodies, "article_id")
+    return best.crossJoin(F.broadcast(eligible.agg(F.count("*").alias("eligible")))).join(bodies, "article_id")
+
+
+def embed_pending(articles: DataFrame, feeds: DataFrame, per_day: int, gate: int = K.EMBED_GATE, now: str = K.NOW) -> DataFrame:
+    """One row: pending, pending_capped and eligible. While anything is eligible, pending counts what
+    has a long enough body (a lower bound, so pending_capped); else all that lack a vector."""
+    missing, ranked = _embed_ranked(articles, feeds, gate, now)
+    counts = ranked.agg(F.count("*").alias("gated"), F.count_if(F.col("rank") <= per_day - F.coalesce("done", F.lit(0))).alias("eligible"))
+    both = counts.crossJoin(missing.agg(F.count("*").alias("all")))
+    capped = F.col("eligible") > 0
+    return both.select(F.when(capped, F.col("gated")).otherwise(F.col("all")).alias("pending"), capped.alias("pending_capped"), "eligible")
 
 
 def embed_input(title: Column, text: Column, lead: int = K.EMBED_LEAD) -> Column:
@@ -162,13 +181,6 @@ def backfill_candidates(articles: DataFrame, limit: int) -> DataFrame:
     return articles.where("embedding is null").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
 
 
-def text_tokens(text: Column) -> Column:
-    """ceil(0.4 x ASCII + 1.5 x other UTF-16 units)."""
-    ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    units = F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    return F.ceil(F.lit(0.4) * ascii_ + F.lit(1.5) * (units - ascii_)).cast("long")
-
-
 def token_batches(texts: DataFrame, budget: int = 3000, most: int = 128) -> DataFrame:
     """(queue, id, tokens, batch): next-fit batches of each queue in order of id; a batch is closed
     when the next text would exceed the budget or the count, an oversize text is alone. The fold
@@ -226,14 +238,35 @@ def rotate_sources(sources: DataFrame, limit: int, category: str | None = None)
 
 #: Rules over a row of run metrics; null is unknown and never fails.
 GUARDS = {
-    "embed_dead": "embed_attempted > 0 and embed_succeeded = 0", "embed_stalled": "embedded_recent = 0 and embed_waiting > 0",
-    "deck_starved": "deck_available >= 0 and deck_available < 40", "quarantine_surge": "quarantined > 5", "batch_stuck": "oldest_round_hours > 36",
-    "all_failed": "annotated_attempted > 0 and annotated = 0", "prune_stalled": "prune_remaining > 1000",
+    "all_failed": "fetch_results > 0 and fetch_failed = fetch_results", "stale_feeds": "stale_feeds > 0",
+    "annotate_dead": "annotated_attempted > 0 and annotated = 0",
+    "selection_dead": "not coalesce(selection_skipped, false) and (pool_error is not null or (pool > 0 and selected = 0))",
+    "cap_unavailable": "cap_unavailable", "ledger_failed": "ledger_error is not null",
+    "submit_dead": "not coalesce(submit_skipped, false) and reserved > 0 and batch_id is null",
+    "submit_settle_failed": "submit_settle_error is not null", "orphaned": "batch_id_write_error is not null", "list_failed": "list_error is not null",
+    "collect_settle_failed": "collect_settle_error is not null",
+    "collect_dead": "not coalesce(collect_skipped, false) and collect_attempted + collect_expired + collect_canceled > 0 and collect_applied + collect_superseded = 0",
+    "batch_stuck": "oldest_round_hours > 36", "quarantine_surge": "quarantined > 5",
+    "embed_dead": "not coalesce(embed_skipped, false) and embed_attempted > 0 and embed_succeeded = 0",
+    "embed_stalled": "coalesce(embed_skip_reason, '') <> 'disk_ceiling' and embedded_recent = 0 and embed_waiting > 0",
+    "embed_gate_stuck": "coalesce(embed_skip_reason, '') <> 'disk_ceiling' and embed_pending > 0 and embed_eligible = 0",
+    "embed_select_stalled": "embed_select_error is not null and embedded_recent = 0",
+    "deck_starved": "deck_available >= 0 and deck_available < 40", "prune_stalled": "prune_remaining < 0 or prune_remaining > 1000",
 }
+#: The metrics that rules read, with their types.
+METRICS = (
+    "fetch_results long, fetch_failed long, stale_feeds long, annotated_attempted long, annotated long, selection_skipped boolean, pool_error string, pool long, selected long, "
+    "cap_unavailable boolean, ledger_error string, submit_skipped boolean, reserved long, batch_id string, submit_settle_error string, batch_id_write_error string, list_error string, "
+    "collect_settle_error string, collect_skipped boolean, collect_attempted long, collect_expired long, collect_canceled long, collect_applied long, collect_superseded long, "
+    "oldest_round_hours double, quarantined long, embed_skipped boolean, embed_skip_reason string, embed_attempted long, embed_succeeded long, embedded_recent long, embed_waiting long, "
+    "embed_pending long, embed_eligible long, embed_select_error string, deck_available long, prune_remaining long"
+)
 
 
 def run_guards(metrics: DataFrame) -> DataFrame:
-    """(guard, fails) of a row of metrics."""
+    """(guard, fails) of a row of metrics (see METRICS; a column that is not there is unknown)."""
+    missing = [c.split() for c in METRICS.split(", ") if c.split()[0] not in metrics.columns]
+    metrics = metrics.withColumns({c: F.lit(None).cast(kind) for c, kind in missing})
     flags = F.array(*[F.struct(F.lit(n).alias("guard"), F.coalesce(F.expr(rule), F.lit(False)).alias("fails")) for n, rule in GUARDS.items()])
     return metrics.select(F.explode(flags).alias("g")).select("g.*")
 

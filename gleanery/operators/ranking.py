@@ -33,6 +33,21 @@ def score_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds
     return rows.select("tenant", "article_id", "feed_id", "recency", pref.alias("pref"), (F.col("recency") + pref + F.col("credibility")).alias("score"))
 
 
+def top_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds: DataFrame, k: int = 10, now: str = K.NOW) -> DataFrame:
+    """Each tenant's k best articles by score to six places; ties go to the newer, then by article_id.
+
+    Articles of one feed and one set of tags differ in recency alone, so for every tenant only the k
+    newest of each such class can be among the best: the others are cut before tenants multiply
+    what is left."""
+    classes = tags.groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), "\x00").alias("tags"))
+    newest = Window.partitionBy("feed_id", "tags").orderBy(F.desc_nulls_last("published_at"), "article_id")
+    some = articles.select("article_id", "feed_id", "published_at").join(classes, "article_id", "left").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= k)
+    scored = score_articles(some, tags.join(some.select("article_id"), "article_id", "left_semi"), prefs, feeds, now)
+    scored = scored.withColumn("score", F.round("score", 6)).join(some.select("article_id", "published_at"), "article_id")
+    best = Window.partitionBy("tenant").orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "article_id")
+    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("tenant", "article_id", "score", "place")
+
+
 def rebuild_preferences(feedback: DataFrame, tags: DataFrame, articles: DataFrame) -> DataFrame:
     """(tenant, kind, pref_key, weight): the weight of each article's latest action, summed over its
     tags and its feed. Adding the difference of weights at every new judgement gives the same sums
@@ -63,8 +78,8 @@ def pick_decks(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
 
     candidates: tenant, article_id, feed_id, vec, pref, recency, value; seeds: the day's picks so
     far (tenant, feed_id, vec, pref, judged). Three passes: up to DECK_EXPLORE neutral articles by
-    recency (none for a tenant without preferences; seeds that are neutral and not judged count),
-    then by value with at most DECK_PER_SOURCE of a feed, then without that cap. A candidate whose
+    recency, then value (none for a tenant without preferences; seeds that are neutral and not judged
+    count), then by value, both with at most DECK_PER_SOURCE of a feed, then without that cap. A candidate whose
     cosine with a pick or seed reaches DUPLICATE_COSINE is skipped, once a pass (`deduped` counts
     these). Ties go by article_id. The fold sees at most DECK_CANDIDATES rows a tenant.
     """
@@ -107,10 +122,10 @@ def pick_decks(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
                     units.append(r["unit"])
                 most -= 1
 
-        if any(r["pref"] != 0 for r in rows):
-            neutral = [r for r in rows if abs(r["pref"]) <= K.NEUTRAL_BAND]
-            take(sorted(neutral, key=lambda r: -r["recency"]), "explore", max(0, min(K.DECK_EXPLORE - explored, need)), False)
         by_value = sorted(rows, key=lambda r: -r["value"])
+        if any(r["pref"] != 0 for r in rows):
+            neutral = [r for r in by_value if abs(r["pref"]) <= K.NEUTRAL_BAND]
+            take(sorted(neutral, key=lambda r: -r["recency"]), "explore", max(0, min(K.DECK_EXPLORE - explored, need)), True)
         take(by_value, "value", need, True)
         take(by_value, "fill", need, False)
         return pd.DataFrame(
@@ -155,8 +170,11 @@ def saved_view(articles: DataFrame, limit: int = 100) -> DataFrame:
     return articles.where("is_starred").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
 
 
-def preference_themes(prefs: DataFrame, k: int = 5) -> DataFrame:
-    """Each tenant's k highest tags of positive weight (ties by slug) and a query text for them."""
+def preference_themes(prefs: DataFrame, k: int = 5, labels: DataFrame | None = None) -> DataFrame:
+    """Each tenant's k highest tags of positive weight (ties by slug), their labels (slug, label; the
+    slug where there is none) and a query text for them."""
     order = Window.partitionBy("tenant").orderBy(F.desc("weight"), "pref_key")
     best = prefs.where("kind = 'tag' and weight > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return best.select("tenant", F.col("pref_key").alias("theme"), F.concat("pref_key", F.lit(" ブログ おすすめ")).alias("query"))
+    named = best.withColumn("label", F.col("pref_key")) if labels is None else best.join(labels.select(F.col("slug").alias("pref_key"), "label"), "pref_key", "left")
+    label = F.coalesce("label", "pref_key")
+    return named.select("tenant", F.col("pref_key").alias("theme"), label.alias("label"), F.concat(label, F.lit(" ブログ おすすめ")).alias("query"))

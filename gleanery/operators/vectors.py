@@ -69,6 +69,18 @@ def knn_search(vectors: DataFrame, queries: DataFrame, threshold: float = 0.4, k
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def search_articles(
+    articles: DataFrame, queries: DataFrame, threshold: float = 0.4, k: int = 8, after: str | None = None, feed: str | None = None,
+) -> DataFrame:
+    """knn_search over the summarised articles, published since `after` and of one feed where these are
+    given, with what a result shows of each."""
+    rows = articles.where("embedding is not null and summary is not null")
+    rows = rows if after is None else rows.where(F.col("published_at") >= at(after))
+    rows = rows if feed is None else rows.where(F.col("feed_id") == feed)
+    found = knn_search(rows.select(F.col("article_id").alias("vec_id"), "embedding"), queries, threshold, k)
+    return found.join(articles.select(F.col("article_id").alias("vec_id"), "title", "summary", "published_at", "feed_id"), "vec_id")
+
+
 def similarities(left: list, right: list) -> np.ndarray:
     """Cosines of two lists of vectors; 0 for zero vectors and unequal lengths."""
     out = np.zeros((len(left), len(right)))
@@ -83,27 +95,35 @@ def similarities(left: list, right: list) -> np.ndarray:
     return out
 
 
-def qa_context(matches: DataFrame, articles: DataFrame, cited: DataFrame) -> DataFrame:
-    """Passages of each query's matches, and its sources: the cited ones, or all if none is cited. A
-    query without matches has one row that abstains."""
-    rows = matches.join(articles.select(F.col("article_id").alias("vec_id"), "summary", "feed_id"), "vec_id").join(
+def qa_context(queries: DataFrame, matches: DataFrame, articles: DataFrame, cited: DataFrame) -> DataFrame:
+    """Titles and passages (title and summary on two lines) of each query's matches, and whether they
+    are its sources: the cited ones, or all if none is cited. A query without matches has one row,
+    whose outcome is abstain."""
+    rows = matches.join(articles.select(F.col("article_id").alias("vec_id"), "title", "summary"), "vec_id").join(
         cited.withColumn("is_cited", F.lit(True)), ["query_id", "vec_id"], "left"
     )
     any_cited = F.max(F.coalesce("is_cited", F.lit(False))).over(Window.partitionBy("query_id"))
-    passage = F.trim(F.regexp_replace(F.regexp_replace("summary", r"[<>\[\]`*#]", " "), r"\s+", " "))
-    return rows.withColumn("source", F.coalesce("is_cited", F.lit(False)) | ~any_cited).select("query_id", "vec_id", "place", passage.alias("passage"), "source")
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[<>\[\]`*#]", " "), r"\s+", " "))
+    filled = lambda c: F.when(c != "", c)
+    title, passage = clean(F.col("title")), clean(F.col("summary"))
+    rows = rows.select(
+        "query_id", "vec_id", "place", F.coalesce(filled(title), F.lit("(無題)")).alias("title"), F.concat_ws("\n", filled(title), filled(passage)).alias("passage"),
+        (F.coalesce("is_cited", F.lit(False)) | ~any_cited).alias("source"),
+    )
+    return queries.select("query_id").join(rows, "query_id", "left").withColumn("outcome", F.when(F.col("vec_id").isNull(), "abstain").otherwise("answer"))
 
 
-def blocked(rows: DataFrame, others: DataFrame, fold, schema: str, combine) -> DataFrame:
+def blocked(rows: DataFrame, others: DataFrame, fold, schema: str, combine=None) -> DataFrame:
     """Every row against every other row in groups of two blocks: `fold(rows, others)` reduces a
-    group, `combine` (aggregates by row id) the groups of a row. Both have id, v and what fold
-    needs; the number of rows decides the blocks."""
+    group, `combine` (aggregates by row id, if any) the groups of a row. Both have id, v and what
+    fold needs; the number of rows decides the blocks."""
     others = others.select(*[F.col(c).alias(c) for c in others.columns])  # columns of its own beside rows
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     m = max(1, -(-others.count() // BLOCK_ROWS))
     left = rows.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = others.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(fold, schema).groupBy("id").agg(*combine)
+    out = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(fold, schema)
+    return out.groupBy("id").agg(*combine) if combine else out
 
 
 def earlier_maximum(rows: DataFrame, others: DataFrame, other_group: bool | None) -> DataFrame:
@@ -203,16 +223,19 @@ def maxsim_histogram(best: DataFrame, edges: list[float]) -> DataFrame:
     return best.where("best is not null").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def nearest_index_quantiles(best: DataFrame, quantiles: list[float], column: str = "best") -> DataFrame:
-    """Quantiles by index floor(n q) of the sorted values, without interpolation: exact, from
-    counts of distinct values."""
-    values = best.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = values.agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(Window.orderBy("value"))
+def nearest_index_quantiles(best: DataFrame, quantiles: list[float], column: str = "best", width: float = 0.001) -> DataFrame:
+    """Quantiles by index floor(n q) of the sorted values, without interpolation: exact, from counts of
+    distinct values. Values (cosines) fall into buckets of `width`; only the buckets that hold a
+    quantile are sorted, each on its own."""
+    values = best.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.floor(F.col(column) / width).alias("bucket"))
+    per = values.groupBy("bucket").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bucket
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
-    rows = values.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("value", "upto", "total", wanted)
-    spot = F.least(F.col("total") - 1, F.floor(F.col("total") * F.col("q")))
-    return rows.where(F.col("upto") > spot).groupBy("q").agg(F.min("value").alias("value"))
+    spots = per.withColumn("below", below).crossJoin(F.broadcast(per.agg(F.sum("n").alias("total")))).select("*", wanted)
+    spots = spots.withColumn("spot", F.least(F.col("total") - 1, F.floor(F.col("total") * F.col("q")))).where("below <= spot and spot < below + n")
+    counts = values.join(F.broadcast(spots.select("bucket").distinct()), "bucket", "left_semi").groupBy("bucket", "value").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy("value"))).drop("n")
+    return upto.join(F.broadcast(spots.select("bucket", "q", "below", "spot")), "bucket").where("below + upto > spot").groupBy("q").agg(F.min("value").alias("value"))
 
 
 def pairs_over(rows: DataFrame, threshold: float) -> DataFrame:
@@ -227,8 +250,7 @@ def pairs_over(rows: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"id": a["id"].to_numpy()[i], "other": b["id"].to_numpy()[j], "similarity": s[i, j]})
 
     plain = as_rows(rows).drop("grp", "ord")
-    found = blocked(plain, plain, fold, "id long, other long, similarity double", [F.collect_list(F.struct("other", "similarity")).alias("found")])
-    found = found.select(F.col("id").alias("a"), F.explode("found").alias("f")).select("a", F.col("f.other").alias("b"), F.col("f.similarity").alias("similarity"))
+    found = blocked(plain, plain, fold, "id long, other long, similarity double").select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
     groups = rows.select(F.col("vec_id"), F.col("grp"))
     named = found.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b")
     return named.select("a", "b", "similarity", (F.col("ga") == F.col("gb")).alias("same"))

@@ -6,37 +6,37 @@ from gleanery.operators import discovery as op
 from gleanery.plans.registry import query
 from gleanery.sources.views import Views
 
-TRACK = ", ".join(f"'{t}'" for t in op.TRACKING)
-HOST = r"lower(regexp_extract({}, '^(?:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1, 'i'))"
-CANON = rf"""cu AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+HOST = r"lower(regexp_extract({}, '^(?:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1, 'i'))"
+CANON = rf"""cu AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS bare FROM urls),
 cp AS (SELECT page_id, lower(regexp_extract(bare, '^(https?)://', 1, 'i')) AS scheme, regexp_replace({HOST.format('bare')}, '^www\.', '') AS host,
+  regexp_extract(bare, '^https?://(?:\[[^\]]*\]|[^/?#:]+)(:\d+)', 1, 'i') AS port,
   regexp_replace(regexp_extract(bare, '^https?://[^/?#]+([^?]*)', 1, 'i'), '/+$', '') AS path,
-  array_to_string(list_transform(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({TRACK}))), lambda p: p), '&') AS params FROM cu),
-ca AS (SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params = '' THEN '' ELSE '?' || params END AS canonical FROM cp WHERE scheme <> '' AND host <> '')"""
+  array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN
+    ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src')),
+    lambda p: {{'k': split_part(p, '=', 1), 'p': p || CASE WHEN contains(p, '=') THEN '' ELSE '=' END}})), lambda s: s.p), '&') AS params FROM cu),
+ca AS (SELECT page_id, scheme || '://' || host || CASE WHEN scheme || port IN ('http:80', 'https:443') THEN '' ELSE port END || CASE WHEN path = '' THEN '/' ELSE path END
+  || CASE WHEN params = '' THEN '' ELSE '?' || params END AS canonical FROM cp WHERE scheme <> '' AND host <> '')"""
 
 
 @query("h1_canonical_url_groups", f"WITH {CANON} SELECT canonical, min(page_id) AS page_id, count(*) AS n FROM ca GROUP BY 1")
 def h1(v: Views):
-    return op.canonical_url_groups(v.pages)
+    return op.canonical_url_groups(v.urls)
 
 
-#: Pages, some of which stand at local or private hosts.
-PLACED = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'http://localhost/x' WHEN 1 THEN concat('http://10.0.0.', CAST(page_id % 200 AS STRING), '/a') WHEN 2 THEN 'ftp://a.example.com/' WHEN 3 THEN 'http://100.64.1.1/' WHEN 4 THEN 'http://8.8.8.8/' ELSE url END AS url FROM {pages}"""
-
-
-@query("h2_split_admissible", """SELECT CASE page_id % 9 WHEN 0 THEN 'local' WHEN 2 THEN 'not http' ELSE 'private address' END AS reason, count(*) AS n FROM pages WHERE page_id % 9 IN (0, 1, 2, 3) GROUP BY 1
-UNION ALL SELECT 'admitted', count(*) FROM pages WHERE page_id % 9 NOT IN (0, 1, 2, 3)""")
+@query("h2_split_admissible", """SELECT CASE WHEN page_id % 12 IN (4, 5) THEN 'private address' WHEN page_id % 12 = 6 THEN 'not http' WHEN page_id % 12 = 8 THEN 'local' ELSE 'admitted' END AS reason, count(*) AS n FROM urls GROUP BY 1""")
 def h2(v: Views):
-    admitted, rejected = op.split_admissible(v.sql(PLACED))
+    admitted, rejected = op.split_admissible(v.urls)
     return rejected.union(admitted.agg(F.lit("admitted").alias("reason"), F.count("*").alias("n")))
 
 
-DOMAIN = r"regexp_extract({}, '([^.]+\.[^.]+)$', 1)"
+DOMAIN = """(CASE WHEN array_to_string(string_split({0}, '.')[-2:], '.') IN ('co.jp', 'or.jp', 'ne.jp', 'ac.jp', 'go.jp', 'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'co.nz', 'com.br',
+  'github.io', 'substack.com', 'wordpress.com', 'blogspot.com', 'hatenablog.com', 'hatenadiary.jp', 'ghost.io', 'netlify.app', 'vercel.app', 'pages.dev', 'bearblog.dev')
+  THEN array_to_string(string_split({0}, '.')[-3:], '.') ELSE array_to_string(string_split({0}, '.')[-2:], '.') END)"""
 
 
-@query("h3_domain_rollup", f"WITH h AS (SELECT {HOST.format('url')} AS host FROM pages) SELECT {DOMAIN.format('host')} AS domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM h GROUP BY 1")
+@query("h3_domain_rollup", f"WITH h AS (SELECT {HOST.format('target_url')} AS host FROM links) SELECT {DOMAIN.format('host')} AS domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM h GROUP BY 1")
 def h3(v: Views):
-    return op.domain_rollup(v.pages)
+    return op.domain_rollup(v.links.selectExpr("target_url as url"))
 
 
 @query("h4_outbound_links", r"""WITH a AS (SELECT page_id, url AS source_url, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1, 'is')) AS href FROM pages)
@@ -45,18 +45,21 @@ def h4(v: Views):
     return op.outbound_links(v.pages).groupBy("page_id", "source_url", "target_url").agg(F.count("*").alias("n"))
 
 
-EVIDENCE = f"""hl AS (SELECT {HOST.format('source_url')} AS from_host, {HOST.format('target_url')} AS host, target_url, page_id FROM links),
-dl AS (SELECT *, {DOMAIN.format('from_host')} AS source, {DOMAIN.format('host')} AS domain FROM hl),
-kn AS (SELECT DISTINCT {DOMAIN.format(HOST.format('url'))} AS domain FROM pages WHERE page_id = 0),
-kl AS (SELECT * FROM dl WHERE source <> domain AND domain NOT IN (SELECT domain FROM kn)),
-mh AS (SELECT domain, host FROM (SELECT domain, host, count(*) AS n FROM kl GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY host NOT LIKE 'blog.%', n DESC, length(host), host) = 1),
-ev AS (SELECT kl.domain, count(DISTINCT source) AS sources, count(*) AS links, bool_or(kl.host LIKE 'blog.%') AS blog_host, bool_or(regexp_matches(lower(target_url), '/(blog|posts?|articles?)(/|$)')) AS blog_path,
-  min(page_id) AS origin, any_value(mh.host) AS main_host FROM kl JOIN mh ON mh.domain = kl.domain GROUP BY 1),
-ga AS (SELECT *, CAST(blog_host::INT + blog_path::INT AS INT) AS blog_score, sources >= 2 OR blog_host::INT + blog_path::INT >= 2 AS passes FROM ev)"""
+EVIDENCE = rf"""hl AS (SELECT {HOST.format('source_url')} AS from_host, {HOST.format('target_url')} AS host, target_url, page_id FROM links),
+dl AS (SELECT *, CASE WHEN from_host <> '' THEN {DOMAIN.format('from_host')} END AS source, {DOMAIN.format('host')} AS domain FROM hl),
+kn AS (SELECT DISTINCT {DOMAIN.format(HOST.format('url'))} AS domain FROM pages WHERE page_id % 50 = 0),
+kl AS (SELECT * FROM dl WHERE source IS DISTINCT FROM domain AND domain NOT IN (SELECT domain FROM kn) AND domain NOT IN ('github.com', 'substack.com', 'medium.com')),
+mh AS (SELECT domain, host, site FROM (SELECT domain, host, count(*) AS n, arg_min(regexp_extract(target_url, '^(https?://[^/?#]+)', 1), {{'p': page_id, 't': target_url}}) AS site FROM kl GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY domain ORDER BY host NOT LIKE 'blog.%', n DESC, length(host), host) = 1),
+ev AS (SELECT kl.domain, count(DISTINCT source) AS sources, count(*) AS links, bool_or(kl.host LIKE 'blog.%') AS blog_host,
+  bool_or(regexp_matches(lower(regexp_extract(target_url, '^https?://[^/?#]+([^?#]*)', 1)), '/(blog|posts?|writing|articles?|notes?|essays?)\b|/(19|20)\d\d/')) AS blog_path,
+  min(page_id) AS origin, any_value(mh.host) AS main_host, any_value(mh.site) AS site FROM kl JOIN mh ON mh.domain = kl.domain GROUP BY 1),
+gs AS (SELECT *, CAST(blog_host::INT + blog_path::INT + CASE WHEN regexp_matches(domain, '(^|\.)(github\.io|substack\.com|wordpress\.com|blogspot\.com|hatenablog\.com|hatenadiary\.jp|ghost\.io|bearblog\.dev|medium\.com|dev\.to|zenn\.dev|qiita\.com|note\.com|svbtle\.com|posthaven\.com)$') THEN 2 ELSE 0 END AS INT) AS blog_score FROM ev),
+ga AS (SELECT *, sources >= 1 AND (sources >= 2 OR blog_score >= 2) AS passes FROM gs)"""
 
 
 def evidence(v: Views):
-    known = v.pages.where("page_id = 0").select(op.registrable(op.host_of(F.col("url"))).alias("domain"))
+    known = v.pages.where("page_id % 50 = 0").select(op.registrable(op.host_of(F.col("url"))).alias("domain"))
     return op.domain_evidence(v.links, known)
 
 
@@ -65,31 +68,48 @@ def h5(v: Views):
     return evidence(v)
 
 
-@query("h6_gate_domains", f"WITH {EVIDENCE} SELECT count(*) AS examined, count(*) FILTER (passes) AS passed, count(*) FILTER (sources = 0) AS no_source, count(*) FILTER (NOT passes AND sources > 0) AS low_signal, count(*) FILTER (passes AND sources < 2) AS blog_escapes FROM ga")
+@query("h6_gate_domains", f"""WITH {EVIDENCE} SELECT count(*) AS examined, count(*) FILTER (passes) AS passed, count(*) FILTER (sources = 0) AS no_source, count(*) FILTER (NOT passes AND sources > 0) AS low_signal, count(*) FILTER (passes AND sources < 2) AS blog_escapes,
+  count(*) FILTER (NOT passes AND sources > 0 AND blog_score = 0) AS low_signal_score_0, count(*) FILTER (NOT passes AND sources > 0 AND blog_score = 1) AS low_signal_score_1 FROM ga""")
 def h6(v: Views):
     return op.gate_stats(op.gate_domains(evidence(v)))
 
 
-@query("h7_rank_sites", f"""WITH {EVIDENCE} SELECT domain, concat('https://', main_host) AS site, 3 * sources + blog_score AS rank_score, concat('article-links:', sources, 'src') AS discovered_from FROM ga WHERE passes
+@query("h7_rank_sites", f"""WITH {EVIDENCE} SELECT domain, site, 3 * sources + blog_score AS rank_score, concat('article-links:', sources, 'src') AS discovered_from FROM ga WHERE passes
 ORDER BY rank_score DESC, sources DESC, domain LIMIT 40""")
 def h7(v: Views):
     return op.rank_sites(op.gate_domains(evidence(v)))
 
 
-FOUND = """SELECT concat('d', CAST(page_id % 60 AS STRING)) AS domain, concat('https://f', CAST(page_id % 90 AS STRING), '.example.org/feed') AS url, page_id AS pos FROM {pages}"""
+#: Feeds found on pages: several of a domain, some of them under one url.
+FOUND = f"""SELECT {{domain}} AS domain, concat('https://f', CAST(page_id % 90 AS STRING), '.example.org/feed') AS url, page_id AS pos FROM {{pages}}"""
+SPARK_DOMAIN = "concat('d', CAST((page_id - page_id % 3) % 240 AS STRING))"
+LANDED = f"""WITH f AS ({FOUND.format(domain=SPARK_DOMAIN, pages='pages')}), k AS (SELECT *, TRY_CAST(substr(domain, 2) AS INT) AS d, TRY_CAST(regexp_extract(url, 'f(\\d+)\\.', 1) AS INT) AS u FROM f),
+o AS (SELECT *, d % 5 = 0 AS is_feed, d % 7 = 0 AS is_candidate, row_number() OVER (PARTITION BY domain ORDER BY pos, url) = 1 AS first FROM k),
+n AS (SELECT *, NOT is_feed AND NOT is_candidate AND first AS new FROM o),
+m AS (SELECT domain, url, pos, CASE WHEN is_feed THEN 'existing' WHEN NOT new THEN 'candidate' WHEN u % 11 = 0 OR row_number() OVER (PARTITION BY url, new ORDER BY pos, domain) > 1 THEN 'same url' ELSE 'inserted' END AS outcome FROM n)"""
+
 
+def landed(v: Views):
+    found = v.sql(FOUND.format(domain=SPARK_DOMAIN, pages="{pages}"))
+    d, u = F.substring("domain", 2, 9).cast("int"), F.regexp_extract("url", r"f(\d+)\.", 1).cast("int")
+    feeds = found.where(d % 5 == 0).select("domain")
+    candidates = found.where(d % 7 == 0).select("domain", F.lit("https://old.example.org/feed").alias("url"))
+    candidates = candidates.union(found.where(u % 11 == 0).select(F.concat(F.lit("old-"), "domain"), "url"))
+    return op.land_discovered(found, feeds, candidates)
 
-@query("h8_land_discovered", f"""WITH f AS ({FOUND.replace('{pages}', 'pages')}), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY pos, url) = 1),
-m AS (SELECT *, TRY_CAST(regexp_extract(url, 'f(\\d+)\\.', 1) AS INT) AS k FROM o)
-SELECT domain, url, CASE WHEN k % 5 = 0 THEN 'existing' WHEN k % 7 = 0 THEN 'candidate' ELSE 'inserted' END AS outcome, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN -0.3::DOUBLE END AS credibility FROM m""")
+
+@query("h8_land_discovered", f"{LANDED} SELECT domain, url, pos, outcome, CASE WHEN outcome = 'inserted' THEN -0.3::DOUBLE END AS credibility FROM m")
 def h8(v: Views):
-    found = v.sql(FOUND)
-    k = F.regexp_extract("url", r"f(\d+)\.", 1).cast("int")
-    urls = found.select("url").distinct()
-    return op.land_discovered(found, urls.where(k % 5 == 0), urls.where(k % 7 == 0))
+    return landed(v)
+
+
+@query("h8_landing_counts", f"{LANDED} SELECT count(*) AS discovered, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'existing') AS skipped_existing, count(*) FILTER (outcome = 'candidate') AS skipped_candidate FROM m")
+def h8_counts(v: Views):
+    return op.landing_counts(landed(v))
 
 
-@query("h9_feed_links", f"""SELECT page_id, i - 1 AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i') || '/' || ([{', '.join(f"'{p}'" for p in op.SUB_PATHS)}])[i] AS feed_url FROM pages CROSS JOIN (SELECT unnest(range(1, {len(op.SUB_PATHS) + 1})) AS i)""")
+@query("h9_feed_links", """SELECT page_id, i - 1 AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i') || (['/feed', '/feed/', '/rss', '/rss.xml', '/feed.xml', '/atom.xml', '/index.xml', '/rss/', '/feed/atom', '/blog/feed', '/blog/rss', '/feeds/posts/default', '/?feed=rss2'])[i] AS feed_url
+FROM pages CROSS JOIN (SELECT unnest(range(1, 14)) AS i)""")
 def h9(v: Views):
     return op.feed_links(v.pages).withColumn("pos", F.col("pos").cast("long"))
 

@@ -25,13 +25,14 @@ def a2(v: Views):
 
 
 _TEXT = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '&nbsp;', ' ', 'gi'),
+  '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '&nbsp;', ' ', 'gi'),
   '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS text FROM pages"""
 
 
-@query("a3_text_profile", f"""SELECT page_id, text, length(text) AS body_len, length(text) < 300 AS thin, length(text) >= 250 AS gate_ok FROM ({_TEXT})""")
+@query("a3_text_profile", f"""SELECT page_id, text, length(text) AS body_len, CAST(ceil(CAST(0.4 AS DOUBLE) * length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) + CAST(1.5 AS DOUBLE) * (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))) AS BIGINT) AS tokens,
+  length(text) < 300 AS thin, length(text) >= 250 AS gate_ok FROM ({_TEXT})""")
 def a3(v: Views):
-    return op.text_profile(v.pages).select("page_id", "text", "body_len", "thin", "gate_ok")
+    return op.text_profile(v.pages).select("page_id", "text", "body_len", "tokens", "thin", "gate_ok")
 
 
 @query("a4_text_profile_report", f"""SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS unknown, count(*) FILTER (length(text) >= 250) AS over_gate,

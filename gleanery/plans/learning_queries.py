@@ -123,7 +123,7 @@ def g11(v: Views):
     return op.category_mastery(m, v.questions).withColumn("mean", F.round(F.col("mean") + 3e-8, 6))
 
 
-POOL = f"""SELECT t.tenant, q.question_id, q.concept_key, q.difficulty FROM (SELECT DISTINCT tenant FROM {{attempts}}) t CROSS JOIN {{questions}} q WHERE q.status = 'active' AND NOT q.dup_flag"""
+POOL = f"""SELECT t.tenant, q.question_id, q.concept_key, q.category, q.difficulty FROM (SELECT DISTINCT tenant FROM {{attempts}}) t CROSS JOIN {{questions}} q WHERE q.status = 'active' AND NOT q.dup_flag"""
 SERVED = f"""SELECT user_id AS tenant, concat('c', CAST(event_id % 60 % 25 AS STRING)) AS concept_key, CAST(0.5 + (user_id % 5) * 0.1 - 0.3 AS DOUBLE) AS mastery, count(*) AS attempts, max(ts) AS last_served_at FROM {{events}} WHERE event_id % 60 % 25 < 12
 GROUP BY user_id, concat('c', CAST(event_id % 60 % 25 AS STRING))"""
 PRIORITY = f"""pl AS ({POOL.replace('{', '').replace('}', '')}), sv AS ({SERVED.replace('{', '').replace('}', '')}),
@@ -146,6 +146,17 @@ def g13(v: Views):
     return op.select_session(v.sql(POOL), v.attempts, v.sql(SERVED), NOW).withColumn("place", F.col("place").cast("long"))
 
 
+@query("g13_select_category", f"""WITH {PRIORITY}, la AS (SELECT tenant, question_id, arg_max(is_correct, attempt_id) AS ok, max(created_at) AS at FROM attempts GROUP BY 1, 2),
+ne AS (SELECT * FROM ps WHERE category = 'tech/1' QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY question_id DESC) <= 4),
+fr AS (SELECT ne.tenant, ne.question_id, ne.concept_key, round(priority, 9) AS p FROM ne LEFT JOIN la ON la.tenant = ne.tenant AND la.question_id = ne.question_id
+  WHERE la.at IS NULL OR (epoch_us({T}) - epoch_us(la.at)) / 86400000000.0 >= CASE WHEN ok THEN 14 ELSE 4 END),
+be AS (SELECT *, row_number() OVER (PARTITION BY tenant, concept_key ORDER BY p DESC, question_id) AS b FROM fr)
+SELECT tenant, question_id, row_number() OVER (PARTITION BY tenant ORDER BY b > 1, p DESC, question_id) AS place FROM be QUALIFY place <= 3""")
+def g13_category(v: Views):
+    out = op.select_session(v.sql(POOL), v.attempts, v.sql(SERVED), NOW, size=3, newest=4, category="tech/1")
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 @query("g14_mark_served", f"""WITH sv AS ({SERVED.replace('{', '').replace('}', '')}), hit AS (SELECT DISTINCT tenant, concept_key FROM attempts WHERE tenant % 2 = 0)
 SELECT coalesce(s.tenant, h.tenant) AS tenant, coalesce(s.concept_key, h.concept_key) AS concept_key, round(coalesce(mastery, 0.3), 6) AS mastery, coalesce(attempts, 0) AS attempts,
   CAST(CASE WHEN h.tenant IS NOT NULL THEN {T} ELSE last_served_at END AS VARCHAR) AS last_served_at FROM sv s FULL JOIN hit h ON h.tenant = s.tenant AND h.concept_key = s.concept_key""")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from gleanery.constants import NOW
+from gleanery.functions.text import text_tokens
 from gleanery.operators import queues as op
+from gleanery.operators.health import hours_since, stale_fetch
 from gleanery.operators.landing import at
 from gleanery.plans.registry import query
 from gleanery.sources.views import Views
@@ -130,13 +132,27 @@ def f10b(v: Views):
 
 @query("f11_embed_candidates", f"""WITH done AS (SELECT feed_id, count(*) AS done FROM articles WHERE embedded_at >= {T} - INTERVAL 24 HOUR GROUP BY 1),
 r AS (SELECT a.article_id, a.feed_id, a.published_at, a.content, 5 - coalesce(done, 0) AS room FROM articles a JOIN feeds f ON f.feed_id = a.feed_id AND f.active LEFT JOIN done d ON d.feed_id = a.feed_id
-  WHERE embedding IS NULL AND coalesce(body_len, 0) >= 250 AND published_at >= {T} - INTERVAL 30 DAY)
-SELECT article_id, feed_id, md5(substr(content, 1, 8000)) AS body, (SELECT count(*) FROM r) AS eligible FROM (
-  SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, article_id) AS n FROM r QUALIFY n <= room) ORDER BY published_at DESC, article_id LIMIT 40""")
+  WHERE embedding IS NULL AND coalesce(body_len, 0) >= 250 AND published_at >= {T} - INTERVAL 30 DAY),
+e AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, article_id) AS n FROM r QUALIFY n <= room)
+SELECT article_id, feed_id, md5(substr(content, 1, 8000)) AS body, (SELECT count(*) FROM e) AS eligible FROM e ORDER BY published_at DESC, article_id LIMIT 40""")
 def f11(v: Views):
     return op.embed_candidates(v.articles, v.feeds, per_day=5, max_rows=40).select("article_id", "feed_id", F.md5("body").alias("body"), "eligible")
 
 
+PENDING = f"""done AS (SELECT feed_id, count(*) AS done FROM articles WHERE embedded_at >= {T} - INTERVAL 24 HOUR GROUP BY 1),
+mi AS (SELECT a.article_id, a.feed_id, a.published_at, coalesce(body_len, 0) AS len, coalesce(done, 0) AS done FROM articles a JOIN feeds f ON f.feed_id = a.feed_id AND f.active LEFT JOIN done d ON d.feed_id = a.feed_id
+  WHERE embedding IS NULL AND published_at >= {T} - INTERVAL 30 DAY),
+ra AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, article_id) AS n FROM mi WHERE len >= 250),
+pe AS (SELECT count(*) AS gated, count(*) FILTER (n <= 5 - done) AS eligible, (SELECT count(*) FROM mi) AS every FROM ra),
+closed AS (SELECT count(*) AS gated, count(*) FILTER (n <= 0 - done) AS eligible, (SELECT count(*) FROM mi) AS every FROM ra)"""
+
+
+@query("f11_embed_pending", f"""WITH {PENDING} SELECT per_day, CASE WHEN eligible > 0 THEN gated ELSE every END AS pending, eligible > 0 AS pending_capped, eligible FROM (SELECT 5 AS per_day, * FROM pe UNION ALL SELECT 0, * FROM closed)""")
+def f11_pending(v: Views):
+    one = op.embed_pending(v.articles, v.feeds, per_day=5).select(F.lit(5).alias("per_day"), "*")
+    return one.union(op.embed_pending(v.articles, v.feeds, per_day=0).select(F.lit(0), "*"))
+
+
 @query("f12_embed_inputs", """SELECT article_id, md5(trim(substr(content, 1, 30)) || CASE WHEN trim(substr(content, 31, 250)) <> '' THEN chr(10) || trim(substr(content, 31, 250)) ELSE '' END) AS input FROM articles WHERE trim(substr(content, 1, 30)) <> ''""")
 def f12(v: Views):
     made = op.embed_input(F.substring("content", 1, 30), F.expr("substring(content, 31)"))
@@ -149,7 +165,7 @@ def f13(v: Views):
 
 
 def sized(v: Views):
-    return v.documents.select(F.col("source").alias("queue"), F.col("doc_id").alias("id"), op.text_tokens(F.col("text")).alias("tokens"))
+    return v.documents.select(F.col("source").alias("queue"), F.col("doc_id").alias("id"), text_tokens(F.col("text")).alias("tokens"))
 
 
 @query("f14_token_batches", r"""WITH RECURSIVE t AS (SELECT source AS queue, doc_id AS id, CAST(ceil(CAST(0.4 AS DOUBLE) * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + CAST(1.5 AS DOUBLE) * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')))) AS BIGINT) AS tokens,
@@ -207,16 +223,35 @@ def j2(v: Views):
     return op.activity_counts(v.articles)
 
 
-@query("j1_run_guards", f"""WITH act AS {ACTIVITY}, m AS (SELECT *, (SELECT count(*) FROM articles WHERE summary IS NOT NULL AND published_at >= {T} - INTERVAL 72 HOUR) AS deck,
-  (SELECT count(*) FROM leases WHERE attempts >= 3 AND failed_at >= {T} - INTERVAL 24 HOUR) AS q FROM act)
-SELECT unnest(['embed_dead', 'embed_stalled', 'deck_starved', 'quarantine_surge', 'batch_stuck', 'all_failed', 'prune_stalled']) AS guard,
-  unnest([false, embedded_recent = 0 AND embed_waiting > 0, deck < 40, q > 5, false, false, false]) AS fails FROM m""")
+METRIC = f"""m AS (SELECT *, (SELECT count(*) FROM articles WHERE summary IS NOT NULL AND published_at >= {T} - INTERVAL 72 HOUR) AS deck,
+  (SELECT count(*) FROM leases WHERE attempts >= 3 AND failed_at >= {T} - INTERVAL 24 HOUR) AS q, (SELECT count(*) FROM fetches) AS fetched, (SELECT count(error) FROM fetches) AS failed,
+  (SELECT count(*) FROM fetches WHERE error IS NOT NULL AND (epoch_us({T}) - epoch_us(coalesce(last_fetched_at, created_at))) / 3600000000.0 >= 24) AS stale,
+  (SELECT max((epoch_us({T}) - epoch_us(submitted_at)) / 3600000000.0) FROM rounds WHERE status = 'submitted') AS oldest,
+  (SELECT count(*) FROM round_results) AS n_results, (SELECT count(*) FROM round_results WHERE outcome = 'succeeded') AS applied,
+  (SELECT count(*) FROM articles WHERE embedding IS NOT NULL AND published_at < {T} - INTERVAL 35 DAY) AS left_over, every, eligible, gated FROM {ACTIVITY} act, pe)"""
+
+
+@query("j1_run_guards", f"""WITH {PENDING}, {METRIC}
+SELECT unnest(['all_failed', 'stale_feeds', 'annotate_dead', 'selection_dead', 'cap_unavailable', 'ledger_failed', 'submit_dead', 'submit_settle_failed', 'orphaned', 'list_failed',
+    'collect_settle_failed', 'collect_dead', 'batch_stuck', 'quarantine_surge', 'embed_dead', 'embed_stalled', 'embed_gate_stuck', 'embed_select_stalled', 'deck_starved', 'prune_stalled']) AS guard,
+  unnest([fetched > 0 AND failed = fetched, stale > 0, false, false, false, false, false, false, true, false, false, n_results > 0 AND applied = 0, oldest > 36, q > 5, false,
+    embedded_recent = 0 AND embed_waiting > 0, CASE WHEN eligible > 0 THEN gated ELSE every END > 0 AND eligible = 0, false, deck < 40, left_over < 0 OR left_over > 1000]) AS fails FROM m""")
 def j1(v: Views):
     deck = v.articles.where(F.col("summary").isNotNull() & (F.col("published_at") >= at(NOW) - F.expr("interval 72 hours"))).agg(F.count("*").alias("deck_available"))
     full = op.quarantine_report(v.leases, samples=1).select(F.col("total").alias("quarantined"))
-    metrics = op.activity_counts(v.articles).crossJoin(deck).join(full, F.lit(True), "left")
-    unknown = {c: F.lit(None).cast("long") for c in ("embed_attempted", "embed_succeeded", "oldest_round_hours", "annotated_attempted", "annotated", "prune_remaining")}
-    return op.run_guards(metrics.withColumns(unknown))
+    fetched = v.fetches.agg(F.count("*").alias("fetch_results"), F.count("error").alias("fetch_failed"))
+    stale = stale_fetch(v.fetches).agg(F.count("*").alias("stale_feeds"))
+    oldest = v.rounds.where("status = 'submitted'").agg(F.max(hours_since("submitted_at", NOW)).alias("oldest_round_hours"))
+    results = v.round_results.agg(
+        F.count_if(F.col("outcome") == "succeeded").alias("collect_applied"), F.count_if(F.col("outcome") == "errored").alias("collect_attempted"),
+        F.count_if(F.col("outcome") == "expired").alias("collect_expired"), F.lit(0).cast("long").alias("collect_canceled"), F.lit(0).cast("long").alias("collect_superseded"),
+    ).withColumn("collect_attempted", F.col("collect_attempted") + F.col("collect_applied"))
+    kept = v.articles.where(F.col("embedding").isNotNull() & (F.col("published_at") < at(NOW) - F.expr("interval 35 days"))).agg(F.count("*").alias("prune_remaining"))
+    pending = op.embed_pending(v.articles, v.feeds, per_day=5).select(F.col("pending").alias("embed_pending"), F.col("eligible").alias("embed_eligible"))
+    metrics = op.activity_counts(v.articles).join(full, F.lit(True), "left").withColumn("batch_id_write_error", F.lit("timeout"))
+    for one in (deck, fetched, stale, oldest, results, kept, pending):
+        metrics = metrics.crossJoin(one)
+    return op.run_guards(metrics)
 
 
 @query("j3_refresh_cooldown", """SELECT user_id AS tenant, max(ts) > TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE AS skip FROM events GROUP BY 1""")

@@ -37,7 +37,7 @@ def s1(v: Views):
     folder = _folder(v)
     feeds = v.feeds.select("feed_id", "active")
     jobs.stream_land_items(_as_stream(v, v.raw_items, folder), feeds, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return v.spark.read.parquet(f"{folder}/out")
+    return v.spark.read.schema("feed_id string, guid string, link string, content string, pos long").parquet(f"{folder}/out")
 
 
 @query("s2_stream_preferences", f"""WITH {REBUILT} SELECT tenant, pref_key, round(CAST(sum(w) AS DOUBLE) + 0.0000001, 4) AS weight FROM each GROUP BY 1, 2""")

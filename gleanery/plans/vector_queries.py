@@ -42,13 +42,31 @@ def d2(v: Views):
     return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long"))
 
 
-@query("d3_qa_context", rf"""WITH {MATCHES}, ci AS (SELECT query_id, vec_id FROM ma WHERE query_id % 100 = 0 AND place <= 2)
-SELECT m.query_id, m.vec_id, m.place, trim(regexp_replace(regexp_replace(summary, '[<>\[\]`*#]', ' ', 'g'), '\s+', ' ', 'g')) AS passage,
-  c.vec_id IS NOT NULL OR NOT bool_or(c.vec_id IS NOT NULL) OVER (PARTITION BY m.query_id) AS source FROM ma m JOIN articles a ON a.article_id = m.vec_id LEFT JOIN ci c ON c.query_id = m.query_id AND c.vec_id = m.vec_id""")
+SEARCHED = """row_number() OVER (PARTITION BY query_id ORDER BY s DESC, article_id) AS place, title, summary, feed_id
+  FROM (SELECT query_id, a.*, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM qs CROSS JOIN articles a WHERE embedding IS NOT NULL AND summary IS NOT NULL"""
+
+
+@query("d2_search_articles", f"""WITH {QUERIES} SELECT query_id, article_id AS vec_id, round(s, 6) AS similarity, {SEARCHED} AND published_at >= {T} - INTERVAL 20 DAY AND feed_id = 'src0') WHERE s > 0.2 QUALIFY place <= 8""")
+def d2_articles(v: Views):
+    out = op.search_articles(v.articles, asked(v), threshold=0.2, after="2024-01-11 00:00:00", feed="src0")
+    return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long"), "title", "summary", "feed_id")
+
+
+#: Questions, some of which are opposed to everything.
+QUESTIONS = """SELECT vec_id AS query_id, {turned} AS q FROM {embeddings} WHERE vec_id % 50 = 0"""
+
+
+@query("d3_qa_context", rf"""WITH qs AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 150 = 0 THEN 0 ELSE x END) AS q FROM embeddings WHERE vec_id % 50 = 0),
+ma AS (SELECT query_id, article_id AS vec_id, {SEARCHED}) WHERE s > 0.3 AND NOT isnan(s) QUALIFY place <= 8), ci AS (SELECT query_id, vec_id FROM ma WHERE query_id % 100 = 0 AND place <= 2),
+cl AS (SELECT m.query_id, m.vec_id, m.place, trim(regexp_replace(regexp_replace(title, '[<>\[\]`*#]', ' ', 'g'), '\s+', ' ', 'g')) AS t, trim(regexp_replace(regexp_replace(summary, '[<>\[\]`*#]', ' ', 'g'), '\s+', ' ', 'g')) AS p,
+  c.vec_id IS NOT NULL OR NOT bool_or(c.vec_id IS NOT NULL) OVER (PARTITION BY m.query_id) AS source FROM ma m LEFT JOIN ci c ON c.query_id = m.query_id AND c.vec_id = m.vec_id)
+SELECT qs.query_id, vec_id, place, CASE WHEN vec_id IS NOT NULL THEN coalesce(nullif(t, ''), '(無題)') END AS title, CASE WHEN vec_id IS NOT NULL THEN concat_ws(chr(10), nullif(t, ''), nullif(p, '')) END AS passage, source,
+  CASE WHEN vec_id IS NULL THEN 'abstain' ELSE 'answer' END AS outcome FROM qs LEFT JOIN cl ON cl.query_id = qs.query_id""")
 def d3(v: Views):
-    found = op.knn_search(v.embeddings, asked(v), threshold=0.3)
+    questions = v.sql(QUESTIONS.replace("{turned}", "transform(embedding, x -> CASE WHEN vec_id % 150 = 0 THEN 0 ELSE x END)"))
+    found = op.search_articles(v.articles, questions, threshold=0.3)
     cited = found.where("query_id % 100 = 0 and place <= 2").select("query_id", "vec_id")
-    return op.qa_context(found, v.articles, cited).withColumn("place", F.col("place").cast("long"))
+    return op.qa_context(questions, found.select("query_id", "vec_id", "place"), v.articles, cited).withColumn("place", F.col("place").cast("long"))
 
 
 WINDOW = f"wi AS (SELECT article_id, feed_id, published_at, embedding, CASE WHEN embedded_at >= {E} THEN 'lead' ELSE 'legacy' END AS recipe FROM articles WHERE embedding IS NOT NULL AND published_at >= {T} - INTERVAL 30 DAY)"

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -18,6 +19,7 @@ VIEWS = {
   TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * (CAST(substr(source, 4) AS INT) * 3) AS created_at
 FROM (SELECT DISTINCT source FROM {documents}) s""",
     "articles": """SELECT d.doc_id AS article_id, d.source AS feed_id, d.text AS content, d.n_chars AS body_len,
+  CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE concat('<b>', d.source, '</b> no. ', CAST(d.doc_id AS STRING)) END AS title,
   CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE substr(d.text, 1, 120) END AS summary,
   CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' MINUTE * CAST((d.doc_id * 7919) % 57600 AS INT) END AS published_at,
   e.embedding AS embedding,
@@ -36,18 +38,25 @@ FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {documents}) c WHERE e.eve
   CASE WHEN question_id % 13 = 0 THEN 'retired' ELSE 'active' END AS status, CAST(question_id % 4 AS INT) AS answer_index,
   CASE WHEN question_id % 9 = 0 THEN NULL ELSE question_id % 40 END AS source_ref
 FROM (SELECT DISTINCT event_id % 60 AS question_id FROM {events}) q""",
-    "links": """SELECT p.page_id, p.url AS source_url, t.url AS target_url FROM {pages} p CROSS JOIN (SELECT count(*) AS n FROM {pages}) c
-JOIN {pages} t ON t.page_id IN ((p.page_id * 7 + 1) % c.n, (p.page_id * 7 + 2) % c.n, (p.page_id * 11 + 5) % c.n)""",
+    "urls": """SELECT page_id, CASE page_id % 12 WHEN 0 THEN concat(replace(url, '#top', ''), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'ref_src=tw&b=2&a=1&Ref=k&flag')
+  WHEN 1 THEN replace(url, '/en/', ':443/en/') WHEN 2 THEN concat('http://[2001:DB8::', CAST(page_id % 90 AS STRING), ']:80/a//') WHEN 3 THEN 'https://[::ffff:8.8.8.8]/x'
+  WHEN 4 THEN concat('http://[::ffff:10.0.0.', CAST(page_id % 200 AS STRING), ']/') WHEN 5 THEN concat('http://10.0.0.', CAST(page_id % 200 AS STRING), '/a') WHEN 6 THEN 'ftp://a.example.com/'
+  WHEN 7 THEN 'http://224.0.0.1/' WHEN 8 THEN concat('http://p', CAST(page_id % 70 AS STRING), '.local:8080/') ELSE url END AS url FROM {pages}""",
+    "links": """SELECT page_id, CASE WHEN page_id % 19 = 18 THEN NULL ELSE url END AS source_url, concat(CASE page_id % 2 WHEN 0 THEN 'https://' ELSE 'http://' END,
+  CASE length(word) % 6 WHEN 0 THEN 'blog.' WHEN 1 THEN 'www.' ELSE '' END, CASE WHEN length(word) % 4 = 3 THEN '' ELSE concat(lower(word), '.') END,
+  CASE length(word) % 9 WHEN 0 THEN 'github.io' WHEN 1 THEN 'substack.com' WHEN 2 THEN 'co.uk' WHEN 3 THEN 'github.com' WHEN 4 THEN 'hatenablog.com' WHEN 5 THEN 'note.com' ELSE 'example.com' END,
+  CASE (page_id + length(word)) % 7 WHEN 0 THEN '/blog/x' WHEN 1 THEN '/2024/05' WHEN 2 THEN '/Writing?p=1' WHEN 3 THEN '/blogs?q=/posts/' ELSE '/' END) AS target_url
+FROM (SELECT page_id, url, explode(regexp_extract_all(html, '<a href="/([a-zA-Z]+)"', 1)) AS word FROM {pages}) h""",
     "rounds": """SELECT o_orderkey AS round_id, CASE o_orderstatus WHEN 'F' THEN 'collected' WHEN 'O' THEN 'submitted' ELSE 'claimed' END AS status,
   CAST(o_orderdate AS TIMESTAMP) AS submitted_at, CASE WHEN o_orderkey % 2 = 0 THEN 'batch' ELSE 'sync' END AS mode,
   CAST(o_orderkey % 30 AS BIGINT) AS request_count, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('b', CAST(o_orderkey AS STRING)) END AS batch_id
 FROM {orders}""",
     "round_results": """SELECT l_orderkey AS round_id, l_linenumber AS item_id,
   CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'N' THEN 'errored' ELSE 'expired' END AS outcome, CAST(l_partkey AS BIGINT) AS tokens FROM {lineitem}""",
-    "raw_items": """SELECT doc_id AS pos, source AS feed_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '' ELSE concat('g', CAST(doc_id % 300 AS STRING)) END AS guid,
-  CASE WHEN doc_id % 21 = 0 THEN NULL ELSE concat('http://x.example/', CAST(doc_id % 250 AS STRING)) END AS link,
-  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 1, 40) END AS encoded, substr(text, 1, 20) AS content FROM {documents}""",
-    "landed": """SELECT source AS feed_id, concat('g', CAST(doc_id AS STRING)) AS guid FROM {documents} WHERE doc_id % 5 = 0 AND doc_id < 300""",
+    "raw_items": """SELECT doc_id AS pos, source AS feed_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '' ELSE concat('g', CAST(doc_id - doc_id % 40 AS STRING)) END AS guid,
+  CASE WHEN doc_id % 21 = 0 THEN NULL ELSE concat('http://x.example/', CAST(doc_id - doc_id % 33 AS STRING)) END AS link,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS encoded, concat(source, ' ', text) AS content FROM {documents}""",
+    "landed": """SELECT source AS feed_id, concat('g', CAST(doc_id - doc_id % 40 AS STRING)) AS guid FROM {documents} WHERE doc_id % 5 = 0""",
     "leases": """SELECT doc_id AS article_id, CAST(doc_id % 4 AS INT) AS attempts,
   CASE WHEN doc_id % 6 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' WHEN doc_id % 6 = 1 THEN TIMESTAMP '2024-01-30 06:00:00' ELSE NULL END AS reserved_until,
   CASE WHEN doc_id % 4 >= 2 THEN TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id % 60 AS INT) ELSE NULL END AS failed_at FROM {documents}""",
@@ -73,12 +82,29 @@ class Views:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
             raise AttributeError(name)
         if name not in self._made:
-            if name in TABLES:
+            if name == "quotes":
+                self._made[name] = self._quotes()
+            elif name in TABLES:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def _quotes(self) -> DataFrame:
+        """The view of that name, joined on words instead of comparing every text with every quote: a
+        text that contains a quote has the quote's second to fifth word, between the same blanks."""
+        words = lambda c: F.split(F.lower(c), " ")
+        key = lambda w, i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(4)))
+        items = self.benchmark.select("item_id", F.col("text").alias("quote")).distinct().withColumn("w", words(F.col("quote")))
+        long, short = items.where("size(w) >= 6").withColumn("key", key(F.col("w"), F.lit(1))).drop("w"), items.where("size(w) < 6 or w is null").drop("w")
+        docs = self.documents.select("doc_id", F.col("text").alias("body"), words(F.col("text")).alias("w")).where("size(w) >= 4")
+        keyed = docs.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
+        inside = F.contains(F.lower("body"), F.lower("quote"))
+        found = long.join(keyed, "key").where(inside).select("item_id", "quote", "doc_id").union(
+            short.join(self.documents.select("doc_id", F.col("text").alias("body")), inside).select("item_id", "quote", "doc_id")
+        ).groupBy("item_id", "quote").agg(F.min("doc_id").alias("found"))
+        return items.drop("w").join(found, ["item_id", "quote"], "left").select("item_id", "quote", F.coalesce("found", "item_id").alias("source_doc"), F.col("found").isNotNull().alias("verbatim"))
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"{(\w+)}", text))})
 
@@ -94,7 +120,8 @@ def with_views(sql: str) -> str:
                 needed.append(name)
 
     need(sql)
-    ctes = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in dict.fromkeys(needed)]
+    unnested = lambda text: re.sub(r"\bexplode\(", "unnest(", text)
+    ctes = [f"{n} AS ({unnested(re.sub(r'{(\w+)}', r'\1', VIEWS[n]))})" for n in dict.fromkeys(needed)]
     body = sql.strip()
     if not ctes:
         return body

@@ -15,18 +15,18 @@ from gleanery.operators.landing import land_items
 
 def stream_land_items(raw: DataFrame, feeds: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Land new items of a stream in the Parquet table at `target`: each micro-batch inserts what is
-    not there. A batch that runs again finds its own rows and inserts nothing twice."""
-    schema = "feed_id string, guid string, link string, content string, pos long"
+    not there. A batch that runs again finds its own rows and inserts nothing twice. The table is
+    partitioned by feed, so a batch reads the keys of its own feeds only."""
+    schema = "guid string, link string, content string, pos long, feed_id string"
+    spark = raw.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("feed_id").parquet(target)
 
     def land(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            landed = spark.read.schema(schema).parquet(target)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            landed = spark.createDataFrame([], schema)
-        land_items(batch, feeds, landed).write.mode("append").parquet(target)
+        batch = batch.persist()
+        touched = [r["feed_id"] for r in batch.select("feed_id").distinct().collect()]
+        landed = batch.sparkSession.read.schema(schema).parquet(target).where(F.col("feed_id").isin(touched)).select("feed_id", "guid")
+        land_items(batch, feeds, landed).write.mode("append").partitionBy("feed_id").parquet(target)
+        batch.unpersist()
 
     return raw.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
