@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery import constants as K
 from gleanery.functions.text import balanced_json, concept_slug
@@ -60,6 +61,58 @@ def test_deck_skips_duplicates_and_caps_sources(spark):
     assert [r.article_id for r in out] == [0, 2, 3, 9, 4, 5] and {r.deduped for r in out} == {2}
 
 
+def test_explore_picks_keep_the_cap_of_a_source_and_the_order_of_values(spark):
+    schema = "tenant long, article_id long, feed_id string, vec array<double>, pref double, recency double, value double"
+    rows = [(1, 1, "f", None, 0.0, 0.9, 5.0), (1, 2, "g", None, 0.1, 0.8, 3.0), (1, 3, "h", None, 0.1, 0.8, 4.0), (1, 4, "i", None, 2.0, 0.1, 9.0)]
+    seeds = spark.createDataFrame([(1, "f", None, 3.0, True)] * 3, "tenant long, feed_id string, vec array<double>, pref double, judged boolean")
+    out = ranking.pick_decks(spark.createDataFrame(rows, schema), seeds).orderBy("place").collect()
+    # f has its three already: neither explore nor value takes it; of two as recent the better one comes first
+    assert [(r.article_id, r.reason) for r in out] == [(3, "explore"), (2, "explore"), (4, "value"), (1, "fill")]
+
+
+def _deck_by_hand(cands, seeds):
+    """The three passes of a deck, pick by pick, over plain rows."""
+    near = lambda a, b: a is not None and b is not None and sum(x * y for x, y in zip(a, b)) >= K.DUPLICATE_COSINE
+    feeds, vecs, picks = [s[0] for s in seeds], [s[1] for s in seeds], []
+    need = K.DECK_SIZE - len(seeds)
+    explored = sum(abs(s[2]) <= K.NEUTRAL_BAND and not s[3] for s in seeds)
+    ranked = sorted(cands, key=lambda c: (-c[5], c[0]))
+    neutral = sorted((c for c in ranked if abs(c[3]) <= K.NEUTRAL_BAND), key=lambda c: -c[4])
+    room = max(0, min(K.DECK_EXPLORE - explored, need)) if any(c[3] for c in cands) else 0
+    for rows, most, capped in ((neutral, room, True), (ranked, need, True), (ranked, need, False)):
+        taken = 0
+        for c in rows:
+            if len(picks) >= need or taken >= most:
+                break
+            if c[0] in picks or (capped and feeds.count(c[1]) >= K.DECK_PER_SOURCE) or any(near(c[2], v) for v in vecs):
+                continue
+            picks.append(c[0])
+            feeds.append(c[1])
+            vecs.append(c[2])
+            taken += 1
+    return picks
+
+
+def test_decks_equal_picks_by_hand(spark):
+    import random
+
+    rng = random.Random(4)
+    cands, seeds, want = [], [], {}
+    for tenant in range(12):
+        unit = lambda: (lambda t: [math.cos(t), math.sin(t)])(rng.random() * 6.3)
+        mine = [(k, f"f{rng.randrange(4)}", unit() if rng.random() < 0.5 else None, rng.choice([0.0, 0.2, -0.4, 1.5]), rng.randrange(9) / 10, float(rng.randrange(20))) for k in range(30)]
+        old = [(f"f{rng.randrange(4)}", unit() if rng.random() < 0.3 else None, rng.choice([0.0, 2.0]), rng.random() < 0.5) for _ in range(rng.randrange(5))]
+        cands += [(tenant, *c) for c in mine]
+        seeds += [(tenant, *s) for s in old]
+        want[tenant] = _deck_by_hand(mine, old)
+    c = spark.createDataFrame(cands, "tenant long, article_id long, feed_id string, vec array<double>, pref double, recency double, value double")
+    s = spark.createDataFrame(seeds, "tenant long, feed_id string, vec array<double>, pref double, judged boolean")
+    got: dict = {}
+    for r in ranking.pick_decks(c, s).orderBy("tenant", "place").collect():
+        got.setdefault(r.tenant, []).append(r.article_id)
+    assert got == want
+
+
 def test_zero_vectors_are_like_nothing(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0]), ([1.0, 0.0], [2.0, 0.0]), (None, [1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(vectors.cosine(df.a, df.b)).collect()] == [0.0, 0.0, 1.0, None]
@@ -68,14 +121,80 @@ def test_zero_vectors_are_like_nothing(spark):
 def test_urls(spark):
     cases = {
         "HTTP://WWW.Example.com/a/?b=2&utm_source=x&a=1#f": "http://example.com/a?a=1&b=2", "https://e.com": "https://e.com/", "ftp://e.com/": None, "mailto:x": None,
-        "https://e.com/a//?": "https://e.com/a",
+        "https://e.com/a//?": "https://e.com/a", "https://e.com:443/x?ref_src=tw&utm_id=1&flag": "https://e.com/x?flag=&utm_id=1", "http://e.com:8080/": "http://e.com:8080/",
+        "http://[2001:DB8::1]:80/a/": "http://[2001:db8::1]/a", "http://e.com:443/": "http://e.com:443/",
     }
     df = spark.createDataFrame([(u,) for u in cases], "url string")
     assert {r[0]: r[1] for r in df.select("url", discovery.canonical_url(df.url)).collect()} == cases
-    bad = ["http://127.0.0.1/", "http://172.16.0.1/", "http://[::1]/", "http://a.internal/", "file:///x"]
-    good = ["http://172.32.0.1/", "http://100.63.0.1/", "https://e.com/"]
+    bad = ["http://127.0.0.1/", "http://172.16.0.1/", "http://[::1]/", "http://a.internal/", "file:///x", "http://[::ffff:10.1.2.3]/", "http://[::ffff:7f00:1]/", "http://[fe90::1]/"]
+    good = ["http://172.32.0.1/", "http://100.63.0.1/", "https://e.com/", "http://[::ffff:8.8.8.8]/", "http://[::ffff:808:808]/", "http://224.0.0.1/", "http://[2001:db8::1]/"]
     df = spark.createDataFrame([(u,) for u in bad + good], "url string")
-    assert [r[0] is None for r in df.select(discovery.rejection(df.url)).collect()] == [False] * 5 + [True] * 3
+    assert [r[0] is None for r in df.select(discovery.rejection(df.url)).collect()] == [False] * len(bad) + [True] * len(good)
+    assert df.where(discovery.rejection(df.url, reserved=True) == "private address").where("url = 'http://224.0.0.1/'").count() == 1
+
+
+def test_domains_of_their_own(spark):
+    cases = {"thezvi.substack.com": "thezvi.substack.com", "a.b.github.io": "b.github.io", "www.bbc.co.uk": "bbc.co.uk", "x.y.example.com": "example.com", "github.io": "github.io", "a.co.kr": "co.kr"}
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    assert {r[0]: r[1] for r in df.select("host", discovery.registrable(df.host)).collect()} == cases
+
+
+def test_evidence_leaves_out_platforms_and_own_links(spark):
+    links = [("http://s.com/1", "https://twitter.com/u"), ("http://s.com/1", "http://s.com/2"), ("http://s.com/1", "http://blog.new.dev/2024/01/x"), ("http://t.com/1", "https://new.dev/"), (None, "https://www.odd.io/notes"), ("http://s.com/1", "http://w.ghost.io/")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(links)], "page_id long, source_url string, target_url string")
+    out = {r.domain: r for r in discovery.gate_domains(discovery.domain_evidence(df, spark.createDataFrame([], "domain string"))).collect()}
+    assert set(out) == {"new.dev", "odd.io", "w.ghost.io"}
+    assert (out["new.dev"].sources, out["new.dev"].main_host, out["new.dev"].site, out["new.dev"].blog_score) == (2, "blog.new.dev", "http://blog.new.dev", 2)
+    assert out["odd.io"].sources == 0 and not out["odd.io"].passes and out["w.ghost.io"].blog_score == 2 and out["w.ghost.io"].passes
+
+
+def test_discovered_feeds_land_once(spark):
+    found = spark.createDataFrame([("a", "u1", 1), ("a", "u2", 2), ("b", "u1", 3), ("c", "u3", 4), ("d", "u4", 5), ("e", "u5", 6)], "domain string, url string, pos long")
+    feeds, known = spark.createDataFrame([("c",)], "domain string"), spark.createDataFrame([("d", "x"), ("z", "u5")], "domain string, url string")
+    out = discovery.land_discovered(found, feeds, known)
+    assert [r.outcome for r in out.orderBy("pos").collect()] == ["inserted", "candidate", "same url", "existing", "candidate", "same url"]
+    assert discovery.landing_counts(out).first().asDict() == {"discovered": 6, "inserted": 1, "skipped_existing": 1, "skipped_candidate": 2}
+
+
+def test_feed_links_of_a_page(spark):
+    html = '<link rel="alternate" type="application/rss+xml" href="f.xml"><link type="application/atom+xml" rel=alternate href="http://10.0.0.1/x"><link rel="alternate" href="/no">'
+    out = discovery.feed_links(spark.createDataFrame([(1, "http://h.com/a/b", html)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [r.feed_url for r in out][:2] == ["http://h.com/f.xml", "http://h.com/feed"] and len(out) == 14
+
+
+def test_body_windows(spark):
+    texts = [(i, f" {'word ' * n}x{'y' * 300}z" if i % 2 else "w " * n) for i, n in enumerate((10, 40, 300, 700, 2000))]
+    out = {r.source_id: r for r in learning.body_windows(spark.createDataFrame(texts, "source_id long, text string"), 200, 7).collect()}
+    for i, t in texts:
+        start, body = out[i].start, out[i].body
+        if len(t) <= 200:
+            assert (start, body) == (0, t)
+        else:
+            assert body == t[start : start + 200].strip() and (start == 0 or t[start - 1] == " " or " " not in t[start : start + 199])
+
+
+def test_learn_sources(spark):
+    long = "<p>" + "text " * 40 + "</p>"
+    rows = [("b", 1, "http://e.com/a", long), ("b", 2, "http://www.e.com/a/", long), ("b", 3, "http://e.com/b", "<p>short</p>"), ("b", 4, "http://e.com/c", "<a href='x'>" + "link " * 40 + "</a>"),
+            ("b", 5, "nothing", long), ("b", 6, "http://e.com/late", long), ("c", 1, "http://k.com/", long)]
+    known = spark.createDataFrame([("http://k.com/",)], "key string")
+    out = discovery.validate_learn_sources(spark.createDataFrame(rows, "batch string, pos long, url string, html string"), known, chars=100)
+    assert [(r.batch, r.outcome) for r in out.orderBy("batch", "pos").collect()] == [("b", "inserted"), ("b", "known"), ("b", "short"), ("b", "links"), ("b", "invalid"), ("c", "known")]
+
+
+def test_guards(spark):
+    one = spark.createDataFrame([(-1, 5, 5, None, 0)], "prune_remaining long, fetch_results long, fetch_failed long, embed_skip_reason string, embedded_recent long").withColumns(
+        {"embed_waiting": F.lit(3), "embed_pending": F.lit(3), "embed_eligible": F.lit(0)}
+    )
+    fails = {r.guard for r in queues.run_guards(one).where("fails").collect()}
+    assert fails == {"prune_stalled", "all_failed", "embed_stalled", "embed_gate_stuck"}
+    full = one.withColumns({"embed_skip_reason": F.lit("disk_ceiling"), "prune_remaining": F.lit(0)})
+    assert {r.guard for r in queues.run_guards(full).where("fails").collect()} == {"all_failed"}
+
+
+def test_script_blocks_end_at_their_own_tag(spark):
+    df = spark.createDataFrame([("<script>a</style>b</script>c<STYLE x>d</Style >e</style>f",)], "html string")
+    assert df.select(landing.plain_text(df.html)).first()[0] == "c f"
 
 
 def test_links_resolve(spark):
