@@ -197,8 +197,34 @@ class DacReader:
         self.source.seek(int(self.offsets[k]))
         return Segment.from_bytes(self.source.read(int(self.offsets[k + 1] - self.offsets[k])))
 
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
+
     def get(self, i: int) -> int:
-        return self.segment(i // SEGMENT).get(i % SEGMENT)
+        """One id, from a few bytes for each of its chunks: the chunk, the bits of its rank block up to
+        it, and the block's rank."""
+        k, i = divmod(i, SEGMENT)
+        at = int(self.offsets[k]) + 4
+        value = shift = 0
+        for _ in range(int.from_bytes(self._read(at - 4, 4), "little")):
+            width, n, chunk_bytes, bitmap_bytes, n_ranks = np.frombuffer(self._read(at, 20), "<u4").tolist()
+            if not 0 <= i < n:
+                raise IndexError(i)
+            chunks, bits, ranks = at + 20, at + 20 + chunk_bytes, at + 20 + chunk_bytes + bitmap_bytes
+            first = i * width
+            window = int.from_bytes(self._read(chunks + (first >> 3), (first + width + 7 >> 3) - (first >> 3)), "little")
+            value |= (window >> (first & 7) & ((1 << width) - 1)) << shift
+            shift += width
+            if not bitmap_bytes:
+                break
+            block, bit = divmod(i, RANK_BITS)
+            upto = int.from_bytes(self._read(bits + block * RANK_BITS // 8, (bit >> 3) + 1), "little")
+            if not upto >> bit & 1:
+                break
+            i = int.from_bytes(self._read(ranks + 4 * block, 4), "little") + (upto & ((1 << bit) - 1)).bit_count()
+            at = ranks + 4 * n_ranks
+        return value
 
     def documents(self) -> Iterator[np.ndarray]:
         """The ids of each document in turn; one segment and one document are held."""
