@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.arrays import mix
 from gleanery.llm.components import connected_components
-from gleanery.llm.scratch import materialise
+from gleanery.llm.scratch import materialise, release_memory
 
 #: Random projections to this many tables, each of this many E8 blocks; the lattice's scale in
 #: unit vectors' distances; neighbouring cells probed in each block. Chosen for a measured recall
@@ -157,13 +157,18 @@ def near_duplicates(
 
     def compare(batches):
         for batch in batches:
-            x, y = ([np.array(v) for v in batch.column(c).to_pylist()] for c in ("va", "vb"))
-            cosine = [
-                float(p @ q / (np.linalg.norm(p) * np.linalg.norm(q))) if len(p) == len(q) else -1.0
-                for p, q in zip((p / np.abs(p).max() for p in x), (q / np.abs(q).max() for q in y))
-            ]
-            keep = pa.array(np.flatnonzero(np.array(cosine) >= threshold) if cosine else np.zeros(0, int))
-            yield batch.select(["a", "b"]).take(keep)
+            va, vb = batch.column("va"), batch.column("vb")
+            sizes, other = (np.diff(v.offsets.to_numpy()) for v in (va, vb))
+            x, y = (v.flatten().to_numpy(zero_copy_only=False) for v in (va, vb))
+            starts, other_starts = np.cumsum(sizes) - sizes, np.cumsum(other) - other
+            cosine = np.full(len(sizes), -1.0)
+            for d in np.unique(sizes[sizes == other]).tolist():
+                which = np.flatnonzero((sizes == d) & (other == d))
+                p, q = x[starts[which][:, None] + np.arange(d)], y[other_starts[which][:, None] + np.arange(d)]
+                p, q = (m / np.abs(m).max(axis=1, keepdims=True) for m in (p, q))
+                cosine[which] = np.einsum("ij,ij->i", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(cosine >= threshold)))
+        release_memory()
 
     known = classes.select("class", "v", "label")
     pairs = met.join(known.select(F.col("class").alias("a"), F.col("v").alias("va"), F.col("label").alias("la")), "a")
