@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INV = pow(_MULT, -1, 1 << 64)
@@ -24,6 +24,11 @@ _BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.
 _powers = {_MULT: np.ones(1, np.uint64), _MULT_INV: np.ones(1, np.uint64)}
 
 
+def forget_powers() -> None:
+    for base in _powers:
+        _powers[base] = np.ones(1, np.uint64)
+
+
 def _byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, bool)
     for low, high in excluded:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from gleanery.llm.arrays import (
     PLAIN_WORDS, find_words, lower, slice_hashes, text_chunks, window_hashes, windows_in_texts,
 )
+from gleanery.llm.scratch import materialise, numbered, release_memory
 
 #: Words of a window, and the share of hit words (one in so many) that contaminates a document.
 WINDOW, ONE_IN = 13, 20
@@ -122,6 +123,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet, text_column: st
         yield pa.RecordBatch.from_arrays(
             [new[f.name].cast(f.type) if f.name in new else batch.column(f.name) for f in schema], schema=schema
         )
+    release_memory()
 
 
 def mark_contamination(
@@ -139,7 +141,8 @@ def mark_contamination(
     benchmark marks nothing.
 
     The benchmark is read in sets of at most SET_WINDOWS windows (a whole item may exceed it);
-    each is broadcast and scanned in one pass without a shuffle, and passes accumulate.
+    each is broadcast and scanned in one pass without a shuffle. If there are several, what a pass
+    found is written to the shared folder for the next.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -152,7 +155,11 @@ def mark_contamination(
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     arrow = to_arrow_schema(schema)
     spark = docs.sparkSession
+    shared = None
     for windows in benchmark_sets(benchmark, item_column, item_text, width):
+        if shared is not None:  # a pass of each set is written before the next: one set is held at a time
+            out = materialise(out)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(windows)
         out = out.mapInArrow(lambda it, shared=shared: _scan(it, shared.value, text_column, arrow), schema)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -166,16 +173,19 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, action: str = "d
 
     action "document" drops contaminated documents and leaves all others as they are; "span"
     keeps every document and cuts the hit words (with what stands between them) from its text.
+    Columns can have any names.
     """
-    text_column = options.get("text_column", "text")
-    marked = mark_contamination(docs, benchmark, **options)
+    plain = numbered(docs)
+    names = plain.columns
+    text_column = names[docs.columns.index(options.pop("text_column", "text"))]
+    marked = mark_contamination(plain, benchmark, text_column=text_column, **options)
     if action == "document":
-        return marked.where(~F.col("contaminated")).select(docs.columns)
+        return marked.where(~F.col("contaminated")).select(names).toDF(*docs.columns)
     if action != "span":
         raise ValueError(f"action must be 'document' or 'span', not {action!r}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = marked.select(docs.columns).schema
+    schema = plain.schema
     arrow = to_arrow_schema(schema)
 
     def cut(batches):
@@ -193,7 +203,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, action: str = "d
                 [pa.array(texts, f.type) if f.name == text_column else batch.column(f.name) for f in arrow], schema=arrow
             )
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(cut, schema).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.arrays import text_chunks
 from gleanery.llm.dac import TOKEN_CHUNK
-from gleanery.llm.scratch import materialise
-from gleanery.llm.tokens import piece_tokenizer
+from gleanery.llm.scratch import materialise, release_memory
+from gleanery.llm.tokens import forget_tokenizers, piece_tokenizer
 
 
 @dataclass(frozen=True)
@@ -93,6 +93,22 @@ def best_fit(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, i
     return runs
 
 
+def least_sequences(histogram: dict[int, int], tokens: int) -> int:
+    """A lower bound of the sequences that pieces need: for each k, pieces over tokens - k are alone or
+    with ones of at most k, those over half of the tokens are each in one of their own, and what the
+    rest fills beyond the room beside them needs more (Martello and Toth's bound L2)."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    best = -(-int((lengths * counts).sum()) // tokens)
+    for k in [0, *lengths[2 * lengths <= tokens].tolist()]:
+        alone = counts[lengths > tokens - k].sum()
+        half = (lengths <= tokens - k) & (2 * lengths > tokens)
+        small = (2 * lengths <= tokens) & (lengths >= k)
+        room = (tokens - lengths[half]) @ counts[half]
+        best = max(best, int(alone + counts[half].sum() + max(0, -(-int(lengths[small] @ counts[small] - room) // tokens))))
+    return best
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_blanks: bool, longest: int) -> DataFrame:
     """doc_id, piece, start, length and crc32 of the ids of each piece. A document is its ids, then
     end_id (a null or empty text: end_id alone); longer ones are cut every `longest` ids."""
@@ -115,6 +131,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_blanks
                 "doc_id": batch.column("doc_id").take(pa.array(row)), "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()),
             })
+        forget_tokenizers()
+        del tokenizer
+        release_memory()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.llm import arrays
 from gleanery.sources import package
 
 #: Bytes of an Arrow batch: 10,000 whole documents would be much for a worker.
@@ -27,10 +29,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under `spark.checkpoint.dir`. Where that is unset (local runs, tests), a
-    temporary folder is set for it once."""
+    """A new folder under `spark.checkpoint.dir`. Where that is unset on a local master (tests), a
+    temporary folder is set for it once; a cluster's executors would not share one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
@@ -46,7 +50,15 @@ def materialise(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `materialise` wrote for a table that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -57,6 +69,8 @@ def numbered(df: DataFrame) -> DataFrame:
 def release_memory() -> None:
     """Give what a task freed back to the system: its worker waits for tasks of other stages, which
     would have the room it held beside them."""
+    arrays.forget_powers()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -113,6 +113,10 @@ class PieceTokenizer:
 _tokenizers: dict[tuple[str, bool], PieceTokenizer] = {}
 
 
+def forget_tokenizers() -> None:
+    _tokenizers.clear()
+
+
 def piece_tokenizer(path: str, drops_blanks: bool) -> PieceTokenizer:
     """This worker's tokenizer for a file, with what it remembers."""
     key = (path, drops_blanks)
