@@ -16,7 +16,11 @@ from gleanery.streaming import jobs
 
 
 def _folder(v: Views) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
+    base = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not v.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
