@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.scratch import materialise
+from gleanery.llm.scratch import materialise, release_memory
 
 #: Links a task contracts at once, and links of a file of a round.
 CONTRACTED, FILE_LINKS = 500_000, 250_000
+#: Links of a node that one task may join, and the most nodes with more that a round can have.
+HOT, HOT_NODES = 1000, 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,20 +44,34 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent, n = {}, 0
     if parent:
         yield stars()
+    parent = {}
+    release_memory()
+
+
+def _with_minimum(rows: DataFrame, links: int) -> DataFrame:
+    """Rows (u, v) with m, the least v of their u. Few u can have many rows: the minima of those with
+    over HOT, or a HOT_NODES th of all, are at most 2 * HOT_NODES and are broadcast; the others are
+    joined."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.col("n") > max(HOT, links // HOT_NODES)
+    marked = rows.join(F.broadcast(least.where(hot).select("u", F.col("m").alias("hot"))), "u", "left")
+    rest = marked.where("hot is null").drop("hot").join(least.where(~hot).select("u", "m"), "u")
+    return rest.select("u", "v", "m").union(marked.where("hot is not null").select("u", "v", F.col("hot").alias("m")))
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node of the links (integers); component is the smallest node that
     can be reached. Null ends and self links are ignored; no links give no rows.
 
-    Tasks first contract the links they hold. Then "large star" and "small star" steps alternate
+    Tasks first contract the links of the nodes they hold, which leaves about one for each. Then "large star" and "small star" steps alternate
     until the links no longer change: each round points every node's neighbours at the smallest
     one, so the depth of the graph shrinks geometrically. Every step is a partially aggregated
-    minimum and an equi-join, so a node with very many links is spread over tasks. Rounds are
-    written to the shared folder, in as many files as their links need.
+    minimum and an equi-join (see _with_minimum), so a node with very many links is spread over
+    tasks. Rounds are written to the shared folder, in as many files as their links need.
     """
     ends = links.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
-    edges = materialise(ends.where("u is not null and v is not null and u <> v").mapInArrow(_contract, "u long, v long"))
+    fine = ends.where("u is not null and v is not null and u <> v").repartition("u")
+    edges = materialise(fine.mapInArrow(_contract, "u long, v long"))
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -65,12 +81,10 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
             )
         before = now
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_minimum(both, now[0]).where("v > u").withColumn("m", F.least("u", "m")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            _with_minimum(large, now[0])
             .select(F.explode(F.array(
                 F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                 F.struct(F.col("u").alias("u"), F.col("m").alias("v")),

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.arrays import BLANK_WORDS, find_words, group_sums, lower, mix, shingle_sets, slice_hashes, text_chunks
 from gleanery.llm.components import connected_components
-from gleanery.llm.scratch import materialise
+from gleanery.llm.scratch import materialise, release_memory
 
-#: Members of a search block: what one task holds of a cluster of candidates at once.
-BLOCK = 256
-#: Signatures a task gathers before it sends them.
-FLUSH = 400_000
-#: Most postings merged with a heap.
-HEAP = 512
+#: Shingles of a search block: what one task holds of a cluster of candidates at once.
+BLOCK = 400_000
+#: Signatures a task gathers before it sends them, and links it gathers before it adds them up.
+FLUSH = 300_000
+#: Postings probed in one step.
+PROBES = 1 << 20
+#: Most sets with a shingle of which all pairs are compared.
+HOT = 64
 
 
 def size_bands(largest: int, percent: int) -> np.ndarray:
@@ -46,7 +48,8 @@ def set_fingerprint(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and a fingerprint of the shingle set (null for an empty set)."""
+    """doc_id, n_shingles and two fingerprints of the shingle set (null for an empty set): set_id,
+    and set_check, which tells apart sets that share a set_id."""
 
     def sets(batches):
         for batch, data, offsets in text_chunks(batches):
@@ -54,13 +57,15 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
             starts, ends, first = find_words(data, offsets, BLANK_WORDS)
             h, owner = shingle_sets(slice_hashes(data, starts, ends), first, width)
             n = np.bincount(owner, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n, pa.int64()),
-                pa.array(set_fingerprint(h, owner, len(n)).astype(np.int64), pa.int64(), mask=n == 0),
-            ], names=["doc_id", "n_shingles", "set_id"])
+            prints = [set_fingerprint(x, owner, len(n)).astype(np.int64) for x in (h, mix(h + np.uint64(0x9FB21C651E98DF25)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.int64(), mask=n == 0) for x in prints)],
+                names=["doc_id", "n_shingles", "set_id", "set_check"],
+            )
+        release_memory()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(sets, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(sets, "doc_id long, n_shingles long, set_id long, set_check long")
 
 
 def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -71,7 +76,9 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     A part without elements has no signature, as it is the same for every set. Where all equal parts
     of a linked pair are empty (k of them), all but k - 1 of the others differ by one element. So a set
     with k empty parts also has the signatures of its first k parts of two or more elements less
-    each one of them, which are those of the other set's parts.
+    each one of them, which are those of the other set's parts. If either set has k such parts, one
+    of them differs by one element, and the pair meets there. A set with fewer has the signature of
+    each of its least elements too, as many as must hold one of any set that it can link with.
     """
 
     def cut(batches):
@@ -89,6 +96,7 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             parts = level_parts(tops, percent)
             band = np.searchsorted(tops, sizes[some])
             spread = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
+            place = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[owner]  # in the set, by hash
             for down in (0, 1):
                 has = band >= down
                 rows, level = some[has], band[has] - down
@@ -116,12 +124,18 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rest = sums[of_part] - spread[of][some_less]
                 rest = mix(rest + mix((levels[row[of_part]] << 32 | at[of_part]).astype(np.uint64)) + (filled[of_part] - 1).astype(np.uint64))
                 waiting.append((rest.astype(np.int64), ids[row[of_part]].astype(np.int64)))
-                n += int(keep.sum()) + len(rest)
+                sparse = (m > 0) & (np.bincount(row[filled > 1], minlength=len(m)) < empty)
+                alone = sparse[o] & (place[of] <= sizes[o] - -(-sizes[o] * percent // 100))
+                single = mix(spread[of][alone] ^ mix((~levels[o[alone]]).astype(np.uint64)))
+                waiting.append((single.astype(np.int64), ids[o[alone]].astype(np.int64)))
+                n += int(keep.sum()) + len(rest) + len(single)
             if n > FLUSH:
-                yield from emit(waiting)
+                yield emit(waiting)
                 waiting, n = [], 0
         if n:
-            yield from emit(waiting)
+            yield emit(waiting)
+        waiting = []
+        release_memory()
 
     def emit(waiting):
         sig, ids = (np.concatenate(x) for x in zip(*waiting))
@@ -133,7 +147,7 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         again = np.zeros(len(sig), bool)
         again[1:] = ~fresh[1:] & (ids[1:] != ids[:-1])
         keep = fresh | again
-        yield pa.RecordBatch.from_arrays([
+        return pa.RecordBatch.from_arrays([
             pa.array(sig[keep]), pa.array(ids[keep]), pa.array(least[keep], mask=fresh[keep]),
         ], names=["signature", "set_id", "link_to"])
 
@@ -142,40 +156,57 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def candidate_links(signatures: DataFrame) -> DataFrame:
     """(a, b, weight): each set that shares a signature, with the least set of that signature;
-    weight: signatures of the pair."""
+    weight: signatures of the pair. Tasks stream over their signatures in order and hold FLUSH of
+    them at once."""
     n = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def link(batches):
-        sig, ids, to = [], [], []
+        waiting, held = [], 0
+        last, hub = None, 0  # the signature that the rows before ended with, and its least set
+
+        def links():
+            nonlocal last, hub
+            sig, ids, to, linked = (np.concatenate(x) for x in zip(*waiting))
+            a, b = [ids[linked]], [to[linked]]
+            sig, ids = sig[~linked], ids[~linked]
+            if len(sig):
+                fresh = np.ones(len(sig), bool)
+                fresh[1:] = sig[1:] != sig[:-1]
+                least = ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+                if sig[0] == last:
+                    least[np.cumsum(fresh) == 1] = hub
+                last, hub = sig[-1], least[-1]
+                a.append(ids[ids != least])
+                b.append(least[ids != least])
+            a, b = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            where = np.flatnonzero(fresh)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a[where]), pa.array(b[where]), pa.array(np.diff(np.append(where, len(a))))], names=["a", "b", "weight"]
+            )
+
         for batch in batches:
-            linked = batch.column("link_to").is_valid().to_numpy(zero_copy_only=False)
-            sig.append(batch.column("signature").to_numpy()[~linked])
-            ids.append(batch.column("set_id").to_numpy()[~linked])
-            to.append((batch.column("set_id").to_numpy()[linked], batch.column("link_to").drop_null().to_numpy()))
-        if not sig:
-            return
-        sig, ids = np.concatenate(sig), np.concatenate(ids)
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = sig[1:] != sig[:-1]
-        least = ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        other = ids != least
-        a = np.concatenate([ids[other], *(x for x, _ in to)])
-        b = np.concatenate([least[other], *(y for _, y in to)])
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        where = np.flatnonzero(fresh)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[where]), pa.array(b[where]), pa.array(np.diff(np.append(where, len(a))))], names=["a", "b", "weight"]
-        )
+            to = batch.column("link_to")
+            waiting.append((
+                batch.column("signature").to_numpy(), batch.column("set_id").to_numpy(), to.fill_null(0).to_numpy(),
+                to.is_valid().to_numpy(zero_copy_only=False),
+            ))
+            held += batch.num_rows
+            if held > FLUSH:
+                yield links()
+                waiting, held = [], 0
+        if held:
+            yield links()
+        waiting = []
+        release_memory()
 
     # a task's own links need no exchange with others of their signature: they go anywhere
     where = F.when(F.col("link_to").isNull(), F.col("signature")).otherwise(F.xxhash64("set_id", "link_to"))
-    links = signatures.repartition(n, where).mapInArrow(link, "a long, b long, weight long")
-    return links.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    dealt = signatures.repartition(n, where).sortWithinPartitions("signature", "set_id")
+    return dealt.mapInArrow(link, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 class DivideSkip:
@@ -184,50 +215,43 @@ class DivideSkip:
     search, for sets that the short ones bring to T less the number of long ones."""
 
     def __init__(self, sets: list[np.ndarray], mu: float = 0.01):
-        self.sets, self.mu = sets, mu
+        self.n, self.mu = max(len(sets), 1), mu
         sizes = np.array([len(s) for s in sets], np.int64)
         keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.lexsort((owner, keys))
         self.keys, starts = np.unique(keys[order], return_index=True)
         self.starts, self.postings = np.append(starts, len(keys)), owner[order]
-
-    def lists(self, query: np.ndarray) -> list[np.ndarray]:
-        at = np.searchsorted(self.keys, query)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == query)] if len(self.keys) else at[:0]
-        return [self.postings[self.starts[k] : self.starts[k + 1]] for k in at.tolist()]
+        # list number and set in one, in order over all lists: all long lists are probed at once
+        self.codes = np.repeat(np.arange(len(self.keys)), np.diff(self.starts)) * self.n + self.postings
 
     def search(self, query: np.ndarray, least: int) -> list[tuple[int, int]]:
         """(indexed set, shared shingles) of all sets that share at least `least` >= 1."""
-        lists = sorted(self.lists(query), key=len)
+        if not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        lists = at[self.keys[at] == query]
         if len(lists) < least:
             return []
-        n_long = min(int(least / (self.mu * math.log2(max(len(lists[-1]), 2)) + 1)), least - 1, len(lists))
+        lengths = self.starts[lists + 1] - self.starts[lists]
+        order = np.argsort(lengths, kind="stable")
+        lists, longest = lists[order], int(lengths.max())
+        n_long = min(int(least / (self.mu * math.log2(max(longest, 2)) + 1)), least - 1, len(lists))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        need = least - n_long
-        if sum(map(len, short)) <= HEAP:
-            merged = np.fromiter(heapq.merge(*(s.tolist() for s in short)), np.int64)
-        else:  # numpy's stable sort merges runs that are sorted
-            merged = np.sort(np.concatenate(short), kind="stable")
-        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else merged
-        at, n = merged[first], np.diff(np.append(first, len(merged)))
-        at, n = at[n >= need], n[n >= need]
-        if 4 * len(at) < len(long):  # fewer candidates than long lists: probe the candidates' sets
-            out = []
-            for c in at.tolist():
-                have = self.sets[c]
-                shared = int(np.count_nonzero(have[np.minimum(np.searchsorted(have, query), len(have) - 1)] == query))
-                if shared >= least:
-                    out.append((c, shared))
-            return out
-        for k, postings in enumerate(long):
-            if not len(at):
-                break
-            spot = np.minimum(np.searchsorted(postings, at), len(postings) - 1)
-            n = n + (postings[spot] == at)
-            keep = n + (len(long) - k - 1) >= least
-            at, n = at[keep], n[keep]
-        return list(zip(at.tolist(), n.tolist()))
+        found, counts = [], []
+        for one in heapq.merge(*(self.postings[self.starts[k] : self.starts[k + 1]].tolist() for k in short.tolist())):
+            if found and found[-1] == one:
+                counts[-1] += 1
+            else:
+                found.append(one)
+                counts.append(1)
+        at, n = np.array(found, np.int64), np.array(counts, np.int64)
+        at, n = at[n >= least - n_long], n[n >= least - n_long]
+        step = max(1, PROBES // max(n_long, 1))
+        for s in range(0, len(at), step):
+            codes = long[:, None] * self.n + at[s : s + step]
+            n[s : s + step] += (self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] == codes).sum(axis=0)
+        return list(zip(at[n >= least].tolist(), n[n >= least].tolist()))
 
 
 def _links_in_block(sets: list[np.ndarray], queries: np.ndarray, group: np.ndarray, percent: int):
@@ -266,12 +290,12 @@ def _links_in_block(sets: list[np.ndarray], queries: np.ndarray, group: np.ndarr
 
 
 def member_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The members (set_id, doc_id of one of its documents, more columns) with their sets of shingles,
+    """The members (doc_id of one document of a set, set_id, more columns) with their sets of shingles,
     sorted hashes in a binary column."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = [c for c in members.columns if c != "doc_id"]
-    joined = members.hint("merge").join(texts, "doc_id")  # one plan at every size
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in members.select(names).schema)}, shingles binary"
+    names = members.columns
+    joined = members.hint("merge").join(texts, "doc_id").select(*names, "text")  # one plan at every size
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in members.schema)}, shingles binary"
 
     def with_sets(batches):
         for batch, data, offsets in text_chunks(batches):
@@ -285,12 +309,13 @@ def member_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             sets = pa.array([raw[s:e] for s, e, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), same.tolist()) if k], pa.binary())
             out = batch.select(names).take(pa.array(np.flatnonzero(same)))
             yield pa.RecordBatch.from_arrays([*out.columns, sets], names=[*names, "shingles"])
+        release_memory()
 
     return joined.mapInArrow(with_sets, schema)
 
 
 def search_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between set ids inside blocks. members: block, set_id, grp (rows of one grp are
+    """Links (a, b) between documents inside blocks. members: block, doc_id, grp (rows of one grp are
     known to be connected), rank (of queries, least first; null: not a query), shingles."""
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -299,9 +324,9 @@ def search_blocks(members: DataFrame, percent: int) -> DataFrame:
 
         def links():
             best: dict[int, tuple] = {}
-            for set_id, grp, rank, sets in rows:
-                if set_id not in best or (rank is not None and (best[set_id][1] is None or rank < best[set_id][1])):
-                    best[set_id] = (grp, rank, sets)
+            for doc_id, grp, rank, sets in rows:
+                if doc_id not in best or (rank is not None and (best[doc_id][1] is None or rank < best[doc_id][1])):
+                    best[doc_id] = (grp, rank, sets)
             ids = sorted(best)
             ranks = [best[i][1] for i in ids]
             queries = sorted((k for k, r in enumerate(ranks) if r is not None), key=lambda k: (ranks[k], ids[k]))
@@ -322,53 +347,197 @@ def search_blocks(members: DataFrame, percent: int) -> DataFrame:
                 rows.append(row)
         if found := links():
             yield record(found)
+        rows = []
+        release_memory()
 
-    dealt = members.select("block", "set_id", "grp", "rank", "shingles").repartition(n, "block").sortWithinPartitions("block", "set_id")
+    dealt = members.select("block", "doc_id", "grp", "rank", "shingles").repartition(n, "block").sortWithinPartitions("block", "doc_id")
     return dealt.mapInArrow(search, "a long, b long")
 
 
 def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(set_id, component): sets in one component of the links at a similarity of percent, for all
-    sets that share a part signature with another.
-
-    Sets that share signatures form clusters; a cluster is dealt into blocks of BLOCK members by a
-    hash. First each block is searched, with the cluster's centre (most shared signatures) in every
-    block, which joins most of what belongs together. Then, in clusters of several blocks that are
-    still in parts, all but the largest part are queries against every block. Every linked pair in
-    two parts has an end that is a query, so no link is lost, and what is known is not searched.
+    """(doc_id, component): the least documents of sets in one component of the links at a similarity
+    of percent, for all sets that link with another.
+
+    Sets that share signatures form clusters; a cluster is dealt into blocks of about BLOCK shingles
+    by a hash. First each block is searched, with the cluster's centre (most shared signatures) in
+    every block, which joins most of what belongs together. In clusters of several blocks that are
+    still in parts, sets of different parts meet by their rarest shingles, which what is loosely
+    joined by common ones does not share. Sets whose rarest shingles are common ones are left: of
+    these all but those of the largest part are queries, a block of them against a block of the
+    others at a time. Every linked pair in two parts has an end that is a query, so no link is lost,
+    and what is known is not searched.
     """
     links = materialise(candidate_links(part_signatures(docs, width, percent)))
     clusters = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("degree"))
-    first = table.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    first = table.where("set_id is not null and doc_id is not null")
+    first = first.groupBy("set_id", "set_check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     known = materialise(
         clusters.join(degree, "node").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"), "degree").join(first, "set_id")
     )
-    per = known.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.max_by("set_id", F.struct("degree", "set_id")).alias("centre")
-    ).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
-    members = members.select("set_id", "doc_id", "cluster", "blocks", "part", "degree", (F.col("set_id") == F.col("centre")).alias("is_centre"))
+    blocks = F.ceil(F.sum("n") / BLOCK).cast("int")
+    per = known.groupBy("cluster").agg(blocks.alias("blocks"), F.max_by("doc_id", F.struct("degree", "doc_id")).alias("centre"))
+    members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    members = members.select("doc_id", "set_id", "cluster", "n", "blocks", "part", "degree", (F.col("doc_id") == F.col("centre")).alias("is_centre"))
     members = materialise(member_sets(members, docs, width))
     block = F.xxhash64("cluster", "part").alias("block")
-    row = [block, "set_id", F.col("set_id").alias("grp"), (-F.col("degree")).alias("rank"), "shingles"]
+    row = [block, "doc_id", F.col("doc_id").alias("grp"), (-F.col("degree")).alias("rank"), "shingles"]
     centres = members.where("is_centre and blocks > 1").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
     near = materialise(search_blocks(members.select(row).union(centres.select(row)), percent))
-    grown = materialise(connected_components(near).withColumnRenamed("node", "set_id"))
+    grown = materialise(connected_components(near).withColumnRenamed("node", "doc_id"))
     large = members.where("blocks > 1")
     if not large.limit(1).count():
         return grown
-    large = large.join(grown, "set_id", "left").withColumn("grp", F.coalesce("component", "set_id"))
-    parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("cluster").agg(F.max(F.struct("n", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = materialise(large.join(main, "cluster").withColumn("asked", F.expr("grp <> main.grp")))
+    large = large.join(grown, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
+    parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("members"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("members", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    apart = materialise(large.join(main.select("cluster", "main"), "cluster").withColumn("asked", F.expr("grp <> main.grp")))
     if not apart.limit(1).count():
         return grown
-    everywhere = apart.where("asked").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
-    some = apart.select(block, "set_id", "grp", F.lit(None).cast("long").alias("rank"), "shingles").union(
-        everywhere.select(block, "set_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
-    )
-    return connected_components(near.union(search_blocks(some, percent))).withColumnRenamed("node", "set_id")
+    prefixes = materialise(rarest_shingles(apart, percent))
+    links = [near, materialise(prefix_links(prefixes, apart, percent))]
+    common = prefixes.where(F.col("df") > HOT).select("doc_id").distinct()
+    rest = apart.join(common, "doc_id", "left_semi")
+    asks = rest.where("asked").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks"))
+    rest = materialise(rest.join(asks, "cluster"))
+    if rest.limit(1).count():
+        both = F.xxhash64("cluster", "part", "ask").alias("block")
+        held = rest.withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)")))
+        asked = rest.where("asked").withColumn("ask", F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int"))
+        asked = asked.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
+        some = held.select(both, "doc_id", "grp", F.lit(None).cast("long").alias("rank"), "shingles").union(
+            asked.select(both, "doc_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
+        )
+        links.append(materialise(search_blocks(some, percent)))  # its tasks would each need a second worker for the next step
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return connected_components(every).withColumnRenamed("node", "doc_id")
+
+
+def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, doc_id, grp, df): of each set (doc_id, grp, n, shingles) its rarest shingles, so many that
+    two sets with a Jaccard similarity of percent share one of them: all but as many as must be
+    shared, and one. df: sets that have the shingle, those of over HOT alike; what only one set has
+    is counted among its rarest and left out."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["shingle", "doc_id", "grp", "n"]
+
+    def spread(batches):
+        for batch in batches:
+            ids, grp, size = (batch.column(c).to_numpy() for c in ("doc_id", "grp", "n"))
+            for k, raw in enumerate(batch.column("shingles").to_pylist()):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *(np.full(len(h), c[k]) for c in (ids, grp, size)))], names=names)
+        release_memory()
+
+    def count(batches):
+        waiting, held, hot = [], 0, None  # hot: the shingle of which more than HOT rows were seen
+
+        def counted(last):
+            nonlocal waiting, held, hot
+            columns = [np.concatenate(c) for c in zip(*waiting)]
+            key = columns[0]
+            upto = len(key) if last else int(np.searchsorted(key, key[-1]))
+            if len(key) - upto > HOT or (not last and key[-1] == hot):
+                upto = len(key)
+            some, rest = [c[:upto] for c in columns], [c[upto:] for c in columns]
+            waiting, held = ([rest], len(rest[0])) if len(rest[0]) else ([], 0)
+            fresh = np.ones(upto, bool)
+            fresh[1:] = (some[0][1:] != some[0][:-1]) | (some[1][1:] != some[1][:-1])  # rows of a doc_id can repeat
+            some = [c[fresh] for c in some]
+            head = np.flatnonzero(np.append(True, some[0][1:] != some[0][:-1])) if len(some[0]) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(some[0])))
+            df = np.repeat(np.minimum(size, HOT + 1), size)
+            if hot is not None:
+                df[some[0] == hot] = HOT + 1
+            hot = some[0][-1] if len(df) and df[-1] > HOT else None
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in some), pa.array(df)], names=[*names, "df"])
+
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy() for c in names])
+            held += batch.num_rows
+            if held > FLUSH:
+                yield counted(False)
+        if held:
+            yield counted(True)
+        release_memory()
+
+    def first(batches):
+        doc, seen = None, 0
+        for batch in batches:
+            ids, size, df = (batch.column(c).to_numpy() for c in ("doc_id", "n", "df"))
+            if not len(ids):
+                continue
+            head = np.append(True, ids[1:] != ids[:-1])
+            begin = np.flatnonzero(head)[np.cumsum(head) - 1]
+            place = np.arange(len(ids)) - begin
+            if ids[0] == doc:
+                place[begin == 0] += seen
+            doc, seen = ids[-1], int(place[-1]) + 1
+            keep = (place <= size - -(-size * percent // 100)) & (df > 1)
+            yield batch.select(["shingle", "doc_id", "grp", "df"]).take(pa.array(np.flatnonzero(keep)))
+        release_memory()
+
+    row = "shingle long, doc_id long, grp long, n long"
+    listed = sets.select("doc_id", "grp", F.col("n").cast("long"), "shingles").mapInArrow(spread, row)
+    counts = listed.repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(count, f"{row}, df long")
+    order = counts.repartition(n, "doc_id").sortWithinPartitions("doc_id", "df", "shingle")
+    return order.mapInArrow(first, "shingle long, doc_id long, grp long, df long")
+
+
+def prefix_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets of different groups that share one of their rarest shingles, if at most HOT
+    sets have it."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pair(batches):
+        rest: list = []
+
+        def pairs(columns):
+            key, ids, grp = columns
+            head = np.append(True, key[1:] != key[:-1])
+            begin = np.flatnonzero(head)[np.cumsum(head) - 1]
+            found = [np.zeros((0, 2), np.int64)]
+            for back in range(1, HOT):
+                at = np.flatnonzero(np.arange(len(key)) - back >= begin)
+                if not len(at):
+                    break
+                at = at[(grp[at] != grp[at - back]) & (ids[at] != ids[at - back])]
+                found.append(np.sort(np.stack([ids[at], ids[at - back]], axis=1), axis=1))
+            a, b = np.unique(np.concatenate(found), axis=0).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("shingle", "doc_id", "grp")]
+            if rest:
+                columns = [np.concatenate(c) for c in zip(rest, columns)]
+            if len(columns[0]):
+                upto = int(np.searchsorted(columns[0], columns[0][-1]))
+                rest = [c[upto:] for c in columns]
+                if upto:
+                    yield pairs([c[:upto] for c in columns])
+        if rest and len(rest[0]):
+            yield pairs(rest)
+        release_memory()
+
+    few = prefixes.where(F.col("df") <= HOT).repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id")
+    met = few.mapInArrow(pair, "a long, b long").distinct()
+    own = sets.select("doc_id", "shingles").dropDuplicates(["doc_id"])
+    both = met.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        release_memory()
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -378,20 +547,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     A text of fewer words has its whole sequence as one shingle; without words or text the set is
     empty and links with nothing, so component_id is the row's own doc_id. Every row is returned:
     repeated rows share a component, rows without a doc_id have none and link nothing. Equal sets
-    are one set throughout, so copies cost nothing. Sets and shingles are told apart by 64-bit
-    hashes.
+    are one set throughout, so copies cost nothing. Shingles are told apart by 64-bit hashes, sets
+    by 128 bits. Other columns of docs, whatever their names, are not read.
     """
     table = materialise(shingle_table(docs, width))
     components = set_components(table, docs, width, percent)
-    least = table.where("set_id is not null").join(components, "set_id", "left")
-    least = least.withColumn("component", F.coalesce("component", "set_id"))
-    ids = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = components.join(ids, "component").select("set_id", "component_id")
-    alone = table.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("own"))
-    by_set = alone.join(by_set, "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"))
-    out = table.join(by_set, "set_id", "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+    sets = table.where("set_id is not null").groupBy("set_id", "set_check").agg(F.min("doc_id").alias("own"))
+    found = sets.join(components.withColumnRenamed("doc_id", "own"), "own", "left")
+    by_set = found.select("set_id", "set_check", F.coalesce("component", "own").alias("component_id"))
+    out = table.join(by_set, ["set_id", "set_check"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
