@@ -89,9 +89,13 @@ def test_jaccard_components(docs, empty, width, percent):
     assert overlap.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_in_blocks(spark, monkeypatch):
-    """Clusters of several blocks give the components of all pairs."""
-    monkeypatch.setattr(overlap, "BLOCK", 4)
+@pytest.mark.parametrize("hot", [64, 5])
+def test_jaccard_in_blocks(spark, monkeypatch, hot):
+    """Clusters of several blocks give the components of all pairs, whether their shingles are rare or
+    common."""
+    monkeypatch.setattr(overlap, "BLOCK", 4 * 118)
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "FLUSH", 300)
     base = text(9, 120).split()
     rng = np.random.default_rng(0)
     rows = []
@@ -121,6 +125,44 @@ def test_short_sets_share_no_signature_of_an_empty_part(spark):
     assert all(r.component_id == r.doc_id % 1000 for r in overlap.jaccard_components(got, 5, 80).collect())
 
 
+@pytest.mark.parametrize("width, percent", [(1, 80), (1, 90), (2, 80)])
+def test_jaccard_of_small_sets_with_scattered_differences(spark, width, percent):
+    """Sets of few shingles, whose parts are often empty, with as many differences as a link allows."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(250):
+        words = [f"w{k}" for k in rng.choice(100_000, rng.integers(3, 40), replace=False)]
+        rows += [words, [*words[: len(words) - int(rng.integers(0, 3))], *(f"x{i}y{k}" for k in range(int(len(words) * 0.26)))]]
+        rows.append([w if rng.random() < 0.93 else f"z{i}{w}" for w in words])
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i - i % 3, i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in overlap.jaccard_components(docs, width, percent).collect()}
+    assert got == {i: part.index(p) for i, p in enumerate(part)}
+
+
+def test_sets_that_differ_once_in_every_part_but_an_empty_one(spark):
+    """44 words, none of which falls in one of the 12 parts of its level, and the same with 11 more words,
+    one in each other part: the Jaccard similarity is 44 / 55."""
+    level = int(np.searchsorted(tops := overlap.size_bands(60, 80), 44))
+    m = int(overlap.level_parts(tops, 80)[level])
+
+    def part(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        h = arrays.window_hashes(arrays.slice_hashes(data, np.array([0]), np.array([len(data)])), 1)[0]
+        return int((arrays.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32))
+
+    words = {k: [w for w in (f"w{i}" for i in range(3000)) if part(w) == k][:10] for k in range(1, m)}
+    more = [w.pop() for w in words.values()][:11]
+    base = [words[1 + i % (m - 1)][i // (m - 1)] for i in range(44)]
+    rows = [(0, " ".join(base)), (1, " ".join(base + more))]
+    got = overlap.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+    assert len(more) == 11 and {r.component_id for r in got.collect()} == {0}
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
@@ -135,7 +177,7 @@ def test_compact_windows_equal_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(25):
         n, m, length = int(rng.integers(0, 50)), int(rng.integers(0, 30)), int(rng.integers(1, 9))
-        h, want = rng.integers(0, 25, n + m).astype(np.uint64), set()
+        h, want = arrays.mix(rng.integers(0, 25, n + m).astype(np.uint64)), set()
         for a, b in ((0, n), (n, n + m)):
             for i in range(a, b):
                 for j in range(i + length - 1, b):
@@ -180,6 +222,34 @@ def test_passages_around_a_line_that_all_documents_have(spark):
     assert found <= {(100 + i, i) for i in range(100)} and len(found) >= 85
 
 
+def test_near_passages_are_found(spark):
+    """Passages of 60 to 200 words with changed words, at similarities from 0.8 up, in texts that share
+    nothing else and that all have one line of 30 words. Brute force knows what was planted."""
+    rng, rows, want = np.random.default_rng(7), [], []
+    line = text(99, 30)
+    for i in range(150):
+        passage = text(10_000 + i, int(rng.integers(60, 200))).split()
+        other = [w if rng.random() > 0.02 else f"x{k}" for k, w in enumerate(passage)]
+        grams = [{tuple(p[k : k + 5]) for k in range(len(p) - 4)} for p in (passage, other)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            want.append((1000 + i, i))
+        for d, p in ((i, passage), (1000 + i, other)):
+            rows.append((d, f"{text(20_000 + d, 50)} {line} {text(30_000 + d, 20)} {' '.join(p)} {text(40_000 + d, 30)}"))
+    found = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and len(found & set(want)) >= 0.9 * len(want)
+    assert all(a - b == 1000 for a, b in found)
+
+
+def test_groups_that_exceed_a_piece(spark, docs, monkeypatch):
+    """The links do not depend on how much a task holds at once."""
+    rows = [(i, f"{text(i, 20)} {text(77, 60)} {text(500 + i, 20)}") for i in range(60)]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(many).collect()}
+    monkeypatch.setattr(substrings, "FLUSH", 25)
+    parted = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(many).collect()}
+    assert {a for a, _ in whole} == {a for a, _ in parted} == set(range(1, 60)) and {(i, 0) for i in range(1, 60)} <= whole & parted
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(text(2, 60).upper().split()[10:40])), (2, "one TWO"), (3, None), (4, ""), (None, "x"), (5, "zz zz")], "item_id long, text string")
     rows = {(r.doc_id, r.text): r for r in decontaminate.mark_contamination(docs, bench).collect()}
@@ -206,6 +276,33 @@ def test_shards_are_exact(spark, docs, empty):
     assert m.sum(axis=1).tolist() == [5, 0, 9] and m.sum(axis=0).tolist() == [7, 7]
 
 
+def test_matrix_of_billions_of_rows():
+    m = sharding.communication_matrix(np.full(16, 10**9), np.full(16, 10**9), 3)
+    assert (m.sum(axis=0) == 10**9).all() and (m.sum(axis=1) == 10**9).all()
+    assert abs(m - 62_500_000).max() < 6 * 62_500_000**0.5
+
+
+def test_large_hypergeometric_draws(monkeypatch):
+    """Draws beyond numpy's limit against numpy's own, where both can be made, and against the mean and
+    the variance where only they can."""
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(sharding, "_LIMIT", 10)
+    for good, bad, draws in ((30, 50, 20), (5, 400, 60), (1000, 1000, 1999)):
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, draws) for _ in range(6000)], minlength=good + 1)
+        want = np.bincount(rng.hypergeometric(good, bad, draws, 6000), minlength=good + 1)
+        assert ((got - want) ** 2 / np.maximum(got + want, 1)).sum() < 2.5 * np.count_nonzero(got + want) + 20
+    n = 10**12
+    some = np.array([sharding.hypergeometric(rng, n, n, n) for _ in range(800)], float)
+    assert abs(some.mean() - n / 2) < 5 * (n / 8 / 800) ** 0.5 and 0.8 < some.var() / (n / 8) < 1.25
+
+
+def test_shuffle_is_uniform(spark):
+    """Which shard a row gets does not depend on its place, copies included."""
+    df = spark.range(1600).selectExpr("id % 8 as kind", "if(id % 3 = 0, 0, id) as v")
+    out = [sharding.shuffle_into_shards(df, 4, seed, part_rows=100).groupBy("kind", "shard").count().collect() for seed in (1, 2, 3)]
+    assert all(20 < r["count"] < 85 for rows in out for r in rows) and all(len(rows) == 32 for rows in out)
+
+
 def test_lattice_links(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=(60, 32))
@@ -304,24 +401,80 @@ def test_pitman_yor(spark, docs, empty):
 def test_seating_probabilities_sum_to_one():
     """Over all training dishes and the unknown one, in every context."""
     rng = np.random.default_rng(2)
-    pairs = sorted({(int(w), int(c)) for w, c in zip(rng.integers(0, 9, 60), rng.choice([3, 700, 65535], 60))})
-    customers = rng.integers(1, 90, len(pairs))
-    every = sorted({(w, c) for w in range(10) for c in (3, 700, 65535)})
+    pairs = sorted({(int(w), int(c)) for w, c in zip(rng.integers(0, 9, 60), rng.choice(3, 60))})
+    customers = rng.integers(1, 400, len(pairs))
+    every = sorted({(w, c) for w in range(10) for c in range(3)})
     n = np.array([dict(zip(pairs, customers)).get(p, 0) for p in every])
-    s = pitman_yor.Seating(0, 1, np.array([p[0] for p in every]), np.array([p[1] for p in every]), n, 10)
-    totals = pitman_yor.Totals(s.totals())
+    s = pitman_yor.Seating(np.array([p[0] for p in every]), np.array([p[1] for p in every]), n, np.array([7, 7, 200]), 10)
+    totals = pitman_yor.Totals(s.totals()).with_contexts(*s.shares())
     for k in range(3):
-        s.sweep(k, totals)
-        totals = pitman_yor.Totals(s.totals(), totals.discounts)
+        s.sweep(np.random.default_rng(k), totals)
+        totals = pitman_yor.Totals(s.totals(), totals.discounts).with_contexts(*s.shares())
         assert all(((1 <= t) & (t <= c)).sum() == (c > 0).sum() for t, c in zip(s.t, s.c))
     p = s.probabilities(totals, 2)
     known = {w for w, c in pairs}
-    for context in (3, 700, 65535):
+    for context in range(3):
         total = sum(x for x, (w, c) in zip(p, every) if c == context and w in known)
         unknown = next(x for x, (w, c) in zip(p, every) if c == context and w == 9)
         assert abs(total + unknown - 1) < 1e-9
 
 
+def test_table_counts_follow_their_conditional():
+    """Means of draws against the conditional from Stirling numbers, summed in plain Python."""
+    c, d, others, parent = 6, 0.5, 4, 0.1
+    s = [[0.0] * (c + 1) for _ in range(c + 1)]
+    s[0][0] = 1.0
+    for n in range(c):
+        for t in range(c):
+            s[n + 1][t + 1] += s[n][t]
+            s[n + 1][t] += s[n][t] * (n - d * t)
+    weights = [s[c][t] * np.prod([(pitman_yor.STRENGTH + d * (others + i)) * parent for i in range(t)]) for t in range(1, c + 1)]
+    mean = sum(t * w for t, w in enumerate(weights, 1)) / sum(weights)
+    m = 40_000
+    got = pitman_yor.reseat(np.full(m, c), d, np.full(m, others), np.full(m, parent), np.random.default_rng(0)).mean()
+    assert abs(got - mean) < 0.02
+
+
+def test_scores_equal_a_dictionary_model(spark, monkeypatch):
+    """The score of each text against a hierarchical Pitman-Yor model in dictionaries, with one table a
+    dish (no sweeps), over several flushes and buckets."""
+    monkeypatch.setattr(pitman_yor, "FLUSH_DOCS", 5)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(pitman_yor, "POSTINGS", 2)
+    monkeypatch.setattr(pitman_yor, "BURN_IN", -1)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 1)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "cab", "dd", "Ea"], rng.integers(0, 12)))) for i in range(30)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(df, F.col("doc_id") % 5 == 1).collect()}
+    end = "\0"
+    tokens = {i: [*words_of(t), end] for i, t in rows}
+    c = [{}, {}, {}]
+    for i, of in tokens.items():
+        if i % 5 != 1:
+            for before, w in zip([end, *of], of):
+                c[2][before, w] = c[2].get((before, w), 0) + 1
+    for b, w in c[2]:
+        c[1][b[-1], w] = c[1].get((b[-1], w), 0) + 1
+    for _, w in c[1]:
+        c[0]["", w] = c[0].get(("", w), 0) + 1
+    discounts = [np.clip(sum(n == 1 for n in x.values()) / max(sum(n == 1 for n in x.values()) + 2 * sum(n == 2 for n in x.values()), 1), 0.1, 0.95) for x in c]
+
+    def p(level, before, w):
+        if level < 0:
+            return 1 / (len(c[0]) + 1)
+        u = ["", before[-1], before][level]
+        mine = {x: n for (v, x), n in c[level].items() if v == u}
+        d, t = discounts[level], len(mine)
+        return (max(mine.get(w, 0) - d * (w in mine), 0) + (pitman_yor.STRENGTH + d * t) * p(level - 1, before, w)) / (pitman_yor.STRENGTH + sum(mine.values()))
+
+    for i, of in tokens.items():
+        want = sum(np.log10(p(2, b, w)) for b, w in zip([end, *of], of))
+        assert abs(got[i] - want) < 1e-9, i
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(4)
     made = [(i, text(100 + i, 40) + (" vilestuff " if i % 2 else " ") + text(300 + i, int(rng.integers(1, 40)))) for i in range(560)]
