@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
+#: Rows of a batch of numbers on its way to Spark.
+SLICE = 20_000
+
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INV = pow(_MULT, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -88,6 +91,18 @@ def text_chunks(
             first = last
 
 
+def in_slices(function):
+    """The function of a mapInArrow, whose results leave in batches of at most SLICE rows: Spark holds
+    each outside of its heap as a whole."""
+
+    def run(batches):
+        for out in function(batches):
+            for first in range(0, out.num_rows, SLICE):
+                yield out.slice(first, SLICE)
+
+    return run
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

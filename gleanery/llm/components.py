@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.scratch import materialise, release_memory
+from gleanery.llm.scratch import discard, materialise, release_memory
 
 #: Links a task contracts at once, and links of a file of a round.
 CONTRACTED, FILE_LINKS = 500_000, 250_000
@@ -63,15 +63,16 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     """(node, component) for every node of the links (integers); component is the smallest node that
     can be reached. Null ends and self links are ignored; no links give no rows.
 
-    Tasks first contract the links of the nodes they hold, which leaves about one for each. Then "large star" and "small star" steps alternate
+    Tasks first contract the links they hold, each as many as it may, which leaves about one for each
+    of its nodes. Then "large star" and "small star" steps alternate
     until the links no longer change: each round points every node's neighbours at the smallest
     one, so the depth of the graph shrinks geometrically. Every step is a partially aggregated
     minimum and an equi-join (see _with_minimum), so a node with very many links is spread over
     tasks. Rounds are written to the shared folder, in as many files as their links need.
     """
     ends = links.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
-    fine = ends.where("u is not null and v is not null and u <> v").repartition("u")
-    edges = materialise(fine.mapInArrow(_contract, "u long, v long"))
+    fine = ends.where("u is not null and v is not null and u <> v")
+    edges = materialise(fine.coalesce(max(1, fine.count() // FILE_LINKS)).mapInArrow(_contract, "u long, v long"))
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -91,4 +92,5 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
             )).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        edges = materialise(small.coalesce(max(8, now[0] // FILE_LINKS)))
+        last, edges = edges, materialise(small.coalesce(max(8, now[0] // FILE_LINKS)))
+        discard(last)

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.arrays import BLANK_WORDS, find_words, group_sums, lower, mix, shingle_sets, slice_hashes, text_chunks
+from gleanery.llm.arrays import BLANK_WORDS, find_words, group_sums, in_slices, lower, mix, shingle_sets, slice_hashes, text_chunks
 from gleanery.llm.components import connected_components
-from gleanery.llm.scratch import materialise, release_memory
+from gleanery.llm.scratch import discard, materialise, release_memory
 
 #: Shingles of a search block: what one task holds of a cluster of candidates at once.
 BLOCK = 400_000
@@ -151,7 +151,7 @@ def part_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             pa.array(sig[keep]), pa.array(ids[keep]), pa.array(least[keep], mask=fresh[keep]),
         ], names=["signature", "set_id", "link_to"])
 
-    return docs.select("text").mapInArrow(cut, "signature long, set_id long, link_to long")
+    return docs.select("text").mapInArrow(in_slices(cut), "signature long, set_id long, link_to long")
 
 
 def candidate_links(signatures: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def candidate_links(signatures: DataFrame) -> DataFrame:
     # a task's own links need no exchange with others of their signature: they go anywhere
     where = F.when(F.col("link_to").isNull(), F.col("signature")).otherwise(F.xxhash64("set_id", "link_to"))
     dealt = signatures.repartition(n, where).sortWithinPartitions("signature", "set_id")
-    return dealt.mapInArrow(link, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return dealt.mapInArrow(in_slices(link), "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 class DivideSkip:
@@ -380,6 +380,8 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     members = known.join(per, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     members = members.select("doc_id", "set_id", "cluster", "n", "blocks", "part", "degree", (F.col("doc_id") == F.col("centre")).alias("is_centre"))
     members = materialise(member_sets(members, docs, width))
+    discard(links)
+    discard(known)
     block = F.xxhash64("cluster", "part").alias("block")
     row = [block, "doc_id", F.col("doc_id").alias("grp"), (-F.col("degree")).alias("rank"), "shingles"]
     centres = members.where("is_centre and blocks > 1").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -387,11 +389,13 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     grown = materialise(connected_components(near).withColumnRenamed("node", "doc_id"))
     large = members.where("blocks > 1")
     if not large.limit(1).count():
+        discard(members)
         return grown
     large = large.join(grown, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
     parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("members"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("members", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     apart = materialise(large.join(main.select("cluster", "main"), "cluster").withColumn("asked", F.expr("grp <> main.grp")))
+    discard(members)
     if not apart.limit(1).count():
         return grown
     prefixes = materialise(rarest_shingles(apart, percent))
@@ -400,6 +404,8 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     rest = apart.join(common, "doc_id", "left_semi")
     asks = rest.where("asked").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks"))
     rest = materialise(rest.join(asks, "cluster"))
+    discard(apart)
+    discard(prefixes)
     if rest.limit(1).count():
         both = F.xxhash64("cluster", "part", "ask").alias("block")
         held = rest.withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)")))
@@ -409,6 +415,7 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
             asked.select(both, "doc_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
         )
         links.append(materialise(search_blocks(some, percent)))  # its tasks would each need a second worker for the next step
+    discard(rest)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
@@ -416,7 +423,7 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
 
 
 def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, doc_id, grp, df): of each set (doc_id, grp, n, shingles) its rarest shingles, so many that
+    """(shingle, doc_id, grp, n, df): of each set (doc_id, grp, n, shingles) its rarest shingles, so many that
     two sets with a Jaccard similarity of percent share one of them: all but as many as must be
     shared, and one. df: sets that have the shingle, those of over HOT alike; what only one set has
     is counted among its rarest and left out."""
@@ -476,26 +483,26 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
                 place[begin == 0] += seen
             doc, seen = ids[-1], int(place[-1]) + 1
             keep = (place <= size - -(-size * percent // 100)) & (df > 1)
-            yield batch.select(["shingle", "doc_id", "grp", "df"]).take(pa.array(np.flatnonzero(keep)))
+            yield batch.take(pa.array(np.flatnonzero(keep)))
         release_memory()
 
     row = "shingle long, doc_id long, grp long, n long"
     listed = sets.select("doc_id", "grp", F.col("n").cast("long"), "shingles").mapInArrow(spread, row)
-    counts = listed.repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(count, f"{row}, df long")
+    counts = listed.repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(in_slices(count), f"{row}, df long")
     order = counts.repartition(n, "doc_id").sortWithinPartitions("doc_id", "df", "shingle")
-    return order.mapInArrow(first, "shingle long, doc_id long, grp long, df long")
+    return order.mapInArrow(in_slices(first), f"{row}, df long")
 
 
 def prefix_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of sets of different groups that share one of their rarest shingles, if at most HOT
-    sets have it."""
+    sets have it. Pairs whose sizes alone rule a link out are not compared."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pair(batches):
         rest: list = []
 
         def pairs(columns):
-            key, ids, grp = columns
+            key, ids, grp, size = columns
             head = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(head)[np.cumsum(head) - 1]
             found = [np.zeros((0, 2), np.int64)]
@@ -503,13 +510,14 @@ def prefix_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 at = np.flatnonzero(np.arange(len(key)) - back >= begin)
                 if not len(at):
                     break
-                at = at[(grp[at] != grp[at - back]) & (ids[at] != ids[at - back])]
+                x, y = size[at], size[at - back]
+                at = at[(grp[at] != grp[at - back]) & (ids[at] != ids[at - back]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
                 found.append(np.sort(np.stack([ids[at], ids[at - back]], axis=1), axis=1))
             a, b = np.unique(np.concatenate(found), axis=0).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("shingle", "doc_id", "grp")]
+            columns = [batch.column(c).to_numpy() for c in ("shingle", "doc_id", "grp", "n")]
             if rest:
                 columns = [np.concatenate(c) for c in zip(rest, columns)]
             if len(columns[0]):
@@ -522,7 +530,7 @@ def prefix_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFram
         release_memory()
 
     few = prefixes.where(F.col("df") <= HOT).repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id")
-    met = few.mapInArrow(pair, "a long, b long").distinct()
+    met = few.mapInArrow(in_slices(pair), "a long, b long").distinct()
     own = sets.select("doc_id", "shingles").dropDuplicates(["doc_id"])
     both = met.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
 
