@@ -76,3 +76,11 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def finish(df: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The rows written to the shared folder, after which the tables they were made of go."""
+    out = materialise(df)
+    for table in tables:
+        discard(table)
+    return out
