@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import dac, decontaminate, language, lattice, middle, overlap, packing, pitman_yor, sharding, substrings, suffixes, toxicity
+from gleanery.llm import dac, decontaminate, fptree, language, lattice, middle, overlap, packing, pitman_yor, sharding, substrings, suffixes, toxicity
 from gleanery.llm.scratch import ship_package
 
 
@@ -29,6 +29,7 @@ QUERIES = {
     "op8_best_fit": _shipped(packing.op8_best_fit),
     "op9_decontaminate": _shipped(decontaminate.op9_decontaminate),
     "op10_token_files": _shipped(dac.op10_token_files),
+    "op11_ranked_search": _shipped(fptree.op11_ranked_search),
     "op12_fill_in_middle": _shipped(middle.op12_fill_in_middle),
     "op13_suffix_array": _shipped(suffixes.op13_suffix_array),
 }
@@ -36,6 +37,7 @@ ORACLE_SQL = {
     "op4_lattice": lattice.OP4_SQL,
     "op6_jaccard_join": overlap.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_ranked_search": fptree.OP11_SQL,
     "op12_fill_in_middle": middle.OP12_SQL,
     "op13_suffix_array": suffixes.OP13_SQL,
 }
