@@ -32,9 +32,20 @@ from gleanery.llm.arrays import _BYTE_VALUES, _MULT, _MULT_INV, in_slices, mix,
 from gleanery.llm.scratch import discard, finish, materialise, numbered, release_memory
 
 LENGTH = 100
-#: Most strings of a block, and positions sampled at once (their low bits break ties).
-BLOCK, SEGMENT = 19, 1 << 22
-_LOW = np.uint64((1 << 24) - 1)
+#: Most strings of a block, and positions sampled at once.
+BLOCK, SEGMENT = 19, 1 << 16
+_GEAR = np.random.default_rng(20240131).integers(0, 2**32, 256, dtype=np.uint32)
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """32-bit hashes of the `width` bytes from every place, rolled by doubling: what is hashed of two
+    halves, which may overlap."""
+    h, have, factor = _GEAR[data], 1, 0x9E3779B1
+    while have < width:
+        step = min(have, width - have)
+        h = h[:-step] * np.uint32(factor) + (h[step:] ^ (h[step:] >> np.uint32(15)))
+        have, factor = have + step, (factor * factor + 2 * step) % 2**32 | 1
+    return h
 
 
 class Names:
@@ -48,10 +59,6 @@ class Names:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
-    def all_of(self, width: int) -> np.ndarray:
-        n = len(self.prefix) - width
-        return mix((self.prefix[width:] - self.prefix[:-width]) * self.inverse[:n] + np.uint64(width))
-
 
 class Samples:
     """The samples of some texts: of each its text, place, first and last string, and rank. Strings of
@@ -60,32 +67,34 @@ class Samples:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         self.length, self.width, self.block = length, max(1, length // 4), max(1, min(BLOCK, length // 5))
         none = np.zeros(0, np.int64)
-        self.names = Names(data)
         self.text, self.at, self.low, self.high, self.rank = none, none, none, none, none.astype(np.uint64)
-        sizes = np.diff(offsets)
-        if not (sizes >= length).any():
+        self.names = Names(data)
+        if not (np.diff(offsets) >= length).any():
             return
-        ranks, window = self.names.all_of(self.width), length - self.width + 1
-        fits = np.arange(len(data) - length + 1) + length <= np.repeat(offsets[1:], sizes)[: len(data) - length + 1]
+        grams, window = gram_hashes(data, self.width).astype(np.uint64) << np.uint64(32), length - self.width + 1
+        count = len(data) - length + 1
         starts, places = [], []
-        for first in range(0, len(fits), SEGMENT):
-            part = ranks[first : first + SEGMENT + window - 1]
-            least, span = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64), 1
+        for first in range(0, count, SEGMENT):
+            part = grams[first : first + SEGMENT + window - 1]
+            least, span = part | np.arange(len(part), dtype=np.uint64), 1
             while 2 * span <= window:
                 least, span = np.minimum(least[:-span], least[span:]), 2 * span
             if span < window:
                 least = np.minimum(least[: len(part) - window + 1], least[window - span :])
-            here = np.flatnonzero(fits[first : first + SEGMENT])
-            starts.append(here + first)
-            places.append((least[here] & _LOW).astype(np.int64) + first)
-        start, place = np.concatenate(starts), np.concatenate(places)
-        owner = np.searchsorted(offsets, start, side="right") - 1
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(fresh)
-        self.text, self.at, self.low = owner[first], place[first], start[first]
-        self.high = start[np.append(first[1:], len(start)) - 1]
-        self.rank = ranks[self.at]
+            fresh = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+            starts.append(fresh + first)
+            places.append((least[fresh] & np.uint64(0xFFFFFFFF)).astype(np.int64) + first)
+        low, at = np.concatenate(starts), np.concatenate(places)
+        high = np.append(low[1:], count) - 1
+        again = np.flatnonzero(at[1:] == at[:-1]) + 1  # where segments meet
+        low, at, high[again - 1] = np.delete(low, again), np.delete(at, again), high[again]
+        high = np.delete(high, again)
+        # strings that reach into the next text are none
+        text = np.searchsorted(offsets, at, side="right") - 1
+        low, high = np.maximum(low, offsets[text]), np.minimum(high, offsets[text + 1] - length)
+        own = low <= high
+        self.text, self.at, self.low, self.high = text[own], at[own], low[own], high[own]
+        self.rank = self.names.of(self.at, self.at + self.width)
 
     def take(self, which: np.ndarray) -> None:
         self.text, self.at, self.low, self.high, self.rank = self.text[which], self.at[which], self.low[which], self.high[which], self.rank[which]
@@ -169,48 +178,41 @@ def _strings(samples: Samples, batch: pa.RecordBatch):
 
 
 def _repeated(samples: Samples, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the strings that are there earlier, with their texts."""
-    which, low, high, shared, spanned = samples.blocks()
+    """First and last starts of runs of strings that are there earlier."""
+    which, low, high, _, spanned = samples.blocks()
     whole = _listed(samples.text[which], spanned, batch.column("seen"))
     asked = ~whole & _listed(samples.text[which], spanned, batch.column("open"))
     of, start, name = samples.strings(which[asked], low[asked], high[asked])
-    late = _listed(samples.text[of], mix(samples.rank[of] + mix(name)), batch.column("late"))
-    whole_of, whole_start, _ = samples.strings(which[whole], low[whole], high[whole])
+    start = start[_listed(samples.text[of], mix(samples.rank[of] + mix(name)), batch.column("late"))]
     # what a text itself has before: strings of samples that it has more than once
     order = np.lexsort((samples.rank, samples.text))
-    alike = (samples.rank[order[1:]] == samples.rank[order[:-1]]) & (samples.text[order[1:]] == samples.text[order[:-1]])
-    more = np.zeros(len(order), bool)
-    more[order[1:][alike]] = more[order[:-1][alike]] = True
-    again = np.flatnonzero(more)
+    alike = np.flatnonzero((samples.rank[order[1:]] == samples.rank[order[:-1]]) & (samples.text[order[1:]] == samples.text[order[:-1]]))
+    again = np.union1d(order[alike], order[alike + 1])
     own, own_start, own_name = samples.strings(again, samples.low[again], samples.high[again])
-    own_text = samples.text[own]
-    first = np.zeros(len(own), bool)
-    first[_distinct(own_text, own_name)] = True  # starts ascend within a text, so the first one is the earliest
-    return (
-        np.concatenate([samples.text[of[late]], samples.text[whole_of], own_text[~first]]),
-        np.concatenate([start[late], whole_start, own_start[~first]]),
-    )
+    late = np.ones(len(own), bool)
+    late[_distinct(samples.text[own], own_name)] = False  # starts ascend within a text, so the first one is the earliest
+    return np.concatenate([low[whole], start, own_start[late]]), np.concatenate([high[whole], start, own_start[late]])
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, length: int):
+def _cut(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
     """For each text its removed [start, end) in bytes from its own start, and what is left."""
-    covered = np.zeros(len(data) + 1, np.int32)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + length, -1)
-    gone = np.cumsum(covered[:-1]) > 0
-    edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = gone[1:] != gone[:-1]
-    edge[offsets] = True
-    bounds = np.flatnonzero(edge)
-    raw, n = data.tobytes(), len(offsets) - 1
+    n, raw = len(offsets) - 1, data.tobytes()
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], last[order] + length
+    text = np.searchsorted(offsets, first, side="right") - 1
+    reach = np.maximum.accumulate(end) if len(end) else end
+    head = np.flatnonzero(np.append(True, (first[1:] > reach[:-1]) | (text[1:] != text[:-1]))) if len(first) else first
+    begin, stop, owner = first[head], reach[np.append(head[1:], len(first)) - 1] if len(first) else first, text[head]
     spans: list[list[list[int]]] = [[] for _ in range(n)]
     kept: list[list[bytes]] = [[] for _ in range(n)]
-    owner = np.searchsorted(offsets, bounds[:-1], side="right") - 1
-    for s, e, t, removed in zip(bounds[:-1].tolist(), bounds[1:].tolist(), owner.tolist(), gone[bounds[:-1]].tolist()):
-        if removed:
-            spans[t].append([s - int(offsets[t]), e - int(offsets[t])])
-        else:
-            kept[t].append(raw[s:e])
+    bounds = offsets.tolist()
+    here = list(bounds[:-1])
+    for t, s, e in zip(owner.tolist(), begin.tolist(), stop.tolist()):
+        spans[t].append([s - bounds[t], e - bounds[t]])
+        kept[t].append(raw[here[t] : s])
+        here[t] = e
+    for t in range(n):
+        kept[t].append(raw[here[t] : bounds[t + 1]])
     return spans, [b"".join(k) for k in kept]
 
 
@@ -241,8 +243,11 @@ def mark_repeats(docs: DataFrame, id_column: str, text_column: str, length: int)
     shared = samples.groupBy("r0").agg(F.count("*").alias("places")).where("places > 1").select("r0")
     alive = materialise(_lists(samples.join(shared, "r0"), "alive", "r0"))
 
-    blocks = materialise(texts.join(alive, "place").mapInArrow(_ranker(length, _blocks, text), "r0 long, r1 long, place long"))
+    every = materialise(texts.join(alive, "place").mapInArrow(_ranker(length, _blocks, text), "r0 long, r1 long, place long"))
     discard(alive)
+    shared = every.groupBy("r0").agg(F.count("*").alias("places")).where("places > 1").select("r0")
+    blocks = materialise(every.join(shared, "r0"))
+    discard(every)
     first, later = _earlier(blocks, "r0", "r1")
     # what blocks share but not what they span: their strings are to be told apart
     several = first.groupBy("r0").agg(F.count("*").alias("spans")).where("spans > 1").select("r0")
@@ -263,7 +268,7 @@ def mark_repeats(docs: DataFrame, id_column: str, text_column: str, length: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches, text):
-            spans, kept = _cut(data, offsets, _repeated(Samples(data, offsets, length), batch)[1], length)
+            spans, kept = _cut(data, offsets, *_repeated(Samples(data, offsets, length), batch), length)
             new = {"kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
             yield pa.RecordBatch.from_arrays([(new[f.name] if f.name in new else batch.column(f.name)).cast(f.type) for f in arrow], schema=arrow)
         release_memory()
@@ -281,10 +286,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     The text gives way to `kept` (binary: a cut may fall into a character) and `spans`, the removed runs
     as [first byte, end) from the start of the text; columns of these names are replaced, others stay,
-    whatever their names. Rows of
-    one id are documents in the order of a hash of their texts, equal rows in any order; null ids come
-    before all others. Null and empty texts, and those shorter than `length`, lose nothing. An empty
-    table stays empty.
+    whatever their names. Rows of one id are documents in the order of a hash of their texts, equal
+    rows in any order; null ids come before all others. Null and empty texts, and those shorter than
+    `length`, lose nothing. An empty table stays empty.
     """
     out, tables = mark_repeats(docs, id_column, text_column, length)
     return finish(out, tables)

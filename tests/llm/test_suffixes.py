@@ -82,7 +82,7 @@ def test_samples_are_chosen_by_content_alone():
 def test_long_texts_are_sampled_in_segments(monkeypatch):
     data = np.concatenate([np.random.default_rng(6).integers(97, 99, 3000).astype(np.uint8), np.full(500, 97, np.uint8)])
     whole = suffixes.Samples(data, np.array([0, 1000, 3500]), 100)
-    monkeypatch.setattr(suffixes, "SEGMENT", 64)
+    monkeypatch.setattr(suffixes, "SEGMENT", 128)
     parts = suffixes.Samples(data, np.array([0, 1000, 3500]), 100)
     assert whole.at.tolist() == parts.at.tolist() and whole.high.tolist() == parts.high.tolist() and len(whole.at) > 400
 
