@@ -4,7 +4,8 @@ A text is cut where the tokenizer always starts anew, so the ids of a text are t
 pieces in order. For both vocabularies these are safe cuts: before a run of ASCII blanks (byte
 BPE) or around it (word BPE, which drops blanks), and between an ASCII letter and an ASCII mark
 other than an apostrophe. A text in which the byte BPE could join a non-ASCII blank with an ASCII
-one is one piece. Ids of short pieces are remembered in arrays of bounded size.
+one is one piece. The text of a special token is a piece, as the tokenizers library takes it for that
+token wherever it stands. Ids of short pieces are remembered in arrays of bounded size.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drops_blanks = Tokenizer.from_file(path), drops_blanks
-        self.tokenizer.encode_special_tokens = True
+        marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))) if marks else None
         self._forget()
 
     def _forget(self) -> None:
@@ -47,7 +49,7 @@ class PieceTokenizer:
         self.at = np.zeros((0, 2), np.int64)
         self.pool, self.fill = np.zeros(1 << 16, np.uint32), 0
 
-    def _pieces(self, data: np.ndarray, offsets: np.ndarray):
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray, special: list[tuple[int, int]]):
         blank = _BLANK[data]
         fresh = np.zeros(len(data) + 1, bool)
         fresh[offsets] = True
@@ -61,6 +63,10 @@ class PieceTokenizer:
             for found in _OTHER_BLANK.finditer(raw):
                 text = np.searchsorted(offsets, found.start(), side="right") - 1
                 cut[offsets[text] + 1 : offsets[text + 1]] = False
+        for begin, end in special:
+            cut[begin + 1 : end] = False
+            cut[begin] = True
+            cut[end : end + 1] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         if self.drops_blanks:
@@ -72,9 +78,11 @@ class PieceTokenizer:
         """The ids of all texts in one array, and the offsets of each text in it."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        special = [] if self.special is None else [m.span() for m in self.special.finditer(data.tobytes())]
+        special = [(b, e) for b, e in special if np.searchsorted(offsets, b, side="right") == np.searchsorted(offsets, e - 1, side="right")]
         if self.drops_blanks:
             data = lower(data)
-        starts, ends = self._pieces(data, offsets)
+        starts, ends = self._pieces(data, offsets, special)
         keys, first, which = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
         spot = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
         new = self.known[spot] != keys if len(self.known) else np.ones(len(keys), bool)

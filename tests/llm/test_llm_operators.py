@@ -222,6 +222,14 @@ def test_passages_around_a_line_that_all_documents_have(spark):
     assert found <= {(100 + i, i) for i in range(100)} and len(found) >= 85
 
 
+def test_rows_of_one_id_lose_only_what_their_own_text_repeats(spark):
+    a, b, other, more = text(50, 120), text(51, 60), text(52, 200), text(53, 70)
+    rows = [(1, a), (2, b + " " + a), (2, other), (2, "three short words"), (3, other), (4, more), (2, more), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in substrings.remove_repeats(docs).collect())
+    assert [(d, t.strip()) for d, t in left] == sorted([(0, a), (1, a), (2, b), (2, other), (2, "three short words"), (2, more)])
+
+
 def test_near_passages_are_found(spark):
     """Passages of 60 to 200 words with changed words, at similarities from 0.8 up, in texts that share
     nothing else and that all have one line of 30 words. Brute force knows what was planted."""
@@ -328,7 +336,6 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     path = P.path("byte_bpe_50k.json")
     out = dac.read_token_files(dac.write_token_files(docs, tmp_path.as_uri() + "/a", path, 2, False)).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     ids = [t.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows]
     starts = np.cumsum([0] + [len(i) for i in ids])
@@ -337,6 +344,23 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert dac.read_token_files(dac.write_token_files(empty, tmp_path.as_uri() + "/b", path, 2, False)).count() == 0
 
 
+@pytest.mark.parametrize("name, drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_the_librarys(name, drops):
+    """Special tokens, in any case and beside anything, and blanks and marks of all kinds."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from gleanery.llm.tokens import PieceTokenizer
+
+    plain, rng = Tokenizer.from_file(P.path(name)), np.random.default_rng(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "a", "it's", "B", "7", "...", "é", "\u3000", "\u00a0", "<", "|"]
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a  ", "  <|endoftext|>b", "", "<|endoftext|>", "x<|endof", "text|>y", *("".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(400))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, bounds = PieceTokenizer(P.path(name), drops).encode(data, np.cumsum([0] + [len(t.encode()) for t in texts]))
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_directly_addressable_codes(monkeypatch):
     monkeypatch.setattr(dac, "SEGMENT", 100)
     rng = np.random.default_rng(0)
