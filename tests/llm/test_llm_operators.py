@@ -9,7 +9,7 @@ import pytest
 
 from gleanery.llm import arrays, dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, substrings, toxicity
 from gleanery.llm.components import connected_components
-from gleanery.llm.scratch import ship_package
+from gleanery.llm.scratch import materialise, ship_package
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -544,7 +544,7 @@ def test_pipeline(spark):
     ship_package(spark)
     n = docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialise(stage(spark, docs, DATA))
+        out = materialise(stage(spark, docs, DATA))
         assert out.columns == docs.columns and 0.7 * n <= out.count() <= n
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)

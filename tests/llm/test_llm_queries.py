@@ -122,7 +122,7 @@ def test_op6_op9_op10_have_a_row_for_each_document(spark, folder):
         assert sorted(str(r.doc_id) for r in run(spark, folder, name)) == sorted(str(d) for d, *_ in ROWS), name
 
 
-CLASHING = ["score", "rejected", "lang_pred", "_lang", "n_words", "hit_spans", "n_hit", "contaminated", "_spans", "spans", "component_id", "n_shingles", "c0", "c1", "set_id", "shard", "kind"]
+CLASHING = ["score", "rejected", "lang_pred", "_lang", "n_words", "hit_spans", "n_hit", "contaminated", "_spans", "spans", "component_id", "n_shingles", "c0", "c1", "set_id", "shard", "kind", "a.b", "odd name", "kept_id", "x_tie"]
 
 
 def test_stages_keep_columns_of_any_name(spark, folder):
