@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanery import constants as K
 from gleanery.operators.landing import at
 from gleanery.operators.ranking import hours_since
+from gleanery.sources.shared import written
 
-#: Failure types that come from the environment and are not charged to an item.
-FREE_ERRORS = ("rate_limit", "overloaded", "api_error", "timeout", "authentication", "billing", "401", "429", "connection")
+# Failures that come from the environment and are not charged to an item, by the type of a
+# batch result or the status of a request; so are statuses from 500 on, and requests without a connection.
+FREE_ERRORS = ("rate_limit_error", "overloaded_error", "api_error", "timeout_error", "authentication_error", "billing_error", "connection_error", "401", "429")
 
 
 def claim_work(articles: DataFrame, feeds: DataFrame, leases: DataFrame, per_feed: int, max_rows: int, hours: int = K.LEASE_HOURS, now: str = K.NOW) -> DataFrame:
@@ -45,10 +48,13 @@ def settle_work(leases: DataFrame, outcomes: DataFrame, now: str = K.NOW) -> Dat
 
 
 def attribute_failures(failures: DataFrame, results: DataFrame) -> DataFrame:
-    """charged: the failure is of a chargeable type, and an item of its round succeeded."""
+    """charged: an item of the failure's round succeeded, and its error_type (the type of a batch result,
+    or a status as text) is not one of FREE_ERRORS nor a status of 500 or more. Unknown types and null
+    are charged."""
     witness = results.groupBy("round_id").agg((F.count_if(F.col("outcome") == "succeeded") > 0).alias("witness"))
     out = failures.join(witness, "round_id", "left")
-    return out.withColumn("charged", F.coalesce("witness", F.lit(False)) & ~F.col("error_type").isin(*FREE_ERRORS)).drop("witness")
+    free = F.col("error_type").isin(*FREE_ERRORS) | (F.when(F.col("error_type").rlike("^[0-9]{3}$"), F.col("error_type").cast("int")) >= 500)
+    return out.withColumn("charged", F.coalesce("witness", F.lit(False)) & ~F.coalesce(free, F.lit(False))).drop("witness")
 
 
 def reconcile_results(expected: DataFrame, results: DataFrame) -> DataFrame:
@@ -181,27 +187,101 @@ def backfill_candidates(articles: DataFrame, limit: int) -> DataFrame:
     return articles.where("embedding is null").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
 
 
-def token_batches(texts: DataFrame, budget: int = 3000, most: int = 128) -> DataFrame:
-    """(queue, id, tokens, batch): next-fit batches of each queue in order of id; a batch is closed
-    when the next text would exceed the budget or the count, an oversize text is alone. The fold
-    streams over a sorted queue and holds two numbers, so a queue of any length fits; queues are
-    spread over tasks."""
-    schema = T.StructType([T.StructField("queue", T.StringType()), T.StructField("id", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("batch", T.LongType())])
+#: Texts of a queue that are batched at once.
+BLOCK_TEXTS = 20_000
+
+
+def next_starts(tokens: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """For each text as the first of a batch, the first text of the next one (their number: none)."""
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    fits = np.searchsorted(total, total[:-1] + budget, side="right") - 1
+    at = np.arange(len(tokens))
+    return np.minimum(np.maximum(np.minimum(fits, at + most), at + 1), len(tokens))
+
+
+def batch_chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text as the first of a batch, the first text of the block's last batch, and how many
+    batches come after its own, by jumps that double."""
+    n = len(following)
+    last = following == n
+    jump = np.where(last, np.arange(n), following)
+    steps = np.where(last, 0, 1)
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump, steps
+        steps, jump = steps + steps[jump], further
 
-    def fold(batches):
+
+def first_break(tokens: np.ndarray, used: int, n: int, budget: int, most: int) -> int:
+    """The first text that a batch with `used` tokens of n texts has no room for."""
+    if n == 0:
+        return 0
+    fits = int(np.searchsorted(used + np.cumsum(tokens), budget, side="right"))
+    return min(fits, max(most - n, 0), len(tokens))
+
+
+def token_batches(texts: DataFrame, budget: int = 3000, most: int = 128) -> DataFrame:
+    """(queue, id, tokens, batch): next-fit batches of each queue in order of id (of rows of one id, by
+    tokens); a batch is closed when the next text would exceed the budget or the count, an oversize
+    text is alone. Tokens are not negative; null tokens are 0, a null queue is one.
+
+    A queue is cut into ranges, and these into blocks of BLOCK_TEXTS. What a block does with the batch
+    that is open before it depends on its first `most` texts alone: where it breaks first decides all
+    later breaks (next_starts), and jumps that double say where they end. So each block is a short
+    table of (break, batches, what is open after it), the tables of a queue follow each other with
+    two numbers, and then all blocks are batched side by side. Rows are sorted and written once.
+    """
+    columns = texts.select(F.col("queue").cast("string").alias("queue"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
+    rows = columns.repartitionByRange("queue", "id", "tokens").sortWithinPartitions("queue", "id", "tokens")
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()))
+    first = rows.groupBy(F.col("queue").alias("q"), F.shiftright("place", 33).alias("part")).agg(F.min("place").alias("low"))
+    blocks = rows.join(first, F.col("queue").eqNullSafe(F.col("q")) & (F.shiftright("place", 33) == F.col("part")))
+    blocks = blocks.select("queue", "id", "tokens", "place", "part", F.expr(f"(place - low) div {BLOCK_TEXTS}").alias("block"))
+    key = ["queue", "part", "block"]
+
+    def tables(_, pdf):
+        tokens = pdf.sort_values("place")["tokens"].to_numpy()
+        heads = min(most, len(tokens))
+        last, steps = batch_chains(next_starts(tokens, budget, most))
+        total = np.concatenate([[0], np.cumsum(tokens)])
+        return pd.DataFrame({
+            "queue": [pdf["queue"].iloc[0]], "part": [pdf["part"].iloc[0]], "block": [pdf["block"].iloc[0]], "texts": [len(tokens)], "total": [int(total[-1])],
+            "heads": [tokens[:heads].tolist()], "batches": [(steps[: heads + 1] + 1).tolist()], "used": [(total[-1] - total[last[: heads + 1]]).tolist()], "n": [(len(tokens) - last[: heads + 1]).tolist()],
+        })
+
+    def follow(pieces):
         queue, batch, used, n = object(), 0, 0, 0
-        for pdf in batches:
+        for pdf in pieces:
             out = []
-            for q, tokens in zip(pdf["queue"], pdf["tokens"]):
-                if q != queue:
-                    queue, batch, used, n = q, 0, 0, 0
-                elif used + tokens > budget or n + 1 > most:
-                    batch, used, n = batch + 1, 0, 0
-                used, n = used + tokens, n + 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    return texts.select("queue", "id", "tokens").repartition("queue").sortWithinPartitions("queue", "id").mapInPandas(fold, schema)
+            for r in pdf.itertuples(index=False):
+                if r.queue != queue:
+                    queue, batch, used, n = r.queue, 0, 0, 0
+                out.append((r.queue, r.part, r.block, batch, used, n))
+                brk = first_break(np.asarray(r.heads), used, n, budget, most)
+                if brk >= r.texts:
+                    used, n = used + r.total, n + r.texts
+                else:
+                    batch, used, n = batch + int(r.batches[brk]) - (n == 0), int(r.used[brk]), int(r.n[brk])
+            yield pd.DataFrame(out, columns=[*key, "batch", "used", "n"])
+
+    def number(_, pdf):
+        pdf = pdf.sort_values("place")
+        tokens, (batch, used, n) = pdf["tokens"].to_numpy(), (int(pdf[c].iloc[0]) for c in ("batch", "used", "n"))
+        brk, following = first_break(tokens[:most], used, n, budget, most), next_starts(tokens, budget, most)
+        starts, at = np.zeros(len(tokens), np.int64), brk
+        while at < len(tokens):
+            starts[at] = 1
+            at = following[at]
+        if n == 0 and len(starts):
+            starts[0] = 0
+        return pdf.assign(batch=batch + np.cumsum(starts))[["queue", "id", "tokens", "batch"]]
+
+    made = blocks.groupBy(*key).applyInPandas(tables, "queue string, part long, block long, texts long, total long, heads array<long>, batches array<long>, used array<long>, n array<long>")
+    entered = made.repartition("queue").sortWithinPartitions(*key).mapInPandas(follow, "queue string, part long, block long, batch long, used long, n long")
+    entered = entered.withColumnRenamed("queue", "q").withColumnRenamed("part", "p").withColumnRenamed("block", "b")
+    both = blocks.join(entered, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).drop("q", "p", "b")
+    return both.groupBy(*key).applyInPandas(number, "queue string, id long, tokens long, batch long")
 
 
 def untagged(articles: DataFrame, tags: DataFrame) -> DataFrame:

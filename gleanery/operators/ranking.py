@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as K
 from gleanery.operators.landing import at
+from gleanery.sources.partitions import PartitionTable
+from gleanery.sources.shared import written
 
 
 def hours_since(column: str, now: str):
@@ -36,14 +38,51 @@ def score_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds
 def top_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds: DataFrame, k: int = 10, now: str = K.NOW) -> DataFrame:
     """Each tenant's k best articles by score to six places; ties go to the newer, then by article_id.
 
-    Articles of one feed and one set of tags differ in recency alone, so for every tenant only the k
-    newest of each such class can be among the best: the others are cut before tenants multiply
-    what is left."""
-    classes = tags.groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), "\x00").alias("tags"))
+    Articles of one feed and one set of tags, a class, differ in recency alone, so only the k newest of
+    a class can be among the best, and only of the k classes with the best newest articles. These come
+    from two lists a tenant, which are all that tenants multiply: feeds (source preference, credibility
+    and recency of their newest article) and sets of tags (sum of the preferences). A class is worth no
+    more than its feed with the tenant's best set, or its set with the best feed, so the threshold
+    algorithm takes the classes of the best sets first, whose k-th best newest article is a score to
+    reach, and then only feeds and sets that can reach it.
+    """
+    sets = tags.groupBy("article_id").agg(F.array_sort(F.collect_set("tag")).alias("names"))
     newest = Window.partitionBy("feed_id", "tags").orderBy(F.desc_nulls_last("published_at"), "article_id")
-    some = articles.select("article_id", "feed_id", "published_at").join(classes, "article_id", "left").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= k)
-    scored = score_articles(some, tags.join(some.select("article_id"), "article_id", "left_semi"), prefs, feeds, now)
-    scored = scored.withColumn("score", F.round("score", 6)).join(some.select("article_id", "published_at"), "article_id")
+    rows = articles.select("article_id", "feed_id", "published_at").join(sets, "article_id", "left").withColumn("tags", F.coalesce(F.array_join("names", "\x00"), F.lit("")))
+    rows = rows.withColumn("fresh", recency(now=now)).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= k)
+    some, prefs, feeds = written(rows), written(prefs.select("tenant", "kind", "pref_key", "weight")), written(feeds.select("feed_id", "credibility"))
+    classes = some.where("n = 1").select("feed_id", "tags", "fresh")
+
+    tenants = prefs.select("tenant").distinct()
+    of_tag, of_source = (prefs.where(F.col("kind") == kind).select("tenant", "pref_key", "weight") for kind in ("tag", "source"))
+    by_set = some.select("tags", F.explode("names").alias("pref_key")).distinct().join(of_tag, "pref_key").groupBy("tenant", "tags").agg(F.sum("weight").alias("by_tag"))
+    by_set = tenants.crossJoin(classes.select("tags").distinct()).join(by_set, ["tenant", "tags"], "left").na.fill(0.0, ["by_tag"])
+    by_feed = classes.groupBy("feed_id").agg(F.max("fresh").alias("fresh")).join(feeds.select("feed_id", "credibility"), "feed_id", "left").crossJoin(tenants)
+    by_feed = by_feed.join(of_source.withColumnRenamed("pref_key", "feed_id"), ["tenant", "feed_id"], "left").na.fill(0.0, ["weight", "credibility"])
+    by_feed = by_feed.select("tenant", "feed_id", (F.col("weight") + F.col("credibility")).alias("by_feed"), (F.col("weight") + F.col("credibility") + F.col("fresh")).alias("most"))
+    by_set, by_feed = written(by_set), written(by_feed)
+
+    def worth(sets_: DataFrame, feeds_: DataFrame) -> DataFrame:
+        return sets_.join(classes, "tags").join(feeds_, ["tenant", "feed_id"]).withColumn("best", F.col("fresh") + F.col("by_tag") + F.col("by_feed"))
+
+    first = Window.partitionBy("tenant").orderBy(F.desc("by_tag"), "tags")
+    seen = worth(by_set.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n"), by_feed)
+    reach = seen.withColumn("n", F.row_number().over(Window.partitionBy("tenant").orderBy(F.desc("best")))).where(F.col("n") == k).select("tenant", F.col("best").alias("reach"))
+    bounds = by_set.groupBy("tenant").agg(F.max("by_tag").alias("best_set")).join(by_feed.groupBy("tenant").agg(F.max("most").alias("best_feed")), "tenant").join(reach, "tenant", "left")
+    low = F.coalesce(F.col("reach") - 1e-5, F.lit(float("-inf")))  # scores are compared to six places
+    can = lambda df, bound: df.join(bounds, "tenant").where(bound >= low).select(df.columns)
+    sets_, feeds_ = can(by_set, F.col("by_tag") + F.col("best_feed")), can(by_feed, F.col("most") + F.col("best_set"))
+    place = F.row_number().over(Window.partitionBy("tenant").orderBy(F.desc(F.round("best", 6)), F.desc("fresh")))
+    left = worth(sets_, feeds_).withColumn("place", place)
+    # of classes whose best articles are equal to six places, any may go on
+    edge = left.where(F.col("place") == k).select("tenant", F.col("best").alias("edge"))
+    left = left.join(edge, "tenant", "left").where(F.col("edge").isNull() | (F.col("best") >= F.col("edge") - 1e-5))
+
+    scored = left.select("tenant", "feed_id", "tags", "by_tag", "by_feed").join(some, ["feed_id", "tags"])
+    # the sum in the order of score_articles; a tenant's best pairs only
+    source = of_source.withColumnRenamed("pref_key", "feed_id").withColumnRenamed("weight", "by_source")
+    scored = scored.join(source, ["tenant", "feed_id"], "left").join(feeds.select("feed_id", "credibility"), "feed_id", "left").na.fill(0.0, ["by_source", "credibility"])
+    scored = scored.withColumn("score", F.round(F.col("fresh") + (F.col("by_tag") + F.col("by_source")) + F.col("credibility"), 6))
     best = Window.partitionBy("tenant").orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "article_id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("tenant", "article_id", "score", "place")
 
@@ -150,6 +189,17 @@ def deck_summary(decks: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a table of decks, which is partitioned by "day".
+DECK_SCHEMA = "tenant long, article_id long, place long, score double"
+
+
+def save_decks(table: PartitionTable, day: str, decks: DataFrame) -> None:
+    """Let the decks (DECK_SCHEMA) count as those of their tenants on a day, in one step: whoever reads
+    meanwhile, or after this failed, sees the old decks of all tenants. Tenants without rows in `decks`
+    keep theirs, so a run that finds nothing changes nothing, and a run that is repeated gives the same."""
+    table.replace_keys(decks, day, "tenant")
+
+
 def recurate_day(decks: DataFrame, day: str, remade: DataFrame) -> DataFrame:
     """The deck table with one day made anew: that day's rows are replaced by `remade` if that has
     any (else they stay, as after a failed run)."""
@@ -158,16 +208,29 @@ def recurate_day(decks: DataFrame, day: str, remade: DataFrame) -> DataFrame:
     return old.unionByName(remade.withColumn("day", F.lit(day)).select(decks.columns))
 
 
-def deck_view(decks: DataFrame, feedback: DataFrame, tags: DataFrame) -> DataFrame:
-    """Picks that their tenant has not judged, with their tags in order, and the deck's size."""
+def deck_view(decks: DataFrame, feedback: DataFrame, tags: DataFrame, articles: DataFrame, feeds: DataFrame, labels: DataFrame) -> DataFrame:
+    """Picks (tenant, article_id, score) that their tenant has not judged, each tenant's by score (nulls
+    last, ties by article_id), with title and feed_title, their tags in order, the tags' labels (slug,
+    label; an unknown slug is its own) and categories ("TECH / AI" of tech/ai), and the size of the
+    whole deck."""
     size = decks.groupBy("tenant").agg(F.count("*").alias("total"))
     left = decks.join(feedback.select("tenant", "article_id").distinct(), ["tenant", "article_id"], "left_anti").join(size, "tenant")
-    named = tags.groupBy("article_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("tag"))).alias("tags"))
-    return left.join(named, "article_id", "left")
+    named = tags.join(decks.select("article_id").distinct(), "article_id", "left_semi").join(labels.select(F.col("slug").alias("tag"), "label"), "tag", "left")
+    one = F.struct("tag", F.coalesce("label", "tag").alias("label"), F.upper(F.replace("tag", F.lit("/"), F.lit(" / "))).alias("category"))
+    named = named.groupBy("article_id").agg(F.array_sort(F.collect_set(one)).alias("t"))
+    full = left.join(articles.select("article_id", "feed_id", "title"), "article_id", "left").join(feeds.select("feed_id", F.col("title").alias("feed_title")), "feed_id", "left").join(named, "article_id", "left")
+    none = F.array().cast("array<string>")
+    place = F.row_number().over(Window.partitionBy("tenant").orderBy(F.desc_nulls_last("score"), "article_id"))
+    return full.select(
+        "tenant", "article_id", place.cast("long").alias("place"), "score", "title", "feed_title", "total",
+        *(F.coalesce(f"t.{c}", none).alias(name) for c, name in (("tag", "tags"), ("label", "labels"), ("category", "categories"))),
+    )
 
 
-def saved_view(articles: DataFrame, limit: int = 100) -> DataFrame:
-    return articles.where("is_starred").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
+def saved_view(articles: DataFrame, feeds: DataFrame, limit: int = 100) -> DataFrame:
+    """Starred articles with their feed's title, newest first (nulls last, ties by id)."""
+    best = articles.where("is_starred").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
+    return best.join(feeds.select("feed_id", F.col("title").alias("feed_title")), "feed_id", "left")
 
 
 def preference_themes(prefs: DataFrame, k: int = 5, labels: DataFrame | None = None) -> DataFrame:

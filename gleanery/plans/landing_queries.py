@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from gleanery.constants import NOW
 from gleanery.operators import landing as op
 from gleanery.plans.registry import query
+from gleanery.sources.partitions import PartitionTable
+from gleanery.sources.shared import shared_folder
 from gleanery.sources.views import Views
 
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -18,10 +20,13 @@ def a1(v: Views):
     return op.land_items(v.raw_items, v.feeds, v.landed)
 
 
-@query("a2_feed_fetch_summary", f"""SELECT f.feed_id, title, coalesce(inserted, 0) AS inserted,
-  CAST(CASE WHEN error IS NULL THEN {NOW_SQL} ELSE last_fetched_at END AS VARCHAR) AS last_fetched_at FROM feeds f LEFT JOIN fetches x ON x.feed_id = f.feed_id""")
+@query("a2_feed_fetch_summary", f"""SELECT feed_id, CASE WHEN idx % 6 <> 1 AND error IS NULL THEN coalesce(title, new_title) ELSE title END AS title,
+  CASE WHEN idx % 6 <> 1 AND error IS NULL THEN new_site_url ELSE site_url END AS site_url, CASE WHEN idx % 6 <> 1 THEN inserted ELSE 0 END AS inserted,
+  CAST(CASE WHEN idx % 6 <> 1 AND error IS NULL THEN {NOW_SQL} ELSE last_fetched_at END AS VARCHAR) AS last_fetched_at FROM fetches JOIN (SELECT feed_id, idx FROM feeds) f USING (feed_id)""")
 def a2(v: Views):
-    return op.feed_fetch_summary(v.feeds, v.fetches).withColumn("last_fetched_at", F.col("last_fetched_at").cast("string"))
+    fetched = v.fetches.join(v.feeds.where("idx % 6 <> 1"), "feed_id", "left_semi").select("feed_id", "error", "inserted", "new_title", "new_site_url")
+    out = op.feed_fetch_summary(v.fetches.select("feed_id", "title", "site_url", "last_fetched_at"), fetched)
+    return out.withColumn("last_fetched_at", F.col("last_fetched_at").cast("string"))
 
 
 _TEXT = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -41,7 +46,7 @@ def a4(v: Views):
     return op.text_profile_report(op.text_profile(v.pages))
 
 
-@query("a5_enrich_candidates", """SELECT article_id, body_len FROM articles WHERE summary IS NULL AND coalesce(body_len, 0) < 300
+@query("a5_enrich_candidates", """SELECT article_id, body_len FROM articles WHERE summary IS NULL AND enriched_at IS NULL AND url IS NOT NULL AND coalesce(body_len, 0) < 300
 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20""")
 def a5(v: Views):
     return op.enrich_candidates(v.articles).select("article_id", "body_len")
@@ -67,6 +72,51 @@ def a7(v: Views):
     return out.select("article_id", "pruned", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+@query("a7_prune_partitions", f"""SELECT article_id, (SELECT count(*) FROM articles WHERE embedding IS NOT NULL AND NOT coalesce(published_at >= {NOW_SQL} - INTERVAL 35 DAY, false)) AS pruned
+FROM articles WHERE embedding IS NOT NULL AND published_at >= {NOW_SQL} - INTERVAL 35 DAY""")
+def a7_partitions(v: Views):
+    table = PartitionTable(v.spark, shared_folder(v.spark, "vectors"), "article_id long, published_at timestamp, embedding array<float>", "day")
+    dated = v.articles.where("embedding is not null").withColumn("published_at", F.col("published_at").cast("timestamp"))
+    table.load(dated.withColumn("day", F.coalesce(F.to_date("published_at").cast("string"), F.lit("none"))))
+    gone, _ = op.prune_vector_partitions(table)
+    return table.read().select("article_id", F.lit(gone).cast("long").alias("pruned"))
+
+
+LOG = """SELECT target, CASE target WHEN 'feed' THEN concat('https://src', CAST(user_id % 30 AS STRING), '.example.org/feed') WHEN 'candidate' THEN CAST(event_id % 90 AS STRING) ELSE CAST(user_id * 100 + event_id % 6 AS STRING) END AS key,
+  CASE WHEN target = 'feed' THEN CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'activate' WHEN 'purchase' THEN 'deactivate' WHEN 'signup' THEN 'delete' ELSE 'add' END
+    WHEN event_type IN ('view', 'click', 'purchase') THEN 'approve' ELSE 'reject' END AS command, ts, event_id AS seq
+FROM (SELECT *, CASE event_id % 11 WHEN 0 THEN 'feed' WHEN 1 THEN 'candidate' ELSE 'card' END AS target FROM {events} WHERE event_id % 4 < 3) e"""
+
+
+@query("a8_command_log", f"""WITH log AS ({LOG.replace('{events}', 'events')}),
+cs AS (SELECT key, arg_max(command, seq) AS command FROM log WHERE target = 'candidate' GROUP BY 1), ks AS (SELECT key, arg_max(command, seq) AS command FROM log WHERE target = 'card' GROUP BY 1),
+ev AS (SELECT key AS url, command, seq, CAST(NULL AS VARCHAR) AS title, CAST(0 AS DOUBLE) AS credibility FROM log WHERE target = 'feed'
+  UNION ALL SELECT url, 'add', seq, title, credibility FROM log JOIN feed_candidates c ON target = 'candidate' AND command = 'approve' AND key = CAST(candidate_id AS VARCHAR)),
+st AS (SELECT url, active, CAST(NULL AS VARCHAR) AS title, credibility, true AS known FROM feeds),
+dl AS (SELECT url, max(seq) AS d FROM ev WHERE command = 'delete' GROUP BY 1),
+re AS (SELECT ev.*, d FROM ev LEFT JOIN dl USING (url) WHERE command <> 'delete' AND (d IS NULL OR seq > d)),
+ad AS (SELECT url, min(seq) AS born, arg_min(struct_pack(t := title, c := credibility), seq) AS made FROM re WHERE command = 'add' GROUP BY 1),
+th AS (SELECT u.url, coalesce(known, false) AND d IS NULL AS kept, active, st.title, st.credibility, born, made FROM (SELECT url FROM st UNION SELECT url FROM ev) u LEFT JOIN st USING (url) LEFT JOIN dl USING (url) LEFT JOIN ad USING (url)
+  WHERE (coalesce(known, false) AND d IS NULL) OR born IS NOT NULL),
+fl AS (SELECT url, arg_max(command, seq) = 'activate' AS flag FROM re JOIN th USING (url) WHERE command IN ('activate', 'deactivate') AND (kept OR seq > th.born) GROUP BY 1),
+nf AS (SELECT url, coalesce(flag, CASE WHEN kept THEN active END, true) AS active, CASE WHEN kept THEN title ELSE made.t END AS title, CASE WHEN kept THEN credibility ELSE made.c END AS credibility, kept FROM th LEFT JOIN fl USING (url))
+SELECT 'feed' AS kind, nf.url AS key, CASE WHEN nf.active THEN 'active' ELSE 'inactive' END AS state, title, nf.credibility, coalesce(n, 0) AS articles
+FROM nf LEFT JOIN (SELECT f.url, count(*) AS n FROM articles a JOIN feeds f ON f.feed_id = a.feed_id GROUP BY f.url) a ON a.url = nf.url AND kept
+UNION ALL SELECT 'candidate', CAST(candidate_id AS VARCHAR), CASE command WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE status END, title, credibility, 0
+FROM feed_candidates LEFT JOIN cs ON key = CAST(candidate_id AS VARCHAR)
+UNION ALL SELECT 'card', CAST(card_id AS VARCHAR), CASE command WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE status END, NULL, NULL, 0 FROM cards LEFT JOIN ks ON key = CAST(card_id AS VARCHAR)""")
+def a8_log(v: Views):
+    known = v.feeds.select("url", "active", F.lit(None).cast("string").alias("title"), "credibility")
+    candidates = v.feed_candidates.withColumn("candidate_id", F.col("candidate_id").cast("string"))
+    feeds, candidates, cards = op.registry_fold(known, candidates, v.cards.withColumn("card_id", F.col("card_id").cast("string")), v.sql(LOG))
+    per = v.articles.select("feed_id").join(v.feeds.select("feed_id", "url"), "feed_id").join(feeds.where("kept").select("url"), "url", "left_semi")
+    feeds = feeds.join(per.groupBy("url").agg(F.count("*").alias("articles")), "url", "left").na.fill(0, ["articles"])
+    none = F.lit(0).cast("long")
+    return feeds.select(F.lit("feed").alias("kind"), F.col("url").alias("key"), F.when(F.col("active"), "active").otherwise("inactive").alias("state"), "title", "credibility", "articles").union(
+        candidates.select(F.lit("candidate"), "candidate_id", "status", "title", "credibility", none)
+    ).union(cards.select(F.lit("card"), "card_id", "status", F.lit(None), F.lit(None), none))
+
+
 COMMANDS = """SELECT concat('src', CAST(user_id % 30 AS STRING)) AS feed_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'activate'
   WHEN 'purchase' THEN 'deactivate' WHEN 'signup' THEN 'delete' ELSE 'add' END AS command, ts, event_id AS seq FROM {events}"""
 
@@ -100,6 +150,15 @@ def a11(v: Views):
     return op.source_lists(v.feeds)
 
 
+@query("a11_pending_lists", """WITH p AS (SELECT *, TRY_CAST(regexp_extract(discovered_from, '^article-links:(\\d+)src$', 1) AS BIGINT) AS n, regexp_extract(discovered_from, '^preference:(.+)$', 1) AS s FROM feed_candidates WHERE status = 'pending')
+SELECT 'candidate' AS kind, candidate_id AS id, CASE WHEN credibility >= 1 THEN 'high' WHEN credibility >= 0.3 THEN 'mid' ELSE 'low' END AS label,
+  CASE WHEN n > 0 THEN 'article-links' WHEN s <> '' THEN 'preference' ELSE 'other' END AS from_kind, CASE WHEN n > 0 THEN n ELSE 0 END AS sources, CASE WHEN s <> '' THEN s END AS slug,
+  row_number() OVER (ORDER BY created_at DESC, candidate_id) AS place FROM p
+UNION ALL SELECT 'learn_source', source_id, NULL, NULL, 0, NULL, row_number() OVER (ORDER BY created_at DESC, source_id) FROM learn_sources WHERE status = 'pending'""")
+def a11_pending(v: Views):
+    return op.pending_lists(v.feed_candidates, v.learn_sources).na.fill(0, ["sources"])
+
+
 PROVENANCE = """SELECT s_suppkey AS candidate_id, CASE WHEN s_suppkey % 3 = 0 THEN concat('article-links:', CAST(s_suppkey % 5 AS STRING), 'src')
   WHEN s_suppkey % 3 = 1 THEN concat('preference:tech/', CAST(s_nationkey AS STRING)) ELSE s_name END AS discovered_from FROM {supplier}"""
 

@@ -43,12 +43,14 @@ def f2(v: Views):
     return text(op.settle_work(v.leases, v.sql(OUTCOMES)), "reserved_until", "failed_at")
 
 
-FAILURES = """SELECT round_id, item_id, CASE item_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'invalid_request' WHEN 2 THEN '429' ELSE 'refusal' END AS error_type
+FAILURES = """SELECT round_id, item_id, CASE (round_id + item_id) % 17 WHEN 0 THEN 'rate_limit_error' WHEN 1 THEN 'overloaded_error' WHEN 2 THEN 'api_error' WHEN 3 THEN 'timeout_error'
+  WHEN 4 THEN 'authentication_error' WHEN 5 THEN 'billing_error' WHEN 6 THEN 'connection_error' WHEN 7 THEN '401' WHEN 8 THEN '429' WHEN 9 THEN '500' WHEN 10 THEN '503' WHEN 11 THEN '529'
+  WHEN 12 THEN '400' WHEN 13 THEN '403' WHEN 14 THEN 'invalid_request_error' WHEN 15 THEN 'permission_error' ELSE NULL END AS error_type
 FROM {round_results} WHERE outcome = 'errored'"""
 
 
 @query("f3_attribute_failures", f"""WITH f AS ({FAILURES.replace('{round_results}', 'round_results')}), w AS (SELECT DISTINCT round_id FROM round_results WHERE outcome = 'succeeded')
-SELECT f.*, round_id IN (SELECT round_id FROM w) AND error_type NOT IN ('timeout', '429') AS charged FROM f""")
+SELECT f.*, round_id IN (SELECT round_id FROM w) AND (error_type IS NULL OR error_type IN ('400', '403', 'invalid_request_error', 'permission_error')) AS charged FROM f""")
 def f3(v: Views):
     return op.attribute_failures(v.sql(FAILURES), v.round_results)
 

@@ -1,27 +1,20 @@
 """Queries that run a stream over a table's files and return what it wrote."""
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery.constants import NOW
 from gleanery.plans.landing_queries import a1  # noqa: F401
 from gleanery.plans.learning_queries import FOLD
 from gleanery.plans.ranking_queries import REBUILT
 from gleanery.plans.registry import query
+from gleanery.sources.shared import shared_folder
 from gleanery.sources.views import Views
 from gleanery.streaming import jobs
 
 
 def _folder(v: Views) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not v.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        base = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(v.spark, "stream")
 
 
 def _as_stream(v: Views, df, folder: str):
@@ -66,6 +59,31 @@ def s3(v: Views):
     return last.select("tenant", "concept_key", F.round(F.col("mastery") + 3e-8, 6).alias("mastery"), "attempts")
 
 
+#: The log of feeds: when they were made, last fetched and, some of them, failed since; then the time passes.
+FEED_LOG = """SELECT feed_id, 'made' AS kind, created_at AS at FROM {fetches} UNION ALL SELECT feed_id, 'fetched', last_fetched_at FROM {fetches} WHERE last_fetched_at IS NOT NULL
+UNION ALL SELECT feed_id, 'failed', coalesce(last_fetched_at, created_at) + INTERVAL '1' MINUTE FROM {fetches} WHERE error IS NOT NULL"""
+TICK = f"SELECT '', 'tick', TIMESTAMP '{NOW}' + INTERVAL '1' SECOND"
+
+
+@query("s4_stream_silent_feeds", f"""SELECT feed_id, CAST(coalesce(last_fetched_at, created_at) AS VARCHAR) AS last_seen FROM fetches
+WHERE error IS NOT NULL AND (epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(last_fetched_at, created_at))) / 3600000000.0 >= 24""")
+def s4_silent(v: Views):
+    _rocksdb(v)
+    folder = _folder(v)
+    log = v.sql(f"{FEED_LOG} UNION ALL {TICK}").withColumn("at", F.col("at").cast("timestamp"))
+    jobs.run_to_table(jobs.stream_silent_feeds(_as_stream(v, log, folder)), f"{folder}/out", f"{folder}/state")
+    silent = v.spark.read.schema("feed_id string, last_seen timestamp, failed boolean, batch int").parquet(f"{folder}/out").where("failed")
+    return silent.select("feed_id", F.col("last_seen").cast("string").alias("last_seen"))
+
+
+@query("s1_stream_first_copies", """SELECT feed_id, coalesce(guid, link, '') AS guid, count(*) - count(*) + 1 AS copies FROM raw_items WHERE coalesce(guid, link, '') <> '' GROUP BY 1, 2""")
+def s1_bounded(v: Views):
+    folder = _folder(v)
+    rows = v.raw_items.withColumn("seen_at", F.expr(f"timestamp '{NOW}' + make_dt_interval(0, 0, 0, pos % 3000)"))
+    jobs.run_to_table(jobs.stream_first_copies(_as_stream(v, rows, folder)), f"{folder}/out", f"{folder}/state")
+    return v.spark.read.parquet(f"{folder}/out").groupBy("feed_id", "guid").agg(F.count("*").alias("copies"))
+
+
 @query("s4_stream_source_activity", """SELECT feed_id, CAST(date_trunc('day', published_at) AS VARCHAR) AS day, count(*) AS items FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2""")
 def s4(v: Views):
     folder = _folder(v)

@@ -24,6 +24,8 @@ FROM (SELECT DISTINCT source FROM {documents}) s""",
   CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' MINUTE * CAST((d.doc_id * 7919) % 57600 AS INT) END AS published_at,
   e.embedding AS embedding,
   CASE WHEN e.vec_id IS NULL THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST((d.doc_id * 13) % 1000 AS INT) END AS embedded_at,
+  CASE WHEN d.doc_id % 8 = 0 THEN NULL ELSE concat('https://', d.source, '.example.org/', CAST(d.doc_id AS STRING)) END AS url,
+  CASE WHEN d.doc_id % 20 = 5 THEN TIMESTAMP '2024-01-30 00:00:00' ELSE NULL END AS enriched_at,
   CAST(d.doc_id % 4 AS INT) AS summary_attempts, d.doc_id % 9 = 0 AS is_starred, d.doc_id % 4 = 1 AS is_read
 FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id""",
     "article_tags": """SELECT article_id, CASE WHEN k < 8 THEN concat('tech/', CAST(k AS STRING)) ELSE concat('misc/', CAST(k AS STRING)) END AS tag
@@ -61,7 +63,17 @@ FROM {orders}""",
   CASE WHEN doc_id % 6 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' WHEN doc_id % 6 = 1 THEN TIMESTAMP '2024-01-30 06:00:00' ELSE NULL END AS reserved_until,
   CASE WHEN doc_id % 4 >= 2 THEN TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id % 60 AS INT) ELSE NULL END AS failed_at FROM {documents}""",
     "fetches": """SELECT feed_id, CASE WHEN idx % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * (idx * 6) END AS last_fetched_at, created_at,
-  CASE WHEN idx % 3 = 0 THEN NULL ELSE 'timeout' END AS error, CAST(idx % 4 AS BIGINT) AS inserted, concat('Title ', feed_id) AS title FROM {feeds}""",
+  CASE WHEN idx % 3 = 0 THEN NULL ELSE 'timeout' END AS error, CAST(idx % 4 AS BIGINT) AS inserted, CASE WHEN idx % 5 = 2 THEN NULL ELSE concat('Title ', feed_id) END AS title,
+  CASE WHEN idx % 2 = 0 THEN NULL ELSE concat('https://', feed_id, '.example.org') END AS site_url, concat('New title ', feed_id) AS new_title,
+  CASE WHEN idx % 9 = 3 THEN NULL ELSE concat('https://', feed_id, '.example.net') END AS new_site_url FROM {feeds}""",
+    "feed_candidates": """SELECT s_suppkey AS candidate_id, concat('https://src', CAST(s_suppkey % 30 AS STRING), '.example.org/feed') AS url, s_name AS title,
+  CAST(CASE s_suppkey % 4 WHEN 0 THEN 1.2 WHEN 1 THEN 0.3 ELSE -0.3 END AS DOUBLE) AS credibility, CASE WHEN s_suppkey % 7 = 0 THEN 'rejected' ELSE 'pending' END AS status,
+  CASE WHEN s_suppkey % 3 = 0 THEN concat('article-links:', CAST(s_suppkey % 5 AS STRING), 'src') WHEN s_suppkey % 3 = 1 THEN concat('preference:tech/', CAST(s_nationkey AS STRING)) ELSE s_name END AS discovered_from,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST((s_suppkey * 7) % 300 AS INT) AS created_at FROM {supplier}""",
+    "cards": """SELECT conv_id * 100 + turn AS card_id, CASE WHEN turn % 4 = 3 THEN 'approved' ELSE 'pending' END AS status FROM {conversations}""",
+    "learn_sources": """SELECT page_id AS source_id, CASE page_id % 3 WHEN 0 THEN 'pending' ELSE 'approved' END AS status, concat('tech/', CAST(page_id % 8 AS STRING)) AS category, html AS body,
+  CASE WHEN page_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((page_id * 7) % 500 AS INT) END AS last_generated_at,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST((page_id * 11) % 400 AS INT) AS created_at FROM {pages}""",
     "prefs": """SELECT tenant, kind, pref_key, weight FROM (
   SELECT user_id AS tenant, 'tag' AS kind, concat('tech/', CAST(event_id % 8 AS STRING)) AS pref_key, sum(CAST(CASE event_type WHEN 'purchase' THEN 0.65 WHEN 'view' THEN 1.0 ELSE -1.1 END AS DOUBLE)) AS weight
   FROM {events} GROUP BY user_id, concat('tech/', CAST(event_id % 8 AS STRING))

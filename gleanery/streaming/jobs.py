@@ -31,6 +31,67 @@ def stream_land_items(raw: DataFrame, feeds: DataFrame, target: str, checkpoint:
     return raw.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_first_copies(raw: DataFrame, late: str = "2 hours") -> DataFrame:
+    """The first copy of each (feed_id, guid) of a stream with seen_at, in bounded state: a key is
+    forgotten when the watermark (the newest seen_at less `late`) has passed its first copy by `late`,
+    so copies inside that bound are dropped and one that comes later is a first copy again.
+    stream_land_items is the exact form, which asks the table instead."""
+    keyed = raw.withColumn("guid", F.coalesce("guid", "link", F.lit(""))).where("guid <> ''")
+    return keyed.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["feed_id", "guid"])
+
+
+class _Silence(StatefulProcessor):
+    """Holds when a feed last succeeded (or else was made), and a timer for when that is `hours` ago. The
+    timer fires if nothing has moved it by then: the feed is silent."""
+
+    def __init__(self, hours: int):
+        self.wait = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, failed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows))
+        pdf = pdf[pdf["kind"] != "tick"].sort_values("at")
+        if not len(pdf):
+            return
+        at, failed = self.last.get() if self.last.exists() else (None, False)
+        for kind, ts in zip(pdf["kind"], pdf["at"]):
+            ms = int(pd.Timestamp(ts).timestamp() * 1000)
+            if kind == "failed":
+                failed = True
+            elif kind == "fetched":
+                at, failed = ms if at is None else max(at, ms), False
+            elif at is None:  # made
+                at = ms
+        if at is not None:
+            self.last.update((at, bool(failed)))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(at + self.wait, timerValues.getCurrentWatermarkInMs() + 1))
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        at, failed = self.last.get()
+        yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"), bool(failed))], columns=["feed_id", "last_seen", "failed"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_silent_feeds(log: DataFrame, hours: int = K.STALE_HOURS, late: str = "0 seconds") -> DataFrame:
+    """(feed_id, last_seen, failed): feeds of a stream (feed_id, kind, at) that were not fetched for
+    `hours`, once for each silence, when the event time gets there. kind: made (the feed is there),
+    fetched, failed, or tick, which says nothing but what time it is. last_seen is the last success, or
+    else when the feed was made; failed says whether an attempt since then failed. Needs the RocksDB
+    state store; state is a row a feed."""
+    return log.withWatermark("at", late).groupBy("feed_id").transformWithStateInPandas(
+        _Silence(hours), outputStructType="feed_id string, last_seen timestamp, failed boolean", outputMode="Append", timeMode="EventTime"
+    )
+
+
 class _LastAction(StatefulProcessor):
     """Holds an article's last action and the keys it was counted under; a new judgement takes the old
     weight back and gives the new one, under the keys of its own time."""
@@ -96,7 +157,7 @@ def stream_source_activity(items: DataFrame, hours: int = K.STALE_HOURS, late: s
     return items.withWatermark("published_at", late).groupBy(F.window("published_at", f"{hours} hours"), "feed_id").agg(F.count("*").alias("items"))
 
 
-def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
+def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over what is available and write its rows to the Parquet table at `target`."""
 
     def put(batch: DataFrame, number: int) -> None:
@@ -104,3 +165,4 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "a
 
     query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query

@@ -217,3 +217,173 @@ def test_streams_equal_batches(spark):
 
     for name in ("s2_stream_preferences", "s3_stream_mastery"):
         assert rows_of(registry.QUERIES[name](spark, DATA).toPandas()) == rows_of(duck(registry.ORACLE_SQL[name]))
+
+
+def _next_fit(tokens, budget, most):
+    out, batch, used, n = [], 0, 0, 0
+    for t in tokens:
+        if n and (used + t > budget or n + 1 > most):
+            batch, used, n = batch + 1, 0, 0
+        used, n = used + t, n + 1
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("seed, most, block", [(0, 5, 3), (1, 4, 7), (2, 128, 50), (3, 1, 4)])
+def test_batches_in_blocks_equal_the_fold(spark, monkeypatch, seed, most, block):
+    import numpy as np
+
+    monkeypatch.setattr(queues, "BLOCK_TEXTS", block)
+    rng = np.random.default_rng(seed)
+    rows = [(q, int(i), int(t)) for q, n in (("a", 400), ("b", 7), (None, 60), ("c", 1)) for i, t in zip(rng.permutation(n), rng.choice([0, 1, 3, 9, 12, 40], n))]
+    got = queues.token_batches(spark.createDataFrame(rows, "queue string, id long, tokens long").repartition(5), budget=20, most=most).collect()
+    assert len(got) == len(rows)
+    for q in ("a", "b", None, "c"):
+        mine = sorted((r.id, r.tokens, r.batch) for r in got if r.queue == q)
+        assert [m[2] for m in mine] == _next_fit([m[1] for m in mine], 20, most)
+
+
+def test_one_long_queue_is_many_tasks(spark):
+    df = spark.range(1_000_000).selectExpr("'q' as queue", "id", "pmod(hash(id), 700) as tokens")
+    batches = queues.token_batches(df)
+    got = batches.toPandas().sort_values("id")
+    assert got["batch"].tolist() == _next_fit(got["tokens"].tolist(), 3000, 128)
+    sizes = batches.withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 900_000
+
+
+def _failures(spark, types):
+    rows = [(1, k, t) for k, t in enumerate(types)] + [(2, 99, "refusal")]
+    return spark.createDataFrame(rows, "round_id long, item_id long, error_type string")
+
+
+def test_outages_are_not_charged(spark):
+    free = ["rate_limit_error", "overloaded_error", "api_error", "timeout_error", "authentication_error", "billing_error", "connection_error", "401", "429", "500", "503", "529"]
+    charged = ["invalid_request_error", "permission_error", "not_found_error", "rate_limit", "400", "403", "499", "", None]
+    results = spark.createDataFrame([(1, "succeeded"), (1, "errored"), (2, "errored")], "round_id long, outcome string")
+    got = {r.item_id: r.charged for r in queues.attribute_failures(_failures(spark, free + charged), results).collect()}
+    assert [got[k] for k in range(len(free) + len(charged))] == [False] * len(free) + [True] * len(charged) and got[99] is False
+
+
+def _table(spark, tmp_path, schema="k long, v string"):
+    from gleanery.sources.partitions import PartitionTable
+
+    return PartitionTable(spark, (tmp_path / "t").as_uri(), schema, "day")
+
+
+def test_a_run_that_dies_leaves_the_old_deck(spark, tmp_path, monkeypatch):
+    table = _table(spark, tmp_path, ranking.DECK_SCHEMA)
+    deck = lambda *rows: spark.createDataFrame([(t, a, 1, 0.5) for t, a in rows], ranking.DECK_SCHEMA)
+    read = lambda: sorted((r.day, r.tenant, r.article_id) for r in table.read().collect())
+    assert read() == []
+    ranking.save_decks(table, "2024-01-30", deck((1, 10), (2, 20)))
+    ranking.save_decks(table, "2024-01-31", deck((1, 11), (1, 12), (2, 21)))
+    before = [("2024-01-30", 1, 10), ("2024-01-30", 2, 20), ("2024-01-31", 1, 11), ("2024-01-31", 1, 12), ("2024-01-31", 2, 21)]
+    assert read() == before
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # between writing the rows and letting them count
+        m.setattr(type(table), "publish", die)
+        with pytest.raises(RuntimeError):
+            ranking.save_decks(table, "2024-01-31", deck((1, 99)))
+    assert read() == before
+    ranking.save_decks(table, "2024-01-31", deck((1, 99)).limit(0))
+    assert read() == before
+    ranking.save_decks(table, "2024-01-31", deck((1, 13)))
+    after = [*before[:2], ("2024-01-31", 1, 13), ("2024-01-31", 2, 21)]
+    assert read() == after
+    table.sweep()
+    assert read() == after and len(list((tmp_path / "t/data").glob("day=*/version=*"))) == 2
+
+
+def test_pruning_leaves_young_partitions_alone(spark, tmp_path):
+    table = _table(spark, tmp_path, "article_id long, published_at timestamp, embedding array<float>")
+    rows = spark.range(40).selectExpr("id as article_id", "timestamp '2024-01-31 00:00:00' - make_dt_interval(id) - interval 6 hours as published_at", "array(1f) as embedding")
+    rows = rows.union(spark.sql("select 100L, cast(null as timestamp), array(2f)")).union(spark.sql("select 101L, timestamp '2023-12-27 00:00:00', array(2f)"))
+    table.load(rows.withColumn("day", F.coalesce(F.to_date("published_at").cast("string"), F.lit("none"))))
+    files = lambda: {p.relative_to(tmp_path).as_posix() for p in (tmp_path / "t/data").rglob("part-*.parquet")}
+    before, versions = files(), table.versions()
+    assert landing.prune_vector_partitions(table) == (6, 36)
+    left = table.versions()
+    assert set(versions) - set(left) == {d for d in versions if d == "none" or d < "2023-12-27"}
+    young = {d: v for d, v in versions.items() if "2023-12-27" < d < "none"}
+    kept = {f for f in before if any(f"day={d}/version={v}" in f for d, v in young.items())}
+    assert len(young) == 34 and all(left[d] == v for d, v in young.items()) and len(kept) == 34 and kept <= files()
+    assert all("day=2024-01-30/" in f for f in table.read(["2024-01-30"]).inputFiles())
+    plan = table.read().where("day = '2024-01-30'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert landing.prune_vector_partitions(table) == (0, 36)
+
+
+def test_commands_of_one_log_fold_into_feeds_candidates_and_cards(spark):
+    feeds = spark.createDataFrame([("u1", True, "One", 0.5), ("u2", False, "Two", 0.0), ("u3", True, "Three", 1.0)], "url string, active boolean, title string, credibility double")
+    candidates = spark.createDataFrame([("c1", "u4", "Four", -0.3, "pending"), ("c2", "u1", "Uno", 9.0, "pending"), ("c3", "u3", "Tres", 0.3, "pending"), ("c4", "u5", "Five", 0.1, "pending")], "candidate_id string, url string, title string, credibility double, status string")
+    cards = spark.createDataFrame([("k1", "pending"), ("k2", "pending"), ("k3", "approved")], "card_id string, status string")
+    log = [
+        ("candidate", "c1", "approve"), ("candidate", "c2", "approve"), ("feed", "u3", "delete"), ("candidate", "c3", "approve"), ("candidate", "c4", "approve"), ("candidate", "c4", "reject"),
+        ("feed", "u1", "deactivate"), ("feed", "u1", "add"), ("feed", "u2", "activate"), ("feed", "u6", "deactivate"), ("feed", "u6", "add"), ("feed", "u7", "add"), ("feed", "u7", "delete"),
+        ("feed", "u4", "deactivate"), ("card", "k1", "approve"), ("card", "k1", "reject"), ("card", "k2", "approve"), ("card", "none", "approve"), ("candidate", "none", "approve"),
+    ]
+    commands = spark.createDataFrame([(*c, k // 4, k) for k, c in enumerate(log)], "target string, key string, command string, ts long, seq long")
+    f, c, k = landing.registry_fold(feeds, candidates, cards, commands)
+    # u1 stays off: adding what is there does nothing. u3 is new after its deletion. u4 is off after its approval.
+    assert sorted(map(tuple, f.select("url", "active", "title", "credibility", "kept").collect())) == [
+        ("u1", False, "One", 0.5, True), ("u2", True, "Two", 0.0, True), ("u3", True, "Tres", 0.3, False), ("u4", False, "Four", -0.3, False),
+        ("u5", True, "Five", 0.1, False), ("u6", True, None, 0.0, False),
+    ]
+    assert sorted((r.candidate_id, r.status) for r in c.collect()) == [("c1", "approved"), ("c2", "approved"), ("c3", "approved"), ("c4", "rejected")]
+    assert sorted((r.card_id, r.status) for r in k.collect()) == [("k1", "rejected"), ("k2", "approved"), ("k3", "approved")]
+
+
+def _fed(spark, folder, schema, batches):
+    """A stream of files, one a micro-batch, in the order of the batches."""
+    import os
+    import time
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/x{k}")
+        (part,) = (folder / f"x{k}").glob("part-*.parquet")
+        (folder / "in").mkdir(exist_ok=True)
+        part.rename(folder / "in" / f"{k}.parquet")
+        os.utime(folder / "in" / f"{k}.parquet", (time.time() - 100 + k,) * 2)
+    plain = spark.createDataFrame([], schema).schema
+    return spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).parquet((folder / "in").as_uri())
+
+
+def test_late_copies_inside_the_bound_are_dropped_and_state_is_bounded(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from gleanery.streaming import jobs
+
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    rows = [[("f", f"k{h}-{i}", None, at(h)) for i in range(20)] + [("f", f"k{h - 1}-0", None, at(h - 1.5))] for h in range(2, 30)]
+    rows.append([("f", "k2-0", None, at(29.5)), ("f", None, "k29-0", at(29)), ("f", "", "k", at(29)), ("f", None, None, at(29))])
+    stream = _fed(spark, tmp_path, "feed_id string, guid string, link string, seen_at timestamp", rows)
+    query = jobs.run_to_table(jobs.stream_first_copies(stream), (tmp_path / "out").as_uri(), (tmp_path / "state").as_uri())
+    got = [(r.guid, r.seen_at) for r in spark.read.parquet((tmp_path / "out").as_uri()).collect()]
+    # copies one batch late are dropped, but for the first batch's, whose first copy is not in the stream; k2-0 is forgotten after 27 hours
+    assert len(got) == 28 * 20 + 2 and sum(g == "k2-0" for g, _ in got) == 2 and sum(g == "k29-0" for g, _ in got) == 1
+    held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert held and max(held) <= 7 * 20
+
+
+def test_silence_is_told_once_when_its_time_comes(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from gleanery.streaming import jobs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batches = [
+        [("a", "made", at(0)), ("b", "made", at(0)), ("c", "made", at(5)), ("b", "fetched", at(10)), ("", "tick", at(20))],
+        [("b", "failed", at(21)), ("", "tick", at(25))],  # a is silent since 0
+        [("b", "fetched", at(30)), ("c", "fetched", at(28)), ("", "tick", at(40))],  # b and c were in time
+        [("a", "fetched", at(41)), ("", "tick", at(60))],  # b and c are silent since 30 and 28
+        [("c", "failed", at(61)), ("", "tick", at(66))],  # a is silent again, since 41
+    ]
+    stream = _fed(spark, tmp_path, "feed_id string, kind string, at timestamp", batches)
+    jobs.run_to_table(jobs.stream_silent_feeds(stream), (tmp_path / "out").as_uri(), (tmp_path / "state").as_uri())
+    got = sorted((r.feed_id, r.last_seen) for r in spark.read.parquet((tmp_path / "out").as_uri()).collect())
+    assert got == [("a", at(0)), ("a", at(41)), ("b", at(30)), ("c", at(28))]
