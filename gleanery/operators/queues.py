@@ -36,17 +36,23 @@ def claim_work(articles: DataFrame, feeds: DataFrame, leases: DataFrame, per_fee
 
 
 def settle_work(leases: DataFrame, outcomes: DataFrame, now: str = K.NOW) -> DataFrame:
-    """Leases after outcomes (article_id, lease, charged): only where the lease is the same. A charge
-    counts an attempt and notes the failure; both kinds end the lease."""
+    """Leases after outcomes (article_id, lease, charged, error): only where the lease is the same. Both
+    kinds end the lease and note when and, in 500 characters, why it failed; a charge counts an attempt."""
     hit = leases.join(outcomes, "article_id", "left")
     match = F.coalesce(F.col("reserved_until") == F.col("lease"), F.lit(False))
     charge = match & F.col("charged")
     return hit.select(
         "article_id", (F.col("attempts") + F.when(charge, 1).otherwise(0)).alias("attempts"), F.when(~match, F.col("reserved_until")).alias("reserved_until"),
-        F.when(charge, at(now)).otherwise(F.col("failed_at")).alias("failed_at"), F.when(charge, "charged").when(match, "released").alias("settled"),
+        F.when(match, at(now)).otherwise(F.col("failed_at")).alias("failed_at"), F.when(match, F.substring("error", 1, 500)).otherwise(F.col("last_error")).alias("last_error"),
+        F.when(charge, "charged").when(match, "released").alias("settled"),
     )
 
 
+def settle_counts(settled: DataFrame) -> DataFrame:
+    """One row: how many were charged and released."""
+    return settled.agg(F.count_if(F.col("settled") == "charged").alias("charged"), F.count_if(F.col("settled") == "released").alias("released"))
+
+
 def attribute_failures(failures: DataFrame, results: DataFrame) -> DataFrame:
     """charged: an item of the failure's round succeeded, and its error_type (the type of a batch result,
     or a status as text) is not one of FREE_ERRORS nor a status of 500 or more. Unknown types and null
@@ -81,6 +87,13 @@ def apply_annotations(articles: DataFrame, leases: DataFrame, annotations: DataF
     return rows.select("article_id", F.when(applied, F.col("summary_text")).otherwise(F.col("summary")).alias("new_summary"), F.when(applied, "applied").otherwise("superseded").alias("outcome"))
 
 
+def insert_tags(tags: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(article_id, tag, source) to add: the tags of annotations (article_id, tags) that an article does
+    not have, once each; those it has stay as they are."""
+    asked = annotations.select("article_id", F.explode("tags").alias("tag")).where("tag is not null").distinct()
+    return asked.join(tags.select("article_id", "tag"), ["article_id", "tag"], "left_anti").withColumn("source", F.lit("llm"))
+
+
 def usage_today(rounds: DataFrame, now: str) -> DataFrame:
     """Requests since UTC midnight, in all and by batches, and rounds in flight."""
     today = F.col("submitted_at") >= F.date_trunc("day", at(now))
@@ -101,10 +114,27 @@ def plan_submit(usage: DataFrame, daily: int = K.DAILY_BUDGET, batch: int = K.BA
     })
 
 
+def selection_problem(selection: Column) -> Column:
+    """Why a round's selection (JSON text) can't be read; null if it can: an object of mode batch, with
+    ids, a list of texts that is not empty, and lease_deadline, a text that is not empty."""
+    made = F.try_parse_json(selection)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(made, path, "variant")), F.lit("VOID"))
+    part = lambda path, type_: F.try_variant_get(made, path, type_)
+    return (
+        F.when(~F.coalesce(kind("$").startswith("OBJECT"), F.lit(False)), "selection")
+        .when((kind("$.mode") != "STRING") | (part("$.mode", "string") != "batch"), "mode")
+        .when(kind("$.ids") != "ARRAY<STRING>", "ids")
+        .when((kind("$.lease_deadline") != "STRING") | (part("$.lease_deadline", "string") == ""), "lease_deadline")
+    )
+
+
 def open_rounds(rounds: DataFrame, limit: int = 24) -> DataFrame:
-    """Uncollected submitted rounds, oldest first; malformed: without a batch id."""
-    rows = rounds.where(F.col("status").isin("submitted", "unresolved"))
-    return rows.orderBy("submitted_at", "round_id").limit(limit).withColumn("malformed", F.col("batch_id").isNull())
+    """Uncollected submitted rounds, oldest first, with their ids and lease_deadline; malformed: without
+    a batch id or with a selection that can't be read (problem says what of it)."""
+    rows = rounds.where(F.col("status").isin("submitted", "unresolved")).orderBy("submitted_at", "round_id").limit(limit)
+    rows = rows.withColumn("problem", F.when(F.col("batch_id").isNull(), "batch_id").otherwise(selection_problem(F.col("selection"))))
+    fine = lambda path, kind: F.when(F.col("problem").isNull(), F.try_variant_get(F.try_parse_json("selection"), path, kind))
+    return rows.withColumns({"malformed": F.col("problem").isNotNull(), "ids": fine("$.ids", "array<string>"), "lease_deadline": fine("$.lease_deadline", "string")})
 
 
 def round_backlog(rounds: DataFrame) -> DataFrame:
@@ -183,6 +213,29 @@ def embed_input(title: Column, text: Column, lead: int = K.EMBED_LEAD) -> Column
     return F.when(made != "", made)
 
 
+def _lines(*parts: Column) -> Column:
+    """The parts that are not empty, a line each; null if all are."""
+    made = F.concat_ws("\n", *(F.when(p != "", p) for p in parts))
+    return F.when(made != "", made)
+
+
+def quiz_embed_input(stem: Column, choices: Column, quote: Column, most: int = 200) -> Column:
+    """Stem and choices on a line, then the first `most` characters of the quote. Null choices are none."""
+    asked = F.trim(F.concat(stem, F.lit(" "), F.coalesce(F.array_join(choices, " "), F.lit(""))))
+    return _lines(asked, F.substring(quote, 1, most))
+
+
+def card_embed_input(kind: Column, front: Column, back: Column, cloze: Column, quote: Column) -> Column:
+    """The cloze text, or front and back (what is empty of them is left out), then the quote."""
+    sides = F.concat_ws(" ", F.when(front != "", front), F.when(back != "", back))
+    return _lines(F.when(kind == "cloze", cloze).otherwise(sides), quote)
+
+
+def summary_queue(articles: DataFrame, limit: int) -> DataFrame:
+    """Articles with a body but no summary, newest first (nulls last, ties by id)."""
+    return articles.where("summary is null and content is not null").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
+
+
 def backfill_candidates(articles: DataFrame, limit: int) -> DataFrame:
     return articles.where("embedding is null").orderBy(F.desc_nulls_last("published_at"), "article_id").limit(limit)
 
@@ -316,6 +369,17 @@ def rotate_sources(sources: DataFrame, limit: int, category: str | None = None)
     return rows.orderBy(F.asc_nulls_first("last_generated_at"), "source_id").limit(limit)
 
 
+def stamp_sources(sources: DataFrame, picked: DataFrame, now: str = K.NOW) -> DataFrame:
+    """The sources, with the time of those that were picked: they come last next time."""
+    hit = sources.join(picked.select("source_id", F.lit(True).alias("picked")), "source_id", "left")
+    return hit.withColumn("last_generated_at", F.when(F.col("picked"), at(now)).otherwise(F.col("last_generated_at"))).drop("picked")
+
+
+def source_stock(sources: DataFrame) -> DataFrame:
+    """(category, stock): how many approved sources with a body each category of the sources has."""
+    return sources.groupBy("category").agg(F.count_if(F.expr("status = 'approved' and body is not null")).alias("stock"))
+
+
 #: Rules over a row of run metrics; null is unknown and never fails.
 GUARDS = {
     "all_failed": "fetch_results > 0 and fetch_failed = fetch_results", "stale_feeds": "stale_feeds > 0",
@@ -332,6 +396,7 @@ GUARDS = {
     "embed_gate_stuck": "coalesce(embed_skip_reason, '') <> 'disk_ceiling' and embed_pending > 0 and embed_eligible = 0",
     "embed_select_stalled": "embed_select_error is not null and embedded_recent = 0",
     "deck_starved": "deck_available >= 0 and deck_available < 40", "prune_stalled": "prune_remaining < 0 or prune_remaining > 1000",
+    "quiz_dead": "quiz_deficit > 0 and quiz_generated = 0",
 }
 #: The metrics that rules read, with their types.
 METRICS = (
@@ -339,7 +404,7 @@ METRICS = (
     "cap_unavailable boolean, ledger_error string, submit_skipped boolean, reserved long, batch_id string, submit_settle_error string, batch_id_write_error string, list_error string, "
     "collect_settle_error string, collect_skipped boolean, collect_attempted long, collect_expired long, collect_canceled long, collect_applied long, collect_superseded long, "
     "oldest_round_hours double, quarantined long, embed_skipped boolean, embed_skip_reason string, embed_attempted long, embed_succeeded long, embedded_recent long, embed_waiting long, "
-    "embed_pending long, embed_eligible long, embed_select_error string, deck_available long, prune_remaining long"
+    "embed_pending long, embed_eligible long, embed_select_error string, deck_available long, prune_remaining long, quiz_deficit long, quiz_generated long"
 )
 
 

@@ -277,6 +277,11 @@ def stored_dup_report(rows: DataFrame, thresholds: list[float], since: int) -> D
     )
 
 
+def status_counts(cards: DataFrame) -> DataFrame:
+    """(status, n) of cards; a null status is one of its own."""
+    return cards.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def cross_recipe_distribution(articles: DataFrame, epoch: str, quantiles: list[float], threshold: float, sample: int = 1000, now: str = K.NOW) -> DataFrame:
     """For each direction of recipes: quantiles of the highest cosine of the newest `sample` articles of
     one with other feeds' earlier ones of the other (-1 where none is), and the share over the

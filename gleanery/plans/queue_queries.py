@@ -32,15 +32,20 @@ def f1(v: Views):
     return text(out, "reserved_until").select("article_id", "feed_id", F.col("rank").cast("long"), "reserved_until", "pool", "pool_capped")
 
 
-OUTCOMES = """SELECT doc_id AS article_id, CASE WHEN doc_id % 12 = 0 THEN TIMESTAMP '2024-01-31 07:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS lease, doc_id % 18 = 0 AS charged
-FROM {documents} WHERE doc_id % 3 = 0"""
+OUTCOMES = """SELECT doc_id AS article_id, CASE WHEN doc_id % 12 = 0 THEN TIMESTAMP '2024-01-31 07:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS lease, doc_id % 18 = 0 AS charged,
+  text AS error FROM {documents} WHERE doc_id % 3 = 0"""
 
 
-@query("f2_settle_work", f"""WITH o AS ({OUTCOMES.replace('{documents}', 'documents')}), j AS (SELECT l.*, o.charged, coalesce(l.reserved_until = o.lease, false) AS hit FROM leases l LEFT JOIN o ON o.article_id = l.article_id)
+@query("f2_settle_work", f"""WITH o AS ({OUTCOMES.replace('{documents}', 'documents')}), j AS (SELECT l.*, o.charged, o.error, coalesce(l.reserved_until = o.lease, false) AS hit FROM leases l LEFT JOIN o ON o.article_id = l.article_id)
 SELECT article_id, CAST(attempts + CASE WHEN hit AND charged THEN 1 ELSE 0 END AS INT) AS attempts, CAST(CASE WHEN NOT hit THEN reserved_until END AS VARCHAR) AS reserved_until,
-  CAST(CASE WHEN hit AND charged THEN {T} ELSE failed_at END AS VARCHAR) AS failed_at, CASE WHEN hit AND charged THEN 'charged' WHEN hit THEN 'released' END AS settled FROM j""")
+  CAST(CASE WHEN hit THEN {T} ELSE failed_at END AS VARCHAR) AS failed_at, md5(CASE WHEN hit THEN substr(error, 1, 500) ELSE last_error END) AS last_error, CASE WHEN hit AND charged THEN 'charged' WHEN hit THEN 'released' END AS settled FROM j""")
 def f2(v: Views):
-    return text(op.settle_work(v.leases, v.sql(OUTCOMES)), "reserved_until", "failed_at")
+    return text(op.settle_work(v.leases, v.sql(OUTCOMES)), "reserved_until", "failed_at").withColumn("last_error", F.md5("last_error"))
+
+
+@query("f2_settle_counts", """SELECT count(*) FILTER (doc_id % 18 = 0) AS charged, count(*) FILTER (doc_id % 18 <> 0) AS released FROM documents WHERE doc_id % 6 = 0 AND doc_id % 12 <> 0""")
+def f2_counts(v: Views):
+    return op.settle_counts(op.settle_work(v.leases, v.sql(OUTCOMES)))
 
 
 FAILURES = """SELECT round_id, item_id, CASE (round_id + item_id) % 17 WHEN 0 THEN 'rate_limit_error' WHEN 1 THEN 'overloaded_error' WHEN 2 THEN 'api_error' WHEN 3 THEN 'timeout_error'
@@ -76,18 +81,29 @@ def f4(v: Views):
     return reconciled(v)
 
 
-ANNOTATIONS = """SELECT doc_id AS article_id, concat('s', CAST(doc_id AS STRING)) AS summary_text, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' END AS lease
+ANNOTATIONS = """SELECT doc_id AS article_id, concat('s', CAST(doc_id AS STRING)) AS summary_text, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' END AS lease,
+  CASE WHEN doc_id % 3 = 0 THEN array(concat('tech/', CAST(doc_id % 8 AS STRING)), 'tech/1', 'tech/1') WHEN doc_id % 3 = 1 THEN array(CASE WHEN doc_id % 23 < 8 THEN concat('tech/', CAST(doc_id % 23 AS STRING)) ELSE concat('misc/', CAST(doc_id % 23 AS STRING)) END, NULL) END AS tags
 FROM {documents} WHERE doc_id % 10 IN (0, 1, 5)"""
 
 
-@query("f5_apply_annotations", f"""WITH an AS ({ANNOTATIONS.replace('{documents}', 'documents')}), j AS (SELECT an.article_id, a.summary, summary_text,
+APPLIED = f"""an AS ({ANNOTATIONS.replace('{documents}', 'documents').replace('array(', 'list_value(')}), j AS (SELECT an.article_id, a.summary, summary_text,
   a.summary IS NULL AND NOT coalesce(reserved_until >= {T} AND (lease IS NULL OR lease <> reserved_until), false) AS ok
-  FROM an JOIN articles a ON a.article_id = an.article_id LEFT JOIN leases l ON l.article_id = an.article_id)
-SELECT article_id, CASE WHEN ok THEN summary_text ELSE summary END AS new_summary, CASE WHEN ok THEN 'applied' ELSE 'superseded' END AS outcome FROM j""")
+  FROM an JOIN articles a ON a.article_id = an.article_id LEFT JOIN leases l ON l.article_id = an.article_id)"""
+
+
+@query("f5_apply_annotations", f"""WITH {APPLIED} SELECT article_id, CASE WHEN ok THEN summary_text ELSE summary END AS new_summary, CASE WHEN ok THEN 'applied' ELSE 'superseded' END AS outcome FROM j""")
 def f5(v: Views):
     return op.apply_annotations(v.articles, v.leases, v.sql(ANNOTATIONS))
 
 
+@query("f5_insert_tags", f"""WITH {APPLIED} SELECT DISTINCT article_id, tag, 'llm' AS source FROM (SELECT an.article_id, unnest(tags) AS tag FROM an JOIN j USING (article_id) WHERE ok) t
+WHERE tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM article_tags g WHERE g.article_id = t.article_id AND g.tag = t.tag)""")
+def f5_tags(v: Views):
+    annotations = v.sql(ANNOTATIONS)
+    applied = op.apply_annotations(v.articles, v.leases, annotations).where("outcome = 'applied'")
+    return op.insert_tags(v.article_tags, annotations.join(applied, "article_id", "left_semi"))
+
+
 USAGE = f"""us AS (SELECT CAST(coalesce(sum(request_count) FILTER (submitted_at >= date_trunc('day', TIMESTAMP '{LEDGER_NOW}')), 0) AS BIGINT) AS used,
   CAST(coalesce(sum(request_count) FILTER (submitted_at >= date_trunc('day', TIMESTAMP '{LEDGER_NOW}') AND mode = 'batch'), 0) AS BIGINT) AS batch_used, count(*) FILTER (status = 'submitted') AS in_flight FROM rounds)"""
 
@@ -98,9 +114,11 @@ def f6(v: Views):
     return op.plan_submit(op.usage_today(v.rounds, LEDGER_NOW))
 
 
-@query("f7_open_rounds", """SELECT round_id, mode, batch_id IS NULL AS malformed FROM rounds WHERE status IN ('submitted', 'unresolved') ORDER BY submitted_at, round_id LIMIT 24""")
+@query("f7_open_rounds", """SELECT *, problem IS NOT NULL AS malformed, CASE WHEN problem IS NULL THEN concat(round_id, ',x') END AS ids, CASE WHEN problem IS NULL THEN concat('t', round_id) END AS lease_deadline FROM (
+  SELECT round_id, mode, CASE WHEN batch_id IS NULL THEN 'batch_id' ELSE CASE round_id % 13 WHEN 0 THEN 'selection' WHEN 1 THEN 'mode' WHEN 2 THEN 'ids' WHEN 3 THEN 'ids' WHEN 4 THEN 'lease_deadline' WHEN 5 THEN 'selection' WHEN 6 THEN 'selection' WHEN 7 THEN 'ids' END END AS problem
+  FROM rounds WHERE status IN ('submitted', 'unresolved') ORDER BY submitted_at, round_id LIMIT 60) r""")
 def f7(v: Views):
-    return op.open_rounds(v.rounds).select("round_id", "mode", "malformed")
+    return op.open_rounds(v.rounds, 60).select("round_id", "mode", "problem", "malformed", F.array_join("ids", ",").alias("ids"), "lease_deadline")
 
 
 @query("f7_backlog", "SELECT count(*) AS open, CAST(min(submitted_at) AS VARCHAR) AS oldest FROM rounds WHERE status IN ('submitted', 'unresolved')")
@@ -155,10 +173,33 @@ def f11_pending(v: Views):
     return one.union(op.embed_pending(v.articles, v.feeds, per_day=0).select(F.lit(0), "*"))
 
 
-@query("f12_embed_inputs", """SELECT article_id, md5(trim(substr(content, 1, 30)) || CASE WHEN trim(substr(content, 31, 250)) <> '' THEN chr(10) || trim(substr(content, 31, 250)) ELSE '' END) AS input FROM articles WHERE trim(substr(content, 1, 30)) <> ''""")
+@query("f12_embed_inputs", """SELECT article_id, md5(concat_ws(chr(10), nullif(trim(title), ''), nullif(trim(substr(content, 1, 250)), ''))) AS input FROM articles WHERE coalesce(trim(title), '') <> '' OR coalesce(trim(substr(content, 1, 250)), '') <> ''""")
 def f12(v: Views):
-    made = op.embed_input(F.substring("content", 1, 30), F.expr("substring(content, 31)"))
-    return v.articles.where(F.trim(F.substring("content", 1, 30)) != "").select("article_id", F.md5(made).alias("input"))
+    made = v.articles.select("article_id", op.embed_input(F.col("title"), F.col("content")).alias("input")).where("input is not null")
+    return made.withColumn("input", F.md5("input"))
+
+
+#: Turns as cards and questions: front, back and cloze texts, some empty, and quotes.
+FACES = """SELECT conv_id * 100 + turn AS card_id, CASE turn % 3 WHEN 0 THEN 'cloze' WHEN 1 THEN 'qa' ELSE 'quiz' END AS kind, CASE WHEN conv_id % 5 = 0 THEN '' ELSE role END AS front, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE text END AS back,
+  CASE WHEN conv_id % 4 = 1 THEN NULL ELSE concat('of ', text) END AS cloze, CASE WHEN conv_id % 6 = 2 THEN '' ELSE text END AS quote FROM {conversations}"""
+
+
+@query("f12_card_inputs", f"""WITH c AS ({FACES.replace('{conversations}', 'conversations')}), i AS (SELECT card_id, CASE kind
+  WHEN 'quiz' THEN concat_ws(chr(10), nullif(trim(concat(coalesce(front, ''), ' ', CASE WHEN card_id % 3 = 0 THEN '' ELSE concat('a ', coalesce(back, 'z')) END)), ''), nullif(substr(quote, 1, 200), ''))
+  WHEN 'cloze' THEN concat_ws(chr(10), nullif(cloze, ''), nullif(quote, '')) ELSE concat_ws(chr(10), nullif(concat_ws(' ', nullif(front, ''), nullif(back, '')), ''), nullif(quote, '')) END AS input FROM c)
+SELECT card_id, md5(input) AS input FROM i WHERE input <> ''""")
+def f12_cards(v: Views):
+    faces = v.sql(FACES)
+    choices = F.when(F.col("card_id") % 3 != 0, F.array(F.lit("a"), F.coalesce("back", F.lit("z"))))
+    made = F.when(F.col("kind") == "quiz", op.quiz_embed_input(F.coalesce("front", F.lit("")), choices, F.col("quote"))).otherwise(
+        op.card_embed_input(F.col("kind"), F.col("front"), F.col("back"), F.col("cloze"), F.col("quote"))
+    )
+    return faces.select("card_id", made.alias("input")).where("input is not null").withColumn("input", F.md5("input"))
+
+
+@query("f13_summary_queue", "SELECT article_id FROM articles WHERE summary IS NULL AND content IS NOT NULL ORDER BY published_at DESC NULLS LAST, article_id LIMIT 50")
+def f13_queue(v: Views):
+    return op.summary_queue(v.articles, 50).select("article_id")
 
 
 @query("f13_backfill_candidates", "SELECT article_id FROM articles WHERE embedding IS NULL ORDER BY published_at DESC NULLS LAST, article_id LIMIT 50")
@@ -212,6 +253,25 @@ SOURCES = """SELECT page_id AS source_id, CASE page_id % 3 WHEN 0 THEN 'pending'
   CASE WHEN page_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((page_id * 7) % 500 AS INT) END AS last_generated_at FROM {pages}"""
 
 
+@query("f18_insert_tags", """SELECT DISTINCT article_id, tag, 'llm' AS source FROM (SELECT doc_id AS article_id, unnest([concat('tech/', doc_id % 8), 'misc/9']) AS tag FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0) t
+WHERE NOT EXISTS (SELECT 1 FROM article_tags g WHERE g.article_id = t.article_id AND g.tag = t.tag)""")
+def f18_tags(v: Views):
+    made = v.documents.where("doc_id % 2 = 0").selectExpr("doc_id as article_id", "doc_id % 7 <> 0 as landed", "array(concat('tech/', cast(doc_id % 8 as string)), 'misc/9') as tags")
+    return op.insert_tags(v.article_tags, made.where("landed"))
+
+
+@query("f19_stamp_sources", f"""WITH s AS ({SOURCES.replace('{pages}', 'pages')}), p AS (SELECT source_id FROM s WHERE status = 'approved' AND body IS NOT NULL ORDER BY last_generated_at NULLS FIRST, source_id LIMIT 15)
+SELECT source_id, CAST(CASE WHEN source_id IN (SELECT source_id FROM p) THEN {T} ELSE last_generated_at END AS VARCHAR) AS last_generated_at FROM s""")
+def f19_stamp(v: Views):
+    sources = v.sql(SOURCES)
+    return text(op.stamp_sources(sources, op.rotate_sources(sources, 15)).select("source_id", "last_generated_at"), "last_generated_at")
+
+
+@query("f19_source_stock", f"WITH s AS ({SOURCES.replace('{pages}', 'pages')}) SELECT category, count(*) FILTER (status = 'approved' AND body IS NOT NULL) AS stock FROM s GROUP BY 1")
+def f19_stock(v: Views):
+    return op.source_stock(v.sql(SOURCES))
+
+
 @query("f19_rotate_sources", f"""WITH s AS ({SOURCES.replace('{pages}', 'pages')}) SELECT source_id, category FROM s WHERE status = 'approved' AND body IS NOT NULL ORDER BY last_generated_at NULLS FIRST, source_id LIMIT 15""")
 def f19(v: Views):
     return op.rotate_sources(v.sql(SOURCES), 15).select("source_id", "category")
@@ -235,9 +295,9 @@ METRIC = f"""m AS (SELECT *, (SELECT count(*) FROM articles WHERE summary IS NOT
 
 @query("j1_run_guards", f"""WITH {PENDING}, {METRIC}
 SELECT unnest(['all_failed', 'stale_feeds', 'annotate_dead', 'selection_dead', 'cap_unavailable', 'ledger_failed', 'submit_dead', 'submit_settle_failed', 'orphaned', 'list_failed',
-    'collect_settle_failed', 'collect_dead', 'batch_stuck', 'quarantine_surge', 'embed_dead', 'embed_stalled', 'embed_gate_stuck', 'embed_select_stalled', 'deck_starved', 'prune_stalled']) AS guard,
+    'collect_settle_failed', 'collect_dead', 'batch_stuck', 'quarantine_surge', 'embed_dead', 'embed_stalled', 'embed_gate_stuck', 'embed_select_stalled', 'deck_starved', 'prune_stalled', 'quiz_dead']) AS guard,
   unnest([fetched > 0 AND failed = fetched, stale > 0, false, false, false, false, false, false, true, false, false, n_results > 0 AND applied = 0, oldest > 36, q > 5, false,
-    embedded_recent = 0 AND embed_waiting > 0, CASE WHEN eligible > 0 THEN gated ELSE every END > 0 AND eligible = 0, false, deck < 40, left_over < 0 OR left_over > 1000]) AS fails FROM m""")
+    embedded_recent = 0 AND embed_waiting > 0, CASE WHEN eligible > 0 THEN gated ELSE every END > 0 AND eligible = 0, false, deck < 40, left_over < 0 OR left_over > 1000, (SELECT count(*) FROM questions WHERE status = 'retired') > 0]) AS fails FROM m""")
 def j1(v: Views):
     deck = v.articles.where(F.col("summary").isNotNull() & (F.col("published_at") >= at(NOW) - F.expr("interval 72 hours"))).agg(F.count("*").alias("deck_available"))
     full = op.quarantine_report(v.leases, samples=1).select(F.col("total").alias("quarantined"))
@@ -251,7 +311,8 @@ def j1(v: Views):
     kept = v.articles.where(F.col("embedding").isNotNull() & (F.col("published_at") < at(NOW) - F.expr("interval 35 days"))).agg(F.count("*").alias("prune_remaining"))
     pending = op.embed_pending(v.articles, v.feeds, per_day=5).select(F.col("pending").alias("embed_pending"), F.col("eligible").alias("embed_eligible"))
     metrics = op.activity_counts(v.articles).join(full, F.lit(True), "left").withColumn("batch_id_write_error", F.lit("timeout"))
-    for one in (deck, fetched, stale, oldest, results, kept, pending):
+    quiz = v.questions.agg(F.count_if(F.col("status") == "retired").alias("quiz_deficit"), F.lit(0).cast("long").alias("quiz_generated"))
+    for one in (quiz, deck, fetched, stale, oldest, results, kept, pending):
         metrics = metrics.crossJoin(one)
     return op.run_guards(metrics)
 

@@ -142,6 +142,11 @@ def d13(v: Views):
     return op.stored_dup_report(v.sql(JUDGED), [0.05, 0.2], 100)
 
 
+@query("d13_card_counts", "SELECT status, count(*) AS n FROM cards GROUP BY 1")
+def d13_cards(v: Views):
+    return op.status_counts(v.cards)
+
+
 @query("d14_cross_recipe_distribution", f"""WITH {WINDOW}, sa AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY recipe ORDER BY published_at DESC, article_id) <= 1000),
 di AS (SELECT a.article_id, concat(a.recipe, ' to ', r.recipe) AS direction, r.recipe AS other FROM sa a CROSS JOIN (SELECT unnest(['lead', 'legacy']) AS recipe) r),
 be AS (SELECT d.article_id, d.direction, coalesce(max({AB}) FILTER (b.article_id IS NOT NULL), -1) AS best FROM di d JOIN sa a ON a.article_id = d.article_id

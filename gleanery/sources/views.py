@@ -51,7 +51,11 @@ FROM (SELECT DISTINCT event_id % 60 AS question_id FROM {events}) q""",
 FROM (SELECT page_id, url, explode(regexp_extract_all(html, '<a href="/([a-zA-Z]+)"', 1)) AS word FROM {pages}) h""",
     "rounds": """SELECT o_orderkey AS round_id, CASE o_orderstatus WHEN 'F' THEN 'collected' WHEN 'O' THEN 'submitted' ELSE 'claimed' END AS status,
   CAST(o_orderdate AS TIMESTAMP) AS submitted_at, CASE WHEN o_orderkey % 2 = 0 THEN 'batch' ELSE 'sync' END AS mode,
-  CAST(o_orderkey % 30 AS BIGINT) AS request_count, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('b', CAST(o_orderkey AS STRING)) END AS batch_id
+  CAST(o_orderkey % 30 AS BIGINT) AS request_count, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('b', CAST(o_orderkey AS STRING)) END AS batch_id,
+  CASE o_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN concat(chr(123), '"mode": "sync", "picked": 3', chr(125)) WHEN 2 THEN concat(chr(123), '"mode": "batch", "ids": [], "lease_deadline": "t"', chr(125))
+    WHEN 3 THEN concat(chr(123), '"mode": "batch", "ids": ["a", 5], "lease_deadline": "t"', chr(125)) WHEN 4 THEN concat(chr(123), '"mode": "batch", "ids": ["a"], "lease_deadline": ""', chr(125))
+    WHEN 5 THEN 'no json' WHEN 6 THEN '["mode"]' WHEN 7 THEN concat(chr(123), '"mode": "batch", "ids": "a", "lease_deadline": "t"', chr(125))
+    ELSE concat(chr(123), '"mode": "batch", "ids": ["', CAST(o_orderkey AS STRING), '", "x"], "lease_deadline": "t', CAST(o_orderkey AS STRING), '"', chr(125)) END AS selection
 FROM {orders}""",
     "round_results": """SELECT l_orderkey AS round_id, l_linenumber AS item_id,
   CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'N' THEN 'errored' ELSE 'expired' END AS outcome, CAST(l_partkey AS BIGINT) AS tokens FROM {lineitem}""",
@@ -61,7 +65,8 @@ FROM {orders}""",
     "landed": """SELECT source AS feed_id, concat('g', CAST(doc_id - doc_id % 40 AS STRING)) AS guid FROM {documents} WHERE doc_id % 5 = 0""",
     "leases": """SELECT doc_id AS article_id, CAST(doc_id % 4 AS INT) AS attempts,
   CASE WHEN doc_id % 6 = 0 THEN TIMESTAMP '2024-01-31 06:00:00' WHEN doc_id % 6 = 1 THEN TIMESTAMP '2024-01-30 06:00:00' ELSE NULL END AS reserved_until,
-  CASE WHEN doc_id % 4 >= 2 THEN TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id % 60 AS INT) ELSE NULL END AS failed_at FROM {documents}""",
+  CASE WHEN doc_id % 4 >= 2 THEN TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id % 60 AS INT) ELSE NULL END AS failed_at,
+  CASE WHEN doc_id % 4 >= 2 THEN 'an older error' ELSE NULL END AS last_error FROM {documents}""",
     "fetches": """SELECT feed_id, CASE WHEN idx % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * (idx * 6) END AS last_fetched_at, created_at,
   CASE WHEN idx % 3 = 0 THEN NULL ELSE 'timeout' END AS error, CAST(idx % 4 AS BIGINT) AS inserted, CASE WHEN idx % 5 = 2 THEN NULL ELSE concat('Title ', feed_id) END AS title,
   CASE WHEN idx % 2 = 0 THEN NULL ELSE concat('https://', feed_id, '.example.org') END AS site_url, concat('New title ', feed_id) AS new_title,
