@@ -126,6 +126,34 @@ def blocked(rows: DataFrame, others: DataFrame, fold, schema: str, combine=None)
     return out.groupBy("id").agg(*combine) if combine else out
 
 
+def _edges(rows: DataFrame) -> list[float]:
+    """Values of ord that part the rows into blocks of about BLOCK_ROWS."""
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    return rows.approxQuantile("ord", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+
+
+def blocked_by_order(rows: DataFrame, others: DataFrame, fold, schema: str, combine: list) -> DataFrame:
+    """As blocked, for jobs that compare with smaller ord only: blocks are ranges of ord (rows of one
+    ord that fills several are dealt to these by a hash), and a pair of blocks is a group only if some
+    of the others' can be smaller. Where both are the same rows that is half of all pairs."""
+    others = others.select(*[F.col(c).alias(c) for c in others.columns])
+    p, q = _edges(rows), _edges(others)
+
+    def below(edges: list[float], value: Column, equal: bool) -> Column:
+        known = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+        return F.size(F.filter(known, lambda e: e <= value if equal else e < value))
+
+    def block(edges: list[float]) -> Column:
+        low, high = below(edges, F.col("ord"), False), below(edges, F.col("ord"), True)
+        return (low + F.pmod(F.xxhash64("id"), high - low + 1)).cast("int")
+
+    left = rows.withColumn("_a", block(p)).withColumn("_b", F.explode(F.sequence(F.lit(0), below(q, F.col("ord"), False))))
+    start = F.element_at(F.array(*[F.lit(float(e)) for e in [float("-inf"), *q]]), F.col("_b") + 1)
+    right = others.withColumn("_b", block(q)).withColumn("_a", F.explode(F.sequence(below(p, start, True), F.lit(len(p)))))
+    out = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(fold, schema)
+    return out.groupBy("id").agg(*combine)
+
+
 def earlier_maximum(rows: DataFrame, others: DataFrame, other_group: bool | None) -> DataFrame:
     """(id, best): the highest cosine of each row (id, grp, ord, v) with others of strictly smaller
     ord; of another group if other_group is True. Null where nothing was compared."""
@@ -142,7 +170,7 @@ def earlier_maximum(rows: DataFrame, others: DataFrame, other_group: bool | None
         best = np.where(ok, s, -np.inf).max(axis=1)
         return pd.DataFrame({"id": a["id"], "best": np.where(ok.any(axis=1), best, np.nan)})
 
-    out = blocked(rows, others, fold, "id long, best double", [F.max(F.nanvl("best", F.lit(None).cast("double"))).alias("best")])
+    out = blocked_by_order(rows, others, fold, "id long, best double", [F.max(F.nanvl("best", F.lit(None).cast("double"))).alias("best")])
     return out
 
 

@@ -387,3 +387,37 @@ def test_silence_is_told_once_when_its_time_comes(spark, tmp_path):
     jobs.run_to_table(jobs.stream_silent_feeds(stream), (tmp_path / "out").as_uri(), (tmp_path / "state").as_uri())
     got = sorted((r.feed_id, r.last_seen) for r in spark.read.parquet((tmp_path / "out").as_uri()).collect())
     assert got == [("a", at(0)), ("a", at(41)), ("b", at(30)), ("c", at(28))]
+
+
+@pytest.mark.parametrize("other_group", [None, True])
+def test_earlier_maximum_in_blocks_of_time_equals_all_pairs(spark, monkeypatch, other_group):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), f"g{i % 3}", float(o), rng.normal(size=4).tolist()) for i, o in enumerate(rng.choice([-np.inf, 1.0, 1.0, 2.0, 5.0, *range(10, 40)], 300))]
+    rows += [(900, "g0", 3.0, [0.0] * 4), (901, "g1", 4.0, [1.0] * 3)]
+    schema = "id long, grp string, ord double, v array<double>"
+    few, df = spark.createDataFrame(rows[:150] + rows[-2:], schema), spark.createDataFrame(rows, schema)
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if len(a) == len(b) and n else 0.0
+
+    want = {}
+    for i, g, o, v in rows[:150] + rows[-2:]:
+        found = [cos(v, w) for j, h, p, w in rows if p < o and not (other_group and g == h)]
+        want[i] = max(found) if found else None
+    for size in (2000, 20):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", size)
+        got = {r.id: r.best for r in vectors.earlier_maximum(few, df, other_group).collect()}
+        assert set(got) == set(want) and all((got[i] is None) == (want[i] is None) and (got[i] is None or math.isclose(got[i], want[i], abs_tol=1e-9)) for i in want)
+
+    def products(a, b):
+        import pandas as pd
+
+        return pd.DataFrame({"id": a["id"], "best": np.full(len(a), float(len(b)))})
+
+    distinct = spark.range(600).selectExpr("id", "'g' as grp", "cast(id as double) as ord", "array(1d) as v")
+    count = lambda f: f(distinct, distinct, products, "id long, best double", [F.sum("best").alias("n")]).agg(F.sum("n")).first()[0]
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
+    assert count(vectors.blocked) == 600 * 600 and count(vectors.blocked_by_order) <= 0.55 * 600 * 600
