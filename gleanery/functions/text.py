@@ -22,6 +22,18 @@ def grounding_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-z0-9]{4,}|[一-鿿゠-ヿ]{3,})"), 1))
 
 
+# Marks and full-width letters and digits that count as their ASCII forms when a quote is
+# looked for leniently; an ellipsis counts as three dots.
+_FOLDED = "“”„‟＂‘’‚‛＇—–―ー─" + "".join(chr(0xFF10 + k) for k in range(10)) + "".join(chr(0xFF41 + k) for k in range(26))
+_PLAIN = '"' * 5 + "'" * 5 + "-" * 5 + "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def folded_marks(text: Column) -> Column:
+    """Collapsed lower-case text with such marks in their ASCII forms."""
+    plain = F.translate(F.lower(collapsed(text)), _FOLDED, _PLAIN)
+    return collapsed(F.replace(F.replace(plain, F.lit("…"), F.lit("...")), F.lit("‥"), F.lit("...")))
+
+
 def text_tokens(text: Column) -> Column:
     """ceil(0.4 x ASCII + 1.5 x other UTF-16 units)."""
     ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))

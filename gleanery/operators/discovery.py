@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as K
 from gleanery.operators.landing import plain_text
+from gleanery.sources.shared import written
 
 # Fixed values.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_cid", "mc_eid", "ref", "ref_src")
@@ -143,18 +144,21 @@ def domain_evidence(links: DataFrame, known: DataFrame) -> DataFrame:
     rows = links.select(
         F.when(from_host != "", registrable(from_host)).alias("source"), host_of(F.col("target_url")).alias("host"), "target_url", "page_id"
     ).where("host <> ''").withColumn("domain", registrable(F.col("host")))
+    rows = written(rows)  # both counts below read it, instead of the urls again
     rows = rows.where(~F.col("domain").isin(*BLOCKED_DOMAINS) & ~F.col("source").eqNullSafe(F.col("domain")))
     rows = rows.join(known.select("domain").distinct(), "domain", "left_anti")
     hosts = rows.groupBy("domain", "host").agg(
-        F.count("*").alias("n"), F.collect_set("source").alias("sources"), F.bool_or(path_of(F.col("target_url")).rlike(BLOG_PATH)).alias("path"),
+        F.count("*").alias("n"), F.bool_or(path_of(F.col("target_url")).rlike(BLOG_PATH)).alias("path"),
         F.min(F.struct("page_id", "target_url")).alias("first"),
     )
     order = F.struct((~F.col("host").startswith("blog.")).alias("x"), -F.col("n"), F.length("host"), F.col("host"))
-    return hosts.groupBy("domain").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).cast("long").alias("sources"), F.sum("n").alias("links"),
+    sources = rows.where("source is not null").select("domain", "source").distinct().groupBy("domain").agg(F.count("*").alias("sources"))
+    out = hosts.groupBy("domain").agg(
+        F.sum("n").alias("links"),
         F.bool_or(F.col("host").startswith("blog.")).alias("blog_host"), F.bool_or("path").alias("blog_path"),
         F.min("first.page_id").alias("origin"), F.min_by("host", order).alias("main_host"), F.min_by(origin_of(F.col("first.target_url")), order).alias("site"),
     )
+    return out.join(sources, "domain", "left").na.fill(0, ["sources"])
 
 
 def gate_domains(evidence: DataFrame) -> DataFrame:

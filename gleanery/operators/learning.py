@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery import constants as K
-from gleanery.functions.text import collapsed, concept_slug, grounding_tokens, model_json
+from gleanery.functions.text import collapsed, concept_slug, folded_marks, grounding_tokens, model_json
 from gleanery.operators.ranking import hours_since
+from gleanery.operators.vectors import nearest_index_quantiles
 
 
 def ground_quotes(quotes: DataFrame, bodies: DataFrame, min_overlap: float = K.GROUND_OVERLAP) -> DataFrame:
     """reason for every quote (id, quote, source, target) against its source's body (source, body):
     the first that fails of length, verbatim, specific and overlap, else pass. An overlap of 0
-    turns the last test off."""
+    turns the last test off. fixable: a quote that is not verbatim but would be if quotation marks,
+    dashes, dots and full-width letters were folded."""
     rows = quotes.join(bodies, "source", "left")
     norm = lambda c: F.lower(collapsed(F.col(c)))
     rows = rows.withColumns({"q": norm("quote"), "b": F.coalesce(norm("body"), F.lit("")), "t": norm("target")})
@@ -23,13 +25,93 @@ def ground_quotes(quotes: DataFrame, bodies: DataFrame, min_overlap: float = K.G
     reason = F.when(F.length("q") < K.GROUND_CHARS, "too_short").when(~F.contains("b", "q"), "not_verbatim").when(F.size("qt") == 0, "not_specific")
     if min_overlap > 0:
         reason = reason.when(overlap < min_overlap, "low_overlap")
-    return rows.withColumns({"overlap": overlap, "reason": reason.otherwise("pass")}).drop("q", "b", "t", "qt", "tt", "body")
+    fixable = F.contains(F.coalesce(folded_marks(F.col("body")), F.lit("")), folded_marks(F.col("quote")))
+    rows = rows.withColumns({"overlap": overlap, "reason": reason.otherwise("pass")})
+    return rows.withColumn("fixable", F.when(F.col("reason") == "not_verbatim", fixable).otherwise(False)).drop("q", "b", "t", "qt", "tt", "body")
 
 
 def grounding_report(grounded: DataFrame) -> DataFrame:
     return grounded.groupBy("reason").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def grounding_detail(grounded: DataFrame) -> DataFrame:
+    """Per kind, and over all (a null kind): how many quotes, how many fail for each reason, how many of
+    those that are not verbatim folding would mend, and the rates that pass with the test of overlap and
+    without it."""
+    count = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))
+    reasons = ("too_short", "not_verbatim", "not_specific", "low_overlap")
+    return grounded.rollup("kind").agg(
+        F.count("*").alias("n"), *(count(r).alias(r) for r in reasons), F.count_if("fixable").alias("fixable"),
+        (count("pass") / F.count("*")).alias("pass_rate"), (count("pass", "low_overlap") / F.count("*")).alias("pass_rate_without_overlap"),
+    )
+
+
+def _text(variant: Column, path: str) -> Column:
+    """The text at a path of a variant; null if it is there but not text."""
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(variant, path, "string"))
+
+
+def land_model_rows(raw: DataFrame) -> DataFrame:
+    """Valid rows of model texts (id, text: a JSON array, or an object as its only row) of mixed kinds:
+    id, pos, kind and the columns of its kind. qa and cloze cards need a source_quote that is not
+    blank; front, back, cloze_text and concept_tag are null unless they are texts. Rows with choices
+    are questions (kind choice) and need stem, explanation, source_quote and concept_label that are not
+    blank, four choices that are not blank (they are trimmed) and an integer answer_index from 0 to 3; a
+    difficulty out of the three is medium. Everything else is dropped; broken JSON has no rows."""
+    made = raw.withColumn("v", F.try_parse_json(model_json(F.col("text"))))
+    items = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v")).otherwise(F.try_variant_get("v", "$", "array<variant>"))
+    rows = made.select("id", F.posexplode(items).alias("pos", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    v = F.col("v")
+    filled = lambda path: F.when(F.trim(_text(v, path)) != "", F.trim(_text(v, path)))
+    raw_choices = F.when(F.schema_of_variant(F.try_variant_get(v, "$.choices", "variant")) == "ARRAY<STRING>", F.try_variant_get(v, "$.choices", "array<string>"))
+    choices = F.filter(F.transform(raw_choices, lambda c: F.trim(c)), lambda c: c != "")
+    whole = F.schema_of_variant(F.try_variant_get(v, "$.answer_index", "variant")) == "BIGINT"
+    answer = F.when(whole, F.try_variant_get(v, "$.answer_index", "int"))
+    card = _text(v, "$.type").isin("qa", "cloze")
+    kind = F.when(card, _text(v, "$.type")).when(raw_choices.isNotNull(), "choice")
+    level = F.when(_text(v, "$.difficulty").isin("easy", "medium", "hard"), _text(v, "$.difficulty")).otherwise("medium")
+    rows = rows.withColumns({
+        "kind": kind, "quote": filled("$.source_quote"), "front": F.when(card, _text(v, "$.front")), "back": F.when(card, _text(v, "$.back")),
+        "cloze_text": F.when(card, _text(v, "$.cloze_text")), "concept": F.when(card, _text(v, "$.concept_tag")).otherwise(filled("$.concept_label")),
+        "stem": F.when(~card | card.isNull(), filled("$.stem")), "explanation": filled("$.explanation"), "choices": F.when(kind == "choice", choices),
+        "answer": F.when(kind == "choice", answer), "difficulty": F.when(kind == "choice", level), "category": _text(v, "$.category"),
+    }).drop("v")
+    question = F.col("stem").isNotNull() & F.col("explanation").isNotNull() & F.col("concept").isNotNull() & (F.size("choices") == 4) & F.col("answer").between(0, 3)
+    return rows.where(F.col("quote").isNotNull() & F.when(F.col("kind") == "choice", question).otherwise(F.col("kind").isNotNull()))
+
+
+#: A cloze mark: number, answer, and a hint that may follow.
+_CLOZE = r"\{\{c\d+::(.*?)(?:::.*?)?\}\}"
+
+
+def card_format_ok() -> Column:
+    """Whether a card row has what its kind shows: both sides, or a text whose first cloze mark has an
+    answer."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return F.when(F.col("kind") == "qa", filled("front") & filled("back")).otherwise(filled(F.regexp_extract("cloze_text", _CLOZE, 1)))
+
+
+def card_target() -> Column:
+    """What a card asks: its sides, or its text with the answers in place of their marks."""
+    sides = F.concat(F.coalesce("front", F.lit("")), F.lit(" "), F.coalesce("back", F.lit("")))
+    return F.when(F.col("kind") == "cloze", F.regexp_replace(F.coalesce("cloze_text", F.lit("")), _CLOZE, "$1")).otherwise(sides)
+
+
+def gate_cards(cards: DataFrame, bodies: DataFrame, limit: int = 5) -> DataFrame:
+    """The first `limit` cards of each source, by pos, of good format and with a grounded quote (without
+    the test of overlap). cards: card_id, source, pos, kind, front, back, cloze_text, quote."""
+    fine = cards.where(card_format_ok()).withColumn("target", card_target())
+    passed = ground_quotes(fine, bodies, min_overlap=0).where("reason = 'pass'")
+    order = Window.partitionBy("source").orderBy("pos", "card_id")
+    return passed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def coerce_category(column: str, vocabulary: list[str], fallback: str) -> Column:
+    """The category if the vocabulary has it, else the fallback."""
+    return F.when(F.col(column).isin(*vocabulary), F.col(column)).otherwise(fallback)
+
+
 def land_candidates(raw: DataFrame) -> DataFrame:
     """Valid multiple-choice questions of model texts (id, text: a JSON array or object): stem, four
     non-empty choices, answer 0 to 3, quote, explanation and concept; a difficulty out of the three
@@ -37,7 +119,7 @@ def land_candidates(raw: DataFrame) -> DataFrame:
     row = "struct<stem:string,choices:array<string>,answer:int,quote:string,explanation:string,concept:string,difficulty:string>"
     made = raw.withColumn("json", model_json(F.col("text"))).withColumn("json", F.when(F.col("json").startswith("{"), F.concat(F.lit("["), "json", F.lit("]"))).otherwise(F.col("json")))
     rows = made.select("id", F.posexplode(F.from_json("json", f"array<{row}>")).alias("pos", "c")).select("id", "pos", "c.*")
-    choices = F.transform("choices", F.trim)
+    choices = F.transform("choices", lambda c: F.trim(c))
     fine = (F.size(F.filter(choices, lambda c: c != "")) == 4) & (F.size("choices") == 4) & F.col("answer").between(0, 3)
     for c in ("stem", "quote", "explanation", "concept"):
         fine &= F.coalesce(F.trim(c) != "", F.lit(False))
@@ -81,6 +163,12 @@ def source_prompts(questions: DataFrame, k: int = 30) -> DataFrame:
     return rows.select("source_ref", "question_id", F.substring("stem", 1, 120).alias("stem"))
 
 
+def latest_concepts(mastery: DataFrame, k: int = 40) -> DataFrame:
+    """Each tenant's k concepts of the latest attempts (ties by key), to be reused in prompts."""
+    order = Window.partitionBy("tenant").orderBy(F.desc_nulls_last("last_attempt"), "concept_key")
+    return mastery.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("tenant", "concept_key", "place")
+
+
 def body_windows(sources: DataFrame, most: int, seed: int) -> DataFrame:
     """The text if short, else a window of `most` characters from a start fixed by id and seed, moved
     (unless it is 0) to after the next space within 200 characters, without blanks at its ends."""
@@ -121,13 +209,39 @@ def mastery_replay(attempts: DataFrame, scales: tuple = REPLAY_SCALES) -> DataFr
     """Mastery of all keys under several parameter sets: mean, the middle value (by floor(n / 2)), and
     how many are low (< 0.3) and high (>= 0.7)."""
     out = None
+    for scale, one in _replayed(attempts, scales):
+        middle = nearest_index_quantiles(one, [0.5], "mastery").select(F.col("value").alias("median"))
+        row = one.agg(F.avg("mastery").alias("mean"), F.count_if(F.col("mastery") < 0.3).alias("low"), F.count_if(F.col("mastery") >= 0.7).alias("high"))
+        row = row.join(F.broadcast(middle), F.lit(True), "left").select(F.lit(scale).alias("scale"), "mean", "median", "low", "high")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _replayed(attempts: DataFrame, scales: tuple):
     for scale in scales:
-        alphas = {k: (a * scale, b * scale) for k, (a, b) in K.ALPHAS.items()}
-        one = mastery_fold(attempts, alphas).withColumn("scale", F.lit(scale))
-        out = one if out is None else out.union(one)
-    middle = F.expr("percentile_disc(0.5) within group (order by mastery desc)")
-    return out.groupBy("scale").agg(
-        F.avg("mastery").alias("mean"), middle.alias("median"), F.count_if(F.col("mastery") < 0.3).alias("low"), F.count_if(F.col("mastery") >= 0.7).alias("high")
+        yield scale, mastery_fold(attempts, {k: (a * scale, b * scale) for k, (a, b) in K.ALPHAS.items()})
+
+
+def replay_top_concepts(attempts: DataFrame, scales: tuple = REPLAY_SCALES, k: int = 15) -> DataFrame:
+    """(tenant, concept_key, attempts, scale, mastery): the k keys with the most attempts (ties by key)
+    under each parameter set."""
+    keys = ["tenant", "concept_key"]
+    best = attempts.groupBy(*keys).agg(F.count("*").alias("attempts")).orderBy(F.desc("attempts"), *keys).limit(k)
+    out = None
+    for scale, one in _replayed(attempts.join(F.broadcast(best.select(*keys)), keys, "left_semi"), scales):
+        rows = best.join(one.select(*keys, "mastery"), keys).withColumn("scale", F.lit(scale))
+        out = rows if out is None else out.union(rows)
+    return out.select(*keys, "attempts", "scale", "mastery")
+
+
+def ledger_totals(attempts: DataFrame) -> DataFrame:
+    """Per difficulty, and over all (a null level): attempts, keys, the rate of right answers, first and
+    last day."""
+    day = lambda f: f(F.to_date("created_at")).cast("string")
+    key = F.struct("tenant", "concept_key")
+    return attempts.withColumn("level", F.coalesce("difficulty", F.lit("unknown"))).rollup("level").agg(
+        F.count("*").alias("attempts"), F.count_distinct(key).alias("concepts"), F.avg(F.col("is_correct").cast("double")).alias("correct_rate"),
+        day(F.min).alias("first_day"), day(F.max).alias("last_day"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery import constants as K
@@ -123,7 +123,7 @@ def selection_problem(selection: Column) -> Column:
     return (
         F.when(~F.coalesce(kind("$").startswith("OBJECT"), F.lit(False)), "selection")
         .when((kind("$.mode") != "STRING") | (part("$.mode", "string") != "batch"), "mode")
-        .when(kind("$.ids") != "ARRAY<STRING>", "ids")
+        .when((kind("$.ids") != "ARRAY<STRING>") | F.exists(part("$.ids", "array<string>"), F.isnull), "ids")
         .when((kind("$.lease_deadline") != "STRING") | (part("$.lease_deadline", "string") == ""), "lease_deadline")
     )
 
@@ -408,6 +408,14 @@ METRICS = (
 )
 
 
+def metrics_of(spark: SparkSession, *observations: Observation) -> DataFrame:
+    """One row of what was observed while a run's tables were written (`df.observe(Observation(), ...)`
+    before the write): the guards read no table again. What nothing observed is unknown."""
+    found = {k: x for o in observations for k, x in o.get.items()}
+    types = [c.split() for c in METRICS.split(", ")]
+    return spark.createDataFrame([[found.get(name) for name, _ in types]], ", ".join(f"{name} {kind}" for name, kind in types))
+
+
 def run_guards(metrics: DataFrame) -> DataFrame:
     """(guard, fails) of a row of metrics (see METRICS; a column that is not there is unknown)."""
     missing = [c.split() for c in METRICS.split(", ") if c.split()[0] not in metrics.columns]

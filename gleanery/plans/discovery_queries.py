@@ -23,7 +23,12 @@ def h1(v: Views):
     return op.canonical_url_groups(v.urls)
 
 
-@query("h2_split_admissible", """SELECT CASE WHEN page_id % 12 IN (4, 5) THEN 'private address' WHEN page_id % 12 = 6 THEN 'not http' WHEN page_id % 12 = 8 THEN 'local' ELSE 'admitted' END AS reason, count(*) AS n FROM urls GROUP BY 1""")
+@query("h2_split_admissible", rf"""WITH h AS (SELECT url, {HOST.format('url')} AS host FROM urls),
+a AS (SELECT *, CASE WHEN regexp_matches(host, '^\d+\.\d+\.\d+\.\d+$') THEN host ELSE regexp_extract(host, '^\[::ffff:(\d+\.\d+\.\d+\.\d+)\]$', 1) END AS ip FROM h),
+o AS (SELECT *, TRY_CAST(split_part(ip, '.', 1) AS INT) AS a, TRY_CAST(split_part(ip, '.', 2) AS INT) AS b FROM a)
+SELECT CASE WHEN NOT regexp_matches(url, '^https?://', 'i') THEN 'not http' WHEN host = '' THEN 'no host' WHEN host = 'localhost' OR regexp_matches(host, '\.(local|internal|localhost)$') THEN 'local'
+  WHEN host IN ('[::]', '[::1]') OR regexp_matches(host, '^\[(f[cd]|fe[89ab])') OR a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127)
+  THEN 'private address' ELSE 'admitted' END AS reason, count(*) AS n FROM o GROUP BY 1""")
 def h2(v: Views):
     admitted, rejected = op.split_admissible(v.urls)
     return rejected.union(admitted.agg(F.lit("admitted").alias("reason"), F.count("*").alias("n")))
@@ -114,11 +119,18 @@ def h9(v: Views):
     return op.feed_links(v.pages).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("h10_merge_search_hits", """SELECT concat('t', CAST(min(page_id % 4) AS VARCHAR)) AS theme, 'https://s.example/' || page_id % 50 AS url FROM pages WHERE page_id % 3 <> 0 AND page_id % 6 <> 1 GROUP BY page_id % 50""")
+#: Hits of themes: pages whose html has the theme's word, with urls that are none among them; what was selected of them, or not of them.
+HITS = """SELECT concat('t', CAST(k AS STRING)) AS theme, k AS theme_pos, CASE WHEN page_id % 9 = 0 THEN concat(url, ' x') WHEN page_id % 10 = 0 THEN concat('ftp', substr(url, 5)) ELSE url END AS url, page_id
+FROM {pages} JOIN (SELECT 0 AS k, 'the' AS word UNION ALL SELECT 1, 'and' UNION ALL SELECT 2, 'of' UNION ALL SELECT 3, 'is') w ON contains(lower(html), concat(' ', word, ' '))"""
+
+
+@query("h10_merge_search_hits", f"""WITH h AS ({HITS.replace('{pages}', 'pages')}), s AS (SELECT theme, theme_pos, url FROM h WHERE page_id % 3 <> 0 UNION ALL SELECT 't0', 0, url FROM h WHERE theme = 't3' AND page_id % 5 = 0)
+SELECT arg_min(s.theme, s.theme_pos) AS theme, s.url FROM s WHERE EXISTS (SELECT 1 FROM h WHERE h.theme = s.theme AND h.url = s.url) AND regexp_matches(s.url, '^https?://') AND NOT regexp_matches(s.url, '\\s') GROUP BY s.url""")
 def h10(v: Views):
-    rows = v.pages.selectExpr("concat('t', cast(page_id % 4 as string)) as theme", "page_id % 4 as theme_pos", "concat('https://s.example/', cast(page_id % 50 as string)) as url", "page_id")
-    kept = rows.where("page_id % 3 <> 0 and page_id % 6 <> 1")
-    return op.merge_search_hits(kept.select("theme", "url"), kept.select("theme", "theme_pos", "url"))
+    hits = v.sql(HITS)
+    selected = hits.where("page_id % 3 <> 0").select("theme", "theme_pos", "url")
+    selected = selected.union(hits.where("theme = 't3' and page_id % 5 = 0").select(F.lit("t0"), F.lit(0), "url"))
+    return op.merge_search_hits(hits.select("theme", "url"), selected)
 
 
 @query("g19_validate_learn_sources")

@@ -32,6 +32,52 @@ def g2(v: Views):
     return op.grounding_report(grounded(v)).withColumn("share", F.round("share", 6))
 
 
+LENIENT = """SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'quiz' WHEN 1 THEN 'card' ELSE 'cloze' END AS kind, CASE WHEN item_id % 4 = 1 THEN translate(lower(quote), 'aeiou', 'ａｅｉｏｕ') WHEN item_id % 8 = 2 THEN concat('x', quote) WHEN item_id % 8 = 3 THEN substr(quote, 1, 20) ELSE quote END AS quote,
+  source_doc, CASE WHEN item_id % 5 = 0 THEN 'something else' ELSE quote END AS target FROM {quotes}"""
+
+
+@query("g2_grounding_detail", f"""WITH le AS ({LENIENT.replace('{quotes}', 'quotes')}),
+g0 AS (SELECT kind, item_id, {NORM.format('quote')} AS q, {NORM.format('d.text')} AS b, {NORM.format('target')} AS t FROM le LEFT JOIN documents d ON d.doc_id = source_doc),
+g1 AS (SELECT *, {TOKENS.format('q')} AS qt, {TOKENS.format('t')} AS tt FROM g0),
+g2 AS (SELECT *, CASE WHEN length(q) < 24 THEN 'too_short' WHEN NOT contains(coalesce(b, ''), q) THEN 'not_verbatim' WHEN len(qt) = 0 THEN 'not_specific'
+  WHEN (CASE WHEN len(tt) = 0 THEN 0 ELSE len(list_intersect(qt, tt)) / len(list_distinct(list_concat(qt, tt))) END) < 0.12 THEN 'low_overlap' ELSE 'pass' END AS reason FROM g1)
+SELECT kind, count(*) AS n, count(*) FILTER (reason = 'too_short') AS too_short, count(*) FILTER (reason = 'not_verbatim') AS not_verbatim, count(*) FILTER (reason = 'not_specific') AS not_specific,
+  count(*) FILTER (reason = 'low_overlap') AS low_overlap, count(*) FILTER (reason = 'not_verbatim' AND contains(coalesce(b, ''), translate(q, 'ａｅｉｏｕ', 'aeiou'))) AS fixable,
+  round(count(*) FILTER (reason = 'pass') / count(*), 6) AS pass_rate, round(count(*) FILTER (reason IN ('pass', 'low_overlap')) / count(*), 6) AS pass_rate_without_overlap
+FROM g2 GROUP BY ROLLUP (kind)""")
+def g2_detail(v: Views):
+    quotes = v.sql(LENIENT).withColumnRenamed("source_doc", "source")
+    made = op.ground_quotes(quotes, v.documents.select(F.col("doc_id").alias("source"), F.col("text").alias("body")))
+    return op.grounding_detail(made).withColumns({c: F.round(c, 6) for c in ("pass_rate", "pass_rate_without_overlap")})
+
+
+#: Arrays of three kinds of rows, of turns with their whole texts (as JSON), and of rows that are none.
+MIXED = """SELECT conv_id * 1000 + turn AS id, concat('[', concat_ws(', ',
+  concat(chr(123), '"type": "qa", "front": "', role, '", "back": ', CASE WHEN conv_id % 4 = 0 THEN '7' ELSE t END, ', "source_quote": ', CASE WHEN conv_id % 7 = 0 THEN '"  "' ELSE t END, chr(125)),
+  concat(chr(123), '"type": "cloze", "cloze_text": "of ', chr(123), chr(123), 'c1::', CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE role END, '::hint', chr(125), chr(125), ' it", "source_quote": ', t, ', "concept_tag": "k"', chr(125)),
+  concat(chr(123), '"stem": ', t, ', "choices": ["a ", "b", "', CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE 'c' END, '", "d"], "answer_index": ', CASE WHEN turn % 2 = 0 THEN CAST(conv_id % 6 AS STRING) ELSE '1.5' END,
+    ', "explanation": "e", "source_quote": ', t, ', "concept_label": "c", "difficulty": "', CASE WHEN conv_id % 2 = 0 THEN 'hard' ELSE 'odd' END, '"', chr(125)),
+  '5', '"qa"', concat(chr(123), '"type": "other", "source_quote": "q"', chr(125)), concat(chr(123), '"type": "cloze"', chr(125))), ']') AS text FROM ({turns}) x"""
+TURNS = "SELECT conv_id, turn, role, {quoted} AS t FROM {conversations}"
+
+
+@query("g3_land_model_rows", f"""WITH x AS (SELECT * FROM ({MIXED.format(turns=TURNS.format(quoted="to_json(text)", conversations="conversations"))})),
+r AS (SELECT id, unnest(CAST(text AS JSON[])) AS e, generate_subscripts(CAST(text AS JSON[]), 1) - 1 AS pos FROM x),
+k AS (SELECT id, CAST(pos AS INT) AS pos, e, CASE WHEN json_type(e, '$.type') = 'VARCHAR' AND json_extract_string(e, '$.type') IN ('qa', 'cloze') THEN json_extract_string(e, '$.type') WHEN json_type(e, '$.choices') = 'ARRAY' THEN 'choice' END AS kind,
+  nullif(trim(json_extract_string(e, '$.source_quote')), '') AS quote FROM r WHERE json_type(e) = 'OBJECT')
+SELECT id, pos, kind, md5(quote) AS quote, CASE WHEN kind <> 'choice' AND json_type(e, '$.front') = 'VARCHAR' THEN json_extract_string(e, '$.front') END AS front,
+  CASE WHEN kind <> 'choice' AND json_type(e, '$.back') = 'VARCHAR' THEN md5(json_extract_string(e, '$.back')) END AS back, CASE WHEN kind <> 'choice' THEN json_extract_string(e, '$.cloze_text') END AS cloze_text,
+  CASE WHEN kind = 'choice' THEN json_extract_string(e, '$.concept_label') ELSE json_extract_string(e, '$.concept_tag') END AS concept, CASE WHEN kind = 'choice' THEN 'a,b,c,d' END AS choices,
+  CASE WHEN kind = 'choice' THEN CAST(json_extract(e, '$.answer_index') AS INT) END AS answer, CASE WHEN kind = 'choice' THEN CASE json_extract_string(e, '$.difficulty') WHEN 'hard' THEN 'hard' ELSE 'medium' END END AS difficulty
+FROM k WHERE kind IS NOT NULL AND quote IS NOT NULL AND (kind <> 'choice' OR (nullif(trim(json_extract_string(e, '$.choices[2]')), '') IS NOT NULL AND nullif(trim(json_extract_string(e, '$.stem')), '') IS NOT NULL
+  AND json_type(e, '$.answer_index') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(e, '$.answer_index') AS DOUBLE) BETWEEN 0 AND 3))""")
+def g3_rows(v: Views):
+    turns = v.conversations.select("conv_id", "turn", "role", F.to_json(F.struct("text")).alias("j")).selectExpr("conv_id", "turn", "role", "substr(j, 9, length(j) - 9) as t")
+    raw = v.spark.sql(MIXED.replace("{turns}", "SELECT * FROM {turns}"), turns=turns)
+    rows = op.land_model_rows(raw).withColumns({"quote": F.md5("quote"), "back": F.md5("back"), "choices": F.array_join("choices", ",")})
+    return rows.select("id", "pos", "kind", "quote", "front", "back", "cloze_text", "concept", "choices", "answer", "difficulty")
+
+
 #: Model texts: turns as JSON, some in fences, some with prose around, some broken.
 MODEL_TEXT = """concat(CASE WHEN turn % 4 = 1 THEN '```json ' ELSE '' END, CASE WHEN turn % 4 = 2 THEN 'Here it is: ' ELSE '' END, {body}, CASE WHEN turn % 4 = 1 THEN ' ```' WHEN turn % 4 = 2 THEN ' Done.' ELSE '' END)"""
 CLEAN = "regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', ''{g})"
@@ -66,6 +112,20 @@ def g4(v: Views):
     return op.gate_candidates(rows, 2).select("source", "item_id", "slug")
 
 
+DRAFTS = """SELECT item_id * 10 + k AS card_id, item_id % 5 AS pos, source_doc % 9 AS of_source, source_doc AS source, CASE WHEN k % 2 = 0 THEN 'qa' ELSE 'cloze' END AS kind, CASE WHEN item_id % 6 = 0 THEN ' ' ELSE 'front' END AS front, quote AS back,
+  CASE k WHEN 1 THEN concat('A ', chr(123), chr(123), 'c1::', CASE WHEN item_id % 4 = 0 THEN ' ' ELSE 'answer' END, '::hint', chr(125), chr(125), ' b') WHEN 3 THEN 'no mark' END AS cloze_text, quote
+FROM {quotes} CROSS JOIN (SELECT explode(array(0, 1, 2, 3)) AS k) n"""
+
+
+@query("g4_gate_cards", f"""WITH dr AS ({DRAFTS.replace('{quotes}', 'quotes').replace('array(', 'list_value(').replace('explode(', 'unnest(')}),
+ok AS (SELECT *, CASE WHEN kind = 'cloze' THEN 'A answer b' ELSE concat('front ', back) END AS target FROM dr WHERE CASE WHEN kind = 'qa' THEN trim(front) <> '' ELSE cloze_text LIKE 'A %' AND item_id_of % 4 <> 0 END),
+g0 AS (SELECT ok.*, {NORM.format("quote")} AS q, {NORM.format("d.text")} AS b FROM ok LEFT JOIN documents d ON d.doc_id = ok.source)
+SELECT card_id, source, target, row_number() OVER (PARTITION BY g0.source ORDER BY pos, card_id) AS place FROM g0 WHERE length(q) >= 24 AND contains(coalesce(b, ''), q) AND len({TOKENS.format('q')}) > 0 QUALIFY place <= 5""".replace("item_id_of", "(card_id // 10)"))
+def g4_cards(v: Views):
+    bodies = v.documents.select(F.col("doc_id").alias("source"), F.col("text").alias("body"))
+    return op.gate_cards(v.sql(DRAFTS), bodies).select("card_id", "source", "target", F.col("place").cast("long").alias("place"))
+
+
 @query("g5_card_targets", """WITH last AS (SELECT tenant, article_id, arg_max(action, event_id) AS action FROM feedback GROUP BY 1, 2)
 SELECT l.tenant, l.article_id, row_number() OVER (PARTITION BY l.tenant ORDER BY published_at DESC NULLS LAST, l.article_id) AS place FROM last l JOIN articles a ON a.article_id = l.article_id
 WHERE action = 'useful' AND summary IS NOT NULL AND l.article_id % 17 <> 0 QUALIFY place <= 10""")
@@ -80,6 +140,17 @@ def g6(v: Views):
     return op.source_prompts(v.questions.withColumn("stem", F.concat(F.lit("stem "), F.col("question_id").cast("string"))))
 
 
+@query("g6_latest_concepts", """SELECT tenant, concept_key, row_number() OVER (PARTITION BY tenant ORDER BY max(created_at) DESC, concept_key) AS place FROM attempts GROUP BY 1, 2 QUALIFY place <= 40""")
+def g6_concepts(v: Views):
+    return op.latest_concepts(op.mastery_fold(v.attempts)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("g10_ledger_totals", """SELECT level, count(*) AS attempts, count(DISTINCT concat(tenant, ' ', concept_key)) AS concepts, round(avg(CAST(is_correct AS INT)), 9) AS correct_rate,
+  CAST(CAST(min(created_at) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(created_at) AS DATE) AS VARCHAR) AS last_day FROM (SELECT *, coalesce(difficulty, 'unknown') AS level FROM attempts) GROUP BY ROLLUP (level)""")
+def g10_totals(v: Views):
+    return op.ledger_totals(v.attempts).withColumn("correct_rate", F.round("correct_rate", 9))
+
+
 @query("g7_body_windows")
 def g7(v: Views):
     return op.body_windows(v.documents.select(F.col("doc_id").alias("source_id"), "text"), 500, 7)
@@ -106,6 +177,15 @@ def g9(v: Views):
     return op.mastery_replay(v.attempts).withColumns({c: F.round(c, 6) for c in ("mean", "median")})
 
 
+@query("g9_top_concepts", f"""WITH RECURSIVE best AS (SELECT tenant, concept_key, count(*) AS n FROM attempts GROUP BY 1, 2 ORDER BY n DESC, tenant, concept_key LIMIT 15),
+sc AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale), att AS (SELECT t.*, n, scale, {ALPHA} * scale AS al, row_number() OVER (PARTITION BY scale, tenant, concept_key ORDER BY created_at, attempt_id) AS k FROM attempts t JOIN best USING (tenant, concept_key) CROSS JOIN sc),
+fold(scale, tenant, concept_key, n, k, m) AS (SELECT scale, tenant, concept_key, n, k, CAST(0.3 AS DOUBLE) + al * (is_correct::INT - CAST(0.3 AS DOUBLE)) FROM att WHERE k = 1
+  UNION ALL SELECT a.scale, a.tenant, a.concept_key, a.n, a.k, f.m + a.al * (a.is_correct::INT - f.m) FROM fold f JOIN att a ON a.scale = f.scale AND a.tenant = f.tenant AND a.concept_key = f.concept_key AND a.k = f.k + 1)
+SELECT tenant, concept_key, n AS attempts, scale, round(arg_max(m, k), 4) AS mastery FROM fold GROUP BY ALL""")
+def g9_top(v: Views):
+    return op.replay_top_concepts(v.attempts).withColumn("mastery", F.round("mastery", 4))
+
+
 @query("g10_mastery_drift", f"""WITH RECURSIVE {FOLD} SELECT coalesce(tenant, -1) AS tenant, concept_key, CASE WHEN tenant % 7 = 0 THEN 'missing' WHEN attempts % 3 = 0 THEN 'differs' ELSE 'matched' END AS state FROM mas
 UNION ALL SELECT -1, concept_key, 'orphan' FROM (SELECT DISTINCT concept_key FROM questions)""")
 def g10(v: Views):

@@ -1,5 +1,6 @@
 """Queries of work queues, ledgers and guards."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gleanery.constants import NOW
@@ -8,6 +9,7 @@ from gleanery.operators import queues as op
 from gleanery.operators.health import hours_since, stale_fetch
 from gleanery.operators.landing import at
 from gleanery.plans.registry import query
+from gleanery.sources.shared import written
 from gleanery.sources.views import Views
 
 T = f"TIMESTAMP '{NOW}'"
@@ -317,6 +319,32 @@ def j1(v: Views):
     return op.run_guards(metrics)
 
 
+@query("j1_observed_guards", f"""WITH {PENDING}, {METRIC}
+SELECT unnest([{', '.join(f"'{n}'" for n in sorted(op.GUARDS))}]) AS guard, unnest([{', '.join({
+    'all_failed': 'fetched > 0 AND failed = fetched', 'quarantine_surge': 'q > 5', 'embed_stalled': 'embedded_recent = 0 AND embed_waiting > 0', 'deck_starved': 'deck < 40',
+    'prune_stalled': 'left_over < 0 OR left_over > 1000', 'collect_dead': 'n_results > 0 AND applied = 0',
+}.get(n, 'false') for n in sorted(op.GUARDS))}]) AS fails FROM m""")
+def j1_observed(v: Views):
+    """The run writes its snapshots; what the guards need is counted as the rows go by."""
+    seen = {name: Observation() for name in ("fetches", "leases", "articles", "results")}
+    within = lambda column, span: F.col(column) >= at(NOW) - F.expr(f"interval {span}")
+    written(v.fetches.observe(seen["fetches"], F.count("*").alias("fetch_results"), F.count("error").alias("fetch_failed")))
+    written(v.leases.observe(seen["leases"], F.count_if((F.col("attempts") >= 3) & within("failed_at", "24 hours")).alias("quarantined")))
+    waiting, vector = F.col("embedding").isNull() & (F.col("body_len") >= 250), F.col("embedding").isNotNull()
+    written(v.articles.drop("content", "summary_attempts").observe(
+        seen["articles"], F.count_if(within("embedded_at", "26 hours")).alias("embedded_recent"), F.count_if(waiting).alias("embed_waiting"),
+        F.count_if(F.col("summary").isNotNull() & within("published_at", "72 hours")).alias("deck_available"),
+        F.count_if(vector & (F.col("published_at") < at(NOW) - F.expr("interval 35 days"))).alias("prune_remaining"),
+    ))
+    outcome = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    none = F.sum(F.lit(0)).cast("long")
+    written(v.round_results.observe(
+        seen["results"], outcome("succeeded").alias("collect_applied"), outcome("succeeded", "errored").alias("collect_attempted"), outcome("expired").alias("collect_expired"),
+        none.alias("collect_canceled"), none.alias("collect_superseded"),
+    ))
+    return op.run_guards(op.metrics_of(v.spark, *seen.values()))
+
+
 @query("j3_refresh_cooldown", """SELECT user_id AS tenant, max(ts) > TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE AS skip FROM events GROUP BY 1""")
 def j3(v: Views):
     return op.refresh_cooldown(v.events.select(F.col("user_id").alias("tenant"), "ts"), "2024-01-30 22:00:00").select("tenant", "skip")

@@ -115,10 +115,12 @@ class Views:
         items = self.benchmark.select("item_id", F.col("text").alias("quote")).distinct().withColumn("w", words(F.col("quote")))
         long, short = items.where("size(w) >= 6").withColumn("key", key(F.col("w"), F.lit(1))).drop("w"), items.where("size(w) < 6 or w is null").drop("w")
         docs = self.documents.select("doc_id", F.col("text").alias("body"), words(F.col("text")).alias("w")).where("size(w) >= 4")
-        keyed = docs.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
+        keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
+        bodies = self.documents.select("doc_id", F.col("text").alias("body"))
         inside = F.contains(F.lower("body"), F.lower("quote"))
-        found = long.join(keyed, "key").where(inside).select("item_id", "quote", "doc_id").union(
-            short.join(self.documents.select("doc_id", F.col("text").alias("body")), inside).select("item_id", "quote", "doc_id")
+        maybe = long.join(keyed, "key").select("item_id", "quote", "doc_id").distinct()  # bodies are joined after this cut
+        found = maybe.join(bodies, "doc_id").where(inside).select("item_id", "quote", "doc_id").union(
+            short.join(bodies, inside).select("item_id", "quote", "doc_id")
         ).groupBy("item_id", "quote").agg(F.min("doc_id").alias("found"))
         return items.drop("w").join(found, ["item_id", "quote"], "left").select("item_id", "quote", F.coalesce("found", "item_id").alias("source_doc"), F.col("found").isNotNull().alias("verbatim"))
 

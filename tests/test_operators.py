@@ -421,3 +421,62 @@ def test_earlier_maximum_in_blocks_of_time_equals_all_pairs(spark, monkeypatch,
     count = lambda f: f(distinct, distinct, products, "id long, best double", [F.sum("best").alias("n")]).agg(F.sum("n")).first()[0]
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
     assert count(vectors.blocked) == 600 * 600 and count(vectors.blocked_by_order) <= 0.55 * 600 * 600
+
+
+def test_model_rows_of_three_kinds_are_typed_and_the_rest_dropped(spark):
+    import json
+
+    card = {"type": "qa", "front": "f", "back": 7, "source_quote": " q ", "concept_tag": "c"}
+    cloze = {"type": "cloze", "cloze_text": "a {{c1::b}}", "source_quote": "q"}
+    choice = {"stem": " s ", "choices": ["a ", "b", "c", " d"], "answer_index": 3, "explanation": "e", "source_quote": "q", "concept_label": "k", "difficulty": "odd"}
+    bad = [5, "qa", None, [card], {"type": "other", "source_quote": "q"}, {**card, "source_quote": "  "}, {**choice, "choices": ["a", "b", " ", "d"]}, {**choice, "choices": ["a", "b", "c"]},
+           {**choice, "choices": ["a", "b", "c", 4]}, {**choice, "answer_index": 4}, {**choice, "answer_index": 1.5}, {**choice, "answer_index": "1"}, {**choice, "stem": ""}, {**choice, "explanation": 1}]
+    texts = [(1, json.dumps([card, cloze, choice, *bad])), (2, "Here: ```json " + json.dumps(choice) + "``` done"), (3, '[{"type": "qa"'), (4, None), (5, "[]")]
+    got = sorted((r.id, r.pos, r.kind, r.quote, r.front, r.back, r.cloze_text, r.concept, r.stem, r.choices, r.answer, r.difficulty) for r in learning.land_model_rows(spark.createDataFrame(texts, "id long, text string")).collect())
+    made = ("choice", "q", None, None, None, "k", "s", ["a", "b", "c", "d"], 3, "medium")
+    assert got == [(1, 0, "qa", "q", "f", None, None, "c", None, None, None, None), (1, 1, "cloze", "q", None, None, "a {{c1::b}}", None, None, None, None, None), (1, 2, *made), (2, 0, *made)]
+
+
+def test_cards_need_what_their_kind_shows(spark):
+    rows = [(1, "qa", "f", "b", None), (2, "qa", " ", "b", None), (3, "qa", "f", None, None), (4, "cloze", None, None, "a {{c1::b::hint}} c {{c2::d}}"), (5, "cloze", None, None, "{{c1:: }} x"),
+            (6, "cloze", "f", "b", None), (7, "cloze", None, None, "no mark"), (8, "cloze", None, None, "{{cx::b}}")]
+    df = spark.createDataFrame(rows, "k long, kind string, front string, back string, cloze_text string")
+    got = {r.k: (r.ok, r.target) for r in df.select("k", learning.card_format_ok().alias("ok"), learning.card_target().alias("target")).collect()}
+    assert {k for k, (ok, _) in got.items() if ok} == {1, 4} and got[1][1] == "f b" and got[4][1] == "a b c d"
+
+
+def test_folding_mends_quotes(spark):
+    body = "He said: “It’s a long—very long—way…” and ＡＢＣ１２３ went home at last."
+    quotes = [(1, 'it\'s a long-very long-way..." and abc123'), (2, "it was a short way, and nobody went home"), (3, "went home at last.")]
+    df = spark.createDataFrame([(k, q, 1, q) for k, q in quotes], "id long, quote string, source long, target string")
+    got = {r.id: (r.reason, r.fixable) for r in learning.ground_quotes(df, spark.createDataFrame([(1, body)], "source long, body string"), 0).collect()}
+    assert got == {1: ("not_verbatim", True), 2: ("not_verbatim", False), 3: ("too_short", False)}
+
+
+def test_selections_that_can_not_be_read(spark):
+    fine = '{"mode": "batch", "ids": ["a", "b"], "lease_deadline": "t"}'
+    cases = [(fine, None), (None, "selection"), ("x", "selection"), ("[]", "selection"), ('"batch"', "selection"), ("{}", "mode"), ('{"mode": "sync"}', "mode"), ('{"mode": 1}', "mode"),
+             ('{"mode": "batch"}', "ids"), ('{"mode": "batch", "ids": []}', "ids"), ('{"mode": "batch", "ids": ["a", null]}', "ids"), ('{"mode": "batch", "ids": ["a", 1], "lease_deadline": "t"}', "ids"),
+             ('{"mode": "batch", "ids": ["a"]}', "lease_deadline"), ('{"mode": "batch", "ids": ["a"], "lease_deadline": ""}', "lease_deadline"), ('{"mode": "batch", "ids": ["a"], "lease_deadline": 5}', "lease_deadline")]
+    df = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(cases)], "k long, s string")
+    got = {r.k: r.p for r in df.select("k", queues.selection_problem(F.col("s")).alias("p")).collect()}
+    assert [got[k] for k in range(len(cases))] == [p for _, p in cases]
+
+
+def test_best_articles_by_thresholds_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 400
+    articles = spark.createDataFrame([(i, f"f{i % 7}") for i in range(n)], "article_id long, feed_id string").selectExpr("*", "if(article_id % 11 = 0, null, timestamp '2024-01-31 00:00:00' - make_dt_interval(0, cast(article_id * 37 % 200 as int))) as published_at")
+    tags = spark.createDataFrame([(int(i), f"t{int(t)}") for i in range(n) if i % 5 for t in rng.choice(12, rng.integers(1, 4), replace=False)], "article_id long, tag string")
+    prefs = [(u, "tag", f"t{t}", float(np.round(rng.normal(), 1))) for u in range(20) for t in rng.choice(14, 5, replace=False)] + [(u, "source", f"f{f}", float(np.round(rng.normal(), 1))) for u in range(20) for f in rng.choice(9, 3, replace=False)]
+    prefs = spark.createDataFrame([*prefs, (50, "source", "none", 1.0), (51, "tag", "t1", -9.0)], "tenant long, kind string, pref_key string, weight double")
+    feeds = spark.createDataFrame([(f"f{k}", [0.0, 0.5, -0.3][k % 3]) for k in range(6)], "feed_id string, credibility double")
+    for k in (3, 10):
+        got = ranking.top_articles(articles, tags, prefs, feeds, k)
+        full = ranking.score_articles(articles, tags, prefs, feeds).withColumn("score", F.round("score", 6)).join(articles.select("article_id", "published_at"), "article_id")
+        want = full.selectExpr("tenant", "article_id", "score", "row_number() over (partition by tenant order by score desc, published_at desc nulls last, article_id) as place").where(f"place <= {k}")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = ranking.top_articles(articles.where("article_id < 4"), tags, prefs, feeds, 10)
+    assert few.groupBy("tenant").count().select("count").distinct().first()[0] == 4
