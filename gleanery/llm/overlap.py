@@ -23,6 +23,8 @@ FLUSH = 300_000
 PROBES = 1 << 20
 #: Most sets with a shingle of which all pairs are compared.
 HOT = 64
+#: Blocks of sets outside of a cluster's largest part that are searched for in every block of the cluster.
+ASKS = 2
 
 
 def size_bands(largest: int, percent: int) -> np.ndarray:
@@ -361,11 +363,11 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     Sets that share signatures form clusters; a cluster is dealt into blocks of about BLOCK shingles
     by a hash. First each block is searched, with the cluster's centre (most shared signatures) in
     every block, which joins most of what belongs together. In clusters of several blocks that are
-    still in parts, sets of different parts meet by their rarest shingles, which what is loosely
-    joined by common ones does not share. Sets whose rarest shingles are common ones are left: of
-    these all but those of the largest part are queries, a block of them against a block of the
-    others at a time. Every linked pair in two parts has an end that is a query, so no link is lost,
-    and what is known is not searched.
+    still in parts, all sets but those of the largest part are queries, a block of them against a block
+    of the others at a time: every linked pair in two parts has an end that is a query, so no link is
+    lost, and what is known is not searched. Where that are over ASKS blocks of queries, sets of
+    different parts first meet by their rarest shingles, which what is loosely joined by common ones
+    does not share, and only sets whose rarest shingles are common ones are left as queries.
     """
     links = materialise(candidate_links(part_signatures(docs, width, percent)))
     clusters = connected_components(links)
@@ -394,34 +396,43 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     large = large.join(grown, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
     parts = large.groupBy("cluster", "grp").agg(F.count("*").alias("members"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("members", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = materialise(large.join(main.select("cluster", "main"), "cluster").withColumn("asked", F.expr("grp <> main.grp")))
+    parted = large.join(main.select("cluster", "main"), "cluster").withColumn("asked", F.expr("grp <> main.grp"))
+    asks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks")
+    apart = materialise(parted.join(parted.where("asked").groupBy("cluster").agg(asks), "cluster").dropDuplicates(["doc_id", "set_id"]))
     discard(members)
     if not apart.limit(1).count():
+        discard(apart)
         return grown
-    prefixes = materialise(rarest_shingles(apart, percent))
-    links = [near, materialise(prefix_links(prefixes, apart, percent))]
-    common = prefixes.where(F.col("df") > HOT).select("doc_id").distinct()
-    rest = apart.join(common, "doc_id", "left_semi")
-    asks = rest.where("asked").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks"))
-    rest = materialise(rest.join(asks, "cluster"))
+    links = [near, materialise(search_blocks(_questions(apart.where(F.col("asks") <= ASKS)), percent))]
+    loose = apart.where(F.col("asks") > ASKS)
+    if loose.limit(1).count():
+        prefixes = materialise(rarest_shingles(loose, percent))
+        links.append(materialise(prefix_links(prefixes, loose, percent)))
+        common = prefixes.where(F.col("df") > HOT).select("doc_id").distinct()
+        rest = loose.drop("asks").join(common, "doc_id", "left_semi")
+        rest = materialise(rest.join(rest.where("asked").groupBy("cluster").agg(asks), "cluster"))
+        discard(prefixes)
+        links.append(materialise(search_blocks(_questions(rest), percent)))  # its tasks would each need a second worker for the next step
+        discard(rest)
     discard(apart)
-    discard(prefixes)
-    if rest.limit(1).count():
-        both = F.xxhash64("cluster", "part", "ask").alias("block")
-        held = rest.withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)")))
-        asked = rest.where("asked").withColumn("ask", F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int"))
-        asked = asked.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
-        some = held.select(both, "doc_id", "grp", F.lit(None).cast("long").alias("rank"), "shingles").union(
-            asked.select(both, "doc_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
-        )
-        links.append(materialise(search_blocks(some, percent)))  # its tasks would each need a second worker for the next step
-    discard(rest)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
     return connected_components(every).withColumnRenamed("node", "doc_id")
 
 
+def _questions(rest: DataFrame) -> DataFrame:
+    """The rows of search_blocks for the sets of clusters of which some are asked about: each block of
+    these in every block of its cluster."""
+    both = F.xxhash64("cluster", "part", "ask").alias("block")
+    held = rest.withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)")))
+    asked = rest.where("asked").withColumn("ask", F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int"))
+    asked = asked.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return held.select(both, "doc_id", "grp", F.lit(None).cast("long").alias("rank"), "shingles").union(
+        asked.select(both, "doc_id", "grp", F.lit(1).cast("long").alias("rank"), "shingles")
+    )
+
+
 def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """(shingle, doc_id, grp, n, df): of each set (doc_id, grp, n, shingles) its rarest shingles, so many that
     two sets with a Jaccard similarity of percent share one of them: all but as many as must be

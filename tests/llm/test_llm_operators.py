@@ -89,10 +89,11 @@ def test_jaccard_components(docs, empty, width, percent):
     assert overlap.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [64, 5])
-def test_jaccard_in_blocks(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, asks", [(64, 2), (64, 0), (5, 0)])
+def test_jaccard_in_blocks(spark, monkeypatch, hot, asks):
     """Clusters of several blocks give the components of all pairs, whether their shingles are rare or
-    common."""
+    common, and few or many of their sets are outside of the largest part; rows of a doc_id repeat."""
+    monkeypatch.setattr(overlap, "ASKS", asks)
     monkeypatch.setattr(overlap, "BLOCK", 4 * 118)
     monkeypatch.setattr(overlap, "HOT", hot)
     monkeypatch.setattr(overlap, "FLUSH", 300)
@@ -104,7 +105,8 @@ def test_jaccard_in_blocks(spark, monkeypatch, hot):
         for k in rng.choice(120, rng.integers(1, 6), replace=False):
             w[k] = f"x{i}y{k}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in overlap.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = rows + [rows[0]] * 200 + rows[5:9]
+    got = {r.doc_id: r.component_id for r in overlap.jaccard_components(spark.createDataFrame(again, "doc_id long, text string")).collect()}
     sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for _, t in rows]
     part = list(range(40))
     for i in range(40):
