@@ -99,10 +99,10 @@ def window_observation(observation: DataFrame, articles: DataFrame, epoch: str,
     w = w.withColumn("majority_share", F.when(F.col("embedded") > 0, F.greatest("lead", "legacy") / F.col("embedded")))
     percent = lambda c: F.format_string("%.1f", F.col(c) * 100)
     text = F.concat(
-        F.format_string(f"窓 {K.WINDOW_DAYS}d: 記事 %d 件 / embedding 付き %d 件（網羅率 ", "articles", "embedded"), percent("coverage"), F.lit("%）"),
+        F.format_string(f"last {K.WINDOW_DAYS} days: %d articles, %d with a vector (", "articles", "embedded"), percent("coverage"), F.lit(" %)"),
         F.when(F.col("majority_share") < 1, F.concat(
-            F.format_string("｜legacy %d（", "legacy"), percent("coverage_legacy"), F.format_string("%%） / lead %d（", "lead"), percent("coverage_lead"),
-            F.format_string("%%）・多数派 %s %.2f", "majority", "majority_share"),
+            F.format_string("; %d legacy (", "legacy"), percent("coverage_legacy"), F.format_string(" %%), %d lead (", "lead"), percent("coverage_lead"),
+            F.format_string(" %%), mostly %s (%.2f)", "majority", "majority_share"),
         )).otherwise(""),
     )
     w = w.withColumns({"description": text, "truncated": F.lit(False) if cap is None else F.col("embedded") > cap})

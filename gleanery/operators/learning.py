@@ -136,7 +136,7 @@ def land_annotations(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     plain = F.col("json").isNull() & ~F.col("text").rlike(r'"(summary|tags)"\s*:|^\s*[{\[]') & (F.trim("text") != "")
     made = made.withColumn("summary", F.when(summary != "", summary).when(plain, F.trim("text")))
     tags = made.select("id", F.posexplode(F.array_distinct(F.coalesce("o.tags", F.array().cast("array<string>")))).alias("pos", "tag"))
-    tags = tags.join(F.broadcast(vocabulary.select("tag")), "tag").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "tag"))), 1, 3)["tag"].alias("tags"))
+    tags = tags.join(vocabulary.select("tag"), "tag").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "tag"))), 1, 3)["tag"].alias("tags"))
     outcome = F.when(F.col("summary").isNull(), "failed").when(F.col("json").isNull(), "salvaged").otherwise("landed")
     return made.join(tags, "id", "left").select("id", "summary", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), outcome.alias("outcome"))
 
@@ -256,7 +256,7 @@ def mastery_drift(replayed: DataFrame, stored: DataFrame, keys: tuple = ("tenant
 def category_mastery(mastery: DataFrame, questions: DataFrame) -> DataFrame:
     """Mean mastery of each tenant's tech categories, and the three weakest concepts."""
     concept = questions.where("category like 'tech/%'").select("concept_key", "category").distinct()
-    rows = mastery.where("attempts > 0").join(F.broadcast(concept), "concept_key")
+    rows = mastery.where("attempts > 0").join(concept, "concept_key")
     order = Window.partitionBy("tenant", "category").orderBy("mastery", "concept_key")
     rows = rows.withColumn("n", F.row_number().over(order))
     weakest = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", "concept_key")))), lambda s: s["concept_key"]))
@@ -312,9 +312,9 @@ def pool_deficit(tenants: DataFrame, questions: DataFrame, attempts: DataFrame,
     POOL_PER_CATEGORY, and the share of POOL_PER_RUN that goes to it, in order of categories."""
     live = questions.where("status = 'active' and not dup_flag").select("question_id", "category")
     grid = tenants.crossJoin(F.broadcast(sources.where("status = 'approved'").select("category").distinct()))
-    seen = attempts.select("tenant", "question_id").distinct().join(F.broadcast(live), "question_id").groupBy("tenant", "category").agg(F.count("*").alias("seen"))
+    seen = attempts.select("tenant", "question_id").distinct().join(live, "question_id").groupBy("tenant", "category").agg(F.count("*").alias("seen"))
     size = live.groupBy("category").agg(F.count("*").alias("size"))
-    rows = grid.join(F.broadcast(size), "category", "left").join(seen, ["tenant", "category"], "left").na.fill(0, ["size", "seen"])
+    rows = grid.join(size, "category", "left").join(seen, ["tenant", "category"], "left").na.fill(0, ["size", "seen"])
     rows = rows.withColumn("unseen", F.col("size") - F.col("seen")).withColumn("deficit", F.greatest(F.lit(0), K.POOL_PER_CATEGORY - F.col("unseen")))
     before = F.coalesce(F.sum("deficit").over(Window.partitionBy("tenant").orderBy("category").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     give = F.greatest(F.lit(0), F.least(F.col("deficit"), K.POOL_PER_RUN - before))

@@ -29,7 +29,7 @@ def score_articles(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds
     tag = tags.join(prefs.where("kind = 'tag'"), tags["tag"] == prefs["pref_key"]).groupBy("tenant", "article_id").agg(F.sum("weight").alias("by_tag"))
     source = prefs.where("kind = 'source'").select("tenant", F.col("pref_key").alias("feed_id"), F.col("weight").alias("by_source"))
     rows = articles.select("article_id", "feed_id", "published_at").join(feeds.select("feed_id", "credibility"), "feed_id", "left")
-    rows = rows.withColumn("recency", recency(now=now)).crossJoin(F.broadcast(prefs.select("tenant").distinct()))
+    rows = rows.withColumn("recency", recency(now=now)).crossJoin(prefs.select("tenant").distinct())
     rows = rows.join(tag, ["tenant", "article_id"], "left").join(source, ["tenant", "feed_id"], "left").na.fill(0.0, ["by_tag", "by_source", "credibility"])
     pref = F.col("by_tag") + F.col("by_source")
     return rows.select("tenant", "article_id", "feed_id", "recency", pref.alias("pref"), (F.col("recency") + pref + F.col("credibility")).alias("score"))
@@ -176,9 +176,13 @@ def pick_decks(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     ).where("place is not null")
 
 
-def curate_day(scored: DataFrame, candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Decks of the day from scores and candidates; a tenant whose deck is full gets none."""
-    rows = scored.join(F.broadcast(candidates.select("article_id", F.col("embedding").alias("vec"))), "article_id")
+def curate_day(articles: DataFrame, tags: DataFrame, prefs: DataFrame, feeds: DataFrame, picked: DataFrame, seeds: DataFrame, now: str = K.NOW) -> DataFrame:
+    """Decks of the day: the candidates alone (at most DECK_CANDIDATES) are scored for all tenants and
+    dealt to decks. A tenant whose deck is full gets none."""
+    candidates = written(deck_candidates(articles, picked, now).select("article_id", "feed_id", "published_at", F.col("embedding").alias("vec")))
+    ids = F.broadcast(candidates.select("article_id"))  # bounded
+    scored = score_articles(candidates, tags.join(ids, "article_id", "left_semi"), prefs, feeds, now)
+    rows = scored.join(F.broadcast(candidates.select("article_id", "vec")), "article_id")
     best = rows.select("tenant", "article_id", "feed_id", "vec", "pref", "recency", F.col("score").alias("value"))
     return pick_decks(best, seeds)
 

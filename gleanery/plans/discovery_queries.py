@@ -133,7 +133,22 @@ def h10(v: Views):
     return op.merge_search_hits(hits.select("theme", "url"), selected)
 
 
-@query("g19_validate_learn_sources")
+def plain(html: str) -> str:
+    """SQL of the text of HTML."""
+    bare = f"regexp_replace(regexp_replace(regexp_replace({html}, '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '&nbsp;', ' ', 'gi')"
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    return rf"trim(regexp_replace({bare}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+
+
+@query("g19_validate_learn_sources", rf"""WITH {CANON},
+p AS (SELECT page_id % 40 AS batch, page_id AS pos, canonical AS key, length({plain('html')}) AS chars,
+  length({plain("array_to_string(regexp_extract_all(html, '<a\s[^>]*>(.*?)</a>', 1, 'is'), ' ')")}) AS inside FROM pages LEFT JOIN ca USING (page_id)),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY batch ORDER BY pos) <= 5),
+a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) > 1 AS again FROM f)
+SELECT batch, pos, key, CASE WHEN key IS NULL THEN 'invalid' WHEN key IN (SELECT canonical FROM ca WHERE page_id % 8 = 0) OR again THEN 'known' WHEN chars < 1500 THEN 'short' WHEN inside / greatest(chars, 1) > 0.02 THEN 'links' ELSE 'inserted' END AS outcome FROM a""")
 def g19(v: Views):
-    proposals = v.pages.selectExpr("page_id % 40 as batch", "page_id as pos", "url", "html")
-    return op.validate_learn_sources(proposals, v.pages.where("page_id % 8 = 0").select(op.canonical_url(F.col("url")).alias("key")), chars=1500)
+    """Proposed urls of many forms, invalid ones too, with the pages they lead to."""
+    proposals = v.urls.join(v.pages.select("page_id", "html"), "page_id").selectExpr("page_id % 40 as batch", "page_id as pos", "url", "html")
+    known = v.urls.where("page_id % 8 = 0").select(op.canonical_url(F.col("url")).alias("key"))
+    return op.validate_learn_sources(proposals, known, chars=1500, ratio=0.02)

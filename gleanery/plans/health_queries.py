@@ -86,7 +86,7 @@ def e7(v: Views):
   count(*) FILTER (embedding IS NOT NULL AND embedded_at >= {E}) AS lead, count(*) FILTER (coalesce(body_len, 0) >= 250) AS eligible FROM win),
 s AS (SELECT *, embedded / articles AS c, legacy / articles AS cg, lead / articles AS cl, CASE WHEN lead > legacy THEN 'lead' ELSE 'legacy' END AS majority, greatest(lead, legacy) / embedded AS ms FROM w)
 SELECT articles, embedded, legacy, lead, eligible, round(c, 6) AS coverage, round(cg, 6) AS coverage_legacy, round(cl, 6) AS coverage_lead, majority, round(ms, 6) AS majority_share, embedded > 20000 AS truncated,
-  printf('窓 30d: 記事 %d 件 / embedding 付き %d 件（網羅率 %.1f%%）', articles, embedded, c * 100) || CASE WHEN ms < 1 THEN printf('｜legacy %d（%.1f%%） / lead %d（%.1f%%）・多数派 %s %.2f', legacy, cg * 100, lead, cl * 100, majority, ms) ELSE '' END AS description,
+  printf('last 30 days: %d articles, %d with a vector (%.1f %%)', articles, embedded, c * 100) || CASE WHEN ms < 1 THEN printf('; %d legacy (%.1f %%), %d lead (%.1f %%), mostly %s (%.2f)', legacy, cg * 100, lead, cl * 100, majority, ms) ELSE '' END AS description,
   (SELECT count(near_dup_rate) FROM obs) AS feeds_with_rate FROM s""")
 def e7_window(v: Views):
     out = op.window_observation(observation(v), v.articles, EPOCH, cap=20_000)

@@ -68,31 +68,30 @@ k AS (SELECT id, CAST(pos AS INT) AS pos, e, CASE WHEN json_type(e, '$.type') =
 SELECT id, pos, kind, md5(quote) AS quote, CASE WHEN kind <> 'choice' AND json_type(e, '$.front') = 'VARCHAR' THEN json_extract_string(e, '$.front') END AS front,
   CASE WHEN kind <> 'choice' AND json_type(e, '$.back') = 'VARCHAR' THEN md5(json_extract_string(e, '$.back')) END AS back, CASE WHEN kind <> 'choice' THEN json_extract_string(e, '$.cloze_text') END AS cloze_text,
   CASE WHEN kind = 'choice' THEN json_extract_string(e, '$.concept_label') ELSE json_extract_string(e, '$.concept_tag') END AS concept, CASE WHEN kind = 'choice' THEN 'a,b,c,d' END AS choices,
-  CASE WHEN kind = 'choice' THEN CAST(json_extract(e, '$.answer_index') AS INT) END AS answer, CASE WHEN kind = 'choice' THEN CASE json_extract_string(e, '$.difficulty') WHEN 'hard' THEN 'hard' ELSE 'medium' END END AS difficulty
+  CASE WHEN kind = 'choice' THEN CAST(json_extract(e, '$.answer_index') AS INT) ELSE -1 END AS answer, CASE WHEN kind = 'choice' THEN CASE json_extract_string(e, '$.difficulty') WHEN 'hard' THEN 'hard' ELSE 'medium' END END AS difficulty
 FROM k WHERE kind IS NOT NULL AND quote IS NOT NULL AND (kind <> 'choice' OR (nullif(trim(json_extract_string(e, '$.choices[2]')), '') IS NOT NULL AND nullif(trim(json_extract_string(e, '$.stem')), '') IS NOT NULL
   AND json_type(e, '$.answer_index') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(e, '$.answer_index') AS DOUBLE) BETWEEN 0 AND 3))""")
 def g3_rows(v: Views):
     turns = v.conversations.select("conv_id", "turn", "role", F.to_json(F.struct("text")).alias("j")).selectExpr("conv_id", "turn", "role", "substr(j, 9, length(j) - 9) as t")
     raw = v.spark.sql(MIXED.replace("{turns}", "SELECT * FROM {turns}"), turns=turns)
-    rows = op.land_model_rows(raw).withColumns({"quote": F.md5("quote"), "back": F.md5("back"), "choices": F.array_join("choices", ",")})
+    rows = op.land_model_rows(raw).withColumns({"quote": F.md5("quote"), "back": F.md5("back"), "choices": F.array_join("choices", ","), "answer": F.coalesce("answer", F.lit(-1))})
     return rows.select("id", "pos", "kind", "quote", "front", "back", "cloze_text", "concept", "choices", "answer", "difficulty")
 
 
 #: Model texts: turns as JSON, some in fences, some with prose around, some broken.
 MODEL_TEXT = """concat(CASE WHEN turn % 4 = 1 THEN '```json ' ELSE '' END, CASE WHEN turn % 4 = 2 THEN 'Here it is: ' ELSE '' END, {body}, CASE WHEN turn % 4 = 1 THEN ' ```' WHEN turn % 4 = 2 THEN ' Done.' ELSE '' END)"""
-CLEAN = "regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', ''{g})"
 
 
 def model_texts(v: Views, annotation: bool):
-    clean = CLEAN.format(g="")
     if annotation:
-        body = f"""concat('{{"summary": "', {clean}, '", "tags": ["tech/', cast(conv_id % 12 as string), '", "tech/1", 5, "tech/1"]', if(turn % 4 = 3, '', '}}'))"""
+        body = """concat('{"summary": ', quoted, ', "tags": ["tech/', cast(conv_id % 12 as string), '", "tech/1", 5, "tech/1"]', if(turn % 4 = 3, '', '}'))"""
     else:
-        body = f"""concat('[{{"stem": "', {clean}, '", "choices": ["a", "b", "', if(conv_id % 5 = 0, '', 'c'), '", "d"], "answer": ', cast(conv_id % 6 as string), ', "quote": "q", "explanation": "e", "concept": "k", "difficulty": "', if(conv_id % 2 = 0, 'hard', 'odd'), '"}}]')"""
-    return v.conversations.selectExpr("conv_id * 1000 + turn as id", "conv_id", "turn", f"{MODEL_TEXT.format(body=body)} as text")
+        body = """concat('[{"stem": ', quoted, ', "choices": ["a", "b", "', if(conv_id % 5 = 0, '', 'c'), '", "d"], "answer": ', cast(conv_id % 6 as string), ', "quote": "q", "explanation": "e", "concept": "k", "difficulty": "', if(conv_id % 2 = 0, 'hard', 'odd'), '"}]')"""
+    json = v.conversations.withColumn("quoted", F.to_json(F.struct("text"))).withColumn("quoted", F.expr("substr(quoted, 9, length(quoted) - 9)"))
+    return json.selectExpr("conv_id * 1000 + turn as id", "conv_id", "turn", f"{MODEL_TEXT.format(body=body)} as text")
 
 
-@query("f16_land_annotations", f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, trim({CLEAN.format(g=", 'g'")}) AS s, conv_id % 12 AS k, turn FROM conversations)
+@query("f16_land_annotations", f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, trim(text) AS s, conv_id % 12 AS k, turn FROM conversations)
 SELECT id, CASE WHEN turn % 4 = 3 OR s = '' THEN NULL ELSE s END AS summary, CASE WHEN turn % 4 = 3 THEN '' WHEN k < 8 AND k <> 1 THEN concat('tech/', k, ',tech/1') ELSE 'tech/1' END AS tags,
   CASE WHEN turn % 4 = 3 OR s = '' THEN 'failed' ELSE 'landed' END AS outcome FROM a""")
 def f16(v: Views):
@@ -100,8 +99,8 @@ def f16(v: Views):
     return op.land_annotations(model_texts(v, True), vocabulary).withColumn("tags", F.concat_ws(",", "tags"))
 
 
-@query("g3_land_candidates", f"""SELECT conv_id * 1000 + turn AS id, {CLEAN.format(g=", 'g'")} AS stem, CAST(conv_id % 6 AS INT) AS answer, CASE WHEN conv_id % 2 = 0 THEN 'hard' ELSE 'medium' END AS difficulty
-FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 6 <= 3 AND trim({CLEAN.format(g=", 'g'")}) <> ''""")
+@query("g3_land_candidates", f"""SELECT conv_id * 1000 + turn AS id, text AS stem, CAST(conv_id % 6 AS INT) AS answer, CASE WHEN conv_id % 2 = 0 THEN 'hard' ELSE 'medium' END AS difficulty
+FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 6 <= 3 AND trim(text) <> ''""")
 def g3(v: Views):
     return op.land_candidates(model_texts(v, False)).select("id", "stem", "answer", "difficulty")
 

@@ -229,7 +229,7 @@ def f15(v: Views):
     return op.untagged(v.articles, v.article_tags.where("tag like 'tech/%'")).select("article_id")
 
 
-MARKED = """SELECT doc_id AS article_id, CASE WHEN doc_id % 15 = 0 THEN concat('{{"summary": ', substr(text, 1, 20)) WHEN doc_id % 31 = 0 THEN concat('```', substr(text, 1, 20)) ELSE substr(text, 1, 40) END AS summary FROM {documents}"""
+MARKED = """SELECT doc_id AS article_id, CASE WHEN doc_id % 15 = 0 THEN concat('{{"summary": ', text) WHEN doc_id % 31 = 0 THEN concat('```', text) ELSE text END AS summary FROM {documents}"""
 
 
 @query("f15_broken_annotations", f"""WITH m AS ({MARKED.replace('{documents}', 'documents').replace('{{', '{')}) SELECT article_id FROM m WHERE regexp_matches(summary, '"(summary|tags)"\\s*:|```')""")
