@@ -169,11 +169,16 @@ def latest_concepts(mastery: DataFrame, k: int = 40) -> DataFrame:
     return mastery.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("tenant", "concept_key", "place")
 
 
+def seeded(seed: int, *columns: Column) -> Column:
+    """A number from 0 to 2^60 - 1 fixed by the seed and the columns, which any engine with md5 can make."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in columns))), 1, 15), 16, 10).cast("long")
+
+
 def body_windows(sources: DataFrame, most: int, seed: int) -> DataFrame:
     """The text if short, else a window of `most` characters from a start fixed by id and seed, moved
     (unless it is 0) to after the next space within 200 characters, without blanks at its ends."""
     room = F.length("text") - most
-    start = F.pmod(F.xxhash64("source_id", F.lit(seed)), F.greatest(room + 1, F.lit(1))).cast("int")
+    start = F.pmod(seeded(seed, F.col("source_id")), F.greatest(room + 1, F.lit(1))).cast("int")
     space = F.locate(" ", F.substr("text", start + 1, F.lit(200)))
     begin = F.when(room <= 0, 0).when((start > 0) & (space > 0), start + space).otherwise(start)
     window = F.regexp_replace(F.substr("text", begin + 1, F.lit(most)), r"(?U)^\s+|\s+$", "")
@@ -336,7 +341,7 @@ def answer_positions(questions: DataFrame) -> DataFrame:
 
 def shuffle_choices(questions: DataFrame, seed: int) -> DataFrame:
     """Choices in an order fixed by a hash of question, place and seed; the answer moves along."""
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("choices") - 1), lambda i: F.struct(F.xxhash64("question_id", i, F.lit(seed)).alias("h"), i.alias("i"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("choices") - 1), lambda i: F.struct(seeded(seed, F.col("question_id"), i).alias("h"), i.alias("i"))))
     out = questions.withColumn("o", order)
     return out.withColumns({
         "answer_index": (F.array_position(F.transform("o", lambda s: s["i"]), F.col("answer_index")) - 1).cast("int"),

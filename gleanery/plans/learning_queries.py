@@ -150,9 +150,11 @@ def g10_totals(v: Views):
     return op.ledger_totals(v.attempts).withColumn("correct_rate", F.round("correct_rate", 9))
 
 
-@query("g7_body_windows")
+@query("g7_body_windows", r"""WITH s AS (SELECT doc_id, text, length(text) - 500 AS room, CAST(CAST('0x' || md5(concat('7:', doc_id))[1:15] AS BIGINT) % greatest(length(text) - 499, 1) AS INT) AS start FROM documents),
+b AS (SELECT *, CASE WHEN room <= 0 THEN 0 WHEN start > 0 AND instr(substr(text, start + 1, 200), ' ') > 0 THEN start + instr(substr(text, start + 1, 200), ' ') ELSE start END AS begins FROM s)
+SELECT doc_id AS source_id, CAST(begins AS BIGINT) AS start, md5(CASE WHEN room <= 0 THEN text ELSE regexp_replace(substr(text, begins + 1, 500), '^[\s\p{Z}\x{85}\x0B]+|[\s\p{Z}\x{85}\x0B]+$', '', 'g') END) AS body FROM b""")
 def g7(v: Views):
-    return op.body_windows(v.documents.select(F.col("doc_id").alias("source_id"), "text"), 500, 7)
+    return op.body_windows(v.documents.select(F.col("doc_id").alias("source_id"), "text"), 500, 7).withColumn("body", F.md5("body"))
 
 
 ALPHA = """CAST(CASE difficulty WHEN 'easy' THEN CASE WHEN is_correct THEN 0.15 ELSE 0.35 END WHEN 'medium' THEN 0.25 ELSE CASE WHEN is_correct THEN 0.35 ELSE 0.15 END END AS DOUBLE)"""
@@ -265,10 +267,12 @@ def g17(v: Views):
     return op.answer_positions(v.questions).withColumn("chi2", F.round("chi2", 6))
 
 
-@query("g17_shuffled_positions")
+@query("g17_shuffled_positions", """WITH c AS (SELECT question_id, answer_index, unnest(range(0, 4)) AS i FROM questions),
+p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST('0x' || md5(concat('3:', question_id, ':', i))[1:15] AS BIGINT), i) - 1 AS place FROM c)
+SELECT CAST(place AS INT) AS answer_index, count(*) AS n, round(pow(count(*) - (SELECT count(*) FROM questions) / 4, 2) / ((SELECT count(*) FROM questions) / 4), 6) AS chi2 FROM p WHERE i = answer_index GROUP BY place""")
 def g17b(v: Views):
     rows = v.questions.withColumn("choices", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")))
-    return op.answer_positions(op.shuffle_choices(rows, 3))
+    return op.answer_positions(op.shuffle_choices(rows, 3)).withColumn("chi2", F.round("chi2", 6))
 
 
 @query("g18_grade_answers", """SELECT user_id AS tenant, event_id, q.question_id, q.concept_key, CAST(event_id % 5 AS INT) = answer_index AS is_correct FROM events JOIN questions q ON q.question_id = event_id % 70 WHERE event_id % 5 <= 3""")
