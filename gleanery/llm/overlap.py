@@ -389,7 +389,7 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     centres = members.where("is_centre and blocks > 1").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
     near = materialise(search_blocks(members.select(row).union(centres.select(row)), percent))
     grown = materialise(connected_components(near).withColumnRenamed("node", "doc_id"))
-    large = members.where("blocks > 1")
+    large = members.drop("shingles").where("blocks > 1").dropDuplicates(["doc_id", "set_id"])  # sets follow when it is known which are needed
     if not large.limit(1).count():
         discard(members)
         return grown
@@ -398,11 +398,15 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
     main = parts.groupBy("cluster").agg(F.max(F.struct("members", "grp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     parted = large.join(main.select("cluster", "main"), "cluster").withColumn("asked", F.expr("grp <> main.grp"))
     asks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks")
-    apart = materialise(parted.join(parted.where("asked").groupBy("cluster").agg(asks), "cluster").dropDuplicates(["doc_id", "set_id"]))
-    discard(members)
-    if not apart.limit(1).count():
-        discard(apart)
+    told = parted.join(parted.where("asked").groupBy("cluster").agg(asks), "cluster")
+    told = materialise(told.select("doc_id", "set_id", "cluster", "n", "blocks", "part", "grp", "asked", "asks"))
+    if not told.limit(1).count():
+        discard(members)
+        discard(told)
         return grown
+    apart = materialise(told.join(members.select("doc_id", "set_id", "shingles"), ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"]))
+    discard(members)
+    discard(told)
     links = [near, materialise(search_blocks(_questions(apart.where(F.col("asks") <= ASKS)), percent))]
     loose = apart.where(F.col("asks") > ASKS)
     if loose.limit(1).count():
