@@ -143,7 +143,7 @@ def plain(html: str) -> str:
 
 @query("g19_validate_learn_sources", rf"""WITH {CANON},
 p AS (SELECT page_id % 40 AS batch, page_id AS pos, canonical AS key, length({plain('html')}) AS chars,
-  length({plain("array_to_string(regexp_extract_all(html, '<a\s[^>]*>(.*?)</a>', 1, 'is'), ' ')")}) AS inside FROM pages LEFT JOIN ca USING (page_id)),
+  length({plain(r"array_to_string(regexp_extract_all(html, '<a\s[^>]*>(.*?)</a>', 1, 'is'), ' ')")}) AS inside FROM pages LEFT JOIN ca USING (page_id)),
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY batch ORDER BY pos) <= 5),
 a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) > 1 AS again FROM f)
 SELECT batch, pos, key, CASE WHEN key IS NULL THEN 'invalid' WHEN key IN (SELECT canonical FROM ca WHERE page_id % 8 = 0) OR again THEN 'known' WHEN chars < 1500 THEN 'short' WHEN inside / greatest(chars, 1) > 0.02 THEN 'links' ELSE 'inserted' END AS outcome FROM a""")
