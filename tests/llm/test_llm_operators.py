@@ -224,6 +224,30 @@ def test_passages_around_a_line_that_all_documents_have(spark):
     assert found <= {(100 + i, i) for i in range(100)} and len(found) >= 85
 
 
+def test_all_partners_around_a_common_line_are_found(spark, monkeypatch):
+    line, rows = text(1000, 42), []
+    for i in range(150):
+        own = text(2000 + i, 10)
+        rows += [(i, f"{text(3000 + i, 40)} {line} {own} {text(4000 + i, 40)}"), (150 + i, f"{text(5000 + i, 40)} {line} {own} {text(6000 + i, 40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(docs).collect()} == {(150 + i, i) for i in range(150)}
+    monkeypatch.setattr(substrings, "FLUSH", 500)
+    assert {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(docs).collect()} == {(150 + i, i) for i in range(150)}
+
+
+def test_partners_that_share_common_words_only(spark):
+    """Of 60 words, 25 documents have the first 40 and 25 others the last 40; two have all of them."""
+    rows, want = [], set()
+    for i in range(12):
+        words = text(7000 + i, 60).split()
+        parts = [words[:40]] * 25 + [words[20:]] * 25 + [words] * 2
+        rows += [(100 * i + k, f"{text(100 * i + k, 30)} {' '.join(part)} {text(50_000 + 100 * i + k, 30)}") for k, part in enumerate(parts)]
+        want.add((100 * i + 51, 100 * i + 50))
+    rows += [(row[0], row[1]) for row in rows[50:52]]
+    found = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+
+
 def test_rows_of_one_id_lose_only_what_their_own_text_repeats(spark):
     a, b, other, more = text(50, 120), text(51, 60), text(52, 200), text(53, 70)
     rows = [(1, a), (2, b + " " + a), (2, other), (2, "three short words"), (3, other), (4, more), (2, more), (None, a)]
