@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.arrays import text_chunks
-from gleanery.llm.dac import TOKEN_CHUNK
 from gleanery.llm.scratch import materialise, release_memory
 from gleanery.llm.tokens import forget_tokenizers, piece_tokenizer
 
+#: Bytes of text tokenised at once: arrays of the work take some fifty times as much.
+PIECE_CHUNK = 1 << 18
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -115,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_blanks
 
     def cut(batches):
         tokenizer = piece_tokenizer(tokenizer_path, drops_blanks)
-        for batch, data, offsets in text_chunks(batches, max_bytes=TOKEN_CHUNK):
+        for batch, data, offsets in text_chunks(batches, max_bytes=PIECE_CHUNK):
             ids, bounds = tokenizer.encode(data, offsets)
             ids, sizes = np.insert(ids, bounds[1:], np.uint32(end_id)), np.diff(bounds) + 1
             ends = np.cumsum(sizes)

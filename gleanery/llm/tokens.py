@@ -20,6 +20,8 @@ from gleanery.llm.arrays import lower, slice_hashes
 #: Pieces whose ids a worker remembers (about 40 bytes each) before it starts anew, and the
 #: longest such piece in bytes.
 REMEMBERED, SHORT = 1_000_000, 64
+#: Pieces given to the library at once.
+ENCODED = 1024
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -92,13 +94,17 @@ class PieceTokenizer:
         fill = self.fill
         if new.any():
             raw, fresh = data.tobytes(), np.flatnonzero(new)
-            texts = [raw[s:e].decode() for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            begins, stops = starts[first[fresh]].tolist(), ends[first[fresh]].tolist()
+            made, sizes = [], np.zeros(len(fresh), np.int64)
+            for k in range(0, len(fresh), ENCODED):  # the library's results are far larger than their ids
+                texts = [raw[s:e].decode() for s, e in zip(begins[k : k + ENCODED], stops[k : k + ENCODED])]
+                ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes[k : k + ENCODED] = list(map(len, ids))
+                made.append(np.fromiter((i for x in ids for i in x), np.uint32))
             total = int(sizes.sum())
             if fill + total > len(self.pool):
-                self.pool = np.concatenate([self.pool[:fill], np.zeros(fill + 2 * total, np.uint32)])
-            self.pool[fill : fill + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+                self.pool = np.concatenate([self.pool[:fill], np.zeros(total + fill // 2 + (1 << 16), np.uint32)])
+            self.pool[fill : fill + total] = np.concatenate(made)
             place[fresh, 0] = fill + np.cumsum(sizes) - sizes
             place[fresh, 1] = sizes
             fill += total
