@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from gleanery.llm.arrays import PLAIN_WORDS, find_words, lower, slice_hashes, text_chunks
 from gleanery.llm.language import fold
 
-#: Labelled documents of each label, of any length, that set the threshold: one in four by a hash,
-#: which training does not read, up to this number.
-THRESHOLD_DOCS = 600
+#: Steps in which scores (log odds) are counted for the threshold, which all labelled documents that
+#: training does not read set: one in four by a hash, of any length.
+THRESHOLD_STEP = 0.001
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 16
 #: The bounded sample: labelled documents of each label that training reads whole, and the most
@@ -229,18 +229,20 @@ def usable_labels(labelled: DataFrame) -> DataFrame:
 def set_threshold(net: ToxicityNetwork, docs: DataFrame, labelled: DataFrame) -> ToxicityNetwork:
     """Shift the output so that 0.5 separates the labels of whole documents best: the middle of
     the cuts with the most right decisions, both labels weighing the same."""
-    labels = sampled_labels(usable_labels(labelled).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0), THRESHOLD_DOCS)
-    rows = score_texts(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"), net).select("toxic", "toxicity").collect()
-    score = np.clip([r["toxicity"] for r in rows], 1e-7, 1 - 1e-7)
-    toxic = np.array([r["toxic"] for r in rows])
-    if len(set(toxic.tolist())) == 2:
-        logit = np.log(score / (1 - score))
-        cuts = np.unique(logit)
-        cuts = (cuts[1:] + cuts[:-1]) / 2
-        right = [(logit[toxic == 1] > c).mean() + (logit[toxic == 0] <= c).mean() for c in cuts]
-        if len(cuts):
-            best = cuts[np.flatnonzero(np.array(right) >= max(right) - 1e-9)]
-            net.p["bias"] -= np.float32((best[0] + best[-1]) / 2)
+    labels = usable_labels(labelled).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scored = score_texts(docs.select("doc_id", "text").join(labels, "doc_id"), net)
+    score = F.least(F.greatest("toxicity", F.lit(1e-7)), F.lit(1 - 1e-7))
+    place = F.round(F.log(score / (1 - score)) / THRESHOLD_STEP).cast("long").alias("place")
+    rows = sorted(scored.groupBy(place).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect())
+    toxic, n = (np.array([r[c] for r in rows], float) for c in ("toxic", "n"))
+    clean = n - toxic
+    if len(rows) > 1 and toxic.sum() and clean.sum():
+        logit = np.array([r["place"] for r in rows]) * THRESHOLD_STEP
+        cuts = (logit[1:] + logit[:-1]) / 2
+        right = 1 - np.cumsum(toxic)[:-1] / toxic.sum() + np.cumsum(clean)[:-1] / clean.sum()
+        best = cuts[np.flatnonzero(right >= right.max() - 1e-9)]
+        net.p["bias"] -= np.float32((best[0] + best[-1]) / 2)
     return net
 
 

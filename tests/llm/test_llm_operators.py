@@ -539,6 +539,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_texts(empty, net).count() == 0
 
 
+def test_all_labelled_documents_set_the_threshold(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    ids = range(16_000)
+    docs = spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    read = []
+
+    def scored(some, net):
+        read.append(some.count())
+        return some.withColumn("toxicity", F.when(F.col("toxic") == 1, F.lit(0.4)).otherwise(F.lit(0.2)))
+
+    monkeypatch.setattr(toxicity, "score_texts", scored)
+    net = toxicity.set_threshold(toxicity.ToxicityNetwork(np.zeros(0, np.uint64), np.zeros(0, np.uint64)), docs, labels)
+    assert read[0] == docs.where("pmod(xxhash64(doc_id, 1), 4) = 0").count() > 3_000
+    assert abs(net.p["bias"][0] + (np.log(0.2 / 0.8) + np.log(0.4 / 0.6)) / 2) < 0.01
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.ToxicityNetwork(np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64))
