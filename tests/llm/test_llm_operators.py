@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import arrays, dac, decontaminate, language, lattice, overlap, packing, pitman_yor, sharding, substrings, toxicity
@@ -248,6 +249,25 @@ def test_partners_that_share_common_words_only(spark):
     assert found == want
 
 
+def test_pairs_that_add_nothing_are_not_compared(spark):
+    """60 documents repeat one word, each more often than the one before; the first document has too few of it."""
+    rows = [(i, f"{text(60_000 + i, 40)} {' '.join(['word'] * (60 + i if i else 8))} {text(61_000 + i, 40)}") for i in range(61)]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered: dict[int, set[int]] = {}
+    for r in out:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    assert set(covered) == set(range(2, 61)) and all(set(range(40, 100 + i)) <= words for i, words in covered.items())
+    assert len({(r.doc_id, r.source_doc_id) for r in out}) <= 59 * (substrings.BEST + 2)
+
+
+def test_texts_with_open_places():
+    h = np.arange(200, dtype=np.uint64)
+    spans = pa.array([[], [10, 190], [0, 200], [0, 50, 50, 200], [0, 40], [0, 200]], pa.list_(pa.int64()))
+    known = h[10:190]
+    assert substrings.open_texts([h] * 4 + [h[:40], h[:0]], known, spans) == [0]
+    assert substrings.open_texts([h] * 2, known, pa.array([[10, 189], [11, 190]], pa.list_(pa.int64()))) == [0, 1]
+
+
 def test_rows_of_one_id_lose_only_what_their_own_text_repeats(spark):
     a, b, other, more = text(50, 120), text(51, 60), text(52, 200), text(53, 70)
     rows = [(1, a), (2, b + " " + a), (2, other), (2, "three short words"), (3, other), (4, more), (2, more), (None, a)]
