@@ -93,6 +93,27 @@ def test_language_ties_go_to_the_commoner_language(spark):
     assert equal.judge("one two")[0] == "bb" and equal.judge("one two")[2]
 
 
+def test_all_training_texts_teach_a_language(spark):
+    """Each of 600 long texts has three words of its own, in all 1,800 words a language that no sample of them holds."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + k) for k in rng.integers(0, 26, 8)) for _ in range(3700)]
+    filler, own = " ".join(words[3600:]), [words[3 * i : 3 * i + 3] for i in range(1200)]
+    rows = [(f"{filler} {' '.join(w)} {filler}", ("aa", "bb")[i % 2]) for i, w in enumerate(own)]
+    dictionaries = language.train_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    judge = language.CompressionClassifier(dictionaries).judge
+    assert all(w.encode() in dictionaries[("aa", "bb")[i % 2]] for i, group in enumerate(own) for w in group)
+    assert all(judge(" ".join(w for group in own[i : i + 20 : 2] for w in group))[0] == ("aa", "bb")[i % 2] for i in range(1180))
+    assert all(len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
+
+
+def test_dictionaries_hold_the_commonest_words_last(spark, monkeypatch):
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 20)
+    long = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("one two two 3 four", "xx"), ("one two", "xx"), ("one, three", "xx"), (None, "xx"), ("--", "xx"), ("one", None), (long, "yy")]
+    made = language.train_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert made["xx"] == b"three four two one " and made["yy"] == b"defg cdef bcde abcd "
+
+
 def test_op8(spark, folder):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
