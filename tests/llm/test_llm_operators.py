@@ -268,6 +268,22 @@ def test_texts_with_open_places():
     assert substrings.open_texts([h] * 2, known, pa.array([[10, 189], [11, 190]], pa.list_(pa.int64()))) == [0, 1]
 
 
+def test_passages_that_add_no_place_are_left_out():
+    a = np.arange(200, dtype=np.uint64)
+    texts = [a[:100], a[50:], a[:100], a]
+    index = substrings.shingle_index(texts)
+    assert list(substrings.new_passages(a, np.ones(200, bool), texts, index)) == [(3, (0, 200, 0, 200, 1.0))]
+    assert list(substrings.new_passages(a, np.arange(200) > 150, texts[:2], index)) == [(1, (50, 150, 0, 150, 1.0))]
+    assert list(substrings.new_passages(a, np.zeros(200, bool), texts, index)) == []
+
+
+def test_meetings_grow_with_homes_not_with_pairs(spark):
+    """40 documents of the same 20 runs, each with five of its own."""
+    rows = [(run, d, 0, 60, 1) for d in range(40) for run in [*range(20), *range(1000 + 5 * d, 1005 + 5 * d)]]
+    homes, asked = substrings.meetings(spark.createDataFrame(rows, "run long, doc_id long, low long, high long, open long"))
+    assert homes.count() == asked.count() == 40 and homes.select("home").distinct().count() == 1
+
+
 def test_rows_of_one_id_lose_only_what_their_own_text_repeats(spark):
     a, b, other, more = text(50, 120), text(51, 60), text(52, 200), text(53, 70)
     rows = [(1, a), (2, b + " " + a), (2, other), (2, "three short words"), (3, other), (4, more), (2, more), (None, a)]
