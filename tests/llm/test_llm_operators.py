@@ -277,6 +277,14 @@ def test_passages_that_add_no_place_are_left_out():
     assert list(substrings.new_passages(a, np.zeros(200, bool), texts, index)) == []
 
 
+def test_only_stretches_with_open_places_are_compared(monkeypatch):
+    a, lengths, compare = np.arange(400, dtype=np.uint64), [], substrings.shared_passages
+    texts = [np.concatenate([a[:100], a[100:200] + np.uint64(1000), a[300:]])]
+    monkeypatch.setattr(substrings, "shared_passages", lambda x, y: lengths.append(len(x)) or compare(x, y))
+    assert list(substrings.new_passages(a, np.arange(400) > 350, texts, substrings.shingle_index(texts))) == [(0, (300, 100, 200, 100, 1.0))]
+    assert lengths == [100]
+
+
 def test_meetings_grow_with_homes_not_with_pairs(spark):
     """40 documents of the same 20 runs, each with five of its own."""
     rows = [(run, d, 0, 60, 1) for d in range(40) for run in [*range(20), *range(1000 + 5 * d, 1005 + 5 * d)]]
