@@ -114,6 +114,41 @@ def test_dictionaries_hold_the_commonest_words_last(spark, monkeypatch):
     assert made["xx"] == b"three four two one " and made["yy"] == b"defg cdef bcde abcd "
 
 
+def _mixed_languages():
+    """900 texts of two languages, some of these shorter, and texts whose words are half of one, half of the other."""
+    rng = np.random.default_rng(8)
+    letters = rng.integers(0, 13, (400, 6))
+    words = {lang: ["".join(chr(97 + low + k) for k in w) for w in letters.tolist()] for lang, low in (("aa", 0), ("bb", 13))}
+    rows = [(i, " ".join(words[("aa", "bb")[i % 2]][k] for k in rng.integers(0, 400, 20 + i % 60)), ("aa", "bb")[i % 2]) for i in range(900)]
+    some = [np.concatenate([rng.permutation(400) for _ in range(6)]) for _ in range(30)]
+    return rows, [(900 + i, " ".join(words[lang][k] for p in zip(s, s[::-1]) for lang, k in zip(("aa", "bb"), p)), None) for i, s in enumerate(some)]
+
+
+def test_narrow_margins_are_rejected(spark, tmp_path):
+    rows, mixed = _mixed_languages()
+    spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in run(spark, str(tmp_path), "op7_language")}
+    assert all(out[d].lang_pred == lang and not out[d].rejected for d, _, lang in rows)
+    assert sum(out[d].rejected for d, *_ in mixed) >= 25
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    dictionaries, narrow = language.train_with_margin(docs)
+    assert dictionaries == language.train_dictionaries(docs) and narrow == language.NARROW  # too few held texts
+
+
+def test_margin_that_held_texts_tell(spark, monkeypatch):
+    """At most LOST of the right decisions are under it, and one more would be too many."""
+    rows, _ = _mixed_languages()
+    monkeypatch.setattr(language, "LOST", 0.05)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries, narrow = language.train_with_margin(df)
+    held = [(r.lang, r.text) for r in language._teaching(df, "text", "lang").where("held").collect()]
+    rest = language.train_dictionaries(language._teaching(df, "text", "lang").where("not held"))
+    judge = language.CompressionClassifier(rest)
+    right = [m for lang, text in held for got, m in [judge.decide(text)] if got == lang and m > 0]
+    assert narrow > 0.02 and dictionaries == language.train_dictionaries(df)
+    assert sum(m < narrow for m in right) <= 0.05 * len(right) < sum(m < narrow + language.STEP for m in right)
+
+
 def test_op8(spark, folder):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
