@@ -149,6 +149,15 @@ def test_margin_that_held_texts_tell(spark, monkeypatch):
     assert sum(m < narrow for m in right) <= 0.05 * len(right) < sum(m < narrow + language.STEP for m in right)
 
 
+def test_stage_rejects_mixed_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, mixed = _mixed_languages()
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert {d for d, *_ in rows} <= left and len(left) <= 905
+
+
 def test_op8(spark, folder):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
