@@ -25,6 +25,8 @@ PROBES = 1 << 20
 HOT = 64
 #: Blocks of sets outside of a cluster's largest part that are searched for in every block of the cluster.
 ASKS = 2
+#: In the place of a count of sets: a row that says what the rows of its document after it are of.
+HEAD = 1 << 40
 
 
 def size_bands(largest: int, percent: int) -> np.ndarray:
@@ -413,8 +415,10 @@ def set_components(table: DataFrame, docs: DataFrame, width: int, percent: int)
         prefixes = materialise(rarest_shingles(loose, percent))
         links.append(materialise(prefix_links(prefixes, loose, percent)))
         common = prefixes.where(F.col("df") > HOT).select("doc_id").distinct()
-        rest = loose.drop("asks").join(common, "doc_id", "left_semi")
-        rest = materialise(rest.join(rest.where("asked").groupBy("cluster").agg(asks), "cluster"))
+        rest = loose.drop("asks", "blocks", "part").join(common, "doc_id", "left_semi")
+        asks = F.ceil(F.sum(F.when(F.col("asked"), F.col("n"))) / BLOCK).cast("int").alias("asks")
+        own = rest.groupBy("cluster").agg(blocks.alias("blocks"), asks).where("asks is not null")  # blocks of what is left alone
+        rest = materialise(rest.join(own, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
         discard(prefixes)
         links.append(materialise(search_blocks(_questions(rest), percent)))  # its tasks would each need a second worker for the next step
         discard(rest)
@@ -443,14 +447,14 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
     shared, and one. df: sets that have the shingle, those of over HOT alike; what only one set has
     is counted among its rarest and left out."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["shingle", "doc_id", "grp", "n"]
+    names = ["shingle", "doc_id"]
 
     def spread(batches):
         for batch in batches:
-            ids, grp, size = (batch.column(c).to_numpy() for c in ("doc_id", "grp", "n"))
+            ids = batch.column("doc_id").to_numpy()
             for k, raw in enumerate(batch.column("shingles").to_pylist()):
                 h = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *(np.full(len(h), c[k]) for c in (ids, grp, size)))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), ids[k]))], names=names)
         release_memory()
 
     def count(batches):
@@ -474,7 +478,8 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
             if hot is not None:
                 df[some[0] == hot] = HOT + 1
             hot = some[0][-1] if len(df) and df[-1] > HOT else None
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in some), pa.array(df)], names=[*names, "df"])
+            several = np.flatnonzero(df > 1)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[several]) for c in some), pa.array(df[several])], names=[*names, "df"])
 
         for batch in batches:
             waiting.append([batch.column(c).to_numpy() for c in names])
@@ -486,26 +491,36 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
         release_memory()
 
     def first(batches):
-        doc, seen = None, 0
+        doc, seen, own = None, 0, []  # own: (grp, n) of the sets of a doc_id
         for batch in batches:
-            ids, size, df = (batch.column(c).to_numpy() for c in ("doc_id", "n", "df"))
-            if not len(ids):
-                continue
-            head = np.append(True, ids[1:] != ids[:-1])
-            begin = np.flatnonzero(head)[np.cumsum(head) - 1]
-            place = np.arange(len(ids)) - begin
-            if ids[0] == doc:
-                place[begin == 0] += seen
-            doc, seen = ids[-1], int(place[-1]) + 1
-            keep = (place <= size - -(-size * percent // 100)) & (df > 1)
-            yield batch.take(pa.array(np.flatnonzero(keep)))
+            ids, grp, size, df = (batch.column(c).to_numpy() for c in ("doc_id", "grp", "n", "df"))
+            found: list[tuple[np.ndarray, int, int]] = []
+            edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+            for s, e in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist()):
+                if ids[s] != doc:
+                    doc, seen, own = ids[s], 0, []
+                heads = int(np.searchsorted(-df[s:e], -HEAD, side="right"))
+                own = sorted({*own, *zip(grp[s : s + heads].tolist(), size[s : s + heads].tolist())})
+                s += heads
+                least = min(-(-m * percent // 100) for _, m in own)
+                at = np.arange(max(s, s + least - 1 - seen), e)  # all but the least - 1 commonest
+                seen += e - s
+                if len(at):
+                    found += [(at, g, m) for g, m in own]
+            if found:
+                at = np.concatenate([f[0] for f in found])
+                of = [pa.array(np.concatenate([np.full(len(f[0]), f[k]) for f in found])) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(at)).columns, *of, pa.array(df[at])], names=[*names, "grp", "n", "df"])
         release_memory()
 
-    row = "shingle long, doc_id long, grp long, n long"
-    listed = sets.select("doc_id", "grp", F.col("n").cast("long"), "shingles").mapInArrow(spread, row)
-    counts = listed.repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(in_slices(count), f"{row}, df long")
-    order = counts.repartition(n, "doc_id").sortWithinPartitions("doc_id", "df", "shingle")
-    return order.mapInArrow(in_slices(first), f"{row}, df long")
+    listed = sets.select("doc_id", "shingles").mapInArrow(spread, "shingle long, doc_id long")
+    counts = listed.repartition(n, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(in_slices(count), "shingle long, doc_id long, df long")
+    none, head = F.lit(0).cast("long"), F.lit(HEAD).cast("long")
+    counts = counts.select("shingle", "doc_id", none.alias("grp"), none.alias("n"), "df")
+    heads = sets.select(none.alias("shingle"), "doc_id", "grp", F.col("n").cast("long"), head.alias("df"))
+    # what only one set has would come last; it needs no row to be counted
+    order = counts.union(heads).repartition(n, "doc_id").sortWithinPartitions("doc_id", F.desc("df"), F.desc("shingle"))
+    return order.mapInArrow(in_slices(first), "shingle long, doc_id long, grp long, n long, df long")
 
 
 def prefix_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

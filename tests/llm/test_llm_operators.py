@@ -119,6 +119,45 @@ def test_jaccard_in_blocks(spark, monkeypatch, hot, asks):
     assert got == {i: least[part[i]] for i in range(40)}
 
 
+def test_sets_of_common_shingles_ask_in_blocks_of_their_own(spark, monkeypatch):
+    """Of 63 sets in one cluster the 15 without rare shingles, copies of two texts, are left when the other text's
+    are asked about, in the four blocks that they fill and not in the cluster's."""
+    for name, value in (("ASKS", 0), ("BLOCK", 4 * 118), ("HOT", 5)):
+        monkeypatch.setattr(overlap, name, value)
+    seen, plain = [], overlap._questions
+    monkeypatch.setattr(overlap, "_questions", lambda rest: seen.append(plain(rest).count()) or plain(rest))
+    base = text(9, 120).split()
+    rows = []
+    for i in range(63):
+        w = list(base)
+        for k in range(4 + i % 7, 116, 8) if i < 48 else [i]:
+            w[k] = f"x{i}y{k}"
+        for k in (5, 25, 100, 110) if i >= 56 else []:
+            w[k] = f"z{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in overlap.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 48 else 48 if i < 56 else 56 for i in range(63)}
+    assert 0 < seen[-1] <= 15 * 2 + 7 * 4
+
+
+def test_rarest_shingles(spark, monkeypatch):
+    """The places of shingles in order of their sets, those of one set first; of two sets of one doc_id, all that either has."""
+    monkeypatch.setattr(overlap, "HOT", 4)
+    monkeypatch.setattr(overlap, "FLUSH", 40)
+    rng = np.random.default_rng(4)
+    sets = [(i, i % 3, np.unique(rng.zipf(1.3, 30) % 500 + 1000 * (i % 2) * (rng.random(30) < 0.2)).astype(np.int64)) for i in range(40)]
+    df = spark.createDataFrame([(i, g, len(h), h.tobytes()) for i, g, h in sets], "doc_id long, grp long, n long, shingles binary")
+    count = {}
+    for *_, h in sets:
+        for x in h.tolist():
+            count[x] = min(count.get(x, 0) + 1, 5)
+    want = []
+    for i, g, h in sets:
+        order = sorted(h.tolist(), key=lambda x: (count[x], x))[: len(h) - -(-len(h) * 80 // 100) + 1]
+        want += [(x, i, g, len(h), count[x]) for x in order if count[x] > 1]
+    assert sorted(map(tuple, overlap.rarest_shingles(df, 80).collect())) == sorted(want)
+
+
 def test_short_sets_share_no_signature_of_an_empty_part(spark):
     rows = [(i, text(i, 12 + i % 20)) for i in range(400)]
     rows += [(1000 + i, t + " more") for i, t in rows]
