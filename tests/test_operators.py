@@ -480,3 +480,34 @@ def test_best_articles_by_thresholds_equal_all_pairs(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     few = ranking.top_articles(articles.where("article_id < 4"), tags, prefs, feeds, 10)
     assert few.groupBy("tenant").count().select("count").distinct().first()[0] == 4
+
+
+def test_scores_of_pairs_that_do_not_move(spark):
+    """Tags and preferences that repeat, nulls and unknown keys count as in a plain loop, and no pair of tenant and article is shuffled."""
+    import re
+
+    articles = [(i, [None, "f0", "f1", "f2"][i % 4]) for i in range(30)] + [(None, "f1"), (3, "f2")]
+    tags = [(i, f"t{i % 3}") for i in range(0, 30, 2)] + [(2, "t2"), (4, "t0"), (6, None), (None, "t1")]
+    prefs = [(1, "tag", "t0", 1.0), (1, "tag", "t0", 0.5), (1, "tag", "t2", -2.0), (1, "source", "f0", 0.25), (2, "source", "f1", 4.0), (2, "source", "f1", 5.0), (2, "tag", "t1", None), (None, "tag", "t0", 9.0), (3, "other", "t0", 7.0)]
+    feeds = [("f0", 0.5), ("f2", None), (None, 3.0)]
+    frames = (("article_id long, feed_id string", articles), ("article_id long, tag string", tags), ("tenant long, kind string, pref_key string, weight double", prefs), ("feed_id string, credibility double", feeds))
+    a, t, p, f = (spark.createDataFrame(rows, schema) for schema, rows in frames)
+    a = a.withColumn("published_at", F.expr("if(article_id % 5 = 0, null, timestamp '2024-01-31 00:00:00' - make_dt_interval(0, cast(article_id * 37 % 200 as int)))"))
+    out = ranking.score_articles(a, t, p, f)
+    want = []
+    for i, feed in articles:
+        for tenant in (1, 2, 3, None):
+            by_tag = sum(w or 0 for j, tag in tags for u, kind, key, w in prefs if None not in (i, tag, tenant) and i == j and u == tenant and kind == "tag" and key == tag)
+            sources = [w for u, kind, key, w in prefs if None not in (tenant, feed) and u == tenant and kind == "source" and key == feed] or [0]
+            fresh = 0.0 if i is None or i % 5 == 0 else 0.5 ** (i * 37 % 200 / 24)
+            for w in sources:
+                credible = sum(c or 0 for g, c in feeds if feed is not None and g == feed)
+                want.append((str(tenant), str(i), str(feed), round(fresh, 5), round(by_tag + w, 5), round(fresh + by_tag + w + credible, 5)))
+    got = [(str(r.tenant), str(r.article_id), str(r.feed_id), round(r.recency, 5), round(r["pref"], 5), round(r.score, 5)) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    three = ("recency", "pref", "score")
+    rounded = out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in three}).collect()
+    assert sorted(map(repr, ranking.score_articles(a, t, p, f, digits=6).collect())) == sorted(map(repr, rounded))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*tenant#[^)]*article_id#", plan)
+    assert ranking.score_articles(a.limit(0), t, p, f).count() == 0 and ranking.score_articles(a, t, p.limit(0), f).count() == 0
