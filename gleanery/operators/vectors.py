@@ -8,8 +8,11 @@ pairs over a threshold).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from gleanery.operators.landing import at
 
 #: Rows of a block.
 BLOCK_ROWS = 2000
+#: Most rows of a block of pairs_over, whose tasks hold two; it makes PAIR_BLOCKS of blocks that are not under BLOCK_ROWS.
+PAIR_ROWS, PAIR_BLOCKS = 50_000, 12
+#: Rows of two blocks that are compared in one product.
+TILE = 1000, 4000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -268,20 +275,88 @@ def nearest_index_quantiles(best: DataFrame, quantiles: list[float], column: str
 
 def pairs_over(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity, same): all pairs a < b of cosine `threshold` or more; same: equal groups, null
-    if either is null."""
-
-    def fold(a, b):
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "other": [], "similarity": []})
-        s = similarities(a["v"].tolist(), b["v"].tolist())
-        i, j = np.nonzero((s >= threshold) & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None]))
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "other": b["id"].to_numpy()[j], "similarity": s[i, j]})
-
-    plain = as_rows(rows).drop("grp", "ord")
-    found = blocked(plain, plain, fold, "id long, other long, similarity double").select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
-    groups = rows.select(F.col("vec_id"), F.col("grp"))
-    named = found.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b")
-    return named.select("a", "b", "similarity", (F.col("ga") == F.col("gb")).alias("same"))
+    if either is null. An id with several rows has the groups of all of them.
+
+    Two blocks meet in one task, which hands its pairs on as it finds them, with their groups: a row is sent
+    once for each block, and a pair is not sent at all."""
+    plain = as_rows(rows).select("id", "v").where("id is not null")
+    n = plain.count()
+    blocks = max(1, -(-n // PAIR_ROWS), min(-(-n // BLOCK_ROWS), PAIR_BLOCKS))
+    groups = rows.groupBy(F.col("vec_id").alias("id")).agg(F.collect_list(F.struct("grp")).alias("groups"))
+    groups = groups.select("id", F.transform("groups", lambda g: g["grp"]).alias("groups"))  # nulls stay
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    sent = plain.join(groups, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).alias("second"), "id", "v", "groups")
+    dealt = sent.repartition(blocks * (blocks + 1) // 2, "task").sortWithinPartitions("task")
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        task, parts = None, []
+        for batch in batches:
+            tasks = batch.column("task").to_numpy()
+            edges = np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1])) if len(tasks) else []
+            for s, e in zip(edges, [*edges[1:], len(tasks)]):
+                if tasks[s] != task:
+                    yield from _pairs_of(parts, blocks, threshold)
+                    task, parts = tasks[s], []
+                parts.append(batch.slice(s, e - s))
+        yield from _pairs_of(parts, blocks, threshold)
+
+    return dealt.mapInArrow(meet, "a long, b long, similarity double, same boolean")
+
+
+def _pairs_of(parts: list[pa.RecordBatch], blocks: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of pairs_over that one task's rows have: those of its two blocks, or all of its one."""
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts).combine_chunks()
+    parts.clear()
+    one, two = divmod(table["task"][0].as_py(), blocks)
+    ids, second = table["id"].to_numpy(), table["second"].to_numpy()
+    groups = table["groups"].combine_chunks()
+    many = groups.value_lengths().to_numpy()
+    start = np.cumsum(many) - many
+    code = groups.flatten().dictionary_encode().indices.fill_null(-1).to_numpy()
+    vectors = table["v"].combine_chunks()
+    sizes, flat = vectors.value_lengths().to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    at = np.cumsum(sizes) - sizes
+    del table, vectors
+
+    def unit(some: np.ndarray, d: int) -> np.ndarray:
+        x = flat[at[some][:, None] + np.arange(d)] if d else np.zeros((len(some), 0))
+        length = np.linalg.norm(x, axis=1)
+        return x / np.where(length, length, 1)[:, None]
+
+    def found(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        n = many[i] * many[j]
+        first, other = start[i], start[j]
+        if n.max(initial=1) > 1:
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first, other = np.repeat(first, n) + k // np.repeat(many[j], n), np.repeat(other, n) + k % np.repeat(many[j], n)
+            i, j, s = (np.repeat(c, n) for c in (i, j, s))
+        same = pa.array(code[first] == code[other], mask=(code[first] < 0) | (code[other] < 0))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s), same], names=["a", "b", "similarity", "same"])
+
+    left, right = np.flatnonzero(~second), np.flatnonzero(second if one != two else ~second)
+    lengths = np.unique(sizes) if threshold > 0 else None  # what is compared with another length has 0, which counts if that is enough
+    for d in lengths if lengths is not None else [None]:
+        x, y = (side if d is None else side[sizes[side] == d] for side in (left, right))
+        units = None if d is None else unit(y, d)
+        for p in range(0, len(x), TILE[0]):
+            rows = x[p : p + TILE[0]]
+            mine = None if d is None else unit(rows, d)
+            for q in range(0, len(y), TILE[1]):
+                others = y[q : q + TILE[1]]
+                if d is None:
+                    s = similarities([flat[at[k] : at[k] + sizes[k]] for k in rows], [flat[at[k] : at[k] + sizes[k]] for k in others])
+                else:
+                    s = mine @ units[q : q + TILE[1]].T
+                ok = s >= threshold
+                ok &= ids[rows][:, None] < ids[others][None] if one == two else ids[rows][:, None] != ids[others][None]
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield found(rows[i], others[j], s[i, j])
 
 
 def pairs_by_source(pairs: DataFrame, thresholds: list[float]) -> DataFrame:

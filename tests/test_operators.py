@@ -511,3 +511,30 @@ def test_scores_of_pairs_that_do_not_move(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*tenant#[^)]*article_id#", plan)
     assert ranking.score_articles(a.limit(0), t, p, f).count() == 0 and ranking.score_articles(a, t, p.limit(0), f).count() == 0
+
+
+@pytest.mark.parametrize("rows_of_block, tile, threshold", [(5, (3, 4), 0.2), (2000, (1000, 4000), 0.2), (5, (3, 4), -0.5)])
+def test_pairs_are_made_where_blocks_meet(spark, monkeypatch, rows_of_block, tile, threshold):
+    """Null ids, vectors and groups, vectors of other lengths and zero ones, in blocks and tiles of any size; no pair is sent."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows_of_block)
+    monkeypatch.setattr(vectors, "PAIR_BLOCKS", 4)
+    monkeypatch.setattr(vectors, "TILE", tile)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3 + (i % 9 == 0)).round(2).tolist() if i % 13 else [0.0] * 3, [None, "x", "y"][i % 3], i) for i in range(60)]
+    rows += [(7, None, "z", 7), (8, [1.0, 0.0, 0.5], "x", 8), (None, [1.0, 1.0, 1.0], "x", 1), (61, [], "x", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, grp string, ord long")
+    found = vectors.pairs_over(df, threshold)
+    assert found._jdf.queryExecution().executedPlan().toString().split("\n")[1].strip().startswith("+- MapInArrow")
+    want = []
+    for i, v, *_ in rows:
+        for j, w, *_ in rows:
+            if None not in (i, j, v, w) and i < j:
+                s = 0.0
+                if len(v) == len(w) and any(v) and any(w):
+                    s = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+                if s >= threshold:
+                    want += [(i, j, round(s, 6), None if None in (g, h) else g == h) for a, _, g, _ in rows if a == i for b, _, h, _ in rows if b == j]
+    assert sorted(map(repr, ((r.a, r.b, round(r.similarity, 6) + 0.0, r.same) for r in found.collect()))) == sorted(map(repr, want))
+    assert vectors.pairs_over(df.limit(0), threshold).count() == 0
