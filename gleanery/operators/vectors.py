@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from gleanery import constants as K
 from gleanery.operators.health import in_window, recipe
@@ -368,8 +369,13 @@ def pairs_by_source(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def pairs_in_band(pairs: DataFrame, low: float, high: float, k: int = 40) -> DataFrame:
+    """The k pairs of the highest similarity in the band, ties by ids, with the number of all. Each task keeps its k, so
+    pairs are made once and never sent."""
     band = pairs.where((F.col("similarity") >= low) & (F.col("similarity") <= high))
-    return band.orderBy(F.desc("similarity"), "a", "b").limit(k).crossJoin(F.broadcast(band.agg(F.count("*").alias("total"))))
+    row = F.struct("similarity", F.bitwise_not("a").alias("a"), F.bitwise_not("b").alias("b"), "same")
+    best = band.agg(InternalFunction.collect_top_k(row, k, False).alias("best"), F.count("*").alias("total"))
+    best = best.select(F.explode("best").alias("p"), "total")
+    return best.select(F.bitwise_not("p.a").alias("a"), F.bitwise_not("p.b").alias("b"), "p.similarity", "p.same", "total")
 
 
 def stored_dup_report(rows: DataFrame, thresholds: list[float], since: int) -> DataFrame:

@@ -538,3 +538,15 @@ def test_pairs_are_made_where_blocks_meet(spark, monkeypatch, rows_of_block, til
                     want += [(i, j, round(s, 6), None if None in (g, h) else g == h) for a, _, g, _ in rows if a == i for b, _, h, _ in rows if b == j]
     assert sorted(map(repr, ((r.a, r.b, round(r.similarity, 6) + 0.0, r.same) for r in found.collect()))) == sorted(map(repr, want))
     assert vectors.pairs_over(df.limit(0), threshold).count() == 0
+
+
+def test_band_is_one_pass(spark, tmp_path):
+    """Ties go by ids; the pairs are read once, and none is sent but the best of a task."""
+    rows = [(i, i + 1 + k, round(0.2 + (i * 7 + k) % 20 / 50, 6), (None, True, False)[i % 3]) for i in range(40) for k in range(5)]
+    pairs = spark.createDataFrame(rows, "a long, b long, similarity double, same boolean")
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    top = vectors.pairs_in_band(spark.read.parquet(f"{tmp_path}/pairs"), 0.3, 0.5, 7)
+    assert top._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    band = sorted((-s, a, b, same) for a, b, s, same in rows if 0.3 <= s <= 0.5)
+    assert sorted((-r.similarity, r.a, r.b, r.same) for r in top.collect()) == band[:7] and {r.total for r in top.collect()} == {len(band)}
+    assert vectors.pairs_in_band(pairs, 2.0, 3.0).count() == 0
