@@ -550,3 +550,38 @@ def test_band_is_one_pass(spark, tmp_path):
     band = sorted((-s, a, b, same) for a, b, s, same in rows if 0.3 <= s <= 0.5)
     assert sorted((-r.similarity, r.a, r.b, r.same) for r in top.collect()) == band[:7] and {r.total for r in top.collect()} == {len(band)}
     assert vectors.pairs_in_band(pairs, 2.0, 3.0).count() == 0
+
+
+def _state_rows(spark, folder):
+    return spark.read.format("statestore").option("stateVarName", "rows").load(folder).count()
+
+
+def test_preferences_of_micro_batches(spark, tmp_path, monkeypatch):
+    """Judgements of several batches, out of order within one, with null tenants: deltas add up to the last
+    judgements' weights after each batch, and the store has a row a bucket, not a key."""
+    import random
+
+    from gleanery.streaming import jobs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(jobs, "BUCKETS", 5)
+    random.seed(4)
+    rows = [(i, random.choice([None, 1, 2, 2**53 + 1]), random.choice([None, *range(9)]), random.choice(["open", "useful", "dismiss"]), f"2024-01-0{1 + i // 100} 00:00:{random.randrange(60):02}", [f"k{random.randrange(5)}", "all"][: random.randrange(3)]) for i in range(300)]
+    batches = [rows[:100], rows[100:200], rows[200:]]
+    stream = _fed(spark, tmp_path, "event_id long, tenant long, article_id long, action string, created_at string, keys array<string>", batches)
+    stream = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    jobs.run_to_table(jobs.stream_preferences(stream), (tmp_path / "out").as_uri(), (tmp_path / "state").as_uri())
+    deltas = spark.read.parquet((tmp_path / "out").as_uri()).collect()
+    assert {r.batch for r in deltas} == {0, 1, 2} and _state_rows(spark, (tmp_path / "state").as_uri()) <= 5
+    last = {}
+    for k, batch in enumerate(batches):
+        for _, tenant, article, action, _, keys in sorted(batch, key=lambda r: (r[4], r[0])):
+            last[tenant, article] = (K.FEEDBACK_WEIGHTS[action], keys)
+        want, got = {}, {}
+        for (tenant, _), (weight, keys) in last.items():
+            for x in keys:
+                want[tenant, x] = want.get((tenant, x), 0) + weight
+        for r in deltas:
+            if r.batch <= k:
+                got[r.tenant, r.pref_key] = got.get((r.tenant, r.pref_key), 0) + r.delta
+        assert {x: round(w, 6) + 0.0 for x, w in got.items() if round(w, 6)} == {x: round(w, 6) + 0.0 for x, w in want.items() if round(w, 6)}
