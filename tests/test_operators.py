@@ -585,3 +585,31 @@ def test_preferences_of_micro_batches(spark, tmp_path, monkeypatch):
             if r.batch <= k:
                 got[r.tenant, r.pref_key] = got.get((r.tenant, r.pref_key), 0) + r.delta
         assert {x: round(w, 6) + 0.0 for x, w in got.items() if round(w, 6)} == {x: round(w, 6) + 0.0 for x, w in want.items() if round(w, 6)}
+
+
+def test_mastery_of_micro_batches(spark, tmp_path, monkeypatch):
+    """After each batch the mastery of its concepts is that of a plain loop over all attempts so far, and the store has
+    a row a bucket, not a key."""
+    import random
+
+    from gleanery.streaming import jobs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(jobs, "BUCKETS", 5)
+    random.seed(5)
+    rows = [(i, random.choice([None, 1, 2, 2**53 + 1]), random.choice([None, "a", "b", "c"]), random.choice([None, "easy", "medium", "hard"]), random.choice([True, False, None]), f"2024-01-0{1 + i // 100} 00:00:{random.randrange(60):02}") for i in range(300)]
+    batches = [rows[:100], rows[100:200], rows[200:]]
+    stream = _fed(spark, tmp_path, "attempt_id long, tenant long, concept_key string, difficulty string, is_correct boolean, created_at string", batches)
+    stream = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    jobs.run_to_table(jobs.stream_mastery(stream), (tmp_path / "out").as_uri(), (tmp_path / "state").as_uri(), "update")
+    out = spark.read.parquet((tmp_path / "out").as_uri()).collect()
+    assert _state_rows(spark, (tmp_path / "state").as_uri()) <= 5
+    known = {}
+    for k, batch in enumerate(batches):
+        touched = set()
+        for _, tenant, concept, level, right, _ in sorted(batch, key=lambda r: (r[5], r[0])):
+            m, n = known.get((tenant, concept), (K.PRIOR_MASTERY, 0))
+            up, down = K.ALPHAS.get(level, K.ALPHAS["medium"])
+            known[tenant, concept] = (m + (up if right else down) * ((1.0 if right else 0.0) - m), n + 1)
+            touched.add((tenant, concept))
+        assert {(r.tenant, r.concept_key): (round(r.mastery, 9), r.attempts) for r in out if r.batch == k} == {c: (round(known[c][0], 9), known[c][1]) for c in touched}
